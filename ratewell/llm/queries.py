@@ -7,24 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import mixing, sharding
+from ratewell.llm import decontamination, mixing, quality_rules, secret_scan, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, sf_dir))
+    base = F.concat("assign", "access", "hex")
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.concat(base, "linked")).alias("spans"),
+        F.size("linked").cast("long").alias("n_linked"),
+    )
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.interleave(documents(spark, sf_dir), shards=16)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "place")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allotment(documents(spark, sf_dir), share=1.5, cap=2.0, weights=(5, 2, 1))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sharding": op5_sharding, "op10_mixing": op10_mixing}
+    return {f.__name__: f for f in (op1_secret_scan, op5_sharding, op7_decontamination, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
