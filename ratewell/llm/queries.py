@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, mixing, quality_rules, secret_scan, sharding
+from ratewell.llm import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.interleave(documents(spark, sf_dir), shards=16)
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "place")
@@ -47,7 +51,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_sharding, op7_decontamination, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op4_ngram_join, op5_sharding, op7_decontamination, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
