@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding
+from ratewell.llm import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_digests(token_files.write(documents(spark, sf_dir), tokenizer="byte_bpe_50k.json", end=0))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), words=4, percent=85)
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_ngram_join, op5_sharding, op7_decontamination, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op4_ngram_join, op5_sharding, op7_decontamination, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
