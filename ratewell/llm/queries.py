@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding, token_files
+from ratewell.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -55,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op4_ngram_join, op5_sharding, op7_decontamination, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op4_ngram_join, op5_sharding, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
