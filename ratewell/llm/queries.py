@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, token_files
+from ratewell.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "place")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(documents(spark, sf_dir))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op4_ngram_join, op5_sharding, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op4_ngram_join, op5_sharding, op6_suffix_dedup, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
