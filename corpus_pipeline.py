@@ -4,25 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import mixing
+from ratewell.llm import decontamination, mixing, ngram_join, quality_rules, token_files
 from ratewell.llm.common import settle
 
 
+def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the learned decision list reject."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of 0.8 over five-word shingles hold together, the one with the least doc_id."""
+    return ngram_join.keep_first(docs, words=5, percent=80)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture takes them."""
     return mixing.mixed(docs)
 
 
-STAGES = [("mixing", mix_sources)]
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token-ID files and returns what is read back from them."""
+    return token_files.read_digests(token_files.write(docs))
+
+
+STAGES = [
+    ("quality rules", reject_by_rules),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("mixing sources", mix_sources),
+    ("token-ID output", write_token_ids),
+]
 
-#: The learned rules and the groups of near copies have no SQL form; tests hold the stages against brute force.
+#: SQL states neither the learned rules nor token ids; tests hold the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir; the last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for place, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if place + 1 < len(STAGES):
-            docs = settle(docs, name)
+            docs = settle(docs, name.replace(" ", "_"))
     return docs

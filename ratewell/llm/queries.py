@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_files
+from ratewell.llm import decontamination, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(token_files.write(documents(spark, sf_dir), tokenizer="byte_bpe_50k.json", end=0))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicate(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_deleted", F.concat_ws(",", "deleted").alias("deleted"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir), words=4, percent=85)
 
@@ -63,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op4_ngram_join, op5_sharding, op6_suffix_dedup, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_line_dedup, op4_ngram_join, op5_sharding, op6_suffix_dedup, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
