@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from ratewell.plans import arena_plans
+
+_PLANS = (arena_plans,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for plans in _PLANS for name, f in plans.Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plans in _PLANS for name, sql in plans.SQL.items()}
