@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def midranks(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -64,7 +65,7 @@ def correlations(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFr
 def _normal_tail(z: F.Column) -> F.Column:
     """Upper tail of the normal distribution, from the complementary error function."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def tail(values: pd.Series) -> pd.Series:
         return values.map(lambda v: None if v is None or v != v else 0.5 * math.erfc(v / math.sqrt(2)))
 
