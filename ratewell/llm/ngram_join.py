@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def levels(percent: int) -> dict[str, np.ndarray]:
     """Geometric size levels: linked sets lie in one level or in two that adjoin.
 
     least: the smallest size of a level; blocks: column blocks for rows of a level and the one below; slack: how many
-    blocks linked rows agree in, at least; strong: from how many n-grams a block tells rows apart.
+    blocks linked rows agree in, at least.
     """
     least = [1]
     while least[-1] < 1 << 40:
@@ -44,15 +45,16 @@ def levels(percent: int) -> dict[str, np.ndarray]:
     least = np.array(least, np.int64)
     top = least[1:] - 1
     differ = (100 - percent) * 2 * top // (100 + percent)
-    slack = np.where(top < 7, 1, np.where(top < 64, 3, 5 + differ // 24))
-    return {"least": least, "blocks": differ + slack, "slack": slack, "strong": np.where(top < 64, 1, 2)}
+    slack = np.where(differ == 0, 1, 2 + differ // 5)
+    return {"least": least, "blocks": differ + slack, "slack": slack}
 
 
 def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """One hash for each column block, at the row's level and the next one up.
+    """Hashes of column blocks, at the row's level and the next one up.
 
-    Of the blocks in which two linked rows agree, fewer than slack are weak in a row that has few weak blocks; such a
-    row leaves them out. A row with many keeps all, and so does any row that agrees with it in weak blocks only.
+    A block with few n-grams tells little, so a row keeps only the blocks of the largest size for which fewer than slack
+    are smaller. Linked rows agree in slack blocks, one of which both keep: the row with the larger bound keeps one of
+    them, and the other row keeps it too.
     """
     table = levels(percent)
     level = int(np.searchsorted(table["least"], len(grams), "right")) - 1
@@ -68,19 +70,31 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
         sums = np.bincount(block, high, blocks).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.bincount(block, low, blocks).astype(np.uint64)
         tag = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(at << 32)) + size.astype(np.uint64)
         signed = mix(mix(sums) + tag)
-        strong = size >= table["strong"][at]
-        out.append(signed[strong] if blocks - int(strong.sum()) < table["slack"][at] else signed)
+        nth = int(table["slack"][at]) - 1
+        out.append(signed[size >= np.partition(size, nth)[nth]])
     return np.concatenate(out)
 
 
-FIRST = "row long, doc_id long, doc_key string, text_hash long, n_shingles long, set_a long, set_b long, block int, rows binary, signs binary, near binary"
-_FIRST = pa.schema([(n, t) for n, t in (("row", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.string()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("block", pa.int32()), ("rows", pa.binary()), ("signs", pa.binary()), ("near", pa.binary()))])
+_DOCS = [("row", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.string()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())]
+_BLOBS = [(n, pa.binary()) for n in ("rows", "counts", "signs", "near")]
+_FIRST = pa.schema([("block", pa.int32()), *_DOCS, *_BLOBS])
+_MET = pa.schema([*_DOCS, ("a", pa.int64()), ("b", pa.int64())])
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
+
+
+def _filled(schema: pa.Schema, columns: dict, n: int) -> list[pa.Array]:
+    return [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema]
 
 
 def _first_pass(words: int, percent: int, blocks: int):
-    """Per document its set's size and 128-bit key; per block the signatures and the rows that bear them.
+    """Per document its set's size and 128-bit key; per block of signatures the rows that bear them.
 
-    near: pairs of rows of one flush that share a signature; of these only the first goes on.
+    near: pairs of rows of one flush that share a signature; of these only the first goes on. Documents go to blocks as
+    well, so that one shuffle carries all that the texts are read for.
     """
 
     def flush(rows: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -92,15 +106,14 @@ def _first_pass(words: int, percent: int, blocks: int):
         first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
         near = np.unique(np.stack([row[~new], first[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64)
         row, sign = row[new], sign[new]
-        block = (((sign >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)  # in order, as signs are
+        block = (((sign >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((row, block))
+        row, sign, block = row[order], sign[order], block[order]
         ends = np.searchsorted(block, np.arange(blocks + 1))
         some = [b for b in range(blocks) if ends[b] < ends[b + 1]]
-        parts = np.array_split(near, len(some))
-        yield pa.RecordBatch.from_pydict(
-            {n: pa.nulls(len(some), _FIRST.field(n).type) for n in _FIRST.names[:7]}
-            | {"block": some, "rows": [row[ends[b] : ends[b + 1]].tobytes() for b in some], "signs": [sign[ends[b] : ends[b + 1]].tobytes() for b in some], "near": [p.tobytes() for p in parts]},
-            _FIRST,
-        )
+        borne = [np.unique(row[ends[b] : ends[b + 1]], return_counts=True) for b in some]
+        blobs = {"block": some, "rows": [r.tobytes() for r, _ in borne], "counts": [c.astype(np.int32).tobytes() for _, c in borne], "signs": [sign[ends[b] : ends[b + 1]].tobytes() for b in some], "near": [x.tobytes() for x in np.array_split(near, len(some))]}
+        yield pa.RecordBatch.from_arrays(_filled(_FIRST, blobs, len(some)), schema=_FIRST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, signs, held, seen = [], [], 0, set()
@@ -120,9 +133,9 @@ def _first_pass(words: int, percent: int, blocks: int):
                     if held >= FLUSH:
                         yield from flush(rows, signs)
                         rows, signs, held, seen = [], [], 0, set()
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["doc_key"], batch["text_hash"], pa.array(size, pa.int64()), signed(set_a), signed(set_b), *[pa.nulls(n, _FIRST.field(k).type) for k in ("block", "rows", "signs", "near")]], schema=_FIRST)
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            docs = {n: batch[n] for n in ("row", "doc_id", "doc_key", "text_hash")} | {"n_shingles": size, "set_a": signed(set_a), "set_b": signed(set_b), "block": batch["row"].to_numpy() % blocks}
+            yield pa.RecordBatch.from_arrays(_filled(_FIRST, docs, batch.num_rows), schema=_FIRST)
         if rows:
             yield from flush(rows, signs)
 
@@ -130,15 +143,22 @@ def _first_pass(words: int, percent: int, blocks: int):
 
 
 def _agreeing(table: pa.Table) -> pa.Table:
-    """Of one block: pairs (a, b) of a row and the first row with the same signature."""
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
-    row, sign, near = joined("rows", np.int64), joined("signs", np.uint64), joined("near", np.int64).reshape(-1, 2)
-    order = np.lexsort((row, sign))
-    row, sign = row[order], sign[order]
-    new = np.concatenate([[True], sign[1:] != sign[:-1]]) if len(sign) else np.zeros(0, bool)
-    first = row[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(sign) else row
-    pairs = np.unique(np.concatenate([near, np.stack([row[~new], first[~new]], 1)]), axis=0)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    """Of one block: its documents, and pairs (a, b) of a row and the first row with the same signature."""
+    documents = table.filter(pc.is_valid(table["row"]))
+    blobs = table.filter(pc.is_null(table["row"]))
+    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in blobs[name].to_pylist()] or [np.zeros(0, kind)])
+    row, sign = np.repeat(joined("rows", np.int64), joined("counts", np.int32)), joined("signs", np.uint64)
+    pairs = joined("near", np.int64).reshape(-1, 2)
+    if len(sign):
+        order = np.lexsort((row, sign))
+        row, sign = row[order], sign[order]
+        new = np.concatenate([[True], sign[1:] != sign[:-1]])
+        first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        pairs = np.unique(np.concatenate([pairs, np.stack([row[~new], first[~new]], 1)]), axis=0)
+    return pa.concat_tables([
+        pa.Table.from_arrays([*[documents[n] for n, _ in _DOCS], pa.nulls(len(documents), pa.int64()), pa.nulls(len(documents), pa.int64())], schema=_MET),
+        pa.Table.from_arrays(_filled(_MET, {"a": pairs[:, 0], "b": pairs[:, 1]}, len(pairs)), schema=_MET),
+    ])
 
 
 def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -216,19 +236,26 @@ def _products(percent: int):
 
 
 def _gram_sets(words: int):
+    """Sets of n-grams of texts, once for each task of a row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = pa.array([shingle_set(x.as_py(), words).tobytes() for x in batch["text"]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["row"], grams], names=["row", "grams"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                tasks = part["tasks"]
+                grams = pa.array([shingle_set(x.as_py(), words).tobytes() for x in part["text"]], pa.binary())
+                parent = pc.list_parent_indices(tasks)
+                yield pa.RecordBatch.from_arrays([pc.list_flatten(tasks), part["row"].take(parent), grams.take(parent)], names=["task", "row", "grams"])
 
     return run
 
 
-def _compared(tasks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """tasks: task, row. Links found by the product of each task's rows."""
+def _compared(texts: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links found by the product of each task's rows. tasks: row, doc_key, text_hash and tasks, the names of its tasks."""
     parts = max(1, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = tasks.join(sets, "row").repartition(parts, "task").sortWithinPartitions("task", "row")
-    return dealt.select("task", "row", "grams").mapInArrow(_products(percent), "a long, b long")
+    sets = texts.select("doc_key", "text_hash", "text").join(tasks, ["doc_key", "text_hash"]).select("row", "text", "tasks")
+    dealt = sets.mapInArrow(_gram_sets(words), "task string, row long, grams binary").repartition(parts, "task").sortWithinPartitions("task", "row")
+    return settle(dealt.mapInArrow(_products(percent), "a long, b long"), "links")
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -240,43 +267,42 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     An empty table gives no rows. Other columns of docs are not read.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, round(chars / 6 / FLUSH))  # about FLUSH / 2 signatures each
+    blocks = max(1, round(chars / 12 / FLUSH * 8))  # about FLUSH / 8 signatures each
     texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "doc_key", "text_hash", "text")
-    first = settle(rows.mapInArrow(_first_pass(words, percent, blocks), FIRST), "signatures")
+    first = rows.mapInArrow(_first_pass(words, percent, blocks), _ddl(_FIRST))
+    met = settle(first.groupBy("block").applyInArrow(_agreeing, _ddl(_MET)), "signatures")
 
-    docs_ = first.where("row IS NOT NULL").select("row", "doc_id", "doc_key", "text_hash", "n_shingles", "set_a", "set_b")
+    docs_ = met.where("row IS NOT NULL").drop("a", "b")
     full = docs_.where("n_shingles > 0")
     same = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("row").alias("kept"))
     copies = settle(full.join(same, ["n_shingles", "set_a", "set_b"]).where("row <> kept").select("row", "kept"), "copies")
 
-    near = first.where("block IS NOT NULL").select("block", "rows", "signs", "near").groupBy("block").applyInArrow(_agreeing, "a long, b long")
     kept = lambda df, c: df.join(copies.select(F.col("row").alias(c), F.col("kept").alias("kept_" + c)), c, "left").withColumn(c, F.coalesce("kept_" + c, c)).drop("kept_" + c)
-    cluster_of = components(kept(kept(near.distinct(), "a"), "b"))
+    near = met.where("a IS NOT NULL").select("a", "b").distinct()
+    cluster_of = components(kept(kept(near, "a"), "b"))
     members = cluster_of.union(cluster_of.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
     members = settle(members.join(docs_.select("row", "n_shingles", "doc_key", "text_hash"), "row"), "members")
-    texts_of = texts.join(members.select("row", "doc_key", "text_hash"), ["doc_key", "text_hash"]).select("row", "text")
-    sets = settle(texts_of.mapInArrow(_gram_sets(words), "row long, grams binary"), "sets")
-
     sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("grams"))
     cut = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    blocked = settle(members.select("row", "cluster").join(sums.select("cluster", cut.alias("cuts")), "cluster").withColumn("block", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")), "blocked")
+    cuts = members.join(sums.select("cluster", cut.alias("cuts")), "cluster")
+    blocked = settle(cuts.select("row", "doc_key", "text_hash", "cluster", "cuts", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int").alias("block")), "blocked")
     # each block with itself and with block 0, which goes to all
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("block"))
-    tasks = blocked.select("cluster", F.explode(to).alias("to"), "row").select(F.concat_ws(":", "cluster", "to").alias("task"), "row")
-    links = settle(_compared(tasks, sets, percent), "links")
+    tasks = blocked.select("row", "doc_key", "text_hash", F.transform(to, lambda b: F.concat_ws(":", "cluster", b)).alias("tasks"))
+    links = _compared(texts, tasks, words, percent)
 
     cutting = blocked.where("cuts > 1")
-    if cutting.limit(1).count():
-        links = links.union(_rest(cutting, links, sets, percent))
+    if cutting.limit(1).count() and (rest := _rest(cutting, links)).limit(1).count():
+        links = links.union(_compared(texts, rest, words, percent))
     root = components(links.union(copies.select(F.col("row").alias("a"), F.col("kept").alias("b"))))
     placed = docs_.join(root.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
 
 
-def _rest(cutting: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between documents of a large cluster that the first round left apart.
+def _rest(cutting: DataFrame, links: DataFrame) -> DataFrame:
+    """Tasks for the documents of a large cluster that the first round left apart.
 
     The largest component of a cluster need not be compared with itself: its blocks meet those of all other documents,
     which also meet each other.
@@ -285,19 +311,17 @@ def _rest(cutting: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -
     placed = cutting.join(root, "row", "left").withColumn("part", F.coalesce("part", "row"))
     parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
-    shape = largest.select(
-        "cluster", F.col("top.part").alias("top"),
-        F.ceil(F.col("top.n") / (BLOCK_ROWS // 2)).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / (BLOCK_ROWS // 2)).cast("int").alias("others"),
-    )
-    side = placed.join(shape, "cluster").withColumn("is_top", F.col("part") == F.col("top"))
+    half = BLOCK_ROWS // 2
+    shape = largest.select("cluster", F.col("top.part").alias("top"), F.ceil(F.col("top.n") / half).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("int").alias("others"))
+    # blocks of long documents stay as small as in the first round
+    shape = shape.join(cutting.groupBy("cluster").agg(F.max("cuts").alias("cuts")), "cluster").withColumn("tops", F.greatest("tops", "cuts")).withColumn("others", F.greatest("others", F.least("cuts", F.col("others") * half)))
+    side = placed.join(shape.drop("cuts"), "cluster").withColumn("is_top", F.col("part") == F.col("top"))
     own = F.pmod(F.xxhash64("row", F.lit(7)), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
-    side = settle(side.withColumn("own", own).select("row", "cluster", "is_top", "tops", "others", "own"), "rest")
     name = lambda kind, i, j: F.concat_ws(":", "cluster", F.lit(kind), i, j)
     each = lambda n, body: F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)
     with_tops = F.when(F.col("is_top"), each("others", lambda j: name("t", F.col("own"), j))).otherwise(each("tops", lambda i: name("t", i, F.col("own"))))
     among = F.when(F.col("is_top"), F.array().cast("array<string>")).otherwise(each("others", lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
-    tasks = side.select(F.explode(F.concat(with_tops, among)).alias("task"), "row")
-    return settle(_compared(tasks, sets, percent), "links")
+    return settle(side.withColumn("own", own).select("row", "doc_key", "text_hash", F.concat(with_tops, among).alias("tasks")), "rest")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
