@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratewell.plans import arena_plans, score_plans, work_plans
+from ratewell.plans import arena_plans, curation_plans, score_plans, work_plans
 
-_PLANS = (arena_plans, score_plans, work_plans)
+_PLANS = (arena_plans, score_plans, work_plans, curation_plans)
 
 
 def queries() -> dict:
