@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ratewell.operators.worklist import mixed_hash
+
 
 def midranks(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Adds the mean of the ranks that equal values share. The window sees one row per distinct value."""
@@ -118,12 +120,12 @@ def jonckheere(rows: DataFrame, keys: Sequence[str], group: str, value: str) ->
 def bootstrap_draws(rows: DataFrame, keys: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
     """Each group's rows as drawn with replacement, replicate by replicate, as multiplicities.
 
-    Draw d of replicate b takes the row at place hash(seed, b, d) mod n of the group's order. Groups are samples that a
+    Draw d of replicate b takes the row at place hash(seed, b, d) mod n of the group's order, by modular arithmetic. Groups are samples that a
     statistic is wanted of; each replicate is a key of its own in what follows. Output: keys, replicate, place, times.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     drawn = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-    place = F.pmod(F.xxhash64(F.lit(seed), "replicate", "draw"), F.col("n"))
+    place = mixed_hash(seed, F.col("replicate"), F.col("draw"), F.col("replicate") + F.col("draw")) % F.col("n")
     return drawn.groupBy(*keys, "replicate", place.alias("place")).agg(F.count(F.lit(1)).alias("times"))
 
 

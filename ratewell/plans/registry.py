@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ratewell.plans import arena_plans, curation_plans, score_plans, work_plans
+from ratewell.plans import arena_plans, curation_plans, log_plans, score_plans, stats_plans, work_plans
 
-_PLANS = (arena_plans, score_plans, work_plans, curation_plans)
+_PLANS = (arena_plans, score_plans, work_plans, curation_plans, stats_plans, log_plans)
 
 
 def queries() -> dict:
