@@ -28,8 +28,8 @@ from ratewell.llm.wordhash import mix, shingle_set
 
 #: Rows of a product block, its n-grams, and its columns at a time: they bound a task's memory.
 BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 512, 1 << 21, 4096
-#: Signatures that a task of the first pass gathers before it passes them on, and those of one block of the next.
-FLUSH = 1 << 21
+#: Signatures that a task of the first pass gathers before it passes them on, and about those of one block of the next.
+FLUSH, BLOCK_SIGNS = 1 << 19, 1 << 18
 
 
 @lru_cache
@@ -253,7 +253,8 @@ def _gram_sets(words: int):
 def _compared(texts: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
     """Links found by the product of each task's rows. tasks: row, doc_key, text_hash and tasks, the names of its tasks."""
     parts = max(1, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sets = texts.select("doc_key", "text_hash", "text").join(tasks, ["doc_key", "text_hash"]).select("row", "text", "tasks")
+    # a merge join at every size: neither side has a bound that would allow a broadcast
+    sets = texts.select("doc_key", "text_hash", "text").join(tasks.hint("merge"), ["doc_key", "text_hash"]).select("row", "text", "tasks")
     dealt = sets.mapInArrow(_gram_sets(words), "task string, row long, grams binary").repartition(parts, "task").sortWithinPartitions("task", "row")
     return settle(dealt.mapInArrow(_products(percent), "a long, b long"), "links")
 
@@ -267,7 +268,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     An empty table gives no rows. Other columns of docs are not read.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, round(chars / 12 / FLUSH * 8))  # about FLUSH / 8 signatures each
+    blocks = max(1, round(chars / 12 / BLOCK_SIGNS))
     texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "doc_key", "text_hash", "text")
     first = rows.mapInArrow(_first_pass(words, percent, blocks), _ddl(_FIRST))

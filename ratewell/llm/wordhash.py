@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MOST = 500_000
+_MOST = 250_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
