@@ -130,7 +130,8 @@ def deduplicate(docs: DataFrame, rare: int = 100, least: int = 1) -> DataFrame:
     gone = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("deleted"))
     gone = settle(gone.join(found.select("row", "doc_key", "text_hash"), "row").select("doc_key", "text_hash", "deleted"), "gone")
     texts = docs.select("doc_id", "text", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"))
-    joined = texts.join(gone, ["doc_key", "text_hash"], "left")
+    # a merge join at every size: neither side has a bound that would allow a broadcast
+    joined = texts.join(gone.hint("merge"), ["doc_key", "text_hash"], "left")
     lines = F.split(text_of(), "\n")
     # deleted places in order: the lines between them are kept
     cuts = F.concat(F.array(F.lit(-1)), F.col("deleted"))
