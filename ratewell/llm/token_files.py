@@ -11,6 +11,7 @@ attempt and then renamed, so a task that runs twice leaves one file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -33,8 +34,14 @@ from ratewell.llm.common import fresh_path, settle, text_of
 SKIPPED_IDS, SKIPPED_TABLE, TABLE_END, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
 #: Where a space is next to one of these, words can't be encoded one by one: white space and what may count as such.
-_NEAR = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  ⁠　﻿"
-_APART = regex.compile(f"[{_NEAR}] | [{_NEAR}]|^ | $")
+_NEAR = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿"
+_APART = re.compile(f"[{_NEAR}] | [{_NEAR}]|^ | $")
+#: Fixed values of byte-level tokenizers: the pattern of their tokens' bounds, and the bytes that stand for themselves.
+_BOUNDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: b for b in _OWN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _OWN)}
+#: Characters from here on are left to the library's own bounds: which of them are letters depends on its version.
+_PLAIN = "ɐ"
 _KEPT = 700_000
 
 
@@ -42,8 +49,8 @@ class Encoder:
     """Encodes texts with a file of the tokenizers library; ids as bytes, little-endian.
 
     A byte-level tokenizer whose pattern ends a token before each single space encodes the words of a text, with the
-    space before them, independently. Their ids are kept, and words not seen before are encoded together, one per line.
-    Any other text or tokenizer is encoded whole.
+    space before them, independently; so does its model the tokens of a word. Their ids are kept. Any other text or
+    tokenizer is encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,45 +68,43 @@ class Encoder:
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         before = self.tokenizer.pre_tokenizer
         self.by_word = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
-        self.line = self._ids("\n")[0] if self.by_word else None
+        self.model = self.tokenizer.model
+        #: A word's ids with the space before it; a text's first word, which has none, is kept with one before it.
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.kind, ids).tobytes()
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))
+            found = self.parts[part] = array(self.kind, [x.id for x in tokens]).tobytes()
+        return found
 
     def _learn(self, new: list[str]) -> None:
-        """new: words with the space before them."""
-        if len(self.words) > _KEPT:
-            self.words.clear()
-        plain = [w for w in new if "\n" not in w]
-        for k in range(0, len(plain), 256):
-            part = plain[k : k + 256]
-            ids = np.array(self._ids("\n" + "\n".join(part) + "\n"), self.kind)
-            ends = np.flatnonzero(ids == self.line)
-            if len(ends) != len(part) + 1:
-                raise ValueError("a word's ids hold the line's")
-            for w, a, b in zip(part, ends[:-1], ends[1:], strict=True):
-                self.words[w] = ids[a + 1 : b].tobytes()
-        for w in new:
-            if "\n" in w:
-                self.words[w] = self._bytes(self._ids(w))
+        for kept in (self.words, self.parts):
+            if len(kept) > _KEPT:
+                kept.clear()
+        for word in new:
+            text = word[1:] if word[:1] == " " else " " + word
+            plain = text.isascii() or max(text) < _PLAIN
+            self.words[word] = b"".join([self._part(x) for x in _BOUNDS.findall(text)]) if plain else self._whole(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[" " + w for w in t.split(" ")] if self.by_word and t and not _APART.search(t) else None for t in texts]
-        for words, text in zip(split, texts, strict=True):
+        split = [t.split(" ") if self.by_word and t and not _APART.search(t) else None for t in texts]
+        for words in split:
             if words:
-                words[0] = text[: len(words[0]) - 1]  # the first word has no space before it
-        found = self.words
-        new = list(dict.fromkeys(w for words in split if words for w in words if w not in found))
-        if len(found) + len(new) > _KEPT:
-            found.clear()
-            new = list(dict.fromkeys(w for words in split if words for w in words))
-        self._learn(new)
-        get = found.__getitem__
-        return [b"".join(map(get, words)) if words else self._bytes(self._ids(text)) for words, text in zip(split, texts, strict=True)]
+                words[0] = " " + words[0]
+        every = set().union(*(words for words in split if words))
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > _KEPT:
+            self.words.clear()
+            new = every
+        self._learn(sorted(new))
+        get = self.words.__getitem__
+        return [b"".join(map(get, words)) if words else self._whole(text) for words, text in zip(split, texts, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
