@@ -29,7 +29,7 @@ from ratewell.llm.wordhash import mix, shingle_set
 #: Rows of a product block, its n-grams, and its columns at a time: they bound a task's memory.
 BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 512, 1 << 21, 4096
 #: Signatures that a task of the first pass gathers before it passes them on, and about those of one block of the next.
-FLUSH, BLOCK_SIGNS = 1 << 19, 1 << 18
+FLUSH, BLOCK_SIGNS = 1 << 19, 1 << 19
 
 
 @lru_cache
@@ -75,6 +75,24 @@ def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def forest(pairs: np.ndarray) -> np.ndarray:
+    """Pairs (row, least row in reach) that hold together the rows that pairs do; at most one for each row."""
+    node, place = np.unique(pairs.ravel(), return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    least = np.arange(len(node))
+    while len(node):
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == least).all():
+            break
+        least = new
+    far = least != np.arange(len(node))
+    return np.stack([node[far], node[least[far]]], 1)
+
+
 _DOCS = [("row", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.string()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())]
 _BLOBS = [(n, pa.binary()) for n in ("rows", "counts", "signs", "near")]
 _FIRST = pa.schema([("block", pa.int32()), *_DOCS, *_BLOBS])
@@ -90,31 +108,33 @@ def _filled(schema: pa.Schema, columns: dict, n: int) -> list[pa.Array]:
     return [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema]
 
 
+def _blobs(rows: list[int], signs: list[np.ndarray], blocks: int) -> pa.RecordBatch:
+    """Signatures by block, each from one row only; near holds together the rows that share some."""
+    row = np.repeat(np.array(rows, np.int64), [len(s) for s in signs])
+    sign = np.concatenate(signs)
+    order = np.argsort(sign, kind="stable")
+    row, sign = row[order], sign[order]
+    new = np.concatenate([[True], sign[1:] != sign[:-1]])
+    first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    near = forest(np.stack([row[~new], first[~new]], 1))
+    row, sign = row[new], sign[new]
+    block = (((sign >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((row, block))
+    row, sign, block = row[order], sign[order], block[order]
+    ends = np.searchsorted(block, np.arange(blocks + 1))
+    some = [b for b in range(blocks) if ends[b] < ends[b + 1]]
+    borne = [np.unique(row[ends[b] : ends[b + 1]], return_counts=True) for b in some]
+    blobs = {"block": some, "rows": [r.tobytes() for r, _ in borne], "counts": [c.astype(np.int32).tobytes() for _, c in borne], "signs": [sign[ends[b] : ends[b + 1]].tobytes() for b in some], "near": [x.tobytes() for x in np.array_split(near, len(some))]}
+    return pa.RecordBatch.from_arrays(_filled(_FIRST, blobs, len(some)), schema=_FIRST)
+
+
 def _first_pass(words: int, percent: int, blocks: int):
     """Per document its set's size and 128-bit key; per block of signatures the rows that bear them.
 
-    near: pairs of rows of one flush that share a signature; of these only the first goes on. Documents go to blocks as
+    near: pairs that hold together rows of one flush with the same signatures; a signature goes on from one row only. Documents go to blocks as
     well, so that one shuffle carries all that the texts are read for.
     """
 
-    def flush(rows: list[int], signs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        row = np.repeat(np.array(rows, np.int64), [len(s) for s in signs])
-        sign = np.concatenate(signs)
-        order = np.argsort(sign, kind="stable")
-        row, sign = row[order], sign[order]
-        new = np.concatenate([[True], sign[1:] != sign[:-1]])
-        first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        near = np.unique(np.stack([row[~new], first[~new]], 1), axis=0) if not new.all() else np.zeros((0, 2), np.int64)
-        row, sign = row[new], sign[new]
-        block = (((sign >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-        order = np.lexsort((row, block))
-        row, sign, block = row[order], sign[order], block[order]
-        ends = np.searchsorted(block, np.arange(blocks + 1))
-        some = [b for b in range(blocks) if ends[b] < ends[b + 1]]
-        borne = [np.unique(row[ends[b] : ends[b + 1]], return_counts=True) for b in some]
-        blobs = {"block": some, "rows": [r.tobytes() for r, _ in borne], "counts": [c.astype(np.int32).tobytes() for _, c in borne], "signs": [sign[ends[b] : ends[b + 1]].tobytes() for b in some], "near": [x.tobytes() for x in np.array_split(near, len(some))]}
-        yield pa.RecordBatch.from_arrays(_filled(_FIRST, blobs, len(some)), schema=_FIRST)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, signs, held, seen = [], [], 0, set()
         for batch in batches:
@@ -131,19 +151,40 @@ def _first_pass(words: int, percent: int, blocks: int):
                     signs.append(signatures(grams, percent))
                     held += len(signs[-1])
                     if held >= FLUSH:
-                        yield from flush(rows, signs)
+                        yield _blobs(rows, signs, blocks)
                         rows, signs, held, seen = [], [], 0, set()
             signed = lambda x: np.array(x, np.uint64).view(np.int64)
             docs = {n: batch[n] for n in ("row", "doc_id", "doc_key", "text_hash")} | {"n_shingles": size, "set_a": signed(set_a), "set_b": signed(set_b), "block": batch["row"].to_numpy() % blocks}
             yield pa.RecordBatch.from_arrays(_filled(_FIRST, docs, batch.num_rows), schema=_FIRST)
         if rows:
-            yield from flush(rows, signs)
+            yield _blobs(rows, signs, blocks)
+
+    return run
+
+
+def _next_pass(percent: int, blocks: int, turn: int):
+    """Signatures of sets that are in one cluster, with other column blocks: linked rows agree in some of these, too."""
+    turned = np.uint64(turn * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, signs, held = [], [], 0
+        for batch in batches:
+            for row, cluster, grams in zip(batch["row"].to_pylist(), batch["cluster"].to_pylist(), batch["grams"], strict=True):
+                found = signatures(mix(np.frombuffer(grams.as_buffer(), np.uint64) + turned), percent)
+                rows.append(row)
+                signs.append(mix(found + mix(np.array([cluster], np.int64).view(np.uint64))))
+                held += len(found)
+                if held >= FLUSH:
+                    yield _blobs(rows, signs, blocks)
+                    rows, signs, held = [], [], 0
+        if rows:
+            yield _blobs(rows, signs, blocks)
 
     return run
 
 
 def _agreeing(table: pa.Table) -> pa.Table:
-    """Of one block: its documents, and pairs (a, b) of a row and the first row with the same signature."""
+    """Of one block: its documents, and pairs (a, b) that hold together rows with the same signatures."""
     documents = table.filter(pc.is_valid(table["row"]))
     blobs = table.filter(pc.is_null(table["row"]))
     joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in blobs[name].to_pylist()] or [np.zeros(0, kind)])
@@ -154,7 +195,7 @@ def _agreeing(table: pa.Table) -> pa.Table:
         row, sign = row[order], sign[order]
         new = np.concatenate([[True], sign[1:] != sign[:-1]])
         first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        pairs = np.unique(np.concatenate([pairs, np.stack([row[~new], first[~new]], 1)]), axis=0)
+        pairs = forest(np.concatenate([pairs, np.stack([row[~new], first[~new]], 1)]))
     return pa.concat_tables([
         pa.Table.from_arrays([*[documents[n] for n, _ in _DOCS], pa.nulls(len(documents), pa.int64()), pa.nulls(len(documents), pa.int64())], schema=_MET),
         pa.Table.from_arrays(_filled(_MET, {"a": pairs[:, 0], "b": pairs[:, 1]}, len(pairs)), schema=_MET),
@@ -236,29 +277,46 @@ def _products(percent: int):
 
 
 def _gram_sets(words: int):
-    """Sets of n-grams of texts, once for each task of a row."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                tasks = part["tasks"]
-                grams = pa.array([shingle_set(x.as_py(), words).tobytes() for x in part["text"]], pa.binary())
-                parent = pc.list_parent_indices(tasks)
-                yield pa.RecordBatch.from_arrays([pc.list_flatten(tasks), part["row"].take(parent), grams.take(parent)], names=["task", "row", "grams"])
+                yield pa.RecordBatch.from_arrays([part["row"], pa.array([shingle_set(x.as_py(), words).tobytes() for x in part["text"]], pa.binary())], names=["row", "grams"])
 
     return run
 
 
-def _compared(texts: DataFrame, tasks: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links found by the product of each task's rows. tasks: row, doc_key, text_hash and tasks, the names of its tasks."""
+def _compared(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+    """Links found by the product of each task's rows. tasks: row and tasks, the names of its tasks."""
     parts = max(1, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # a merge join at every size: neither side has a bound that would allow a broadcast
-    sets = texts.select("doc_key", "text_hash", "text").join(tasks.hint("merge"), ["doc_key", "text_hash"]).select("row", "text", "tasks")
-    dealt = sets.mapInArrow(_gram_sets(words), "task string, row long, grams binary").repartition(parts, "task").sortWithinPartitions("task", "row")
+    each = sets.join(tasks.hint("merge"), "row").select(F.explode("tasks").alias("task"), "row", "grams")
+    dealt = each.repartition(parts, "task").sortWithinPartitions("task", "row")
     return settle(dealt.mapInArrow(_products(percent), "a long, b long"), "links")
 
 
+def _clusters(edges: DataFrame) -> DataFrame:
+    """row and cluster of every row that edges (a, b) hold together with another."""
+    found = components(edges)
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+
+
+def _refined(members: DataFrame, sets: DataFrame, percent: int, blocks: int) -> DataFrame:
+    """members (row, n_shingles, cluster) with large clusters split: rows that agree by chance do so in one pass only.
+
+    Rows of a large cluster that agree with no other in a further pass have no links and leave.
+    """
+    for turn in (1, 2):
+        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        large = settle(members.join(sizes.where(F.col("n") > BLOCK_ROWS).select("cluster"), "cluster"), "large")
+        if not large.limit(1).count():
+            break
+        signed = sets.join(large.select("row", "cluster").hint("merge"), "row").select("row", "cluster", "grams").mapInArrow(_next_pass(percent, blocks, turn), _ddl(_FIRST))
+        near = settle(signed.groupBy("block").applyInArrow(_agreeing, _ddl(_MET)).where("a IS NOT NULL").select("a", "b"), "near")
+        split = large.drop("cluster").join(_clusters(near), "row")
+        members = settle(members.join(large.select("row"), "row", "left_anti").unionByName(split), "members")
+    return members
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles (distinct runs of words) and component_id.
 
@@ -281,21 +339,22 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     kept = lambda df, c: df.join(copies.select(F.col("row").alias(c), F.col("kept").alias("kept_" + c)), c, "left").withColumn(c, F.coalesce("kept_" + c, c)).drop("kept_" + c)
     near = met.where("a IS NOT NULL").select("a", "b").distinct()
-    cluster_of = components(kept(kept(near, "a"), "b"))
-    members = cluster_of.union(cluster_of.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-    members = settle(members.join(docs_.select("row", "n_shingles", "doc_key", "text_hash"), "row"), "members")
+    members = settle(_clusters(kept(kept(near, "a"), "b")).join(docs_.select("row", "n_shingles", "doc_key", "text_hash"), "row"), "members")
+    # a merge join at every size: neither side has a bound that would allow a broadcast
+    wanted = texts.select("doc_key", "text_hash", "text").join(members.select("row", "doc_key", "text_hash").hint("merge"), ["doc_key", "text_hash"])
+    sets = settle(wanted.select("row", "text").mapInArrow(_gram_sets(words), "row long, grams binary"), "sets")
+    members = _refined(members.select("row", "n_shingles", "cluster"), sets, percent, blocks)
     sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("grams"))
     cut = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     cuts = members.join(sums.select("cluster", cut.alias("cuts")), "cluster")
-    blocked = settle(cuts.select("row", "doc_key", "text_hash", "cluster", "cuts", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int").alias("block")), "blocked")
+    blocked = settle(cuts.select("row", "cluster", "cuts", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int").alias("block")), "blocked")
     # each block with itself and with block 0, which goes to all
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("block"))
-    tasks = blocked.select("row", "doc_key", "text_hash", F.transform(to, lambda b: F.concat_ws(":", "cluster", b)).alias("tasks"))
-    links = _compared(texts, tasks, words, percent)
+    links = _compared(sets, blocked.select("row", F.transform(to, lambda b: F.concat_ws(":", "cluster", b)).alias("tasks")), percent)
 
     cutting = blocked.where("cuts > 1")
     if cutting.limit(1).count() and (rest := _rest(cutting, links)).limit(1).count():
-        links = links.union(_compared(texts, rest, words, percent))
+        links = links.union(_compared(sets, rest, percent))
     root = components(links.union(copies.select(F.col("row").alias("a"), F.col("kept").alias("b"))))
     placed = docs_.join(root.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -322,7 +381,7 @@ def _rest(cutting: DataFrame, links: DataFrame) -> DataFrame:
     each = lambda n, body: F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)
     with_tops = F.when(F.col("is_top"), each("others", lambda j: name("t", F.col("own"), j))).otherwise(each("tops", lambda i: name("t", i, F.col("own"))))
     among = F.when(F.col("is_top"), F.array().cast("array<string>")).otherwise(each("others", lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
-    return settle(side.withColumn("own", own).select("row", "doc_key", "text_hash", F.concat(with_tops, among).alias("tasks")), "rest")
+    return settle(side.withColumn("own", own).select("row", F.concat(with_tops, among).alias("tasks")), "rest")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
