@@ -26,7 +26,7 @@ RUN, WINDOW, LEAST = 8, 26, 50
 SURE = LEAST - WINDOW + 1
 #: Words of context on each side, beyond which the next minimiser's context begins.
 AROUND = 25
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +100,7 @@ _SUFFIX_PA = pa.schema([("row", pa.int64()), ("place", pa.int32()), ("key", pa.i
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes with their contexts, 16 bits a word, 0 beyond the text.
+    """Suffixes with their contexts, 32 bits a word, 0 beyond the text.
 
     Of suffixes of one batch that agree in all of their contexts, across documents, those of two documents go on to be
     sorted; the match is complete, and so its bounds (start, stop) come with it.
@@ -111,8 +111,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, places, keys, after, before = [], [], [], [], []
             for k in range(begin, min(begin + 1024, batch.num_rows)):
                 h = word_hashes(texts[k].as_py(), lower=False)
-                short = np.zeros(len(h) + 2 * AROUND + SURE, np.uint16)
-                short[AROUND : AROUND + len(h)] = (mix(h) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+                short = np.zeros(len(h) + 2 * AROUND + SURE, np.uint32)
+                short[AROUND : AROUND + len(h)] = (mix(h) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 at = np.array([x["place"] for x in found[k].as_py()], np.int64)
                 rows.append(np.full(len(at), ids[k], np.int64))
                 places.append(at)
@@ -121,8 +121,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 before.append(short[at[:, None] + AROUND - 1 - np.arange(AROUND)])
             row, place, key = np.concatenate(rows), np.concatenate(places), np.concatenate(keys)
             after, before = np.concatenate(after), np.concatenate(before)
-            whole = np.concatenate([key[:, None].view(np.uint16).reshape(len(key), 4), after, before], 1)
-            _, group = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1] * 2}").ravel(), return_inverse=True)
+            whole = np.concatenate([key[:, None].view(np.uint32).reshape(len(key), 2), after, before], 1)
+            _, group = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1] * 4}").ravel(), return_inverse=True)
             order = np.lexsort((row, group))
             ends = np.flatnonzero(np.diff(group[order])) if len(group) else order
             least, most = order[np.concatenate([[0], ends + 1])] if len(group) else order, order[np.append(ends, len(group) - 1)] if len(group) else order
@@ -132,7 +132,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             goes = ~done | np.isin(np.arange(len(group)), np.concatenate([least, most]))
             pick = lambda x, m: pa.array([v.tobytes() if g else None for v, g in zip(x, m, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([
-                pa.array(row), pa.array(place.astype(np.int32)), pa.array(key), pick(after.astype(">u2"), goes), pick(before.astype(">u2"), goes),
+                pa.array(row), pa.array(place.astype(np.int32)), pa.array(key), pick(after.astype(">u4"), goes), pick(before.astype(">u4"), goes),
                 pa.array((place - left).astype(np.int32), mask=~done), pa.array((place + SURE + right).astype(np.int32), mask=~done),
             ], schema=_SUFFIX_PA)
 
@@ -212,7 +212,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def arrays(t: pa.Table) -> list[np.ndarray]:
-        wide = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), ">u2").astype(np.uint16).reshape(t.num_rows, AROUND)
+        wide = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), ">u4").astype(np.uint32).reshape(t.num_rows, AROUND)
         return [*(t[c].to_numpy() for c in ("row", "place", "key")), wide("before"), wide("after")]
 
     def told(table: pa.Table, edges: tuple[int | None, ...]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +221,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bounds[:, 0]), pa.array(bounds[:, 1].astype(np.int32)), pa.array(bounds[:, 2].astype(np.int32)), pa.nulls(len(bounds), pa.int64())], schema=_MATCH_PA)
         for k in {e for e in edges if e is not None}:
             at = np.flatnonzero(key == k)
+            if not len(at):
+                continue
             windows = _windows(key[at], before[at], after[at])
-            who, a = np.nonzero(windows)
+            # no suffix has more words after it in common with any other than with its neighbour in the order
+            near = ((after[at[1:]] == after[at[:-1]]) & (after[at[1:]] != 0)).cumprod(1).sum(1)
+            reach = np.maximum(np.append(near, AROUND), np.append(AROUND, near))
+            windows[(LEAST - SURE - np.arange(AROUND + 1))[None, :] > reach[:, None]] = 0
+            # of a stretch that repeats here, whose matches are told above, one goes on for the other tasks
+            _, only = np.unique(windows, return_index=True)
+            who, a = np.divmod(only[windows.ravel()[only] != 0], AROUND + 1)
             yield pa.RecordBatch.from_arrays([pa.array(row[at[who]]), pa.array((place[at[who]] - a).astype(np.int32)), pa.array((place[at[who]] - a + LEAST).astype(np.int32)), pa.array(windows[who, a].view(np.int64))], schema=_MATCH_PA)
 
     held, first = [], None
@@ -269,7 +277,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     equal texts; a null doc_id is kept. An empty table gives no rows. Other columns of docs are not read.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, round(chars / 60 / FLUSH))
+    blocks = max(1, round(chars / 120 / FLUSH))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     return _found(texts, blocks)
 
@@ -280,7 +288,8 @@ def _found(texts: DataFrame, blocks: int) -> DataFrame:
     ids = first.where("row IS NOT NULL").select("row", "doc_id", "doc_key", "text_hash")
     again = settle(first.where("block IS NOT NULL").select("block", *_BLOBS).groupBy("block").applyInArrow(_repeating, "row long, place int, key long"), "repeating")
     per_row = again.groupBy("row").agg(F.collect_list(F.struct("place", "key")).alias("anchors")).join(ids.select("row", "doc_key", "text_hash"), "row")
-    with_text = texts.select("doc_key", "text_hash", "text").join(per_row, ["doc_key", "text_hash"]).select("row", "text", "anchors")
+    # a merge join at every size: neither side has a bound that would allow a broadcast
+    with_text = texts.select("doc_key", "text_hash", "text").join(per_row.hint("merge"), ["doc_key", "text_hash"]).select("row", "text", "anchors")
     suffixes = settle(with_text.mapInArrow(_suffixes, _SUFFIX), "suffixes")
     parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["key", "after", "before", "row", "place"]
