@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 def totals(used: DataFrame, skills: DataFrame) -> DataFrame:
     """Per known skill: uses, their share, submissions that use it, and their share; a skill never picked has zeros."""
-    each = used.select(F.explode("skills").alias("skill"), F.monotonically_increasing_id().alias("_row")).groupBy("skill").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("_row").alias("submissions"))
+    marked = F.transform("skills", lambda x, i: F.struct(x.alias("skill"), (F.array_position("skills", x) == i + 1).cast("long").alias("first")))
+    each = used.select(F.explode(marked).alias("m")).groupBy("m.skill").agg(F.count(F.lit(1)).alias("uses"), F.sum("m.first").alias("submissions"))
     all_ = used.agg(F.sum(F.size("skills")).alias("_uses"), F.count(F.lit(1)).alias("_submissions"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     out = skills.join(each, "skill", "left").crossJoin(all_)  # all_ is one row
