@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ratewell.functions.labels import mode_of, profile_of
 from ratewell.operators import arena
@@ -14,7 +14,7 @@ from ratewell.streaming import live
 
 Q = {}
 SQL = {}
-MATCH = StructType.fromDDL("case_id string, model_a string, model_b string, forward double, reverse double, domain string, judge string")
+MATCH = StructType([StructField(n, DoubleType() if n in ("forward", "reverse") else StringType()) for n in ("case_id", "model_a", "model_b", "forward", "reverse", "domain", "judge")])
 
 
 def query(sql: str | None = None, *uses: str):

@@ -44,3 +44,12 @@ def test_flagship(spark):
     board = __spark_entry__.entry(spark).toPandas()
     assert {"domain", "judge", "pool", "model", "rating", "rank"} <= set(board.columns)
     assert (board.groupby(["domain", "judge", "pool"])["rating"].mean() - 1500).abs().max() < 1e-3
+
+
+def test_names_need_no_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"], cwd=root, capture_output=True, text=True, check=False)
+    assert said.returncode == 0, said.stderr[-500:]
