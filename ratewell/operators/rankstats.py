@@ -87,7 +87,7 @@ def mann_whitney(rows: DataFrame, keys: Sequence[str], group: str, first: str, s
     out = sums.withColumn("u", F.col("rank_sum") - nx * (nx + 1) / 2).withColumn("mu", nx * ny / 2)
     out = out.withColumn("var", nx * ny * ((n * n * n - n) - F.col("ties")) / (n * 12 * (n - 1)))
     sd = F.when(F.col("var") > 0, F.sqrt("var"))
-    bound = lambda p: F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
+    bound = lambda p: F.when(F.col("var") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
     up, down = (F.col("u") - F.col("mu") - 0.5) / sd, (F.col("u") - F.col("mu") + 0.5) / sd
     both = F.greatest(F.lit(0.0), (F.abs(F.col("u") - F.col("mu")) - 0.5) / sd)
     return out.where((nx > 0) & (ny > 0)).select(*keys, F.col("nx").cast("long").alias("n_first"), ny.cast("long").alias("n_second"), "u", bound(_normal_tail(both) * 2).alias("p_two_sided"), bound(_normal_tail(up)).alias("p_greater"), bound(1 - _normal_tail(down)).alias("p_less"))

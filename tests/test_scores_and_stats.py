@@ -73,12 +73,12 @@ def test_kendall():
 def test_tests_of_two_and_more_groups(spark):
     draw = random.Random(9)
     rows = [("k", g, float(draw.randrange(8) + 2 * g)) for g in range(3) for _ in range(15)]
-    df = spark.createDataFrame(rows, "k string, g int, v double")
+    df = spark.createDataFrame(rows, "part string, g int, v double")
     by = {g: [v for _, h, v in rows if h == g] for g in range(3)}
     half = lambda xs, ys: sum((x > y) + (x == y) / 2 for x in xs for y in ys)
-    u = rankstats.mann_whitney(df.withColumn("g", F.col("g").cast("string")), ["k"], "g", "0", "1", "v").first()
+    u = rankstats.mann_whitney(df.withColumn("g", F.col("g").cast("string")), ["part"], "g", "0", "1", "v").first()
     assert u["u"] == half(by[0], by[1]) and u["p_less"] < 0.5 < u["p_greater"]
-    j = rankstats.jonckheere(df, ["k"], "g", "v").first()
+    j = rankstats.jonckheere(df, ["part"], "g", "v").first()
     assert j["j"] == sum(half(by[b], by[a]) for a, b in ((0, 1), (0, 2), (1, 2))) and 0 <= j["p_increasing"] < 0.5
 
 
