@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-A rare line leads a document to the first document that has it. A line in many places is no sign of an overlap by
-itself; it leads to the first document that has it between the same two lines. So each line gives a document one earlier
-partner at most, whatever the size of a group. Partners are aligned by patience diff over line hashes, and the lines of
+Every line leads a document to the first document that has it; a line in many places leads to the first document that
+has it between the same two lines as well. So each line gives a document two earlier partners at most, whatever the size
+of a group. Partners are aligned by patience diff over line hashes, and the lines of
 aligned blocks are deleted from the later document. Only hashes are shuffled until texts are rewritten.
 """
 
@@ -15,9 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, text_of
+from ratewell.llm.common import key_of, settle, small_side, text_of
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
+#: A line in more places leads by its neighbours too.
+COMMON = 100
+#: Documents of one partner that are aligned in one task.
+DEAL = 1000
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -97,7 +101,7 @@ def _documents(docs: DataFrame) -> DataFrame:
     return settle(once.withColumn("row", F.monotonically_increasing_id()), "line_rows")
 
 
-def partners(found: DataFrame, rare: int) -> DataFrame:
+def partners(found: DataFrame, rare: int | None) -> DataFrame:
     """Pairs (row, first): a document and an earlier one that shares a line with it, by doc_id and then row."""
     around = F.arrays_zip("lines", F.concat(F.array(F.lit(0).cast("long")), "lines").alias("before"), F.concat(F.slice("lines", 2, F.size("lines")), F.array(F.lit(0).cast("long"))).alias("after"))
     places = found.select(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row").alias("at"), "blank", F.posexplode(F.slice(around, F.lit(1), F.size("lines"))).alias("place", "line"))
@@ -108,24 +112,30 @@ def partners(found: DataFrame, rare: int) -> DataFrame:
 
     places = settle(places, "places")
     met = settle(places.join(firsts(places, "line"), "line").select("at", "three", "n", "first"), "met")
-    common = met.where(F.col("n") > rare).select("at", "three")
-    pairs = met.where(F.col("n") <= rare).select("at", "first").union(common.join(firsts(common, "three"), "three").select("at", "first"))
+    common = met.where(F.col("n") > (COMMON if rare is None else rare)).select("at", "three")
+    alone = met if rare is None else met.where(F.col("n") <= rare)
+    pairs = alone.select("at", "first").union(common.join(firsts(common, "three"), "three").select("at", "first"))
     return pairs.where("at <> first").select("at.row", F.col("first.row").alias("first")).distinct()
 
 
-def deduplicate(docs: DataFrame, rare: int = 100, least: int = 1) -> DataFrame:
+def deduplicate(docs: DataFrame, rare: int | None = None, least: int = 1) -> DataFrame:
     """Per row of docs: doc_id, text without deleted lines, n_lines, n_deleted and deleted (places of lines, from 0).
 
-    rare: in how many places a line may stand to lead to a partner alone. least: lines with words in a block that is
-    deleted. Texts are split at \\n; a line is compared as written, white space included. Of two documents that with the
+    rare: where given, in how many places a line may stand to lead to a partner alone; more common lines then lead by
+    their neighbours only. least: lines with words in a block that is deleted. Texts are split at \\n; a line is compared as written, white space included. Of two documents that with the
     greater doc_id is the later one, null last; rows with equal doc_id count in an order that is fixed within a run, and
     rows equal in doc_id and text are one document, treated alike. A null text is empty: one blank line, never
     deleted. An empty table gives no rows. Other columns of docs are not read.
     """
     found = _documents(docs)
     pairs = settle(partners(found, rare), "pairs")
-    ours = pairs.join(found.select("row", "lines", "blank"), "row")
-    both = ours.join(found.select(F.col("row").alias("first"), F.col("lines").alias("first_lines")), "first")
+    # the first document with a common line is the partner of many: it goes to as many tasks as they need
+    hot = settle(pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("parts")).where("parts > 1"), "hot")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(small_side(hot), "first", "left").select("row", "first", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"))
+    ours = dealt.join(found.select("row", "lines", "blank"), "row")
+    theirs = found.select(F.col("row").alias("first"), F.col("lines").alias("first_lines")).join(small_side(hot), "first", "left")
+    both = ours.join(theirs.select("first", "first_lines", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["first", "part"])
     gone = both.select("row", "lines", "first_lines", "blank").mapInArrow(_aligned(least), "row long, places array<int>")
     gone = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("deleted"))
     gone = settle(gone.join(found.select("row", "doc_key", "text_hash"), "row").select("doc_key", "text_hash", "deleted"), "gone")

@@ -216,6 +216,23 @@ def test_lines_of_awkward_rows(docs, rows, empty):
     assert line_dedup.deduplicate(empty).count() == 0
 
 
+def test_common_lines_between_other_neighbours(spark, monkeypatch):
+    # one line in 150 places, each time between other lines, and one in 40: all but the first of each go
+    rows = [(k, f"a{k}\nAll rights reserved.\nb{k}" + (f"\nMIT\nc{k}" if k % 4 == 1 else "")) for k in range(150)]
+    monkeypatch.setattr(line_dedup, "DEAL", 20, raising=False)
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert collections.Counter((r["doc_id"], tuple(r["deleted"]), r["text"]) for r in got) == brute_lines(rows, 10**9)
+    assert {r["doc_id"] for r in got if 1 in r["deleted"]} == set(range(1, 150))
+
+
+def test_neighbours_only_add_to_lines_of_documents(documents, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
+    monkeypatch.setattr(line_dedup, "COMMON", 2)
+    got = {r["doc_id"]: set(r["deleted"]) for r in line_dedup.deduplicate(documents).collect()}
+    for rare in (10**9, 2):
+        assert all(set(places) <= got[doc_id] for doc_id, places, _ in brute_lines(rows, rare))
+
+
 def test_pipeline_stages_against_brute_force(spark, small, monkeypatch):
     import corpus_pipeline
     from ratewell.llm import quality_rules
