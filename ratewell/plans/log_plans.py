@@ -141,11 +141,10 @@ def stream_pair_matrix(spark, sf_dir):
     return live.matrix_total(spark, f"{path}-out", KEYS)
 
 
-@query("SELECT judge, case_id, model_a AS model_lo, model_b AS model_hi FROM matches WHERE o % 4 = 0", "matches")
-def stream_dedup(spark, sf_dir):
-    """A log that has every comparison in both orders, each kept once."""
+def _dedup(spark, m):
+    """Each comparison of m once, from a log that has every one in both orders."""
     path = logs.scratch(spark, "log")
-    m = table(spark, sf_dir, "matches").where("o % 4 = 0").select(*MATCH.names)
+    m = m.select(*MATCH.names)
     turned = m.withColumns({"model_a": F.col("model_b"), "model_b": F.col("model_a")})
     m.union(turned.select(*MATCH.names)).repartition(2, "model_a").write.parquet(path)
     out = f"{path}-out"
@@ -153,11 +152,33 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(out).select("judge", "case_id", F.least("model_a", "model_b").alias("model_lo"), F.greatest("model_a", "model_b").alias("model_hi"))
 
 
-@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 4 = 0", "sub")
-def stream_pending(spark, sf_dir):
-    """Pairs as submissions arrive, file by file."""
+@query("SELECT judge, case_id, model_a AS model_lo, model_b AS model_hi FROM matches WHERE o % 4 = 0", "matches")
+def stream_dedup(spark, sf_dir):
+    """A log of a quarter of the cases that has every comparison in both orders, each kept once."""
+    return _dedup(spark, table(spark, sf_dir, "matches").where("o % 4 = 0"))
+
+
+@query("SELECT judge, case_id, model_a AS model_lo, model_b AS model_hi FROM matches", "matches")
+def stream_dedup_all(spark, sf_dir):
+    """A log that has every comparison of all cases in both orders, each kept once."""
+    return _dedup(spark, table(spark, sf_dir, "matches"))
+
+
+def _pending(spark, sub):
     path = logs.scratch(spark, "log")
-    sub = table(spark, sf_dir, "sub").where("o % 4 = 0").select("case_id", "label")
+    sub = sub.select("case_id", "label")
     sub.repartition(2, "label").write.parquet(path)
     live.new_pairs(live.read_log(spark, path, sub.schema), f"{path}-seen", f"{path}-out", f"{path}-checkpoint")
     return spark.read.parquet(f"{path}-out").select("case_id", "model_a", "model_b")
+
+
+@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 4 = 0", "sub")
+def stream_pending(spark, sf_dir):
+    """Pairs of a quarter of the cases as submissions arrive, file by file."""
+    return _pending(spark, table(spark, sf_dir, "sub").where("o % 4 = 0"))
+
+
+@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label", "sub")
+def stream_pending_all(spark, sf_dir):
+    """Pairs of all cases as submissions arrive, file by file."""
+    return _pending(spark, table(spark, sf_dir, "sub"))

@@ -38,6 +38,15 @@ def test_has_rows(spark, small, name):
     assert registry.queries()[name](spark, small).count() > 0
 
 
+@pytest.mark.parametrize(("name", "source"), [("stream_dedup_all", "matches"), ("stream_pending_all", "sub")])
+def test_streams_read_all_cases(spark, small, name, source):
+    from ratewell.plans.tables import table
+
+    pairs = table(spark, small, "matches").select("case_id") if source == "matches" else table(spark, small, "sub").groupBy("case_id").count().where("count > 1").select("case_id")
+    want = {r["case_id"] for r in pairs.collect()}
+    assert want and {r["case_id"] for r in registry.queries()[name](spark, small).select("case_id").collect()} == want
+
+
 def test_flagship(spark):
     import __spark_entry__
 
