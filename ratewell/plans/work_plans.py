@@ -144,6 +144,10 @@ def _blocks(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "sub").select("case_id", "label", worklist.block(hypotheses).alias("block"))
 
 
+def _contexts(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "cases").select("o", "case_id", F.concat(F.lit("case "), "case_id").alias("context"))
+
+
 BLOCK = "concat('1. part ', CAST({0}.p AS STRING), chr(10), '2. supplier ', CAST({0}.s AS STRING))"
 PROMPT = "concat('Context:', chr(10), 'case ', a.case_id, chr(10), chr(10), 'A:', chr(10), {0}, chr(10), chr(10), 'B:', chr(10), {1})"
 
@@ -154,12 +158,22 @@ PROMPT = "concat('Context:', chr(10), 'case ', a.case_id, chr(10), chr(10), 'A:'
     "sub",
 )
 def arena_requests(spark, sf_dir):
-    """Both directions of pending pairs with their texts."""
-    cases = table(spark, sf_dir, "cases").where("o % 5 = 0").select("case_id", F.concat(F.lit("case "), "case_id").alias("context"))
+    """Both directions of pending pairs of a fifth of the cases with their texts."""
+    cases = _contexts(spark, sf_dir).where("o % 5 = 0").drop("o")
     found = pending_matches(spark, sf_dir).join(cases.select("case_id"), "case_id", "left_semi")
     return worklist.arena_requests(found, cases, _blocks(spark, sf_dir))
 
 
+@query(
+    f"SELECT a.case_id, a.label AS model_a, b.label AS model_b, 'forward' AS direction, {PROMPT.format(BLOCK.format('a'), BLOCK.format('b'))} AS prompt FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0"
+    f" UNION ALL SELECT a.case_id, a.label, b.label, 'reverse', {PROMPT.format(BLOCK.format('b'), BLOCK.format('a'))} FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0",
+    "sub",
+)
+def arena_requests_all(spark, sf_dir):
+    """Both directions of all pending pairs with their texts."""
+    return worklist.arena_requests(pending_matches(spark, sf_dir), _contexts(spark, sf_dir).drop("o"), _blocks(spark, sf_dir))
+
+
 @query(f"SELECT a.case_id, a.label, concat('case ', a.case_id, chr(10), {BLOCK.format('a')}, CASE WHEN a.o % 6 >= 3 AND a.label <> 'reference' THEN concat(chr(10), 'Reference: ', CAST(a.o AS STRING)) ELSE '' END) AS prompt FROM sub a WHERE a.o % 4 <> 1", "sub")
 def score_requests(spark, sf_dir):
     """Requests for missing score records; domains with several hypotheses show the reference, but not to itself."""

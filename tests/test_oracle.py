@@ -47,6 +47,12 @@ def test_streams_read_all_cases(spark, small, name, source):
     assert want and {r["case_id"] for r in registry.queries()[name](spark, small).select("case_id").collect()} == want
 
 
+def test_requests_for_all_pending_pairs(spark, small):
+    made = registry.queries()["arena_requests_all"](spark, small).groupBy("case_id", "model_a", "model_b").count().collect()
+    pending = {(r["case_id"], r["model_a"], r["model_b"]) for r in registry.queries()["pending_matches"](spark, small).collect()}
+    assert {r["count"] for r in made} == {2} and {tuple(r)[:3] for r in made} == pending
+
+
 def test_flagship(spark):
     import __spark_entry__
 
