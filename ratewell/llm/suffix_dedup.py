@@ -204,6 +204,18 @@ def _matches(row: np.ndarray, place: np.ndarray, key: np.ndarray, before: np.nda
     return np.unique(np.concatenate(found), axis=0)
 
 
+def _to_tell(windows: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which stretches other tasks must know of: all where one row has them, else one of the least and of the greatest row."""
+    some = np.flatnonzero(windows)
+    some = some[np.lexsort((rows[some], windows[some]))]
+    if not len(some):
+        return some
+    new = windows[some[1:]] != windows[some[:-1]]
+    first, last = np.append(True, new), np.append(new, True)
+    one = (rows[some[first]] == rows[some[last]])[np.cumsum(first) - 1]
+    return some[one | first | last]
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes in; bounds of their matches out.
 
@@ -228,9 +240,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = ((after[at[1:]] == after[at[:-1]]) & (after[at[1:]] != 0)).cumprod(1).sum(1)
             reach = np.maximum(np.append(near, AROUND), np.append(AROUND, near))
             windows[(LEAST - SURE - np.arange(AROUND + 1))[None, :] > reach[:, None]] = 0
-            # of a stretch that repeats here, whose matches are told above, one goes on for the other tasks
-            _, only = np.unique(windows, return_index=True)
-            who, a = np.divmod(only[windows.ravel()[only] != 0], AROUND + 1)
+            # of a stretch that rows share here, whose matches are told above, the least and the greatest row go on for
+            # the other tasks; one of a single row has all of its places yet to be told
+            who, a = np.divmod(_to_tell(windows.ravel(), np.repeat(row[at], AROUND + 1)), AROUND + 1)
             yield pa.RecordBatch.from_arrays([pa.array(row[at[who]]), pa.array((place[at[who]] - a).astype(np.int32)), pa.array((place[at[who]] - a + LEAST).astype(np.int32)), pa.array(windows[who, a].view(np.int64))], schema=_MATCH_PA)
 
     held, first = [], None

@@ -7,6 +7,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,25 @@ def test_spans_are_taken_out(spark):
     assert sorted(map(str, suffix_dedup.without(df.drop("_spans"), spans).collect())) == sorted(["Row(doc_id=1, text='a d')", "Row(doc_id=2, text='x  y')", "Row(doc_id=None, text='z')"])
 
 
+@pytest.mark.parametrize("tasks", [[[(0, 100), (0, 300)], [(1, 500)]], [[(0, 100), (1, 200)], [(0, 300)]], [[(1, 100), (2, 200)], [(2, 300)]], [[(0, 100)], [(1, 200)]]])
+def test_places_at_task_edges(tasks):
+    # one passage; each task has some of its places (row, place), whose words before it all differ
+    around = np.arange(1, suffix_dedup.AROUND + 1)
+    edges, told = [], set()
+    for places in tasks:
+        columns = {"row": [r for r, _ in places], "place": [p for _, p in places], "key": [7] * len(places), "after": [around.astype(">u4").tobytes()] * len(places)}
+        columns["before"] = [(around + 1000 * p).astype(">u4").tobytes() for _, p in places]
+        batch = pa.RecordBatch.from_pydict(columns, pa.schema([f for f in suffix_dedup._SUFFIX_PA if f.name in columns]))
+        for out in suffix_dedup._neighbours(iter([batch])):
+            for m in out.to_pylist():
+                edges.append(m) if m["window"] is not None else told.add((m["row"], m["start"]))
+    for _, same in itertools.groupby(sorted(edges, key=lambda m: m["window"]), key=lambda m: m["window"]):
+        same = list(same)
+        if len({m["row"] for m in same}) > 1:
+            told |= {(m["row"], m["start"]) for m in same}
+    assert told == {p for places in tasks for p in places}
+
+
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_dedup.patience([], [1]) == [] and line_dedup.patience([5, 5], [5, 5]) == [(0, 0), (1, 1)]
