@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, small_side, words_of
+from ratewell.llm.common import key_of, settle, small_side, text_of, words_of
 
 
 def _bind(value: Column, body) -> Column:
@@ -49,24 +49,31 @@ def search(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80)
     Null texts contain nothing. Rows with equal doc_id or item_id give one pair, the best; a null id is an id. An empty
     table on either side gives no pairs. Other columns are not read.
     """
+    found = _contained(docs, items, words, percent, ["doc_key"])
+    best = F.max(F.struct((F.col("n_matched") / F.col("n_shingles")).alias("part"), "n_matched", "n_shingles")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_shingles")
+
+
+def _contained(docs: DataFrame, items: DataFrame, words: int, percent: int, keys: list[str]) -> DataFrame:
+    """search before repeated ids are put together, with doc_key and text_hash; keys of these tell rows apart on the way."""
+    texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), "text")
     sets, entries = item_sketches(items, words, percent)
     limits = {r["band"]: r["top"] for r in entries.groupBy("band").agg(F.max("hash").alias("top")).collect()}  # one row per power of two
     if not limits:
-        return docs.limit(0).select("doc_id", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_matched"), F.lit(0).alias("n_shingles"))
+        return texts.limit(0).select("doc_id", "doc_key", "text_hash", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_matched"), F.lit(0).alias("n_shingles"))
     top = max(limits.values())
-    texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), "text")
-    kept = texts.select("doc_key", F.explode(F.filter(shingle_hashes(words), lambda h: h <= top)).alias("hash"))
-    pairs = settle(kept.join(small_side(entries), "hash").select("doc_key", "item_key").distinct(), "candidates")
-    wanted = texts.join(pairs.groupBy("doc_key").agg(F.collect_set("item_key").alias("item_keys")), "doc_key")
-    sketch = wanted.select("doc_id", F.array_distinct(shingle_hashes(words)).alias("own"), F.explode("item_keys").alias("item_key"))
+    kept = texts.select(*keys, F.explode(F.filter(shingle_hashes(words), lambda h: h <= top)).alias("hash"))
+    pairs = settle(kept.join(small_side(entries), "hash").select(*keys, "item_key").distinct(), "candidates")
+    wanted = texts.join(pairs.groupBy(*keys).agg(F.collect_set("item_key").alias("item_keys")), keys)
+    sketch = wanted.select("doc_id", "doc_key", "text_hash", F.array_distinct(shingle_hashes(words)).alias("own"), F.explode("item_keys").alias("item_key"))
     both = sketch.join(small_side(sets.select("item_key", "item_id", "shingles", "size")), "item_key")
-    counted = both.select("doc_id", "item_id", F.size(F.array_intersect("own", "shingles")).alias("n_matched"), F.col("size").alias("n_shingles"))
-    found = counted.where(F.col("n_matched") * 100 >= F.col("n_shingles") * percent)
-    best = F.max(F.struct((F.col("n_matched") / F.col("n_shingles")).alias("part"), "n_matched", "n_shingles")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_matched", "best.n_shingles")
+    counted = both.select("doc_id", "doc_key", "text_hash", "item_id", F.size(F.array_intersect("own", "shingles")).alias("n_matched"), F.col("size").alias("n_shingles"))
+    return counted.where(F.col("n_matched") * 100 >= F.col("n_shingles") * percent)
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns."""
-    found = settle(search(docs, items, **options).select(key_of("doc_id").alias("_found_key")).distinct(), "found")
-    return docs.withColumn("_found_key", key_of("doc_id")).join(found, "_found_key", "left_anti").drop("_found_key")
+def clean(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that contain no item, with all their columns; rows that share an id, or have none, count each alone."""
+    keys = ["_found_key", "_found_hash"]
+    found = _contained(docs, items, words, percent, ["doc_key", "text_hash"])
+    found = settle(found.select(F.col("doc_key").alias("_found_key"), F.col("text_hash").alias("_found_hash")).distinct(), "found")
+    return docs.withColumns({"_found_key": key_of("doc_id"), "_found_hash": F.xxhash64(text_of())}).join(found, keys, "left_anti").drop(*keys)

@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, text_of
+from ratewell.llm.common import key_of, settle, small_side, text_of
 from ratewell.llm.components import components
 from ratewell.llm.wordhash import mix, shingle_set
 
@@ -325,6 +326,13 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     nothing. Rows with equal doc_id stay rows of their own; a null doc_id counts only where nothing else is in reach.
     An empty table gives no rows. Other columns of docs are not read.
     """
+    placed = _placed(docs, words, percent)
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
+
+
+def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row of docs: row, doc_id, doc_key, text_hash, n_shingles and root, which rows of a group share."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, round(chars / 12 / BLOCK_SIGNS))
     texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
@@ -356,9 +364,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     if cutting.limit(1).count() and (rest := _rest(cutting, links)).limit(1).count():
         links = links.union(_compared(sets, rest, percent))
     root = components(links.union(copies.select(F.col("row").alias("a"), F.col("kept").alias("b"))))
-    placed = docs_.join(root.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    return docs_.join(root.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
 
 def _rest(cutting: DataFrame, links: DataFrame) -> DataFrame:
@@ -384,10 +390,20 @@ def _rest(cutting: DataFrame, links: DataFrame) -> DataFrame:
     return settle(side.withColumn("own", own).select("row", F.concat(with_tops, among).alias("tasks")), "rest")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, but of each group only those with its least doc_id.
+def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """Of each group of docs that links hold together one row, with all its columns.
 
-    Rows that repeat that doc_id with another text of its group stay as well; a null doc_id stays.
+    That is the row with the least doc_id, null last, and of these the least text hash; of rows equal in both the first
+    by their other columns. Rows without words are in no group and stay.
     """
-    found = settle(join(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("_later")).distinct(), "later")
-    return docs.join(found, docs["doc_id"] == found["_later"], "left_anti")
+    keys = ["doc_key", "text_hash"]
+    placed = settle(_placed(docs, words, percent).where("n_shingles > 0").select("root", "doc_id", *keys), "placed")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    stays = (F.col("doc_key") == F.col("first.doc_key")) & (F.col("text_hash") == F.col("first.text_hash"))
+    fates = settle(placed.join(first, "root").groupBy(*[F.col(c).alias("_" + c) for c in keys]).agg(F.first(stays).alias("_stays"), F.count(F.lit(1)).alias("n")).where("NOT _stays OR n > 1"), "fates")
+    on = ["_" + c for c in keys]
+    keyed = docs.withColumns({"_doc_key": key_of("doc_id"), "_text_hash": F.xxhash64(text_of())})
+    repeated = keyed.join(small_side(fates.where("_stays").select(*on)), on)
+    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    once = repeated.withColumn("_place", F.row_number().over(W.partitionBy(*on).orderBy(others))).where("_place = 1")
+    return keyed.join(fates.select(*on), on, "left_anti").select(*docs.columns).union(once.select(*docs.columns))

@@ -83,6 +83,17 @@ def test_keep_first(docs):
     assert roots <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_rows_without_ids_of_their_own(spark):
+    draw = random.Random(5)
+    a, b, c, d = (" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, a + " y", "x"), (2, c, "x"), (None, a, "x"), (None, d, "x"), (None, d, "x"), (5, None, "x"), (5, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = collections.Counter(map(tuple, ngram_join.keep_first(df).collect()))
+    assert kept == collections.Counter([(1, a, "x"), (1, b, "x"), (2, c, "x"), (None, d, "x"), (5, None, "x"), (5, None, "x")])
+    clean = decontamination.clean(df, spark.createDataFrame([(1, a)], "item_id long, text string"))
+    assert collections.Counter(map(tuple, clean.collect())) == collections.Counter(r for r in rows if not (r[1] or "").startswith(a))
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
