@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratewell.functions.labels import POOLS, REFERENCE, in_pool
+from ratewell.functions.parsing import with_json
 from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, pair_mean, recall_ratio, set_mean, summary
 
 
@@ -61,3 +62,28 @@ def recall_table(records: DataFrame, domains: Sequence[str], least: int) -> Data
     rows = records.where(F.col("domain").isin(*domains) & (F.col("model") != REFERENCE) & (F.col("recall.total") > 0)).withColumn("ratio", recall_ratio(F.col("recall")))
     out = rows.groupBy("judge", "model").agg(F.avg("recall.hits").alias("hits"), F.avg("recall.total").alias("total"), F.avg("ratio").alias("ratio"), F.coalesce(F.stddev_samp("ratio"), F.lit(0.0)).alias("deviation"), F.count(F.lit(1)).alias("n"))
     return out.where(F.col("n") >= least)
+
+
+def parsed_verdicts(answers: DataFrame, text: str) -> DataFrame:
+    """Adds valid, pair_scores, set_scores and k_mismatch, read from score verdicts in JSON, to answers (k, multi).
+
+    A verdict that lacks a field or a score of its form is not valid and gives nulls. Sets are scored where multi only,
+    without distinctness where k <= 1 and without nulls. k_mismatch: pairs are not as many as the k > 0 hypotheses.
+    """
+    v = F.from_json("json", "pair_scores array<map<string,string>>, rationale string, recall string, set_scores map<string,string>")
+    found = with_json(answers, text).withColumn("v", v)
+    number = lambda m, k: m[k].try_cast("double")
+    known = lambda m, keys: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[number(m, k) for k in keys])), lambda _, x: x.isNotNull())
+    pairs, sets = F.col("v.pair_scores"), F.col("v.set_scores")
+    fields = F.coalesce(F.json_object_keys("json"), F.array().cast("array<string>"))
+    all_there = F.size(F.array_except(F.array(*map(F.lit, ("pair_scores", "rationale", "recall", "set_scores"))), fields)) == 0
+    good_pairs = F.forall(pairs, lambda m: F.coalesce(F.size(known(m, PAIR_KEYS)) == len(PAIR_KEYS), F.lit(False)))
+    no_sets = sets.isNull() & F.get_json_object("json", "$.set_scores").isNull()
+    good_sets = number(sets, "breadth").isNotNull() & number(sets, "utility").isNotNull() & F.map_contains_key(sets, "distinctness") & (sets["distinctness"].isNull() | number(sets, "distinctness").isNotNull())
+    valid = F.coalesce(all_there & F.col("v.rationale").isNotNull() & good_pairs & (no_sets | good_sets), F.lit(False))
+    kept = F.map_filter(known(sets, SET_KEYS), lambda key, _: (key != "distinctness") | (F.col("k") > 1))
+    set_scores = F.when(F.col("multi") & sets.isNotNull(), kept).otherwise(F.create_map().cast("map<string,double>"))
+    return found.select(
+        *answers.columns, valid.alias("valid"), F.when(valid, F.transform(pairs, lambda m: known(m, PAIR_KEYS))).alias("pair_scores"), F.when(valid, set_scores).alias("set_scores"),
+        (valid & (F.col("k") > 0) & (F.size(pairs) != F.col("k"))).alias("k_mismatch"),
+    )

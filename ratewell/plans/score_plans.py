@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.functions.rubric import recall_of
+from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, recall_of
 from ratewell.operators import arena, reports, score
 from ratewell.operators.rankstats import correlations
 from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL
@@ -55,6 +55,29 @@ def record_summaries(spark, sf_dir):
     return score.record_summaries(records(spark, sf_dir)).select("case_id", "model", *[F.round(x, 6).alias(x) for x in ("pair_summary", "set_summary", "overall_score")])
 
 
+_PAIR = "concat_ws(',', CAST(1 + (q + {0}) % 5 AS STRING), CAST(1 + (p + 2 * {0}) % 5 AS STRING), CAST(1 + (s + n + {0}) % 5 AS STRING))"
+
+
+@query(
+    f"SELECT case_id, model, v < 4 AS valid, v = 3 AS k_mismatch, CASE WHEN v < 4 THEN concat_ws(';', {_PAIR.format(0)}, CASE WHEN m > 1 THEN {_PAIR.format(1)} END, CASE WHEN m > 2 THEN {_PAIR.format(2)} END, CASE WHEN m > 3 THEN {_PAIR.format(3)} END) END AS pairs,"
+    " CASE WHEN v < 4 AND multi THEN CAST(1 + o % 5 AS DOUBLE) END AS breadth, CASE WHEN v < 4 AND multi AND k > 1 AND p % 5 <> 0 THEN CAST(1 + (o + p) % 5 AS DOUBLE) END AS distinctness, CASE WHEN v < 4 AND multi THEN CAST(1 + (o + q) % 5 AS DOUBLE) END AS utility"
+    " FROM (SELECT *, k + CASE WHEN (q + n) % 6 = 3 THEN 1 ELSE 0 END AS m, (q + n) % 6 AS v FROM records) x",
+    "records",
+)
+def parse_score_verdicts(spark, sf_dir):
+    """Score records from raw answers: plain, fenced, with a comma too many, with a pair too many, no JSON, a score missing."""
+    c, v = F.col, (F.col("q") + F.col("n")) % 6
+    own = lambda name, x: F.concat(F.lit(f'"{name}": '), x.cast("string"))
+    pair = lambda i: F.concat(F.lit("{"), F.concat_ws(", ", own("grounding", 1 + (c("q") + i) % 5), own("insight", 1 + (c("p") + 2 * i) % 5), F.when((v != 5) | (i > 0), own("justification", 1 + (c("s") + c("n") + i) % 5))), F.lit("}"))
+    pairs = F.array_join(F.transform(F.sequence(F.lit(0), c("k").cast("int") - 1 + F.when(v == 3, 1).otherwise(0)), pair), ", ")
+    sets = F.concat_ws(", ", own("breadth", 1 + c("o") % 5), F.when(c("p") % 5 == 0, F.lit('"distinctness": null')).otherwise(own("distinctness", 1 + (c("o") + c("p")) % 5)), own("utility", 1 + (c("o") + c("q")) % 5))
+    body = F.concat(F.lit('{"pair_scores": ['), pairs, F.lit('], "rationale": "seen", "recall": null, "set_scores": {'), sets, F.when(v == 2, "},}").otherwise("}}"))
+    answer = F.when(v == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(v == 4, "I cannot say.").otherwise(body)
+    found = score.parsed_verdicts(table(spark, sf_dir, "records").select("case_id", "model", "k", "multi", answer.alias("answer")), "answer")
+    text = F.array_join(F.transform("pair_scores", lambda m: F.concat_ws(",", *[m[x].cast("int").cast("string") for x in PAIR_KEYS])), ";")
+    return found.select("case_id", "model", "valid", "k_mismatch", text.alias("pairs"), *[c("set_scores")[x].alias(x) for x in SET_KEYS])
+
+
 @query("SELECT r.case_id, r.model, r.recall_text, x.hits AS hits, x.total AS total FROM records r JOIN recalls x ON r.case_id = x.case_id AND r.model = x.model", "records", "recalls")
 def parse_recall(spark, sf_dir):
     """hits/total texts to numbers; anything else to null."""

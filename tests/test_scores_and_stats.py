@@ -122,3 +122,20 @@ def test_skill_triples(spark):
     used = spark.createDataFrame([(["b", "a", "c", "a"],), (["a", "c"],)], "skills array<string>")
     assert sorted(map(tuple, skills.together(used, 2).collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
     assert list(map(tuple, skills.together(used, 3).collect())) == [("a", "b", "c", 1)]
+
+
+def test_verdicts_of_awkward_forms(spark):
+    from ratewell.operators import score
+
+    one = '{"grounding": 1, "insight": 2.5, "justification": 3, "more": 9}'
+    form = '{{"pair_scores": [{0}], "rationale": "r", "recall": null, "set_scores": {1}}}'
+    sets = '{"breadth": 4, "distinctness": 5, "utility": 3}'
+    rows = [
+        (1, form.format(one, sets), 1, True), (2, form.format(f"{one}, {one}", sets), 3, True), (3, form.format(one, sets), 2, False), (4, form.format(one, "null"), 1, True),
+        (5, form.format(one, "7"), 1, True), (6, form.format(one, '{"breadth": 4, "utility": 3}'), 1, True), (7, '{"pair_scores": [], "rationale": "r"}', 1, True), (8, None, 1, True), (9, form.format("", sets), 0, False),
+    ]
+    got = {r["id"]: r for r in score.parsed_verdicts(spark.createDataFrame(rows, "id int, answer string, k int, multi boolean"), "answer").collect()}
+    assert [i for i in got if got[i]["valid"]] == [1, 2, 3, 4, 9] and [i for i in got if got[i]["k_mismatch"]] == [2, 3]
+    assert got[1]["pair_scores"] == [{"grounding": 1.0, "insight": 2.5, "justification": 3.0}] and got[5]["pair_scores"] is None
+    assert got[1]["set_scores"] == {"breadth": 4.0, "utility": 3.0} and got[2]["set_scores"] == {"breadth": 4.0, "distinctness": 5.0, "utility": 3.0}
+    assert got[3]["set_scores"] == got[4]["set_scores"] == got[9]["set_scores"] == {}
