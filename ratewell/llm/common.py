@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space between words, as a regular expression class.
@@ -16,9 +17,11 @@ BROADCAST_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster must name a folder that its machines share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,3 +62,25 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def key_of(column: str) -> Column:
     """A string key that keeps null apart from every value and sorts null last."""
     return F.when(F.col(column).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(column).cast("string")))
+
+
+def fresh(docs: DataFrame, kind: str) -> str:
+    """A column name that docs has not, whatever its case. Columns of docs keep their names and values beside it."""
+    taken, name = {c.lower() for c in docs.columns}, f"_{kind}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered(rows: DataFrame, group: list[str], name: str, cells: int = 256) -> DataFrame:
+    """Adds name: numbers from 1 for rows that are equal in group and stand for each other.
+
+    A group is dealt out to cells by the row's place in the table, which must be settled; the running sum over a group's
+    cells sees one row per cell. So no task gets a large group whole.
+    """
+    cell, held, before = (fresh(rows, k) for k in ("cell", "held", "before"))
+    dealt = rows.withColumn(cell, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)))
+    sums = dealt.groupBy(*group, cell).agg(F.count(F.lit(1)).alias(held))
+    sums = sums.withColumn(before, F.sum(held).over(W.partitionBy(*group).orderBy(cell)) - F.col(held)).drop(held)
+    inner = F.row_number().over(W.partitionBy(*group, cell).orderBy(F.lit(0)))
+    return dealt.withColumn(name, inner).join(sums, [*group, cell]).withColumn(name, F.col(name) + F.col(before)).select(*rows.columns, name)

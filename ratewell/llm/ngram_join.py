@@ -1,20 +1,22 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Two sets of sizes x and y with Jaccard similarity p or more differ in at most (1 - p) / (1 + p) * (x + y) n-grams. So if
-the columns are cut into more blocks than that, linked documents agree in whole column blocks. The first pass gives each
-block of a row one signature, for row sizes in geometric levels: only rows that agree in a block can pass the bound, and
-all others are discarded unseen. Rows that agree form clusters; within a cluster the product is accumulated over column
-blocks, exactly, and pairs fall out as soon as the columns left cannot lift them over their bound.
-
-Equal sets are one row of the matrix. A signature that many rows share gives a star, not pairs, and is thinned to one
-row per task before the shuffle. Large clusters are cut into row blocks: first each block against itself and one other,
-and only documents that are still apart after that are compared with the rest.
+Rows of the matrix are the distinct n-gram sets, columns the n-grams. Columns are dealt to blocks by their hash; a block
+counts how many rows each column has, and a column of one row is discarded, as it adds to no overlap. A row of size n has
+overlaps of percent of n or more with its partners, so a row with fewer columns left than that has no partners and is
+discarded whole. Columns of the rows that remain are ordered by how many rows they have. Linked rows share one of the
+first columns in this order, as the columns after these are too few for the bound; rows that share one form clusters.
+In a cluster the product is accumulated over column blocks, exactly, and pairs fall out as soon as the columns left
+cannot lift them over the bound that their sizes give.
+
+No pairs are emitted: a column gives a star around one of its rows. A column that many rows of one chunk have is hot: it
+is told to its block once a chunk, counts as one of many rows everywhere, and its entries go straight to their rows.
+Clusters larger than a product block are cut into row blocks: first each block against itself and one other, and then
+only rows that share a column with a row that they are still apart from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,82 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, small_side, text_of
+from ratewell.llm.common import fresh, key_of, settle, small_side, text_of
 from ratewell.llm.components import components
 from ratewell.llm.wordhash import mix, shingle_set
 
 #: Rows of a product block, its n-grams, and its columns at a time: they bound a task's memory.
-BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 512, 1 << 21, 4096
-#: Signatures that a task of the first pass gathers before it passes them on, and about those of one block of the next.
-FLUSH, BLOCK_SIGNS = 1 << 19, 1 << 19
-
-
-@lru_cache
-def levels(percent: int) -> dict[str, np.ndarray]:
-    """Geometric size levels: linked sets lie in one level or in two that adjoin.
-
-    least: the smallest size of a level; blocks: column blocks for rows of a level and the one below; slack: how many
-    blocks linked rows agree in, at least.
-    """
-    least = [1]
-    while least[-1] < 1 << 40:
-        least.append(least[-1] * 100 // percent + 1)
-    least = np.array(least, np.int64)
-    top = least[1:] - 1
-    differ = (100 - percent) * 2 * top // (100 + percent)
-    slack = np.where(differ == 0, 1, 2 + differ // 5)
-    return {"least": least, "blocks": differ + slack, "slack": slack}
-
-
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of column blocks, at the row's level and the next one up.
-
-    A block with few n-grams tells little, so a row keeps only the blocks of the largest size for which fewer than slack
-    are smaller. Linked rows agree in slack blocks, one of which both keep: the row with the larger bound keeps one of
-    them, and the other row keeps it too.
-    """
-    table = levels(percent)
-    level = int(np.searchsorted(table["least"], len(grams), "right")) - 1
-    spread = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
-    high, low = (spread >> np.uint64(32)).astype(np.float64), (spread & np.uint64(0xFFFFFFFF)).astype(np.float64)
-    place = (grams * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)
-    out = []
-    for at in (level, level + 1):
-        blocks = int(table["blocks"][at])
-        block = ((place * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-        size = np.bincount(block, minlength=blocks)
-        # sums of 32-bit halves stay exact in doubles up to 2^21 n-grams a block
-        sums = np.bincount(block, high, blocks).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.bincount(block, low, blocks).astype(np.uint64)
-        tag = mix(np.arange(blocks, dtype=np.uint64) + np.uint64(at << 32)) + size.astype(np.uint64)
-        signed = mix(mix(sums) + tag)
-        nth = int(table["slack"][at]) - 1
-        out.append(signed[size >= np.partition(size, nth)[nth]])
-    return np.concatenate(out)
-
-
-def forest(pairs: np.ndarray) -> np.ndarray:
-    """Pairs (row, least row in reach) that hold together the rows that pairs do; at most one for each row."""
-    node, place = np.unique(pairs.ravel(), return_inverse=True)
-    a, b = place.reshape(-1, 2).T
-    least = np.arange(len(node))
-    while len(node):
-        low = np.minimum(least[a], least[b])
-        new = least.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == least).all():
-            break
-        least = new
-    far = least != np.arange(len(node))
-    return np.stack([node[far], node[least[far]]], 1)
-
-
-_DOCS = [("row", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.string()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64())]
-_BLOBS = [(n, pa.binary()) for n in ("rows", "counts", "signs", "near")]
-_FIRST = pa.schema([("block", pa.int32()), *_DOCS, *_BLOBS])
-_MET = pa.schema([*_DOCS, ("a", pa.int64()), ("b", pa.int64())])
-_DDL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary"}
+BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 2048, 1 << 21, 4096
+#: A column with this many rows of a product block or more is multiplied as a dense one.
+DENSE_ROWS = 128
+#: N-grams that a task gathers before it passes them on, about those of a column block, and the rows of one chunk that make a column hot.
+CHUNK_GRAMS, COLUMN_BLOCK_GRAMS, HOT_ROWS = 1 << 19, 1 << 22, 8
+#: Keys of sets that a task remembers, so that copies are passed on once.
+SEEN = 1 << 18
+#: The class of hot columns, the last in the order.
+HOT = 255
+
+_DOCS = [("row", pa.int64()), ("doc_id", pa.int64()), ("doc_key", pa.string()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64())]
+_ENTRIES = pa.schema([("block", pa.int32()), *_DOCS, *[(n, pa.binary()) for n in ("ids", "sizes", "counts", "grams", "hot")]])
+_SHARED = pa.schema([("block", pa.int32()), *_DOCS, *[(n, pa.binary()) for n in ("ids", "sizes", "counts", "columns", "classes")]])
+_ROWS = pa.schema([*_DOCS, ("size", pa.int64()), ("alone", pa.int64()), ("prefix", pa.list_(pa.int64())), ("columns", pa.binary())])
+_DDL = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -106,138 +52,252 @@ def _ddl(schema: pa.Schema) -> str:
 
 
 def _filled(schema: pa.Schema, columns: dict, n: int) -> list[pa.Array]:
+    """Arrays for all fields of a schema, null where columns has none."""
     return [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema]
 
 
-def _blobs(rows: list[int], signs: list[np.ndarray], blocks: int) -> pa.RecordBatch:
-    """Signatures by block, each from one row only; near holds together the rows that share some."""
-    row = np.repeat(np.array(rows, np.int64), [len(s) for s in signs])
-    sign = np.concatenate(signs)
-    order = np.argsort(sign, kind="stable")
-    row, sign = row[order], sign[order]
-    new = np.concatenate([[True], sign[1:] != sign[:-1]])
-    first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    near = forest(np.stack([row[~new], first[~new]], 1))
-    row, sign = row[new], sign[new]
-    block = (((sign >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((row, block))
-    row, sign, block = row[order], sign[order], block[order]
-    ends = np.searchsorted(block, np.arange(blocks + 1))
-    some = [b for b in range(blocks) if ends[b] < ends[b + 1]]
-    borne = [np.unique(row[ends[b] : ends[b + 1]], return_counts=True) for b in some]
-    blobs = {"block": some, "rows": [r.tobytes() for r, _ in borne], "counts": [c.astype(np.int32).tobytes() for _, c in borne], "signs": [sign[ends[b] : ends[b + 1]].tobytes() for b in some], "near": [x.tobytes() for x in np.array_split(near, len(some))]}
-    return pa.RecordBatch.from_arrays(_filled(_FIRST, blobs, len(some)), schema=_FIRST)
-
-
-def _first_pass(words: int, percent: int, blocks: int):
-    """Per document its set's size and 128-bit key; per block of signatures the rows that bear them.
-
-    near: pairs that hold together rows of one flush with the same signatures; a signature goes on from one row only. Documents go to blocks as
-    well, so that one shuffle carries all that the texts are read for.
-    """
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where a new run of equal keys begins."""
+    if not len(sorted_keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _part(x: np.ndarray, parts: int) -> np.ndarray:
+    """A part for each hash, by its upper bits."""
+    return (((x.view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _column(gram: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """The name of a column: 48 bits of its hash and those of its block."""
+    return gram & np.uint64((1 << 48) - 1) | block.astype(np.uint64) << np.uint64(48)
+
+
+def _six(gram: np.ndarray) -> bytes:
+    return np.ascontiguousarray(gram).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _from_six(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def set_id(grams: np.ndarray) -> int:
+    """A 64-bit name for a set of hashes."""
+    key = np.array([len(grams), grams.sum(dtype=np.uint64), mix(grams).sum(dtype=np.uint64)], np.uint64)
+    return int(mix(mix(mix(key[:1]) + key[1:2]) + key[2:]).view(np.int64)[0])
+
+
+def _cells(ids: list[int], sets: list[np.ndarray], blocks: int) -> Iterator[pa.RecordBatch]:
+    """A chunk of sets as entries by column block, and those of its hot columns, with the sets' sizes, by set."""
+    ids, size = np.array(ids, np.int64), np.array([len(s) for s in sets], np.int64)
+    gram, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    block = _part(gram, blocks)
+    order = np.argsort(gram, kind="stable")
+    times = _lengths(_starts(gram[order]), len(gram))
+    hot = np.empty(len(gram), bool)
+    hot[order] = np.repeat(times >= HOT_ROWS, times)
+
+    told = np.unique(gram[hot])
+    plain = np.flatnonzero(~hot)
+    plain = plain[np.argsort(block[plain].astype(np.uint16) if blocks <= 1 << 16 else block[plain], kind="stable")]
+    run = _starts(block[plain], own[plain])
+    cell_block, cell_ids, cell_counts = block[plain][run], ids[own[plain][run]], _lengths(run, len(plain)).astype(np.int32)
+    bound = np.arange(blocks + 1)
+    cell_at, gram_at, told_at = np.searchsorted(cell_block, bound), np.searchsorted(block[plain], bound), np.searchsorted(_part(told, blocks), bound)
+    gram_of = gram[plain]
+    some = [b for b in range(blocks) if cell_at[b] < cell_at[b + 1] or told_at[b] < told_at[b + 1]]
+    cut = lambda x, at, b: x[at[b] : at[b + 1]]
+    entries = {
+        "block": some, "ids": [cut(cell_ids, cell_at, b).tobytes() for b in some], "counts": [cut(cell_counts, cell_at, b).tobytes() for b in some],
+        "grams": [_six(cut(gram_of, gram_at, b)) for b in some], "hot": [_six(cut(told, told_at, b)) for b in some],
+    }
+    yield pa.RecordBatch.from_arrays(_filled(_ENTRIES, entries, len(some)), schema=_ENTRIES)
+
+    to = _part(ids, blocks)
+    by = np.argsort(to, kind="stable")
+    counts = np.bincount(own[hot], minlength=len(sets)).astype(np.int32)
+    set_at = np.searchsorted(to[by], bound)
+    some = [b for b in range(blocks) if set_at[b] < set_at[b + 1]]
+    of_set = np.append(0, np.cumsum(counts))
+    columns = _column(gram[hot], block[hot])
+    own_columns = lambda b: np.concatenate([columns[of_set[k] : of_set[k + 1]] for k in cut(by, set_at, b)])
+    direct = {
+        "block": some, "ids": [ids[cut(by, set_at, b)].tobytes() for b in some], "sizes": [size[cut(by, set_at, b)].tobytes() for b in some],
+        "counts": [counts[cut(by, set_at, b)].tobytes() for b in some], "grams": [own_columns(b).tobytes() for b in some],
+    }
+    yield pa.RecordBatch.from_arrays(_filled(_ENTRIES, direct, len(some)), schema=_ENTRIES)
+
+
+def _first_pass(words: int, blocks: int):
+    """Per document its set's size and name, and the entries of sets that the task has not passed on before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, signs, held, seen = [], [], 0, set()
+        ids, sets, held, seen = [], [], 0, set()
         for batch in batches:
-            size, set_a, set_b = [], [], []
-            for row, text in zip(batch["row"].to_pylist(), batch["text"], strict=True):
+            size, names = [], []
+            for text in batch["text"]:
                 grams = shingle_set(text.as_py(), words)
-                key = (len(grams), int(grams.sum(dtype=np.uint64)), int(mix(grams).sum(dtype=np.uint64)))
-                size.append(key[0])
-                set_a.append(key[1])
-                set_b.append(key[2])
-                if key[0] and key not in seen:
-                    seen.add(key)
-                    rows.append(row)
-                    signs.append(signatures(grams, percent))
-                    held += len(signs[-1])
-                    if held >= FLUSH:
-                        yield _blobs(rows, signs, blocks)
-                        rows, signs, held, seen = [], [], 0, set()
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            docs = {n: batch[n] for n in ("row", "doc_id", "doc_key", "text_hash")} | {"n_shingles": size, "set_a": signed(set_a), "set_b": signed(set_b), "block": batch["row"].to_numpy() % blocks}
-            yield pa.RecordBatch.from_arrays(_filled(_FIRST, docs, batch.num_rows), schema=_FIRST)
-        if rows:
-            yield _blobs(rows, signs, blocks)
+                size.append(len(grams))
+                names.append(set_id(grams))
+                if len(grams) and names[-1] not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(names[-1])
+                    ids.append(names[-1])
+                    sets.append(grams)
+                    held += len(grams)
+                    if held >= CHUNK_GRAMS:
+                        yield from _cells(ids, sets, blocks)
+                        ids, sets, held = [], [], 0
+            docs = {n: batch[n] for n in ("row", "doc_id", "doc_key", "text_hash")} | {"n_shingles": size, "set_id": names, "block": batch["row"].to_numpy() % blocks}
+            yield pa.RecordBatch.from_arrays(_filled(_ENTRIES, docs, batch.num_rows), schema=_ENTRIES)
+        if ids:
+            yield from _cells(ids, sets, blocks)
 
     return run
 
 
-def _next_pass(percent: int, blocks: int, turn: int):
-    """Signatures of sets that are in one cluster, with other column blocks: linked rows agree in some of these, too."""
-    turned = np.uint64(turn * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()] or [np.zeros(0, kind)])
+
+
+def _count_columns(blocks: int):
+    """Of one column block the entries of columns that two rows or more have, by set; what is no such entry as it came."""
+
+    def run(table: pa.Table) -> pa.Table:
+        is_cell = pc.and_(pc.is_null(table["row"]), pc.is_null(table["sizes"]))
+        rest, cells = table.filter(pc.invert(is_cell)), table.filter(is_cell)
+        passed = pa.Table.from_arrays([rest[n] if n in rest.column_names else rest["grams"] if n == "columns" else pa.nulls(len(rest), pa.binary()) for n in _SHARED.names], schema=_SHARED)
+        gram = _from_six(_joined(cells, "grams", np.uint8))
+        if not len(gram):
+            return passed
+        own = np.repeat(_joined(cells, "ids", np.int64), _joined(cells, "counts", np.int32))
+        hot = np.unique(_from_six(_joined(cells, "hot", np.uint8)))
+        order = np.argsort(gram, kind="stable")
+        gram, own = gram[order], own[order]
+        at = _starts(gram)
+        times = _lengths(at, len(gram))
+        often = np.isin(gram[at], hot)
+        some = np.repeat((times > 1) | often, times)
+        gram, own = gram[some], own[some]
+        order = np.lexsort((own, gram))
+        gram, own = gram[order], own[order]
+        once = _starts(gram, own)
+        gram, own = gram[once], own[once]
+        at = _starts(gram)
+        times = _lengths(at, len(gram))
+        often = np.isin(gram[at], hot)
+        kind = np.where(often, HOT, np.minimum(4 * np.log2(np.maximum(times, 1)), HOT - 1)).astype(np.uint8)
+        some = np.repeat((times > 1) | often, times)
+        kind, gram, own = np.repeat(kind, times)[some], gram[some], own[some]
+        if not len(gram):
+            return passed
+        columns = _column(gram, np.full(len(gram), cells["block"][0].as_py()))
+        to = _part(own, blocks)
+        order = np.lexsort((own, to))
+        columns, kind, own, to = columns[order], kind[order], own[order], to[order]
+        run_at = _starts(to, own)
+        counts = _lengths(run_at, len(own)).astype(np.int32)
+        bound = np.arange(blocks + 1)
+        cell_at, entry_at = np.searchsorted(to[run_at], bound), np.searchsorted(to, bound)
+        full = [b for b in range(blocks) if cell_at[b] < cell_at[b + 1]]
+        cut = lambda x, where: [x[where[b] : where[b + 1]].tobytes() for b in full]
+        shared = {"block": full, "ids": cut(own[run_at], cell_at), "counts": cut(counts, cell_at), "columns": cut(columns, entry_at), "classes": cut(kind, entry_at)}
+        return pa.concat_tables([passed, pa.Table.from_arrays(_filled(_SHARED, shared, len(full)), schema=_SHARED)])
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, signs, held = [], [], 0
-        for batch in batches:
-            for row, cluster, grams in zip(batch["row"].to_pylist(), batch["cluster"].to_pylist(), batch["grams"], strict=True):
-                found = signatures(mix(np.frombuffer(grams.as_buffer(), np.uint64) + turned), percent)
-                rows.append(row)
-                signs.append(mix(found + mix(np.array([cluster], np.int64).view(np.uint64))))
-                held += len(found)
-                if held >= FLUSH:
-                    yield _blobs(rows, signs, blocks)
-                    rows, signs, held = [], [], 0
-        if rows:
-            yield _blobs(rows, signs, blocks)
+
+def _assemble(percent: int):
+    """Of one part of the sets: its documents, and the rows that have columns enough left for a partner."""
+
+    def run(table: pa.Table) -> pa.Table:
+        documents, entries = table.filter(pc.is_valid(table["row"])), table.filter(pc.is_null(table["row"]))
+        told = pa.Table.from_arrays([documents[n] if n in documents.column_names and n != "columns" else pa.nulls(len(documents), t) for n, t in zip(_ROWS.names, _ROWS.types, strict=True)], schema=_ROWS)
+        direct = entries.filter(pc.is_valid(entries["sizes"]))
+        if not len(direct):
+            return told
+        names, first = np.unique(_joined(direct, "ids", np.int64), return_index=True)
+        size = _joined(direct, "sizes", np.int64)[first]
+        parts = pa.concat_tables([direct, entries.filter(pc.is_null(entries["sizes"]))])
+        column = _joined(parts, "columns", np.uint64)
+        own = np.repeat(_joined(parts, "ids", np.int64), _joined(parts, "counts", np.int32))
+        kind = np.full(len(own), HOT, np.uint8)
+        plain = _joined(parts.slice(len(direct)), "classes", np.uint8)
+        kind[len(own) - len(plain) :] = plain
+        order = np.lexsort((column, kind, own))
+        column, kind, own = column[order], kind[order], own[order]
+        once = _starts(own, kind, column)
+        column, own = column[once], own[once]
+        at = np.searchsorted(own, names)
+        shared = np.searchsorted(own, names, "right") - at
+        least = -(-percent * size // 100)
+        rows = np.flatnonzero(shared >= least)
+        named = column.view(np.int64)
+        found = {
+            "set_id": names[rows], "size": size[rows], "alone": (size - shared)[rows], "prefix": [named[at[k] : at[k] + shared[k] - least[k] + 1] for k in rows],
+            "columns": [np.sort(column[at[k] : at[k] + shared[k]]).tobytes() for k in rows],
+        }
+        return pa.concat_tables([told, pa.Table.from_arrays(_filled(_ROWS, found, len(rows)), schema=_ROWS)])
 
     return run
 
 
-def _agreeing(table: pa.Table) -> pa.Table:
-    """Of one block: its documents, and pairs (a, b) that hold together rows with the same signatures."""
-    documents = table.filter(pc.is_valid(table["row"]))
-    blobs = table.filter(pc.is_null(table["row"]))
-    joined = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in blobs[name].to_pylist()] or [np.zeros(0, kind)])
-    row, sign = np.repeat(joined("rows", np.int64), joined("counts", np.int32)), joined("signs", np.uint64)
-    pairs = joined("near", np.int64).reshape(-1, 2)
-    if len(sign):
-        order = np.lexsort((row, sign))
-        row, sign = row[order], sign[order]
-        new = np.concatenate([[True], sign[1:] != sign[:-1]])
-        first = row[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        pairs = forest(np.concatenate([pairs, np.stack([row[~new], first[~new]], 1)]))
-    return pa.concat_tables([
-        pa.Table.from_arrays([*[documents[n] for n, _ in _DOCS], pa.nulls(len(documents), pa.int64()), pa.nulls(len(documents), pa.int64())], schema=_MET),
-        pa.Table.from_arrays(_filled(_MET, {"a": pairs[:, 0], "b": pairs[:, 1]}, len(pairs)), schema=_MET),
-    ])
-
-
-def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the place of the first set that links lead to, by the product over blocks of columns."""
+def linked_groups(sets: list[np.ndarray], size: np.ndarray, percent: int) -> np.ndarray:
+    """For each set the place of the first set that links lead to, by the product over blocks of columns.
+
+    sets: the columns of each row, without those that no other row has; size: how many it has with those.
+    """
     m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
     if m == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return np.array([0, 0 if 100 * both >= percent * (int(size.sum()) - both) else 1])
     # 100 * both >= percent * (x + y - both)
-    least = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
-    gram = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), size)
+    least = -(-percent * (size[:, None] + size[None, :]) // (100 + percent)).astype(np.int32)
+    gram, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(gram, kind="stable")
     gram, owner = gram[order], owner[order]
-    new = np.concatenate([[True], gram[1:] != gram[:-1]])
-    column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1
-    owner, column = owner[shared], column[shared]
-    column = np.unique(column, return_inverse=True)[1] if len(column) else column
-    both = np.zeros((m, m), np.float32)
+    times = _lengths(_starts(gram), len(gram))
+    owner, times = owner[np.repeat(times > 1, times)], times[times > 1]
+    # columns of few rows first, so that what is left for a pair shrinks fast
+    rank = np.argsort(times, kind="stable")
+    at = np.append(0, np.cumsum(times))
+    both = np.zeros((m, m), np.int32)
     left = np.bincount(owner, minlength=m)
-    open_ = np.ones(m, bool)
-    ends = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else -1) + BLOCK_COLUMNS + 1, BLOCK_COLUMNS))
-    for k, (start, stop) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        hope = both + np.minimum(left[:, None], left[None, :]) >= least
+    k = 0
+    while k < len(rank):
+        n = int(times[rank[k]])
+        upto = min(np.searchsorted(times[rank], n, "right") if n < DENSE_ROWS else len(rank), k + max(1, min(BLOCK_COLUMNS, (1 << 22) // (n * n) if n < DENSE_ROWS else BLOCK_COLUMNS)))
+        chosen = rank[k:upto]
+        k = upto
+        if n < DENSE_ROWS:
+            own = owner[at[chosen][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            both += np.bincount((np.minimum(own[:, i], own[:, j]) * m + np.maximum(own[:, i], own[:, j])).ravel(), minlength=m * m).reshape(m, m)
+            left = left - np.bincount(own.ravel(), minlength=m)
+            continue
+        sofar = both + both.T
+        hope = sofar + np.minimum(left[:, None], left[None, :]) >= least
         np.fill_diagonal(hope, False)
         open_ = hope.any(1)
-        own, col = owner[start:stop], column[start:stop] - k * BLOCK_COLUMNS
+        own = owner[np.concatenate([np.arange(at[c], at[c + 1]) for c in chosen])]
+        column = np.repeat(np.arange(len(chosen)), times[chosen])
         left = left - np.bincount(own, minlength=m)
-        at = np.cumsum(open_) - 1
-        own, col = at[own[open_[own]]], col[open_[own]]
+        place = np.cumsum(open_) - 1
+        own, column = place[own[open_[own]]], column[open_[own]]
         if len(own):
-            dense = np.zeros((int(open_.sum()), BLOCK_COLUMNS), np.float32)
-            dense[own, col] = 1
-            both[np.ix_(open_, open_)] += dense @ dense.T
-    links = both >= least
+            dense = np.zeros((int(open_.sum()), len(chosen)), np.float32)
+            dense[own, column] = 1
+            both[np.ix_(open_, open_)] += np.triu(dense @ dense.T, 1).astype(np.int32)
+    links = both + both.T >= least
     np.fill_diagonal(links, False)
     group = np.full(m, -1)
     for i in range(m):
@@ -253,128 +313,109 @@ def linked_groups(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _products(percent: int):
     """Rows sorted by task in, for each task the pairs (row, first row of its group) out."""
 
-    def close(rows: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def close(rows: list[int], sets: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         row = np.array(rows, np.int64)
-        root = row[linked_groups(sets, percent)] if len(rows) > 1 else row
+        root = row[linked_groups(sets, np.array(sizes, np.int64), percent)] if len(rows) > 1 else row
         return row[root != row], root[root != row]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows, sets = None, [], []
+        task, rows, sets, sizes = None, [], [], []
         for batch in batches:
             a, b = [], []
-            for now, row, grams in zip(batch["task"].to_pylist(), batch["row"].to_pylist(), batch["grams"], strict=True):
+            for now, row, size, columns in zip(*(batch[c].to_pylist() for c in ("task", "row", "size")), batch["columns"], strict=True):
                 if now != task:
-                    for out, x in zip((a, b), close(rows, sets), strict=True):
+                    for out, x in zip((a, b), close(rows, sets, sizes), strict=True):
                         out.append(x)
-                    task, rows, sets = now, [], []
+                    task, rows, sets, sizes = now, [], [], []
                 if not rows or rows[-1] != row:
                     rows.append(row)
-                    sets.append(np.frombuffer(grams.as_buffer(), np.uint64))
+                    sets.append(np.frombuffer(columns.as_buffer(), np.uint64))
+                    sizes.append(size)
             yield pa.RecordBatch.from_pydict({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
-        x, y = close(rows, sets)
+        x, y = close(rows, sets, sizes)
         yield pa.RecordBatch.from_pydict({"a": x, "b": y})
 
     return run
 
 
-def _gram_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part["row"], pa.array([shingle_set(x.as_py(), words).tobytes() for x in part["text"]], pa.binary())], names=["row", "grams"])
-
-    return run
-
-
-def _compared(sets: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
+def _compared(rows: DataFrame, tasks: DataFrame, percent: int) -> DataFrame:
     """Links found by the product of each task's rows. tasks: row and tasks, the names of its tasks."""
     parts = max(1, int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    each = sets.join(tasks.hint("merge"), "row").select(F.explode("tasks").alias("task"), "row", "grams")
+    each = rows.join(tasks.hint("merge"), "row").select(F.explode("tasks").alias("task"), "row", "size", "columns")
     dealt = each.repartition(parts, "task").sortWithinPartitions("task", "row")
     return settle(dealt.mapInArrow(_products(percent), "a long, b long"), "links")
 
 
-def _clusters(edges: DataFrame) -> DataFrame:
-    """row and cluster of every row that edges (a, b) hold together with another."""
-    found = components(edges)
-    return found.union(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
-
-
-def _refined(members: DataFrame, sets: DataFrame, percent: int, blocks: int) -> DataFrame:
-    """members (row, n_shingles, cluster) with large clusters split: rows that agree by chance do so in one pass only.
-
-    Rows of a large cluster that agree with no other in a further pass have no links and leave.
-    """
-    for turn in (1, 2):
-        sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        large = settle(members.join(sizes.where(F.col("n") > BLOCK_ROWS).select("cluster"), "cluster"), "large")
-        if not large.limit(1).count():
-            break
-        signed = sets.join(large.select("row", "cluster").hint("merge"), "row").select("row", "cluster", "grams").mapInArrow(_next_pass(percent, blocks, turn), _ddl(_FIRST))
-        near = settle(signed.groupBy("block").applyInArrow(_agreeing, _ddl(_MET)).where("a IS NOT NULL").select("a", "b"), "near")
-        split = large.drop("cluster").join(_clusters(near), "row")
-        members = settle(members.join(large.select("row"), "row", "left_anti").unionByName(split), "members")
-    return members
-
-
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles (distinct runs of words) and component_id.
 
     Two rows link when their sets share percent of 100 of their union or more; component_id is the least doc_id that
     links lead to. A-Z count as a-z. A text of fewer words is one shingle; a null or empty text has none and links with
     nothing. Rows with equal doc_id stay rows of their own; a null doc_id counts only where nothing else is in reach.
-    An empty table gives no rows. Other columns of docs are not read.
+    An empty table gives no rows. Other columns of docs are not read. Words, shingles and sets are compared by 64-bit
+    hashes, a shingle's column by 48 bits besides those of its block.
     """
-    placed = _placed(docs, words, percent)
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    placed, roots = _placed(docs, words, percent)
+    sets = placed.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    rooted = sets.join(roots.hint("merge"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("n")).where("n > 1")
+    found = settle(rooted.select("set_id", "root").join(groups.hint("merge"), "root").select("set_id", "component_id", F.lit(True).alias("_in")), "groups")
+    return placed.join(found.hint("merge"), "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _placed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row of docs: row, doc_id, doc_key, text_hash, n_shingles and root, which rows of a group share."""
+def _placed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row of docs: row, doc_id, doc_key, text_hash, n_shingles, set_id; and of each set that is linked to one of a smaller name set_id and root."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, round(chars / 12 / BLOCK_SIGNS))
-    texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
-    rows = texts.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "doc_key", "text_hash", "text")
-    first = rows.mapInArrow(_first_pass(words, percent, blocks), _ddl(_FIRST))
-    met = settle(first.groupBy("block").applyInArrow(_agreeing, _ddl(_MET)), "signatures")
-
-    docs_ = met.where("row IS NOT NULL").drop("a", "b")
-    full = docs_.where("n_shingles > 0")
-    same = full.groupBy("n_shingles", "set_a", "set_b").agg(F.min("row").alias("kept"))
-    copies = settle(full.join(same, ["n_shingles", "set_a", "set_b"]).where("row <> kept").select("row", "kept"), "copies")
-
-    kept = lambda df, c: df.join(copies.select(F.col("row").alias(c), F.col("kept").alias("kept_" + c)), c, "left").withColumn(c, F.coalesce("kept_" + c, c)).drop("kept_" + c)
-    near = met.where("a IS NOT NULL").select("a", "b").distinct()
-    members = settle(_clusters(kept(kept(near, "a"), "b")).join(docs_.select("row", "n_shingles", "doc_key", "text_hash"), "row"), "members")
-    # a merge join at every size: neither side has a bound that would allow a broadcast
-    wanted = texts.select("doc_key", "text_hash", "text").join(members.select("row", "doc_key", "text_hash").hint("merge"), ["doc_key", "text_hash"])
-    sets = settle(wanted.select("row", "text").mapInArrow(_gram_sets(words), "row long, grams binary"), "sets")
-    members = _refined(members.select("row", "n_shingles", "cluster"), sets, percent, blocks)
-    sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("grams"))
+    blocks = max(1, round(chars / 6 / COLUMN_BLOCK_GRAMS))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key_of("doc_id").alias("doc_key"),
+        F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"),
+    )
+    entries = rows.mapInArrow(_first_pass(words, blocks), _ddl(_ENTRIES))
+    shared = entries.groupBy("block").applyInArrow(_count_columns(blocks), _ddl(_SHARED))
+    assembled = settle(shared.groupBy("block").applyInArrow(_assemble(percent), _ddl(_ROWS)), "rows")
+    placed = assembled.where("row IS NOT NULL").select(*[n for n, _ in _DOCS])
+    sparse = assembled.where("row IS NULL").select(F.col("set_id").alias("row"), "size", "alone", "prefix", "columns")
+
+    # a column's star stands around the row with the fewest columns of its own
+    first = sparse.select("row", "alone", F.explode("prefix").alias("column"))
+    centre = first.groupBy("column").agg(F.min(F.struct("alone", "row")).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    near = settle(first.join(centre, "column").where("row <> centre.row").select(F.col("row").alias("a"), F.col("centre.row").alias("b")).distinct(), "near")
+    clusters = _clusters(components(near))
+
+    members = settle(sparse.select("row", "size").join(clusters.hint("merge"), "row"), "members")
+    sums = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
     cut = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     cuts = members.join(sums.select("cluster", cut.alias("cuts")), "cluster")
     blocked = settle(cuts.select("row", "cluster", "cuts", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int").alias("block")), "blocked")
     # each block with itself and with block 0, which goes to all
     to = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("cuts") - 1)).otherwise(F.array("block"))
-    links = _compared(sets, blocked.select("row", F.transform(to, lambda b: F.concat_ws(":", "cluster", b)).alias("tasks")), percent)
+    stored = sparse.select("row", "size", "columns")
+    links = _compared(stored, blocked.select("row", F.transform(to, lambda b: F.concat_ws(":", "cluster", b)).alias("tasks")), percent)
+    roots = components(links)
 
     cutting = blocked.where("cuts > 1")
-    if cutting.limit(1).count() and (rest := _rest(cutting, links)).limit(1).count():
-        links = links.union(_compared(sets, rest, percent))
-    root = components(links.union(copies.select(F.col("row").alias("a"), F.col("kept").alias("b"))))
-    return docs_.join(root.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    if cutting.limit(1).count() and (rest := _rest(cutting, roots, first)).limit(1).count():
+        roots = components(links.union(_compared(stored, rest, percent)))
+    return placed, roots.select(F.col("node").alias("set_id"), "root")
+
+
+def _clusters(found: DataFrame) -> DataFrame:
+    """row and cluster of every row that is held together with another."""
+    return found.union(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
 
 
-def _rest(cutting: DataFrame, links: DataFrame) -> DataFrame:
-    """Tasks for the documents of a large cluster that the first round left apart.
+def _rest(cutting: DataFrame, roots: DataFrame, first: DataFrame) -> DataFrame:
+    """Tasks for the rows of large clusters that share a first column with a row from which the first round left them apart.
 
-    The largest component of a cluster need not be compared with itself: its blocks meet those of all other documents,
-    which also meet each other.
+    The largest part of a cluster need not be compared with itself: its blocks meet those of all other rows, which also
+    meet each other.
     """
-    root = components(links).select(F.col("node").alias("row"), F.col("root").alias("part"))
-    placed = cutting.join(root, "row", "left").withColumn("part", F.coalesce("part", "row"))
+    part = roots.select(F.col("node").alias("row"), F.col("root").alias("part"))
+    placed = settle(cutting.join(part.hint("merge"), "row", "left").withColumn("part", F.coalesce("part", "row")), "parts")
+    of_column = first.select("row", "column").join(placed.select("row", "part").hint("merge"), "row")
+    mixed = of_column.groupBy("column").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("column")
+    placed = settle(placed.join(of_column.join(mixed.hint("merge"), "column").select("row").distinct(), "row", "left_semi"), "mixed")
     parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
     half = BLOCK_ROWS // 2
@@ -394,16 +435,19 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Of each group of docs that links hold together one row, with all its columns.
 
     That is the row with the least doc_id, null last, and of these the least text hash; of rows equal in both the first
-    by their other columns. Rows without words are in no group and stay.
+    by their other columns. Rows without words are in no group and stay. An empty table gives no rows.
     """
     keys = ["doc_key", "text_hash"]
-    placed = settle(_placed(docs, words, percent).where("n_shingles > 0").select("root", "doc_id", *keys), "placed")
-    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found, roots = _placed(docs, words, percent)
+    placed = settle(found.where("n_shingles > 0").join(roots.hint("merge"), "set_id", "left").select(F.coalesce("root", "set_id").alias("root"), "doc_id", *keys), "placed")
+    first = settle(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     stays = (F.col("doc_key") == F.col("first.doc_key")) & (F.col("text_hash") == F.col("first.text_hash"))
-    fates = settle(placed.join(first, "root").groupBy(*[F.col(c).alias("_" + c) for c in keys]).agg(F.first(stays).alias("_stays"), F.count(F.lit(1)).alias("n")).where("NOT _stays OR n > 1"), "fates")
-    on = ["_" + c for c in keys]
-    keyed = docs.withColumns({"_doc_key": key_of("doc_id"), "_text_hash": F.xxhash64(text_of())})
-    repeated = keyed.join(small_side(fates.where("_stays").select(*on)), on)
+    fates = settle(placed.join(first.hint("merge"), "root").groupBy(*keys).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"), "fates")
+    key, text = fresh(docs, "key"), fresh(docs, "text")
+    on, place = [key, text], fresh(docs, "place")
+    named = fates.select(F.col("doc_key").alias(key), F.col("text_hash").alias(text), F.col("stays").alias(place))
+    keyed = docs.withColumns({key: key_of("doc_id"), text: F.xxhash64(text_of())})
+    repeated = keyed.join(small_side(named.where(F.col(place)).select(*on)), on)
     others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
-    once = repeated.withColumn("_place", F.row_number().over(W.partitionBy(*on).orderBy(others))).where("_place = 1")
-    return keyed.join(fates.select(*on), on, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    once = repeated.withColumn(place, F.row_number().over(W.partitionBy(*on).orderBy(others))).where(F.col(place) == 1)
+    return keyed.join(named.select(*on), on, "left_anti").select(*docs.columns).union(once.select(*docs.columns))

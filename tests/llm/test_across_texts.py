@@ -59,21 +59,26 @@ def test_product_blocks(monkeypatch):
     sets = [np.unique(draw.integers(0, 60, 40).astype(np.uint64)) for _ in range(30)]
     links = [(i, j) for i, j in itertools.combinations(range(30), 2) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 45 * len(np.union1d(sets[i], sets[j]))]
     root = components_of(30, links)
-    got = ngram_join.linked_groups(sets, 45)
-    assert [root[i] == root[j] for i, j in itertools.combinations(range(30), 2)] == [got[i] == got[j] for i, j in itertools.combinations(range(30), 2)]
+    for dense in (2, 20, 128):
+        monkeypatch.setattr(ngram_join, "DENSE_ROWS", dense)
+        got = ngram_join.linked_groups(sets, np.array([len(s) for s in sets]), 45)
+        assert [root[i] == root[j] for i, j in itertools.combinations(range(30), 2)] == [got[i] == got[j] for i, j in itertools.combinations(range(30), 2)]
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_signatures_lose_no_link(percent):
-    draw = np.random.default_rng(percent)
-    for n in (1, 3, 6, 7, 9, 15, 30, 64, 100, 400, 1500):
-        for _ in range(20):
-            one = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
-            more = int(len(one) * (100 - percent) / percent)
-            gone = draw.integers(0, more + 1)
-            other = np.unique(np.concatenate([draw.permutation(one)[gone:], draw.integers(0, 1 << 62, draw.integers(0, more + 1)).astype(np.uint64)]))
-            if len(other) and 100 * len(np.intersect1d(one, other)) >= percent * len(np.union1d(one, other)):
-                assert len(np.intersect1d(ngram_join.signatures(one, percent), ngram_join.signatures(other, percent)))
+def test_join_at_the_bound(spark, monkeypatch, percent):
+    """Sets of every small size, at and just below the bound, in many column blocks and with hot columns."""
+    monkeypatch.setattr(ngram_join, "COLUMN_BLOCK_GRAMS", 100)
+    draw = random.Random(percent)
+    rows = []
+    for n in (1, 2, 4, 5, 6, 8, 9, 12, 17, 23, 40, 90):
+        for _ in range(12):
+            one = [f"a{draw.randrange(10**6)}" for _ in range(n)]
+            rows.append(" ".join(one))
+            for cut in range(min(n, 3 + n * (100 - percent) // 90)):
+                rows.append(" ".join(one[cut:] + [f"b{draw.randrange(10**6)}" for _ in range(draw.randrange(cut + 1))]))
+    rows = [(k, t + (" the same words in all of them" if k % 3 == 0 else "")) for k, t in enumerate(rows)]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 3, percent)
 
 
 def test_keep_first(docs):
