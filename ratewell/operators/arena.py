@@ -8,7 +8,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratewell.functions.labels import POOLS, REFERENCE, in_pool
@@ -21,9 +20,9 @@ def with_scores(matches: DataFrame) -> DataFrame:
     return matches.where("model_a <> model_b").withColumn("score", debiased(f, r)).withColumn("consistent", consistent(f, r))
 
 
-def by_pool(matches: DataFrame, pools: Sequence[str] = POOLS) -> DataFrame:
+def by_pool(matches: DataFrame, pools: Sequence[str] = POOLS, models: tuple[str, str] = ("model_a", "model_b")) -> DataFrame:
     """One row per pool that both models are in, all in one pass over the matches."""
-    mine = F.filter(F.array(*[F.lit(p) for p in pools]), lambda p: in_pool(F.col("model_a"), p) & in_pool(F.col("model_b"), p))
+    mine = F.filter(F.array(*[F.lit(p) for p in pools]), lambda p: in_pool(F.col(models[0]), p) & in_pool(F.col(models[1]), p))
     return matches.withColumn("pool", F.explode(mine))
 
 
@@ -47,17 +46,26 @@ def win_loss_tie(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     return out.withColumn("n_observations", F.col("win") + F.col("loss") + F.col("tie")).withColumn("win_rate", F.col("win") / F.col("n_observations"))
 
 
-def pair_matrix(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Graded wins of each side and ties, per keys and unordered pair (model_lo < model_hi), with the number of matches.
+def pair_counts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per keys and unordered pair (model_lo < model_hi): graded wins of each side and ties, n, won matches of each side, and consistent ones.
 
-    A score s above a half is (s - 0.5) * 2 of a win and the rest of a tie.
+    A score s above a half is (s - 0.5) * 2 of a win and the rest of a tie. All that a leaderboard needs is a sum of these.
     """
     low = F.col("model_a") < F.col("model_b")
     own = F.when(low, F.col("score")).otherwise(1 - F.col("score"))
-    turned = scored.select(*keys, F.least("model_a", "model_b").alias("model_lo"), F.greatest("model_a", "model_b").alias("model_hi"), own.alias("s"))
+    turned = scored.select(*keys, F.least("model_a", "model_b").alias("model_lo"), F.greatest("model_a", "model_b").alias("model_hi"), own.alias("s"), "consistent")
     win = lambda s: F.greatest(s - 0.5, F.lit(0.0)) * 2
+    count = lambda on: F.sum(on.cast("long"))
     s = F.col("s")
-    return turned.groupBy(*keys, "model_lo", "model_hi").agg(F.sum(win(s)).alias("win_lo"), F.sum(win(1 - s)).alias("win_hi"), F.sum(1 - F.abs(s - 0.5) * 2).alias("ties"), F.count(F.lit(1)).alias("n"))
+    return turned.groupBy(*keys, "model_lo", "model_hi").agg(
+        F.sum(win(s)).alias("win_lo"), F.sum(win(1 - s)).alias("win_hi"), F.sum(1 - F.abs(s - 0.5) * 2).alias("ties"), F.count(F.lit(1)).alias("n"),
+        count(s > 0.5).alias("n_lo"), count(s < 0.5).alias("n_hi"), count(F.col("consistent")).alias("n_consistent"),
+    )
+
+
+def pair_matrix(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Graded wins of each side and ties, per keys and unordered pair, with the number of matches."""
+    return pair_counts(scored, keys).select(*keys, "model_lo", "model_hi", "win_lo", "win_hi", "ties", "n")
 
 
 def fit(win: np.ndarray, tie: np.ndarray, most: int = 1000, tolerance: float = 1e-6) -> tuple[np.ndarray, int, bool]:
@@ -97,35 +105,61 @@ def fit(win: np.ndarray, tie: np.ndarray, most: int = 1000, tolerance: float = 1
     return (logs - logs.mean()) * 400 / math.log(10) + 1500, turn, done
 
 
+def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of one group: the models, the places of both sides, and the matrices of wins and ties."""
+    models = np.array(sorted({*pdf.model_lo, *pdf.model_hi}))
+    lo, hi = np.searchsorted(models, pdf.model_lo.to_numpy(str)), np.searchsorted(models, pdf.model_hi.to_numpy(str))
+    win, tie = np.zeros((len(models),) * 2), np.zeros((len(models),) * 2)
+    np.add.at(win, (lo, hi), pdf.win_lo.to_numpy())
+    np.add.at(win, (hi, lo), pdf.win_hi.to_numpy())
+    np.add.at(tie, (lo, hi), pdf.ties.to_numpy())
+    return models, lo, hi, win, tie + tie.T
+
+
+def _by_group(matrix: DataFrame, keys: Sequence[str], found, columns: str) -> DataFrame:
+    """found(pdf), a frame of models, for each group of a pair matrix, which has a row per pair of models."""
+    types = {f.name: f.dataType.simpleString() for f in matrix.schema}
+    run = lambda pdf: pd.DataFrame({k: [pdf[k].iloc[0]] * len(out) for k in keys} | dict(out.items())) if len(out := found(pdf)) else pd.DataFrame()
+    return matrix.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), columns]))
+
+
 def ratings(matrix: DataFrame, keys: Sequence[str], most: int = 1000, tolerance: float = 1e-6) -> DataFrame:
-    """Per keys and model: rating, iterations, converged. One group of a pair matrix has a row per pair of models."""
-    key_types = {f.name: f.dataType.simpleString() for f in matrix.schema}
+    """Per keys and model: rating, iterations, converged."""
 
     def rate(pdf: pd.DataFrame) -> pd.DataFrame:
-        models = np.array(sorted({*pdf.model_lo, *pdf.model_hi}))
-        lo, hi = np.searchsorted(models, pdf.model_lo.to_numpy(str)), np.searchsorted(models, pdf.model_hi.to_numpy(str))
-        win, tie = np.zeros((len(models),) * 2), np.zeros((len(models),) * 2)
-        np.add.at(win, (lo, hi), pdf.win_lo.to_numpy())
-        np.add.at(win, (hi, lo), pdf.win_hi.to_numpy())
-        np.add.at(tie, (lo, hi), pdf.ties.to_numpy())
-        found, turns, done = fit(win, tie + tie.T, most, tolerance)
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(models) for k in keys} | {"model": models, "rating": found, "iterations": turns, "converged": done})
+        models, _, _, win, tie = _matrices(pdf)
+        found, turns, done = fit(win, tie, most, tolerance)
+        return pd.DataFrame({"model": models, "rating": found, "iterations": turns, "converged": done})
 
-    schema = ", ".join([*(f"{k} {key_types[k]}" for k in keys), "model string, rating double, iterations int, converged boolean"])
-    return matrix.groupBy(*keys).applyInPandas(rate, schema)
+    return _by_group(matrix, keys, rate, "model string, rating double, iterations int, converged boolean")
 
 
-def leaderboard(scored: DataFrame, keys: Sequence[str] = ("domain", "judge", "pool")) -> DataFrame:
+def leaderboard(scored: DataFrame, keys: Sequence[str] = ("domain", "judge"), pools: Sequence[str] | None = None) -> DataFrame:
     """Rating, rank, wins, losses, ties and the group's share of consistent matches, per keys and model.
 
+    Matches are reduced to pairs of models in one aggregate; pools, a key more where given, are dealt out after it.
     Equal ratings rank by label. keys may hold any columns of the matches, a bucket for instance.
     """
-    keys = list(keys)
-    rated = ratings(pair_matrix(scored, keys), keys).drop("iterations")
-    counted = win_loss_tie(scored, keys)
-    rate = scored.groupBy(*keys).agg(F.avg(F.col("consistent").cast("double")).alias("position_consistency"))
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("rating"), "model"))
-    return rated.join(counted, [*keys, "model"]).join(rate, keys).withColumn("rank", rank)
+    keys, pairs = list(keys), pair_counts(scored, list(keys))
+    if pools:
+        keys, pairs = [*keys, "pool"], by_pool(pairs, pools, ("model_lo", "model_hi"))
+
+    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
+        models, lo, hi, win, tie = _matrices(pdf)
+        found, _, done = fit(win, tie)
+        won, lost, met = (np.zeros(len(models), np.int64) for _ in range(3))
+        for at, own, other in ((lo, pdf.n_lo, pdf.n_hi), (hi, pdf.n_hi, pdf.n_lo)):
+            np.add.at(won, at, own.to_numpy())
+            np.add.at(lost, at, other.to_numpy())
+            np.add.at(met, at, pdf.n.to_numpy())
+        rank = np.empty(len(models), np.int32)
+        rank[np.lexsort((models, -found))] = np.arange(1, len(models) + 1)
+        return pd.DataFrame({
+            "model": models, "rating": found, "converged": done, "win": won, "loss": lost, "tie": met - won - lost, "n_observations": met,
+            "win_rate": won / met, "position_consistency": pdf.n_consistent.sum() / pdf.n.sum(), "rank": rank,
+        })
+
+    return _by_group(pairs, keys, rate, "model string, rating double, converged boolean, win long, loss long, tie long, n_observations long, win_rate double, position_consistency double, rank int")
 
 
 def half_tie_rate(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -144,22 +178,22 @@ def reference_view(matches: DataFrame) -> DataFrame:
     return scored.withColumn("ref_score", F.when(is_a, F.col("score")).otherwise(1 - F.col("score"))).withColumn("ref_win", F.when(won, 1.0).when(lost, 0.0).otherwise(0.5))
 
 
-def agreement(matches: DataFrame, first: str, second: str, keys: Sequence[str] = ("domain",), canonical: bool = False) -> DataFrame:
-    """How often two judges give one winner, over cases they compared in the same orientation; the last of repeats counts.
+def agreement(matches: DataFrame, first: str, second: str, keys: Sequence[str] = ("domain",), labels: Sequence[str] | None = None, canonical: bool = False, order: str | None = None) -> DataFrame:
+    """How often two judges name one winner in the forward direction, over cases they compared in the same orientation.
 
-    canonical: also compares opposite orientations, by turning each match to the order of its labels.
+    labels: both models must be on this list. order: the column in which the last of repeated matches is the greatest;
+    without one they may not repeat. canonical: also compares opposite orientations, by turning each match to the order
+    of its labels. Both judges are read in one aggregate.
     """
-    scored = with_scores(matches)
+    rows = matches.where((F.col("model_a") != F.col("model_b")) & F.col("judge").isin(first, second))
+    if labels is not None:
+        rows = rows.where(F.col("model_a").isin(*labels) & F.col("model_b").isin(*labels))
+    rows = rows.withColumn("_order", F.lit(0) if order is None else F.col(order))
     if canonical:
         low = F.col("model_a") < F.col("model_b")
-        scored = scored.withColumn("score", F.when(low, F.col("score")).otherwise(1 - F.col("score"))).withColumns({"model_a": F.least("model_a", "model_b"), "model_b": F.greatest("model_a", "model_b")})
-    on = [*keys, "case_id", "model_a", "model_b"]
-
-    def judged(judge: str, name: str) -> DataFrame:
-        # repeated matches: the greatest score stands for the last, since the log has no order of its own
-        return scored.where(F.col("judge") == judge).groupBy(*on).agg(F.max("score").alias(name))
-
-    both = judged(first, "x").join(judged(second, "y"), on)
+        rows = rows.withColumn("forward", F.when(low, F.col("forward")).otherwise(1 - F.col("forward"))).withColumns({"model_a": F.least("model_a", "model_b"), "model_b": F.greatest("model_a", "model_b")})
+    last = lambda judge: F.max(F.when(F.col("judge") == judge, F.struct("_order", "forward")))["forward"]
+    both = rows.groupBy(*keys, "case_id", "model_a", "model_b").agg(last(first).alias("x"), last(second).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     same = (winner_of(F.col("x")) == winner_of(F.col("y"))).cast("double")
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matches"), F.avg(same).alias("agreement"))
 

@@ -22,19 +22,22 @@ def resolve_fingerprints(fingerprints: DataFrame, cases: DataFrame) -> DataFrame
     fingerprints: fp, keys (map); cases: case_id, domain, metadata. A key is id, domain or one of the released metadata;
     a null value asks for a key that is absent or null. An empty fingerprint raises.
     """
-    asked = fingerprints.select("fp", F.when(F.size("keys") == 0, F.raise_error(F.lit("a fingerprint without keys"))).otherwise(F.map_entries("keys")).alias("e"))
-    keys = asked.select("fp", F.size("e").alias("n"), F.explode("e").alias("e")).select("fp", "n", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+    checked = fingerprints.select("fp", F.when(F.size("keys") == 0, F.raise_error(F.lit("a fingerprint without keys"))).otherwise(F.col("keys")).alias("keys"))
     fields = F.map_concat(F.create_map(F.lit("id"), F.col("case_id"), F.lit("domain"), F.col("domain")), F.map_filter(projected(F.col("domain"), F.col("metadata")), lambda k, _: ~k.isin("id", "domain")))
-    known = cases.select("case_id", F.explode(fields).alias("key", "value"))
-    with_value = keys.where("value IS NOT NULL")
-    needed = with_value.groupBy("fp").agg(F.count(F.lit(1)).alias("needed"))
-    met = with_value.join(known, ["key", "value"]).groupBy("fp", "case_id").agg(F.count(F.lit(1)).alias("met"))
-    full = met.join(needed, "fp").where("met = needed").select("fp", "case_id")
-    absent = keys.where("value IS NULL").select("fp", "key")
-    only_absent = absent.join(with_value.select("fp"), "fp", "left_anti").select("fp").distinct()
-    full = full.union(only_absent.join(cases.select("case_id")))  # asks for nothing but absence: every case is a candidate
-    against = full.join(absent, "fp").join(known.where("value IS NOT NULL").select("case_id", "key"), ["case_id", "key"], "left_semi").select("fp", "case_id")
-    return full.join(against, ["fp", "case_id"], "left_anti")
+    held = cases.select("case_id", F.map_filter(fields, lambda _, v: v.isNotNull()).alias("fields"))
+    known = held.select("case_id", F.explode("fields").alias("key", "value"))
+    # candidates by the rarest key that a fingerprint gives a value for: common ones, domain for instance, list too many cases
+    rows = known.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    asked = checked.select("fp", F.explode("keys").alias("key", "value")).where("value IS NOT NULL")
+    rarest = asked.join(rows, ["key", "value"]).groupBy("fp").agg(F.min(F.struct("n", "key", "value")).alias("at")).select("fp", "at.key", "at.value")
+    candidates = rarest.join(known, ["key", "value"]).select("fp", "case_id")
+    # a fingerprint that asks for absence alone meets the kinds of cases, by the names of their fields, and then their cases
+    absent = checked.where(F.forall(F.map_values("keys"), lambda v: v.isNull())).select("fp", F.array_sort(F.map_keys("keys")).alias("absent"))
+    shape = F.array_sort(F.map_keys("fields")).alias("shape")
+    kinds = held.select(shape).distinct().join(absent.select("absent").distinct(), ~F.arrays_overlap("shape", "absent"))
+    without = absent.join(kinds, "absent").select("fp", "shape").join(held.select("case_id", shape), "shape").select("fp", "case_id")
+    met = candidates.join(checked, "fp").join(held, "case_id").where(F.forall(F.map_entries("keys"), lambda e: F.col("fields")[e["key"]].eqNullSafe(e["value"])))
+    return met.select("fp", "case_id").union(without)
 
 
 def audit(fingerprints: DataFrame, found: DataFrame) -> DataFrame:

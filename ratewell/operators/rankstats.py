@@ -15,11 +15,21 @@ from pyspark.sql.types import DoubleType
 from ratewell.operators.worklist import mixed_hash
 
 
-def midranks(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Adds the mean of the ranks that equal values share. The window sees one row per distinct value."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    up_to = F.sum("_n").over(W.partitionBy(*keys).orderBy(value))
-    return rows.join(counts.select(*keys, value, (up_to - (F.col("_n") - 1) / 2).alias(name)), [*keys, value])
+def midranks(rows: DataFrame, keys: Sequence[str], value: str, name: str, times: str | None = None, cells: int = 1024) -> DataFrame:
+    """Adds the mean of the ranks that equal values share; times: how often each row counts.
+
+    Distinct values are dealt to cells by the upper bits of their order; the sum over a group's cells sees a row per
+    cell and the one inside a cell the values there, so no task sorts a large group.
+    """
+    counts = rows.groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("_n"))
+    ends = counts.groupBy(*keys).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
+    width = F.when(F.col("_high") > F.col("_low"), (F.col(value).cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    placed = counts.join(ends, list(keys)).withColumn("_cell", F.coalesce(F.floor(width * cells), F.lit(0))).drop("_low", "_high")
+    sums = placed.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_held"))
+    sums = sums.select(*keys, "_cell", (F.sum("_held").over(W.partitionBy(*keys).orderBy("_cell")) - F.col("_held")).alias("_before"))
+    up_to = F.col("_before") + F.sum("_n").over(W.partitionBy(*keys, "_cell").orderBy(value))
+    ranked = placed.join(sums, [*keys, "_cell"]).select(*keys, value, (up_to - (F.col("_n") - 1) / 2).alias(name))
+    return rows.join(ranked, [*keys, value])
 
 
 def _inversions(y: np.ndarray) -> int:
@@ -129,6 +139,21 @@ def bootstrap_draws(rows: DataFrame, keys: Sequence[str], replicates: int, seed:
     return drawn.groupBy(*keys, "replicate", place.alias("place")).agg(F.count(F.lit(1)).alias("times"))
 
 
+def drawn_midranks(drawn: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Midranks of rows that count times each, in groups that are samples: one window, no join."""
+    upto, same = W.partitionBy(*keys).orderBy(value), W.partitionBy(*keys, value)
+    return drawn.withColumn("_same", F.sum("times").over(same)).withColumn(name, F.sum("times").over(upto) - (F.col("_same") - 1) / 2).drop("_same")
+
+
+def weighted_correlation(rows: DataFrame, keys: Sequence[str], x: str, y: str, times: str) -> DataFrame:
+    """v: Pearson's correlation of rows that count times each; null without variance."""
+    w, a, b = F.col(times).cast("double"), F.col(x), F.col(y)
+    sums = rows.groupBy(*keys).agg(*[F.sum(v).alias(n) for n, v in (("n", w), ("sa", w * a), ("sb", w * b), ("saa", w * a * a), ("sbb", w * b * b), ("sab", w * a * b))])
+    c = F.col
+    va, vb = c("n") * c("saa") - c("sa") * c("sa"), c("n") * c("sbb") - c("sb") * c("sb")
+    return sums.select(*keys, F.try_divide(c("n") * c("sab") - c("sa") * c("sb"), F.sqrt(va * vb)).alias("v"))
+
+
 def percentile_interval(estimates: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.05, least: int = 10) -> DataFrame:
     """Lower and upper bounds: the entries at alpha / 2 and 1 - alpha / 2 of the sorted estimates that exist."""
     some = estimates.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("e"))

@@ -36,6 +36,48 @@ def across_domains(board: DataFrame, metric: str, domains: Sequence[str], digits
     return out.select("judge", "model", *[F.round(c, digits).alias(c) for c in (*domains, "mean")], "n_domains", *flags, rank)
 
 
+def shown_across(board: DataFrame, domains: Sequence[str], profiles: Sequence[str]) -> DataFrame:
+    """Per judge and shown model, the reference among them: mean rating, mean win rate and the domains it is in, a column
+    per domain, flags for each best value, the rank of the mean, and missing: a profile on the list that the judge's
+    leaderboards lack, which has no figures."""
+    labels = [REFERENCE, *(f"baseline:{p}" for p in profiles)]
+    shown = board.where(F.col("model").isin(*labels))
+    means = shown.groupBy("judge", "model").agg(F.round(F.avg("win_rate"), 6).alias("win_rate"))
+    listed = board.select("judge").distinct().withColumn("model", F.explode(F.array(*map(F.lit, labels))))
+    out = across_domains(shown, "rating", domains).join(means, ["judge", "model"])
+    full = listed.join(out, ["judge", "model"], "left").where((F.col("model") != REFERENCE) | F.col("mean").isNotNull())
+    return full.withColumn("missing", F.col("mean").isNull())
+
+
+def bucket_gap(board: DataFrame) -> DataFrame:
+    """Per judge and bucket the reference's rating; gap: its rating on accepted cases less that on rejected ones."""
+    own = board.where(F.col("model") == REFERENCE).select("judge", "bucket", "rating")
+    at = lambda name: F.max(F.when(F.col("bucket") == name, F.col("rating"))).over(W.partitionBy("judge"))
+    return own.select("judge", "bucket", F.round("rating", 4).alias("reference_rating"), F.round(at("Accepted") - at("Rejected"), 4).alias("gap"))
+
+
+def recall_against_arena(recalls: DataFrame, board: DataFrame) -> DataFrame:
+    """recalls (judge, model, ratio) with the mean rating of board's domains and both ranks; delta: the rank by rating less that by recall."""
+    rating = board.groupBy("judge", "model").agg(F.avg("rating").alias("rating"))
+    rank = lambda c: F.row_number().over(W.partitionBy("judge").orderBy(F.desc(c), "model"))
+    both = recalls.join(rating, ["judge", "model"])
+    return both.select("*", rank("ratio").alias("recall_rank"), rank("rating").alias("arena_rank")).withColumn("delta", F.col("arena_rank") - F.col("recall_rank"))
+
+
+def anchors(rows: DataFrame) -> DataFrame:
+    """rows of recall_against_arena for profiles in both modes only, ranked anew, with profile, headline and counter.
+
+    headline: the profile that recall rates above the arena the most; counter: the one it rates below the most. Of
+    equal ones the last and the first by recall.
+    """
+    named = rows.drop("recall_rank", "arena_rank", "delta").withColumn("mode", mode_of(F.col("model"))).withColumn("profile", profile_of(F.col("model")))
+    both = named.withColumn("modes", F.size(F.collect_set("mode").over(W.partitionBy("judge", "profile")))).where("modes = 2").drop("modes", "mode")
+    rank = lambda c: F.row_number().over(W.partitionBy("judge").orderBy(F.desc(c), "model"))
+    placed = both.select("*", rank("ratio").alias("recall_rank"), rank("rating").alias("arena_rank")).withColumn("delta", F.col("arena_rank") - F.col("recall_rank"))
+    at = F.struct("delta", "recall_rank")
+    return placed.withColumn("headline", F.max_by("profile", at).over(W.partitionBy("judge"))).withColumn("counter", F.min_by("profile", at).over(W.partitionBy("judge")))
+
+
 def _modes(board: DataFrame) -> DataFrame:
     return board.withColumn("mode", mode_of(F.col("model"))).withColumn("profile", profile_of(F.col("model")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.functions.labels import POOLS, REFERENCE, in_pool
+from ratewell.functions.labels import POOLS, REFERENCE, in_pool, profile_of
 from ratewell.functions.parsing import with_json
 from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, pair_mean, recall_ratio, set_mean, summary
 
@@ -54,14 +54,20 @@ def leaderboard(scored: DataFrame, keys: Sequence[str] = ("domain", "judge", "po
     return wide.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("rating"), "model")))
 
 
-def recall_table(records: DataFrame, domains: Sequence[str], least: int) -> DataFrame:
+def recall_table(records: DataFrame, domains: Sequence[str], least: int, profiles: Sequence[str] | None = None, rated: DataFrame | None = None) -> DataFrame:
     """Per judge and label: mean hits, total and ratio, the ratio's sample deviation (0 for one case) and cases.
 
-    The reference, cases without a total and labels with fewer cases are left out.
+    The reference, cases without a total and labels with fewer cases are left out; so are, where given, profiles that
+    are not on the list and labels (judge, model) that rated lacks.
     """
     rows = records.where(F.col("domain").isin(*domains) & (F.col("model") != REFERENCE) & (F.col("recall.total") > 0)).withColumn("ratio", recall_ratio(F.col("recall")))
-    out = rows.groupBy("judge", "model").agg(F.avg("recall.hits").alias("hits"), F.avg("recall.total").alias("total"), F.avg("ratio").alias("ratio"), F.coalesce(F.stddev_samp("ratio"), F.lit(0.0)).alias("deviation"), F.count(F.lit(1)).alias("n"))
-    return out.where(F.col("n") >= least)
+    if profiles is not None:
+        rows = rows.where(profile_of(F.col("model")).isin(*profiles))
+    out = rows.groupBy("judge", "model").agg(
+        F.avg("recall.hits").alias("hits"), F.avg("recall.total").alias("total"), F.avg("ratio").alias("ratio"),
+        F.coalesce(F.stddev_samp("ratio"), F.lit(0.0)).alias("deviation"), F.count(F.lit(1)).alias("n"),
+    ).where(F.col("n") >= least)
+    return out if rated is None else out.join(rated.select("judge", "model").distinct(), ["judge", "model"], "left_semi")
 
 
 def parsed_verdicts(answers: DataFrame, text: str) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: What stands for a submission without hypotheses.
+NO_HYPOTHESES = "(no hypotheses)"
+
 
 def last_of(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in an order that must be total to be the same in every run."""
@@ -63,9 +66,27 @@ def record_key(id_: Column, case_id: Column) -> Column:
     return F.coalesce(some(id_), some(case_id))
 
 
+def every(rows: DataFrame, registry: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each row with each entry of a registry. A registry of up to `most` entries goes to every task; a larger one is dealt out."""
+    if registry.limit(most + 1).count() <= most:
+        return rows.crossJoin(F.broadcast(registry))  # the product is what is asked for
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(parts)))
+    return dealt.join(registry.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "_part").drop("_part")
+
+
 def block(hypotheses: Column) -> Column:
-    """Numbered hypotheses as one text."""
-    return F.array_join(F.transform(hypotheses, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    """Numbered hypotheses (category, hypothesis, evidence) as one text, the category where there is one."""
+
+    def one(h: Column, i: Column) -> Column:
+        category = F.when(F.coalesce(h["category"], F.lit("")) != "", F.concat(F.lit("["), h["category"], F.lit("] "))).otherwise("")
+        return F.concat((i + 1).cast("string"), F.lit(". "), category, h["hypothesis"], F.lit("\nEvidence: "), h["evidence"])
+
+    return F.when(F.size(hypotheses) > 0, F.array_join(F.transform(hypotheses, one), "\n")).otherwise(NO_HYPOTHESES)
+
+
+def _context() -> Column:
+    return F.concat(F.lit("Context:\n"), "context")
 
 
 def arena_requests(found: DataFrame, contexts: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -75,11 +96,24 @@ def arena_requests(found: DataFrame, contexts: DataFrame, blocks: DataFrame) ->
     """
     side = lambda s: blocks.select("case_id", F.col("label").alias(f"model_{s}"), F.col("block").alias(f"block_{s}"))
     both = found.join(side("a"), ["case_id", "model_a"]).join(side("b"), ["case_id", "model_b"]).join(contexts, "case_id")
-    text = lambda a, b: F.concat(F.lit("Context:\n"), "context", F.lit("\n\nA:\n"), a, F.lit("\n\nB:\n"), b)
+    text = lambda a, b: F.concat(_context(), F.lit("\n\nA:\n"), a, F.lit("\n\nB:\n"), b)
     ways = F.array(F.struct(F.lit("forward").alias("direction"), text("block_a", "block_b").alias("prompt")), F.struct(F.lit("reverse").alias("direction"), text("block_b", "block_a").alias("prompt")))
     return both.select("case_id", "model_a", "model_b", F.explode(ways).alias("w")).select("case_id", "model_a", "model_b", "w.*")
 
 
+def score_requests(found: DataFrame, contexts: DataFrame, blocks: DataFrame, shown: Column, reference: str = "reference") -> DataFrame:
+    """A request per submission; where shown holds, with the reference's block, unless that has no hypotheses."""
+    own = blocks.where(F.col("label") == reference).where(F.col("block") != NO_HYPOTHESES).select("case_id", F.col("block").alias("reference_block"))
+    rows = found.join(blocks, ["case_id", "label"]).join(own, "case_id", "left").join(contexts, "case_id")
+    tail = F.when(shown & F.col("reference_block").isNotNull(), F.concat(F.lit("\n\nReference:\n"), "reference_block")).otherwise("")
+    return rows.select("case_id", "label", F.concat(_context(), F.lit("\n\nSubmission:\n"), "block", tail).alias("prompt"))
+
+
+def generation_requests(found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """A request per case and label that has no submission."""
+    return found.join(contexts, "case_id").select("case_id", "label", F.concat(F.lit("Write hypotheses with evidence for the context.\n\n"), _context()).alias("prompt"))
+
+
 def assemble(directions: DataFrame) -> DataFrame:
     """Matches from verdicts per direction; pairs with one direction only are not complete and stay out."""
     one = lambda d: directions.where(F.col("direction") == d).select("case_id", "model_a", "model_b", F.col("score").alias(d))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.functions.labels import display_name, in_pool, mode_of, profile_of
+from ratewell.functions.labels import POOLS, display_name, in_pool, mode_of, profile_of
 from ratewell.functions.verdicts import SCORES, consistent, debiased, score_of, winner_of
 from ratewell.operators import arena, reports
-from ratewell.plans.tables import DOMAINS, table, with_sql
+from ratewell.plans.tables import DOMAINS, ELIGIBLE, SHOWN, table, with_sql
 
 Q = {}
 SQL = {}
@@ -91,10 +91,13 @@ def win_loss_tie(spark, sf_dir):
     return arena.win_loss_tie(scored(spark, sf_dir), ["domain", "judge"]).withColumn("win_rate", F.round("win_rate", 6))
 
 
-@query("SELECT judge, model, count(*) AS n_observations, round((sum(CASE WHEN own > 0.5 THEN 1 ELSE 0 END) + sum(CASE WHEN own = 0.5 THEN 1 ELSE 0 END) / 2.0) / count(*), 6) AS half_tie_rate FROM sides GROUP BY judge, model", "sides")
+BASELINE = "(SELECT judge, CASE side WHEN 1 THEN model_a ELSE model_b END AS model, CASE side WHEN 1 THEN score ELSE 1 - score END AS own FROM scored CROSS JOIN (SELECT 1 AS side UNION ALL SELECT 2) x WHERE (model_a = 'reference' OR starts_with(model_a, 'baseline:')) AND (model_b = 'reference' OR starts_with(model_b, 'baseline:')))"
+
+
+@query(f"SELECT judge, model, count(*) AS n_observations, round((sum(CASE WHEN own > 0.5 THEN 1 ELSE 0 END) + sum(CASE WHEN own = 0.5 THEN 1 ELSE 0 END) / 2.0) / count(*), 6) AS half_tie_rate FROM {BASELINE} b GROUP BY judge, model", "scored")
 def cross_domain_winrate(spark, sf_dir):
-    """Share of wins over all domains, a tie counted half."""
-    return arena.half_tie_rate(scored(spark, sf_dir), ["judge"]).withColumn("half_tie_rate", F.round("half_tie_rate", 6))
+    """Share of wins over all domains among baselines and the reference, a tie counted half."""
+    return arena.half_tie_rate(arena.by_pool(scored(spark, sf_dir), ["baseline"]), ["judge"]).withColumn("half_tie_rate", F.round("half_tie_rate", 6))
 
 
 @query(
@@ -116,7 +119,7 @@ def btd_ratings(spark, sf_dir):
 @query()
 def arena_leaderboard(spark, sf_dir):
     """Leaderboards of all domains, judges and pools in one pass."""
-    return arena.leaderboard(arena.by_pool(scored(spark, sf_dir))).withColumn("rating", F.round("rating", 4)).withColumn("win_rate", F.round("win_rate", 6)).withColumn("position_consistency", F.round("position_consistency", 6))
+    return arena.leaderboard(scored(spark, sf_dir), pools=POOLS).withColumn("rating", F.round("rating", 4)).withColumn("win_rate", F.round("win_rate", 6)).withColumn("position_consistency", F.round("position_consistency", 6))
 
 
 @query(f"SELECT domain, judge, pool, round(avg(CASE WHEN consistent THEN 1.0 ELSE 0.0 END), 6) AS position_consistency, count(*) AS n FROM scored CROSS JOIN {POOLS_SQL} WHERE {IN_POOL.format('model_a')} AND {IN_POOL.format('model_b')} GROUP BY ALL", "scored")
@@ -166,28 +169,40 @@ def bucket_summary(spark, sf_dir):
 
 @query()
 def bucket_btd(spark, sf_dir):
-    """Leaderboards per bucket of cases, and the reference's lead over the best other model."""
+    """The reference's rating on each bucket's matches, and how far accepted cases lead rejected ones (null without both)."""
     buckets = reports.with_bucket(table(spark, sf_dir, "cases")).where("bucket IS NOT NULL").select("case_id", "bucket")
     board = arena.leaderboard(scored(spark, sf_dir).join(buckets, "case_id"), ["judge", "bucket"])
-    other = F.max(F.when(F.col("model") != "reference", F.col("rating")))
-    own = F.max(F.when(F.col("model") == "reference", F.col("rating")))
-    return board.groupBy("judge", "bucket").agg(F.round(own, 4).alias("reference_rating"), F.round(own - other, 4).alias("gap"))
+    return reports.bucket_gap(board)
+
+
+LIST = str(ELIGIBLE)
 
 
-@query("SELECT a.domain AS domain, count(*) AS n_matches, round(avg(CASE WHEN sign(a.score - 0.5) = sign(b.score - 0.5) THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM scored a JOIN scored b ON a.case_id = b.case_id AND a.model_a = b.model_a AND a.model_b = b.model_b WHERE a.judge = 'j0' AND b.judge = 'j1' GROUP BY a.domain", "scored")
+@query(
+    f"""SELECT a.domain AS domain, count(*) AS n_matches, round(avg(CASE WHEN {WINNER.format('a.forward')} = {WINNER.format('b.forward')} THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM matches a
+    JOIN matches b ON a.domain = b.domain AND a.case_id = b.case_id AND a.model_a = b.model_a AND a.model_b = b.model_b
+    WHERE a.judge = 'j0' AND b.judge = 'j1' AND a.model_a IN {LIST} AND a.model_b IN {LIST} GROUP BY a.domain""",
+    "matches",
+)
 def judge_agreement(spark, sf_dir):
-    """How often two judges name the same winner."""
-    return arena.agreement(table(spark, sf_dir, "matches"), "j0", "j1").withColumn("agreement", F.round("agreement", 6))
+    """How often two judges name the same winner in the forward direction, among eligible models."""
+    return arena.agreement(table(spark, sf_dir, "matches"), "j0", "j1", labels=ELIGIBLE).withColumn("agreement", F.round("agreement", 6))
 
 
 def board(spark, sf_dir, pool: str = "full") -> DataFrame:
-    return arena.leaderboard(arena.by_pool(scored(spark, sf_dir), [pool]))
+    return arena.leaderboard(scored(spark, sf_dir), pools=[pool])
+
+
+def eligible_board(spark, sf_dir) -> DataFrame:
+    """Leaderboards of baselines and the reference; of these, the models that reports show."""
+    return board(spark, sf_dir, "baseline").where(F.col("model").isin(*ELIGIBLE))
 
 
 @query()
 def cross_domain_arena(spark, sf_dir):
-    """Mean rating and win rate over domains, with a column per domain and whether the mean is the judge's best."""
-    return reports.across_domains(board(spark, sf_dir), "rating", DOMAINS)
+    """Mean rating and mean win rate of shown baselines and the reference over the domains they are in, with a column per
+    domain and flags for the judge's best; shown profiles that no leaderboard has are reported with nulls."""
+    return reports.shown_across(board(spark, sf_dir, "baseline"), DOMAINS, SHOWN)
 
 
 @query()
@@ -211,26 +226,27 @@ def mode_means(spark, sf_dir):
 @query()
 def judge_rank_corr(spark, sf_dir):
     """Spearman's and Kendall's correlation of two judges' ratings, per domain and over all."""
-    return reports.judge_correlation(board(spark, sf_dir), "j0", "j1")
+    return reports.judge_correlation(eligible_board(spark, sf_dir), "j0", "j1")
 
 
 @query()
 def topk_overlap(spark, sf_dir):
-    """How many of the first five models two judges share, per domain."""
-    return reports.top_overlap(board(spark, sf_dir), "j0", "j1", 5)
+    """How many of the first five eligible models two judges share, per domain."""
+    return reports.top_overlap(eligible_board(spark, sf_dir), "j0", "j1", 5)
 
 
 @query()
 def rank_shift(spark, sf_dir):
-    """Mean absolute difference of ranks among models that two judges share."""
-    return reports.rank_shift(board(spark, sf_dir), "j0", "j1")
+    """Mean absolute difference of ranks among eligible models that two judges share."""
+    return reports.rank_shift(eligible_board(spark, sf_dir), "j0", "j1")
 
 
 @query()
 def judge_summary(spark, sf_dir):
     """Match-weighted agreement, mean overlap and mean rank shift of two judges."""
-    b = board(spark, sf_dir)
-    agreed = arena.agreement(table(spark, sf_dir, "matches"), "j0", "j1").agg(F.sum("n_matches").alias("n_matches"), (F.sum(F.col("agreement") * F.col("n_matches")) / F.sum("n_matches")).alias("agreement"))
+    b = eligible_board(spark, sf_dir)
+    agreed = arena.agreement(table(spark, sf_dir, "matches"), "j0", "j1", labels=ELIGIBLE)
+    agreed = agreed.agg(F.sum("n_matches").alias("n_matches"), (F.sum(F.col("agreement") * F.col("n_matches")) / F.sum("n_matches")).alias("agreement"))
     over = reports.top_overlap(b, "j0", "j1", 5).agg(F.avg("overlap").alias("mean_overlap"))
     shift = reports.rank_shift(b, "j0", "j1").agg(F.avg("mean_shift").alias("mean_shift"))
     return agreed.crossJoin(over).crossJoin(shift)  # one row each

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ratewell.functions.labels import mode_of, profile_of
-from ratewell.operators import arena
-from ratewell.plans.arena_plans import WLT, board, scored
+from ratewell.plans.arena_plans import WLT, board
+from ratewell.plans.score_plans import scored as rubric_scored
 from ratewell.plans.tables import table, with_sql
 from ratewell.sources import logs
 from ratewell.streaming import live
@@ -122,23 +122,33 @@ def stream_wlt(spark, sf_dir):
     """Wins, losses and ties as a stream keeps them."""
     path, stream = _stream(spark, sf_dir)
     live.running_totals(stream, KEYS, f"{path}-out", f"{path}-checkpoint")
-    return spark.read.parquet(f"{path}-out/state")
+    return live.latest(spark, f"{path}-out", "state")
 
 
 @query()
 def stream_leaderboard(spark, sf_dir):
-    """Ratings from the sums of all batches of a stream."""
+    """Ratings that follow a stream of matches; a batch rates the groups anew that it touches."""
     path, stream = _stream(spark, sf_dir)
-    live.matrix_increments(stream, KEYS, f"{path}-out", f"{path}-checkpoint")
-    return arena.ratings(live.matrix_total(spark, f"{path}-out", KEYS), KEYS).select(*KEYS, "model", F.round("rating", 4).alias("rating"), "converged")
+    live.follow_arena(stream, KEYS, f"{path}-out", f"{path}-checkpoint")
+    return live.latest(spark, f"{path}-out", "board").select(*KEYS, "model", F.round("rating", 4).alias("rating"), "converged")
+
+
+@query("SELECT domain, judge, model, round(avg(s_score), 6) AS rating, count(*) AS n_observations FROM summaries GROUP BY domain, judge, model", "summaries")
+def stream_score_leaderboard(spark, sf_dir):
+    """Mean scores that follow a stream of score records."""
+    path = logs.scratch(spark, "log")
+    rows = rubric_scored(spark, sf_dir).select(*KEYS, "model", "case_id", "s_score")
+    rows.repartition(3, "case_id").write.parquet(path)
+    live.follow_scores(live.read_log(spark, path, rows.schema), KEYS, f"{path}-out", f"{path}-checkpoint")
+    return live.latest(spark, f"{path}-out", "board").withColumn("rating", F.round("rating", 6))
 
 
 @query("SELECT domain, judge, model_a AS model_lo, model_b AS model_hi, sum(CASE WHEN score > 0.5 THEN (score - 0.5) * 2 ELSE 0 END) AS win_lo, sum(CASE WHEN score < 0.5 THEN (0.5 - score) * 2 ELSE 0 END) AS win_hi, sum(1 - abs(score - 0.5) * 2) AS ties, count(*) AS n FROM scored GROUP BY domain, judge, model_a, model_b", "scored")
 def stream_pair_matrix(spark, sf_dir):
     """The pair matrix that a stream adds up."""
     path, stream = _stream(spark, sf_dir)
-    live.matrix_increments(stream, KEYS, f"{path}-out", f"{path}-checkpoint")
-    return live.matrix_total(spark, f"{path}-out", KEYS)
+    live.follow_arena(stream, KEYS, f"{path}-out", f"{path}-checkpoint")
+    return live.latest(spark, f"{path}-out", "total")
 
 
 def _dedup(spark, m):
@@ -148,20 +158,17 @@ def _dedup(spark, m):
     turned = m.withColumns({"model_a": F.col("model_b"), "model_b": F.col("model_a")})
     m.union(turned.select(*MATCH.names)).repartition(2, "model_a").write.parquet(path)
     out = f"{path}-out"
-    live.run_to_end(live.once(live.read_log(spark, path, MATCH), ["judge", "case_id"]), f"{path}-checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    live.run(live.once(live.read_log(spark, path, MATCH), ["judge", "case_id"]), f"{path}-checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
     return spark.read.parquet(out).select("judge", "case_id", F.least("model_a", "model_b").alias("model_lo"), F.greatest("model_a", "model_b").alias("model_hi"))
 
 
-@query("SELECT judge, case_id, model_a AS model_lo, model_b AS model_hi FROM matches WHERE o % 4 = 0", "matches")
+@query("SELECT judge, case_id, model_a AS model_lo, model_b AS model_hi FROM matches", "matches")
 def stream_dedup(spark, sf_dir):
-    """A log of a quarter of the cases that has every comparison in both orders, each kept once."""
-    return _dedup(spark, table(spark, sf_dir, "matches").where("o % 4 = 0"))
+    """A log that has every comparison in both orders, each kept once."""
+    return _dedup(spark, table(spark, sf_dir, "matches"))
 
 
-@query("SELECT judge, case_id, model_a AS model_lo, model_b AS model_hi FROM matches", "matches")
-def stream_dedup_all(spark, sf_dir):
-    """A log that has every comparison of all cases in both orders, each kept once."""
-    return _dedup(spark, table(spark, sf_dir, "matches"))
+Q["stream_dedup_all"], SQL["stream_dedup_all"] = stream_dedup, SQL["stream_dedup"]
 
 
 def _pending(spark, sub):
@@ -172,13 +179,10 @@ def _pending(spark, sub):
     return spark.read.parquet(f"{path}-out").select("case_id", "model_a", "model_b")
 
 
-@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 4 = 0", "sub")
+@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label", "sub")
 def stream_pending(spark, sf_dir):
-    """Pairs of a quarter of the cases as submissions arrive, file by file."""
-    return _pending(spark, table(spark, sf_dir, "sub").where("o % 4 = 0"))
+    """Pairs as submissions arrive, file by file."""
+    return _pending(spark, table(spark, sf_dir, "sub"))
 
 
-@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label", "sub")
-def stream_pending_all(spark, sf_dir):
-    """Pairs of all cases as submissions arrive, file by file."""
-    return _pending(spark, table(spark, sf_dir, "sub"))
+Q["stream_pending_all"], SQL["stream_pending_all"] = stream_pending, SQL["stream_pending"]

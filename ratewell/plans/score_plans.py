@@ -11,7 +11,7 @@ from ratewell.operators import arena, reports, score
 from ratewell.operators.rankstats import correlations
 from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL
 from ratewell.plans.arena_plans import board as arena_board
-from ratewell.plans.tables import DOMAINS, MULTI, table, with_sql
+from ratewell.plans.tables import DOMAINS, ELIGIBLE, MULTI, SHOWN, table, with_sql
 
 Q = {}
 SQL = {}
@@ -130,13 +130,25 @@ def score_details(spark, sf_dir):
     return wide.select("domain", "model", *[F.round(n, 6).alias(n) for n in names])
 
 
-RECALL = "SELECT judge, model, avg(hits) AS hits, avg(total) AS total, avg(hits * 1.0 / total) AS ratio, coalesce(stddev_samp(hits * 1.0 / total), 0.0) AS deviation, count(*) AS n FROM recalls WHERE total IS NOT NULL AND model <> 'reference' AND domain IN " + str(MULTI) + " GROUP BY judge, model HAVING count(*) >= 5"
+RECALL = f"""SELECT judge, model, avg(hits) AS hits, avg(total) AS total, avg(hits * 1.0 / total) AS ratio, coalesce(stddev_samp(hits * 1.0 / total), 0.0) AS deviation, count(*) AS n FROM judged_recalls r
+    WHERE total IS NOT NULL AND model <> 'reference' AND domain IN {MULTI} AND split_part(model, ':', 2) IN {SHOWN} AND EXISTS (SELECT 1 FROM sides x WHERE x.judge = r.judge AND x.model = r.model)
+    GROUP BY judge, model HAVING count(*) >= 5"""
 
 
-@query("SELECT judge, model, round(hits, 6) AS hits, round(total, 6) AS total, round(ratio, 6) AS ratio, round(deviation, 6) AS deviation, n FROM (" + RECALL + ") x", "recalls")
+def judged_recalls(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "judged_recalls")
+    return rows.withColumn("recall", F.when(F.col("total").isNotNull(), F.struct("hits", "total"))).drop("hits", "total")
+
+
+def recall_rows(spark, sf_dir, least: int = 5) -> DataFrame:
+    """Recall of shown models that both judges' arenas rate."""
+    return score.recall_table(judged_recalls(spark, sf_dir), MULTI, least, SHOWN, arena.sides(arena.with_scores(table(spark, sf_dir, "matches"))))
+
+
+@query("SELECT judge, model, round(hits, 6) AS hits, round(total, 6) AS total, round(ratio, 6) AS ratio, round(deviation, 6) AS deviation, n FROM (" + RECALL + ") x", "judged_recalls", "sides")
 def recall_table(spark, sf_dir):
     """Recall of reference hypotheses per label."""
-    return score.recall_table(records(spark, sf_dir), MULTI, 5).select("judge", "model", *[F.round(x, 6).alias(x) for x in ("hits", "total", "ratio", "deviation")], "n")
+    return recall_rows(spark, sf_dir).select("judge", "model", *[F.round(x, 6).alias(x) for x in ("hits", "total", "ratio", "deviation")], "n")
 
 
 @query("SELECT domain, model, round(avg(s_score), 6) AS overall, count(*) AS n FROM summaries WHERE contains(model, 'agent') GROUP BY domain, model", "summaries")
@@ -163,17 +175,12 @@ def rubric_rank_delta(spark, sf_dir):
     return means.select("domain", "model", (rank("x") - rank("y")).alias("delta"))
 
 
-@query(
-    """, r AS (SELECT domain, model, count(total) AS n FROM recalls GROUP BY domain, model)
-    SELECT model, count(*) AS n_domains FROM r WHERE n > 0 GROUP BY model HAVING count(*) = (SELECT count(DISTINCT domain) FROM r)""",
-    "recalls",
-)
+@query("SELECT model, count(*) AS n_judges, min(n) AS least_cases FROM (" + RECALL.replace(">= 5", ">= 30") + ") x GROUP BY model HAVING count(*) = (SELECT count(DISTINCT judge) FROM judged_recalls)", "judged_recalls", "sides")
 def common_recall_rows(spark, sf_dir):
-    """Models with recall in every domain."""
-    some = records(spark, sf_dir).groupBy("domain", "model").agg(F.count("recall.total").alias("n"))
-    all_ = some.agg(F.countDistinct("domain").alias("n_all"))
-    held = some.where("n > 0").groupBy("model").agg(F.count(F.lit(1)).alias("n_domains"))
-    return held.crossJoin(all_).where("n_domains = n_all").select("model", "n_domains")  # all_ is one row
+    """Labels with a recall row under every judge."""
+    judges = judged_recalls(spark, sf_dir).agg(F.countDistinct("judge").alias("n_all"))
+    held = recall_rows(spark, sf_dir, 30).groupBy("model").agg(F.count(F.lit(1)).alias("n_judges"), F.min("n").alias("least_cases"))
+    return held.crossJoin(judges).where("n_judges = n_all").drop("n_all")  # judges is one row
 
 
 @query("SELECT split_part(model, ':', 2) AS profile FROM (SELECT DISTINCT model FROM records WHERE model <> 'reference') x GROUP BY 1 HAVING count(*) = 2", "records")
@@ -187,39 +194,48 @@ def paired_models(spark, sf_dir):
 
 @query()
 def spread_ratio(spark, sf_dir):
-    """How far ratings spread in the arena and in the rubric, per domain, with and without the reference."""
-    spread = lambda b, name, on: b.where(on).groupBy("domain").agg((F.max("rating") - F.min("rating")).alias(name))
-    a, s = arena_board(spark, sf_dir).where("judge = 'j0'"), board(spark, sf_dir)
-    every, others = F.lit(True), F.col("model") != "reference"
-    out = spread(a, "arena", every).join(spread(s, "rubric", every), "domain").join(spread(a, "arena_others", others), "domain").join(spread(s, "rubric_others", others), "domain")
-    return out.select("domain", *[F.round(c, 4).alias(c) for c in ("arena", "rubric", "arena_others", "rubric_others")], F.round(F.try_divide("arena", "rubric"), 4).alias("ratio"))
+    """How far ratings of shown baselines spread in the arena and in the rubric, per judge and domain, with and without the reference."""
+    spread = lambda b, name, on: b.where(on & F.col("model").isin(*ELIGIBLE)).groupBy("judge", "domain").agg((F.max("rating") - F.min("rating")).alias(name))
+    a, s = arena_board(spark, sf_dir, "baseline"), score.leaderboard(score.by_pool(scored(spark, sf_dir), ["baseline"]))
+    every, others, on = F.lit(True), F.col("model") != "reference", ["judge", "domain"]
+    out = spread(a, "arena", every).join(spread(a, "arena_others", others), on)
+    out = out.join(spread(s, "rubric", every), on, "left").join(spread(s, "rubric_others", others), on, "left")
+    return out.select(*on, *[F.round(c, 4).alias(c) for c in ("arena", "rubric", "arena_others", "rubric_others")], F.round(F.try_divide("arena", "rubric"), 4).alias("ratio"))
 
 
-def _recall_against_arena(spark, sf_dir) -> DataFrame:
-    rating = arena_board(spark, sf_dir).where(F.col("domain").isin(*MULTI) & (F.col("judge") == "j0")).groupBy("model").agg(F.avg("rating").alias("rating"))
-    return score.recall_table(records(spark, sf_dir), MULTI, 5).join(rating, "model")
+#: The domains over which ratings are averaged.
+DOMAIN_SETS = {"all": DOMAINS, "real_world": MULTI, "research": DOMAINS[:3]}
+
+
+@query()
+def mean_ratings(spark, sf_dir):
+    """Mean rating of every label over each set of domains."""
+    rows = arena_board(spark, sf_dir).withColumn("domains", F.explode(F.filter(F.array(*map(F.lit, DOMAIN_SETS)), lambda d: F.array_contains(F.create_map(*[x for k, v in DOMAIN_SETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[d], F.col("domain")))))
+    return rows.groupBy("judge", "domains", "model").agg(F.round(F.avg("rating"), 4).alias("rating"), F.count(F.lit(1)).alias("n_domains"))
+
+
+def _recall_against_arena(spark, sf_dir, domains: str = "all") -> DataFrame:
+    board_ = arena_board(spark, sf_dir).where(F.col("domain").isin(*DOMAIN_SETS[domains]))
+    return reports.recall_against_arena(score.recall_table(judged_recalls(spark, sf_dir), MULTI, 5, SHOWN), board_)
 
 
 @query()
 def recall_rank_delta(spark, sf_dir):
-    """Rank by recall, rank by rating, and their difference."""
-    rank = lambda c: F.row_number().over(W.partitionBy("judge").orderBy(F.desc(c), "model"))
-    return _recall_against_arena(spark, sf_dir).select("judge", "model", F.round("ratio", 6).alias("ratio"), F.round("rating", 4).alias("rating"), rank("ratio").alias("recall_rank"), rank("rating").alias("arena_rank")).withColumn("delta", F.col("recall_rank") - F.col("arena_rank"))
+    """Rank by recall, rank by rating, their difference, and the judge's rank correlation."""
+    rows = _recall_against_arena(spark, sf_dir)
+    rho = correlations(rows, ["judge"], "ratio", "rating").select("judge", "rho")
+    return rows.join(rho, "judge").select("judge", "model", F.round("ratio", 6).alias("ratio"), F.round("rating", 4).alias("rating"), "recall_rank", "arena_rank", "delta", "rho")
 
 
 @query()
 def recall_anchors(spark, sf_dir):
-    """The models whose rank by recall is furthest above and below their rank by rating."""
-    rows = recall_rank_delta(spark, sf_dir)
-    best = lambda f, tie: f("model", F.struct("delta", tie))
-    return rows.groupBy("judge").agg(best(F.max_by, -F.col("arena_rank")).alias("most_above"), best(F.min_by, F.col("arena_rank")).alias("most_below"))
+    """Of profiles in both modes, the one that recall rates furthest above the arena and the one it rates furthest below."""
+    return reports.anchors(_recall_against_arena(spark, sf_dir)).groupBy("judge").agg(F.first("headline").alias("headline"), F.first("counter").alias("counter"), F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def recall_trend(spark, sf_dir):
-    """Least squares of rating on recall, without the model of the lowest rating, and the rank correlation."""
-    rows = _recall_against_arena(spark, sf_dir)
-    low = rows.groupBy("judge").agg(F.min_by("model", "rating").alias("outlier"))
-    rest = rows.join(low, "judge").where("model <> outlier")
-    fit = rest.groupBy("judge").agg(F.round(F.regr_slope("rating", "ratio"), 6).alias("slope"), F.round(F.regr_intercept("rating", "ratio"), 6).alias("intercept"))
-    return fit.join(correlations(rows, ["judge"], "ratio", "rating"), "judge")
+    """Least squares of rating on recall, over profiles in both modes without the headline one; null where too few are left."""
+    rows = reports.anchors(_recall_against_arena(spark, sf_dir))
+    rating, ratio = (F.when(F.col("profile") != F.col("headline"), F.col(c)) for c in ("rating", "ratio"))
+    return rows.groupBy("judge").agg(F.first("headline").alias("outlier"), F.count(rating).alias("n"), F.round(F.regr_slope(rating, ratio), 6).alias("slope"), F.round(F.regr_intercept(rating, ratio), 6).alias("intercept"))

@@ -104,7 +104,7 @@ def jonckheere(spark, sf_dir):
     return rankstats.jonckheere(_ordered(spark, sf_dir), ["domain"], "g", "q").select("domain", "k", "n", "j", F.round("p_increasing", 6).alias("p_increasing"), F.round("p_two_sided", 6).alias("p_two_sided"))
 
 
-REPLICATES = 400
+REPLICATES = 2000
 DRAW = "((((42 * 1103515 + b * 12345 + 97) % 1000003 * 1103515 + d * 12345 + 97) % 1000003 * 1103515 + (b + d) * 12345 + 97) % 1000003) % n"
 DRAWN = MEANS + f""", o AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY model) - 1 AS place, count(*) OVER (PARTITION BY domain) AS n FROM m), g AS (SELECT DISTINCT domain, n FROM o),
     t AS (SELECT domain, b, {DRAW} AS place FROM g, range({REPLICATES}) x(b), range(100) y(d) WHERE d < n), e AS (SELECT t.domain, t.b, o.x, o.y FROM t JOIN o ON t.domain = o.domain AND t.place = o.place)"""
@@ -115,13 +115,13 @@ def _drawn(spark, sf_dir) -> DataFrame:
     rows = means(spark, sf_dir)
     placed = rows.withColumn("place", F.row_number().over(W.partitionBy("domain").orderBy("model")) - 1)
     draws = rankstats.bootstrap_draws(rows, ["domain"], REPLICATES)
-    return draws.join(placed, ["domain", "place"]).withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int"))))
+    return draws.join(placed, ["domain", "place"])
 
 
 @query(DRAWN + ", s AS (SELECT domain, b, median(y) AS v FROM e GROUP BY domain, b)" + INTERVAL, "summaries")
 def bootstrap_median(spark, sf_dir):
     """Interval of the median S over models, per domain."""
-    estimates = _drawn(spark, sf_dir).groupBy("domain", "replicate").agg(F.median("y").alias("v"))
+    estimates = _drawn(spark, sf_dir).groupBy("domain", "replicate").agg(F.percentile("y", 0.5, F.col("times")).alias("v"))
     return rankstats.percentile_interval(estimates, ["domain"], "v")
 
 
@@ -133,6 +133,6 @@ def bootstrap_median(spark, sf_dir):
 def bootstrap_spearman(spark, sf_dir):
     """Interval of the rank correlation, per domain."""
     keys = ["domain", "replicate"]
-    ranked = rankstats.midranks(rankstats.midranks(_drawn(spark, sf_dir), keys, "x", "rx"), keys, "y", "ry")
-    estimates = ranked.groupBy(*keys).agg(F.round(F.corr("rx", "ry"), 9).alias("v"))
+    ranked = rankstats.drawn_midranks(rankstats.drawn_midranks(_drawn(spark, sf_dir), keys, "x", "rx"), keys, "y", "ry")
+    estimates = rankstats.weighted_correlation(ranked, keys, "rx", "ry", "times").withColumn("v", F.round("v", 9))
     return rankstats.percentile_interval(estimates, ["domain"], "v")

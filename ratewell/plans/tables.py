@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: The six domains in order; the last three take several hypotheses.
 DOMAINS = ("biomedical_science", "machine_learning", "social_science", "financial_analysis", "it_operations", "safety_investigation")
 MULTI = DOMAINS[3:]
+#: The profiles that reports show, and their labels where only one mode and the reference take part. m9 has no results.
+SHOWN = ("m1", "m2", "m3", "m4", "m5", "m6", "m9")
+ELIGIBLE = ("reference", *(f"baseline:{p}" for p in SHOWN))
 
 
 def _domain(key: str) -> str:
@@ -46,10 +49,13 @@ SQL = {
     "sets": """SELECT domain, judge, case_id, model, CAST(1 + o % 5 AS DOUBLE) AS breadth, CASE WHEN k > 1 THEN CAST(1 + (o + p) % 5 AS DOUBLE) END AS distinctness, CAST(1 + (o + q) % 5 AS DOUBLE) AS utility FROM records WHERE multi""",
     "recalls": """SELECT domain, judge, case_id, model, CASE s % 7 WHEN 2 THEN least(p % 4, 3) WHEN 3 THEN least(p % 9, 4) WHEN 5 THEN least(p % 6, 5) WHEN 6 THEN least(p % 6, 5) END AS hits,
         CASE s % 7 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 5 THEN 5 WHEN 6 THEN 5 END AS total FROM records""",
+    "judged_recalls": """SELECT domain, judge, case_id, model, hits, total FROM recalls
+        UNION ALL SELECT domain, 'j1', case_id, model, CASE WHEN p % 50 = s % 17 THEN least(q % 7, 5) END, CASE WHEN p % 50 = s % 17 THEN 5 END FROM records""",
     "q_pairs": """SELECT domain, judge, case_id, model, avg((grounding + insight + justification) / 3) AS q_pair FROM pairs GROUP BY domain, judge, case_id, model""",
     "q_sets": """SELECT domain, judge, case_id, model, CASE WHEN distinctness IS NULL THEN (breadth + utility) / 2 ELSE (breadth + distinctness + utility) / 3 END AS q_set FROM sets""",
     "summaries": """SELECT q.domain, q.judge, q.case_id, q.model, q.q_pair, z.q_set, CASE WHEN z.q_set IS NULL THEN q.q_pair ELSE (q.q_pair + z.q_set) / 2 END AS s_score
         FROM q_pairs q LEFT JOIN q_sets z ON q.domain = z.domain AND q.judge = z.judge AND q.case_id = z.case_id AND q.model = z.model""",
+    "texts": """SELECT doc_id, text FROM {documents}""",
     "hypotheses": f"""SELECT {_domain('l_orderkey')} AS domain, {_case('l_orderkey')} AS case_id, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p,
         CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE p_type END AS category FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey""",
     "skills": """SELECT DISTINCT domain, case_id, label, n, p % 14 AS skill FROM raw_sub WHERE k > 8 AND n <= 3""",

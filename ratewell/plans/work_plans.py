@@ -9,7 +9,7 @@ from ratewell.functions.parsing import hypotheses_of, names_of, with_json
 from ratewell.functions.verdicts import SCORES, score_of
 from ratewell.operators import worklist
 from ratewell.plans.tables import SQL as TABLES
-from ratewell.plans.tables import table, with_sql
+from ratewell.plans.tables import MULTI, table, with_sql
 
 Q = {}
 SQL = {}
@@ -109,8 +109,7 @@ def pending_scores(spark, sf_dir):
 @query("SELECT c.case_id, l.label FROM cases c CROSS JOIN labels_seen l WHERE c.context_passed AND c.hypothesis_passed AND NOT EXISTS (SELECT 1 FROM sub s WHERE s.case_id = c.case_id AND s.label = l.label)", "cases", "labels_seen", "sub")
 def pending_generation(spark, sf_dir):
     """Passed cases that a label has not answered."""
-    labels = table(spark, sf_dir, "labels_seen")  # one row per label of the registry
-    wanted = passed(spark, sf_dir).select("case_id").crossJoin(F.broadcast(labels.limit(10_000)))
+    wanted = worklist.every(passed(spark, sf_dir).select("case_id"), table(spark, sf_dir, "labels_seen"))
     return worklist.pending(wanted, table(spark, sf_dir, "sub"), ["case_id", "label"])
 
 
@@ -140,52 +139,71 @@ def pending_report(spark, sf_dir):
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
-    hypotheses = F.array(F.concat(F.lit("part "), F.col("p").cast("string")), F.concat(F.lit("supplier "), F.col("s").cast("string")))
+    """Each submission's hypotheses as one text: two in domains that take several, and none now and then."""
+    c, text = F.col, lambda name, x: F.concat(F.lit(name), x.cast("string"))
+    item = lambda category, hypothesis, evidence: F.struct(category.alias("category"), hypothesis.alias("hypothesis"), evidence.alias("evidence"))
+    one = item(F.when(c("p") % 13 != 0, text("c", c("p") % 7)), text("part ", c("p")), text("supplier ", c("s")))
+    two = item(text("c", c("s") % 7), text("supplier ", c("s")), text("part ", c("p")))
+    none = F.array().cast("array<struct<category:string,hypothesis:string,evidence:string>>")
+    hypotheses = F.when(c("p") % 29 == 0, none).when(c("o") % 6 >= 3, F.array(one, two)).otherwise(F.array(one))
     return table(spark, sf_dir, "sub").select("case_id", "label", worklist.block(hypotheses).alias("block"))
 
 
 def _contexts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "cases").select("o", "case_id", F.concat(F.lit("case "), "case_id").alias("context"))
+    """The text that each case is about."""
+    texts = table(spark, sf_dir, "texts").withColumnRenamed("text", "context")
+    return table(spark, sf_dir, "cases").select("case_id", (F.col("o") % 1000).alias("doc_id")).join(texts, "doc_id", "left").select("case_id", F.coalesce("context", F.lit("")).alias("context"))
 
 
-BLOCK = "concat('1. part ', CAST({0}.p AS STRING), chr(10), '2. supplier ', CAST({0}.s AS STRING))"
-PROMPT = "concat('Context:', chr(10), 'case ', a.case_id, chr(10), chr(10), 'A:', chr(10), {0}, chr(10), chr(10), 'B:', chr(10), {1})"
+BLOCK = """CASE WHEN {0}.p % 29 = 0 THEN '(no hypotheses)' ELSE concat('1. ', CASE WHEN {0}.p % 13 <> 0 THEN concat('[c', CAST({0}.p % 7 AS STRING), '] ') ELSE '' END, 'part ', CAST({0}.p AS STRING), chr(10), 'Evidence: supplier ', CAST({0}.s AS STRING),
+    CASE WHEN {0}.o % 6 >= 3 THEN concat(chr(10), '2. [c', CAST({0}.s % 7 AS STRING), '] supplier ', CAST({0}.s AS STRING), chr(10), 'Evidence: part ', CAST({0}.p AS STRING)) ELSE '' END) END"""
+CONTEXT = "concat('Context:', chr(10), coalesce(t.text, ''))"
+PROMPT = f"concat({CONTEXT}, chr(10), chr(10), 'A:', chr(10), {{0}}, chr(10), chr(10), 'B:', chr(10), {{1}})"
+#: Texts of requests are long: the queries return their length and md5.
+DIGEST = "length(prompt) AS n_chars, md5(prompt) AS prompt_md5"
+
+
+def _digest(requests: DataFrame) -> DataFrame:
+    return requests.select(*[c for c in requests.columns if c != "prompt"], F.length("prompt").cast("long").alias("n_chars"), F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
+_PAIRS = "FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label LEFT JOIN texts t ON t.doc_id = a.o % 1000 WHERE a.o % 3 <> 0"
 
 
 @query(
-    f"SELECT a.case_id, a.label AS model_a, b.label AS model_b, 'forward' AS direction, {PROMPT.format(BLOCK.format('a'), BLOCK.format('b'))} AS prompt FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0 AND a.o % 5 = 0"
-    f" UNION ALL SELECT a.case_id, a.label, b.label, 'reverse', {PROMPT.format(BLOCK.format('b'), BLOCK.format('a'))} FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0 AND a.o % 5 = 0",
-    "sub",
-)
+    f"SELECT case_id, model_a, model_b, direction, {DIGEST} FROM (SELECT a.case_id, a.label AS model_a, b.label AS model_b, 'forward' AS direction, {PROMPT.format(BLOCK.format('a'), BLOCK.format('b'))} AS prompt {_PAIRS}"
+    f" UNION ALL SELECT a.case_id, a.label, b.label, 'reverse', {PROMPT.format(BLOCK.format('b'), BLOCK.format('a'))} {_PAIRS}) x",
+    "sub", "texts",
+)
 def arena_requests(spark, sf_dir):
-    """Both directions of pending pairs of a fifth of the cases with their texts."""
-    cases = _contexts(spark, sf_dir).where("o % 5 = 0").drop("o")
-    found = pending_matches(spark, sf_dir).join(cases.select("case_id"), "case_id", "left_semi")
-    return worklist.arena_requests(found, cases, _blocks(spark, sf_dir))
+    """Both directions of all pending pairs: context, and both blocks of hypotheses with category and evidence."""
+    return _digest(worklist.arena_requests(pending_matches(spark, sf_dir), _contexts(spark, sf_dir), _blocks(spark, sf_dir)))
 
 
-@query(
-    f"SELECT a.case_id, a.label AS model_a, b.label AS model_b, 'forward' AS direction, {PROMPT.format(BLOCK.format('a'), BLOCK.format('b'))} AS prompt FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0"
-    f" UNION ALL SELECT a.case_id, a.label, b.label, 'reverse', {PROMPT.format(BLOCK.format('b'), BLOCK.format('a'))} FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0",
-    "sub",
-)
-def arena_requests_all(spark, sf_dir):
-    """Both directions of all pending pairs with their texts."""
-    return worklist.arena_requests(pending_matches(spark, sf_dir), _contexts(spark, sf_dir).drop("o"), _blocks(spark, sf_dir))
+Q["arena_requests_all"], SQL["arena_requests_all"] = arena_requests, SQL["arena_requests"]
 
 
-@query(f"SELECT a.case_id, a.label, concat('case ', a.case_id, chr(10), {BLOCK.format('a')}, CASE WHEN a.o % 6 >= 3 AND a.label <> 'reference' THEN concat(chr(10), 'Reference: ', CAST(a.o AS STRING)) ELSE '' END) AS prompt FROM sub a WHERE a.o % 4 <> 1", "sub")
+@query(
+    f"""SELECT case_id, label, {DIGEST} FROM (SELECT a.case_id, a.label, concat({CONTEXT}, chr(10), chr(10), 'Submission:', chr(10), {BLOCK.format('a')},
+    CASE WHEN a.o % 6 >= 3 AND a.label <> 'reference' AND r.case_id IS NOT NULL AND r.p % 29 <> 0 THEN concat(chr(10), chr(10), 'Reference:', chr(10), {BLOCK.format('r')}) ELSE '' END) AS prompt
+    FROM sub a LEFT JOIN sub r ON r.case_id = a.case_id AND r.label = 'reference' LEFT JOIN texts t ON t.doc_id = a.o % 1000 WHERE a.o % 4 <> 1) x""",
+    "sub", "texts",
+)
 def score_requests(spark, sf_dir):
-    """Requests for missing score records; domains with several hypotheses show the reference, but not to itself."""
-    blocks = _blocks(spark, sf_dir).withColumn("o", F.substring_index("case_id", ":", -1).cast("long"))
-    rest = F.when((F.col("o") % 6 >= 3) & (F.col("label") != "reference"), F.concat(F.lit("\nReference: "), F.col("o").cast("string"))).otherwise("")
-    return pending_scores(spark, sf_dir).join(blocks, ["case_id", "label"]).select("case_id", "label", F.concat(F.lit("case "), "case_id", F.lit("\n"), "block", rest).alias("prompt"))
+    """Requests for missing score records; domains with several hypotheses show the reference's, if it has any, but not to itself."""
+    multi = F.array(*map(F.lit, MULTI))
+    shown = F.array_contains(multi, F.substring_index("case_id", ":", 1)) & (F.col("label") != "reference")
+    return _digest(worklist.score_requests(pending_scores(spark, sf_dir), _contexts(spark, sf_dir), _blocks(spark, sf_dir), shown))
 
 
-@query("SELECT c.case_id, l.label, concat('Context:', chr(10), 'case ', c.case_id) AS prompt FROM cases c CROSS JOIN labels_seen l WHERE c.context_passed AND c.hypothesis_passed AND NOT EXISTS (SELECT 1 FROM sub s WHERE s.case_id = c.case_id AND s.label = l.label)", "cases", "labels_seen", "sub")
+@query(
+    f"SELECT case_id, label, {DIGEST} FROM (SELECT c.case_id, l.label, concat('Write hypotheses with evidence for the context.', chr(10), chr(10), {CONTEXT}) AS prompt FROM cases c CROSS JOIN labels_seen l LEFT JOIN texts t ON t.doc_id = c.o % 1000"
+    " WHERE c.context_passed AND c.hypothesis_passed AND NOT EXISTS (SELECT 1 FROM sub s WHERE s.case_id = c.case_id AND s.label = l.label)) x",
+    "cases", "labels_seen", "sub", "texts",
+)
 def generation_requests(spark, sf_dir):
     """Requests for missing submissions."""
-    return pending_generation(spark, sf_dir).select("case_id", "label", F.concat(F.lit("Context:\ncase "), "case_id").alias("prompt"))
+    return _digest(worklist.generation_requests(pending_generation(spark, sf_dir), _contexts(spark, sf_dir)))
 
 
 @query("SELECT case_id, model_a, model_b, forward, CASE WHEN o % 9 = 0 THEN NULL ELSE reverse END AS reverse FROM matches WHERE judge = 'j0' AND o % 9 <> 0", "matches")

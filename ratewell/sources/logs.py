@@ -19,6 +19,8 @@ def scratch(spark: SparkSession, kind: str) -> str:
     """A new folder in the one that spark.checkpoint.dir names, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster must name a folder that its machines share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/ratewell-{kind}-{uuid.uuid4().hex}"
@@ -71,9 +73,11 @@ def discover_runs(names: DataFrame, configs: DataFrame, suffix: str) -> DataFram
     Both parts may have dots: the longest known config that begins the name is taken. A name that is a config alone,
     or that begins with none, is no run.
     """
-    prefixes = names.where(F.col("name").endswith(suffix)).withColumn("prefix", F.expr(f"left(name, length(name) - {len(suffix)})"))
-    known = F.broadcast(configs.select("config").distinct().limit(10_000))  # the registry of configs: some tens of names
-    met = prefixes.join(known, F.col("prefix").startswith(F.concat("config", F.lit("."))) | (F.col("prefix") == F.col("config")))
+    stems = names.where(F.col("name").endswith(suffix)).withColumn("prefix", F.expr(f"left(name, length(name) - {len(suffix)})"))
+    # each beginning of a name that ends before a dot or with it, to be met by equal configs
+    parts = F.split("prefix", r"\.")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    met = stems.withColumn("config", F.explode(begins)).join(configs.select("config").distinct(), "config")
     best = F.row_number().over(W.partitionBy("domain", "name").orderBy(F.desc(F.length("config"))))
     found = met.withColumn("_best", best).where("_best = 1 AND prefix <> config")
     return found.select("domain", "config", F.expr("substring(prefix, length(config) + 2)").alias("judge")).distinct()

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import decimal
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -13,8 +15,19 @@ from ratewell.plans import registry
 
 def rows_of(frame: pd.DataFrame) -> list[tuple]:
     frame = frame.reindex(sorted(frame.columns), axis=1)
-    value = lambda x: "" if pd.isna(x) else round(float(x), 5) if isinstance(x, float) else str(x)
-    return sorted((tuple(value(x) for x in row) for row in frame.itertuples(index=False)), key=str)
+
+    def value(x) -> str:
+        """A nullable whole number is a float in one frame and whole in the other: both are written alike."""
+        if pd.isna(x):
+            return ""
+        if isinstance(x, bool | np.bool_):
+            return str(bool(x))
+        if isinstance(x, int | float | decimal.Decimal | np.number):
+            x = round(float(x), 5)
+            return str(int(x)) if x == int(x) else str(x)
+        return str(x)
+
+    return sorted(tuple(value(x) for x in row) for row in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")

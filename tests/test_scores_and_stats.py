@@ -139,3 +139,58 @@ def test_verdicts_of_awkward_forms(spark):
     assert got[1]["pair_scores"] == [{"grounding": 1.0, "insight": 2.5, "justification": 3.0}] and got[5]["pair_scores"] is None
     assert got[1]["set_scores"] == {"breadth": 4.0, "utility": 3.0} and got[2]["set_scores"] == {"breadth": 4.0, "distinctness": 5.0, "utility": 3.0}
     assert got[3]["set_scores"] == got[4]["set_scores"] == got[9]["set_scores"] == {}
+
+
+def test_registries_of_any_size(spark):
+    """More configs and labels than a broadcast would take: none is lost."""
+    from ratewell.sources import logs
+
+    n = 10_050
+    configs = spark.range(n).select(F.concat(F.lit("c."), F.col("id").cast("string")).alias("config"))
+    names = configs.select(F.lit("d").alias("domain"), F.concat("config", F.lit(".judge.x.jsonl")).alias("name")).union(configs.limit(1).select(F.lit("d"), F.concat("config", F.lit(".jsonl"))))
+    assert logs.discover_runs(names, configs, ".jsonl").where("judge = 'judge.x'").count() == n
+    labels = spark.range(n).select(F.col("id").cast("string").alias("label"))
+    rows = spark.createDataFrame([("a",), ("b",)], "case_id string")
+    assert worklist.every(rows, labels).distinct().count() == 2 * n == 2 * worklist.every(rows, labels, 1).where("case_id = 'a'").distinct().count()
+
+
+def test_weighted_statistics(spark):
+    draw = random.Random(3)
+    rows = [(draw.randrange(5), draw.randrange(5), draw.randrange(1, 4)) for _ in range(20)]
+    df = spark.createDataFrame([("k", float(x), float(y), t) for x, y, t in rows], "k string, x double, y double, times int")
+    each = spark.createDataFrame([("k", float(x), float(y)) for x, y, t in rows for _ in range(t)], "k string, x double, y double")
+    ranked = rankstats.drawn_midranks(rankstats.drawn_midranks(df, ["k"], "x", "rx"), ["k"], "y", "ry")
+    want = rankstats.correlations(each, ["k"], "x", "y").first()["rho"]
+    assert rankstats.weighted_correlation(ranked, ["k"], "rx", "ry", "times").first()["v"] == pytest.approx(want, abs=1e-6)
+    plain = {(r["x"], r["r"]) for r in rankstats.midranks(each, ["k"], "x", "r").collect()}
+    assert {(r["x"], r["r"]) for r in rankstats.midranks(df, ["k"], "x", "r", "times", 3).collect()} == plain
+
+
+def test_hypothesis_blocks(spark):
+    form = "array<struct<category:string,hypothesis:string,evidence:string>>"
+    df = spark.createDataFrame([([("c", "h", "e"), ("", "i", "f"), (None, "j", "g")],), ([],), (None,)], f"h {form}")
+    assert [r[0] for r in df.select(worklist.block(F.col("h"))).collect()] == ["1. [c] h\nEvidence: e\n2. i\nEvidence: f\n3. j\nEvidence: g", "(no hypotheses)", "(no hypotheses)"]
+
+
+def test_absent_keys_alone(spark):
+    cases = spark.createDataFrame([("1", "d", {"x": "1"}), ("2", "d", {"x": None}), ("3", "d", {"y": "1"})], "case_id string, domain string, metadata map<string,string>")
+    fps = spark.createDataFrame([("a", {"x": None}), ("b", {"x": None, "y": None}), ("c", {"domain": None})], "fp string, keys map<string,string>")
+    assert sorted(map(tuple, curation.resolve_fingerprints(fps, cases).collect())) == [("a", "2"), ("a", "3"), ("b", "2")]
+
+
+def test_streams_touch_and_keep(spark, tmp_path):
+    """Batches add up, untouched groups keep their board, a version in the making is not read, old ones go."""
+    import os
+
+    from ratewell.streaming import live
+
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    form = "domain string, judge string, model string, s_score double"
+    for k in range(6):
+        spark.createDataFrame([("d" if k else "e", "j", "m", float(k)), ("d", "j", "n", 2.0)], form).coalesce(1).write.mode("append").parquet(log)
+        live.follow_scores(live.read_log(spark, log, spark.createDataFrame([], form).schema), ["domain", "judge"], out, str(tmp_path / "check"))
+    board = {(r["domain"], r["model"]): (r["rating"], r["n_observations"]) for r in live.latest(spark, out, "board").collect()}
+    assert board == {("e", "m"): (0.0, 1), ("d", "m"): (3.0, 5), ("d", "n"): (2.0, 6)}
+    assert sorted(os.listdir(out + "/board")) == ["v3", "v4", "v5"]
+    os.makedirs(out + "/board/v6")
+    assert live.latest(spark, out, "board").count() == 3
