@@ -14,6 +14,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 #: Rows up to which a table of one row per source, item or rule is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_ROWS = 20_000
+#: Bytes of such a table where its rows hold arrays.
+BROADCAST_BYTES = 1 << 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,9 +56,13 @@ def unit_hash(seed: str, *columns: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a settled table for broadcast if it has few rows; a larger one is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a settled table for broadcast if it has few rows; a larger one is left to a shuffle join.
+
+    weight: about the bytes of a row, where rows may be long; they must not sum to more than most.
+    """
+    few = df.limit(rows + 1).count() <= rows and (weight is None or (df.agg(F.sum(weight)).first()[0] or 0) <= most)
+    return F.broadcast(df) if few else df
 
 
 def key_of(column: str) -> Column:
@@ -73,7 +79,7 @@ def fresh(docs: DataFrame, kind: str) -> str:
 
 
 def numbered(rows: DataFrame, group: list[str], name: str, cells: int = 256) -> DataFrame:
-    """Adds name: numbers from 1 for rows that are equal in group and stand for each other.
+    """Adds name: numbers from 1 for rows that are equal in group, whose columns hold no nulls, and stand for each other.
 
     A group is dealt out to cells by the row's place in the table, which must be settled; the running sum over a group's
     cells sees one row per cell. So no task gets a large group whole.

@@ -1,9 +1,9 @@
 """Benchmark decontamination: MinHash containment search, partitioned by item size, then exact containment.
 
 An item's sketch is its smallest shingle hashes: one more than it may lack at the wanted containment, so a document
-that contains the item has one of them for certain. Items are partitioned by size, since that number grows with it; a
-document keeps the hashes up to the largest sketch value of each partition, and only those meet the sketches. Pairs
-that meet are then compared by whole shingle sets.
+that contains the item has one of them for certain. Items are partitioned by size, since that number grows with it. A
+document asks a partition only if it has shingles enough for its smallest item, and with its hashes up to the largest
+sketch value of that partition; these meet the partition's sketches. Pairs that meet are compared by whole shingle sets.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, small_side, text_of, words_of
+from ratewell.llm.common import fresh, key_of, settle, small_side, text_of, words_of
 
 
 def _bind(value: Column, body) -> Column:
@@ -41,6 +41,12 @@ def item_sketches(items: DataFrame, words: int, percent: int) -> tuple[DataFrame
     return sets, settle(entries, "sketches")
 
 
+def _asked(found: Column, band: int, most: int, least: int) -> Column:
+    """Of a document (n shingles; low: hashes up to the largest limit) what it asks a partition: (band, hash)."""
+    low = F.transform(F.filter(found["low"], lambda x: x <= most), lambda x: F.struct(F.lit(band).alias("band"), x.alias("hash")))
+    return F.when(found["n"] >= least, low).otherwise(F.array().cast("array<struct<band:int,hash:bigint>>"))
+
+
 def search(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Pairs of documents and the items that they contain: doc_id, item_id, n_matched, n_shingles (the item's).
 
@@ -58,22 +64,30 @@ def _contained(docs: DataFrame, items: DataFrame, words: int, percent: int, keys
     """search before repeated ids are put together, with doc_key and text_hash; keys of these tell rows apart on the way."""
     texts = docs.select("doc_id", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"), "text")
     sets, entries = item_sketches(items, words, percent)
-    limits = {r["band"]: r["top"] for r in entries.groupBy("band").agg(F.max("hash").alias("top")).collect()}  # one row per power of two
+    bands = sets.groupBy("band").agg(F.min("size").alias("least")).join(entries.groupBy("band").agg(F.max("hash").alias("top")), "band")
+    limits = sorted((r["band"], r["top"], -(-r["least"] * percent // 100)) for r in bands.collect())  # one row per power of two
     if not limits:
         return texts.limit(0).select("doc_id", "doc_key", "text_hash", F.lit(None).cast("long").alias("item_id"), F.lit(0).alias("n_matched"), F.lit(0).alias("n_shingles"))
-    top = max(limits.values())
-    kept = texts.select(*keys, F.explode(F.filter(shingle_hashes(words), lambda h: h <= top)).alias("hash"))
-    pairs = settle(kept.join(small_side(entries), "hash").select(*keys, "item_key").distinct(), "candidates")
-    wanted = texts.join(pairs.groupBy(*keys).agg(F.collect_set("item_key").alias("item_keys")), keys)
+    top = max(x for _, x, _ in limits)
+    asks = _bind(shingle_hashes(words), lambda h: _bind(F.struct(F.size(h).alias("n"), F.filter(h, lambda x: x <= top).alias("low")), lambda x: F.flatten(F.array(*[_asked(x, *limit) for limit in limits]))))
+    kept = texts.select(*keys, F.explode(asks).alias("ask")).select(*keys, "ask.*")
+    pairs = settle(kept.join(small_side(entries), ["band", "hash"]).select(*keys, "item_key").distinct(), "candidates")
+    asked = settle(pairs.groupBy(*keys).agg(F.collect_set("item_key").alias("item_keys")), "asked")
+    wanted = texts.join(small_side(asked, weight=F.size("item_keys") * 8 + 128), keys)
     sketch = wanted.select("doc_id", "doc_key", "text_hash", F.array_distinct(shingle_hashes(words)).alias("own"), F.explode("item_keys").alias("item_key"))
-    both = sketch.join(small_side(sets.select("item_key", "item_id", "shingles", "size")), "item_key")
+    both = sketch.join(small_side(sets.select("item_key", "item_id", "shingles", "size"), weight=F.col("size") * 8 + 64), "item_key")
     counted = both.select("doc_id", "doc_key", "text_hash", "item_id", F.size(F.array_intersect("own", "shingles")).alias("n_matched"), F.col("size").alias("n_shingles"))
     return counted.where(F.col("n_matched") * 100 >= F.col("n_shingles") * percent)
 
 
 def clean(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that contain no item, with all their columns; rows that share an id, or have none, count each alone."""
-    keys = ["_found_key", "_found_hash"]
+    """The rows of docs that contain no item, with all their columns; rows that share an id, or have none, count each alone.
+
+    Null and empty texts contain nothing and stay; repeated rows stay or go together. Without items all rows stay; an
+    empty table gives no rows. Columns of any name keep their values.
+    """
+    keys = [fresh(docs, "found_key"), fresh(docs, "found_hash")]
     found = _contained(docs, items, words, percent, ["doc_key", "text_hash"])
-    found = settle(found.select(F.col("doc_key").alias("_found_key"), F.col("text_hash").alias("_found_hash")).distinct(), "found")
-    return docs.withColumns({"_found_key": key_of("doc_id"), "_found_hash": F.xxhash64(text_of())}).join(found, keys, "left_anti").drop(*keys)
+    found = settle(found.select(F.col("doc_key").alias(keys[0]), F.col("text_hash").alias(keys[1])).distinct(), "found")
+    marked = docs.withColumns({keys[0]: key_of("doc_id"), keys[1]: F.xxhash64(text_of())})
+    return marked.join(small_side(found), keys, "left_anti").select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Every line leads a document to the first document that has it; a line in many places leads to the first document that
-has it between the same two lines as well. So each line gives a document two earlier partners at most, whatever the size
-of a group. Partners are aligned by patience diff over line hashes, and the lines of
-aligned blocks are deleted from the later document. Only hashes are shuffled until texts are rewritten.
+Documents that share a rare line are aligned by patience diff over line hashes, and the lines of aligned blocks are
+deleted from the later one. No group of documents meets in pairs: every line first leads to the earliest document that
+has it, a common line to the earliest with the same neighbours as well. Only what stands after that goes on: a rare line
+that stands is tried with all earlier documents that have it, and a document in which a common line stands with all that
+share a rare line with it. So the deleted lines are those that all pairs with shared rare lines would give. Only hashes
+are shuffled until texts are rewritten.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from ratewell.llm.common import key_of, settle, small_side, text_of
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
-#: A line in more places leads by its neighbours too.
+#: A line in more places is common.
 COMMON = 100
 #: Documents of one partner that are aligned in one task.
 DEAL = 1000
@@ -70,10 +72,18 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def _aligned(least: int):
+    """Rows sorted by task, the earlier document (no row) before the later ones, in; rows and deleted places out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, theirs = None, []
         for batch in batches:
             rows, places = [], []
-            for row, ours, theirs, blank in zip(*(batch[c].to_pylist() for c in ("row", "lines", "first_lines", "blank")), strict=True):
+            for first, part, row, ours, blank in zip(*(batch[c].to_pylist() for c in ("first", "part", "row", "lines", "blank")), strict=True):
+                if row is None:
+                    task, theirs = (first, part), ours
+                    continue
+                if task != (first, part):
+                    raise ValueError(f"no lines of document {first}")
                 block: list[int] = []
                 gone: list[int] = []
                 last = (-2, -2)
@@ -101,43 +111,70 @@ def _documents(docs: DataFrame) -> DataFrame:
     return settle(once.withColumn("row", F.monotonically_increasing_id()), "line_rows")
 
 
-def partners(found: DataFrame, rare: int | None) -> DataFrame:
-    """Pairs (row, first): a document and an earlier one that shares a line with it, by doc_id and then row."""
+def shared_lines(found: DataFrame) -> DataFrame:
+    """at (doc_id and row), place, line, three (hash of the line and its neighbours), n and first of every line that two
+    documents have: in how many places it stands, and the earliest document that has it."""
     around = F.arrays_zip("lines", F.concat(F.array(F.lit(0).cast("long")), "lines").alias("before"), F.concat(F.slice("lines", 2, F.size("lines")), F.array(F.lit(0).cast("long"))).alias("after"))
-    places = found.select(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row").alias("at"), "blank", F.posexplode(F.slice(around, F.lit(1), F.size("lines"))).alias("place", "line"))
-    places = places.where(~F.array_contains("blank", F.col("place"))).select("at", F.col("line.lines").alias("line"), F.xxhash64("line.before", "line.lines", "line.after").alias("three"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row").alias("at")
+    places = found.select(at, "blank", F.posexplode(F.slice(around, F.lit(1), F.size("lines"))).alias("place", "line")).where(~F.array_contains("blank", F.col("place")))
+    places = settle(places.select("at", "place", F.col("line.lines").alias("line"), F.xxhash64("line.before", "line.lines", "line.after").alias("three")), "places")
+    return settle(places.join(settle(_firsts(places, "line"), "firsts"), "line"), "shared")
+
+
+def _firsts(places: DataFrame, key: str) -> DataFrame:
+    return places.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select(key, "n", "first")
 
-    def firsts(rows: DataFrame, key: str) -> DataFrame:
-        return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last").select(key, "n", "first")
 
-    places = settle(places, "places")
-    met = settle(places.join(firsts(places, "line"), "line").select("at", "three", "n", "first"), "met")
-    common = met.where(F.col("n") > (COMMON if rare is None else rare)).select("at", "three")
-    alone = met if rare is None else met.where(F.col("n") <= rare)
-    pairs = alone.select("at", "first").union(common.join(firsts(common, "three"), "three").select("at", "first"))
+def first_pairs(shared: DataFrame, rare: int = COMMON) -> DataFrame:
+    """Pairs (row, first) of documents with the earliest that has one of their lines, a common one between the same two."""
+    common = shared.where(F.col("n") > rare).select("at", "three")
+    pairs = shared.select("at", "first").union(common.join(_firsts(common, "three"), "three").select("at", "first"))
     return pairs.where("at <> first").select("at.row", F.col("first.row").alias("first")).distinct()
 
 
-def deduplicate(docs: DataFrame, rare: int | None = None, least: int = 1) -> DataFrame:
+def further_pairs(shared: DataFrame, tried: DataFrame, gone: DataFrame, rare: int = COMMON) -> DataFrame:
+    """Pairs (row, first) that were not tried, for lines that stand: gone has the deleted places of each row.
+
+    A rare line has at most `rare` places, so a line that stands asks for less than that many.
+    """
+    deleted = gone.select(F.col("row").alias("_row"), "deleted")
+    stands = settle(shared.where("at <> first").join(deleted.hint("merge"), F.col("at.row") == F.col("_row"), "left").where(~F.coalesce(F.array_contains("deleted", F.col("place")), F.lit(False))).select("at", "line", "n"), "stands")
+    few = shared.where(F.col("n") <= rare).select("at", "line")
+    whole = few.join(stands.where(F.col("n") > rare).select("at").distinct(), "at", "left_semi")
+    asks = stands.where(F.col("n") <= rare).select("at", "line").union(whole).distinct()
+    met = asks.join(few.select("line", F.col("at").alias("first")).distinct(), "line").where("first < at")
+    return met.select("at.row", F.col("first.row").alias("first")).distinct().join(tried, ["row", "first"], "left_anti")
+
+
+def _compared(found: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """row and places that the alignment of each pair deletes. The earlier document goes once to each of its tasks."""
+    hot = settle(pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("parts")), "firsts")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(small_side(hot.where("parts > 1")), "first", "left").select("row", "first", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"))
+    ours = found.select("row", "lines", "blank").join(dealt.hint("merge"), "row").select("first", "part", "row", "lines", "blank")
+    theirs = found.select(F.col("row").alias("first"), "lines").join(hot.hint("merge"), "first")
+    theirs = theirs.select("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("row"), "lines", F.array().cast("array<int>").alias("blank"))
+    tasks = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = ours.union(theirs).repartition(tasks, "first", "part").sortWithinPartitions("first", "part", F.asc_nulls_first("row"))
+    return both.mapInArrow(_aligned(least), "row long, places array<int>")
+
+
+def deduplicate(docs: DataFrame, rare: int = COMMON, least: int = 1) -> DataFrame:
     """Per row of docs: doc_id, text without deleted lines, n_lines, n_deleted and deleted (places of lines, from 0).
 
-    rare: where given, in how many places a line may stand to lead to a partner alone; more common lines then lead by
-    their neighbours only. least: lines with words in a block that is deleted. Texts are split at \\n; a line is compared as written, white space included. Of two documents that with the
-    greater doc_id is the later one, null last; rows with equal doc_id count in an order that is fixed within a run, and
-    rows equal in doc_id and text are one document, treated alike. A null text is empty: one blank line, never
-    deleted. An empty table gives no rows. Other columns of docs are not read.
+    rare: in how many places a line may stand to be rare. least: lines with words in a block that is deleted. Texts are
+    split at \\n; a line is compared as written, white space included. Of two documents that with the greater doc_id is
+    the later one, null last; rows with equal doc_id count in an order that is fixed within a run, and rows equal in
+    doc_id and text are one document, treated alike. A null text is empty: one blank line, never deleted. An empty table
+    gives no rows. Other columns of docs are not read.
     """
     found = _documents(docs)
-    pairs = settle(partners(found, rare), "pairs")
-    # the first document with a common line is the partner of many: it goes to as many tasks as they need
-    hot = settle(pairs.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("parts")).where("parts > 1"), "hot")
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = pairs.join(small_side(hot), "first", "left").select("row", "first", F.pmod(F.xxhash64("row"), parts).cast("int").alias("part"))
-    ours = dealt.join(found.select("row", "lines", "blank"), "row")
-    theirs = found.select(F.col("row").alias("first"), F.col("lines").alias("first_lines")).join(small_side(hot), "first", "left")
-    both = ours.join(theirs.select("first", "first_lines", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")), ["first", "part"])
-    gone = both.select("row", "lines", "first_lines", "blank").mapInArrow(_aligned(least), "row long, places array<int>")
-    gone = gone.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("deleted"))
+    shared = shared_lines(found)
+    tried = settle(first_pairs(shared, rare), "pairs")
+    united = lambda rows: rows.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("deleted"))
+    gone = settle(united(_compared(found, tried, least)), "deleted")
+    more = settle(further_pairs(shared, tried, gone, rare), "further_pairs")
+    gone = united(gone.select("row", F.col("deleted").alias("places")).union(_compared(found, more, least)))
     gone = settle(gone.join(found.select("row", "doc_key", "text_hash"), "row").select("doc_key", "text_hash", "deleted"), "gone")
     texts = docs.select("doc_id", "text", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"))
     # a merge join at every size: neither side has a bound that would allow a broadcast

@@ -7,11 +7,11 @@ nothing is sorted and each decision depends on the document and the threshold of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, small_side, unit_hash, words_of
+from ratewell.llm.common import fresh, key_of, numbered, settle, small_side, text_of, unit_hash, words_of
 
 HASH_BITS = 60
 
@@ -71,9 +71,19 @@ def thresholds(sized: DataFrame, targets: DataFrame, bits: int = 10) -> DataFram
     return targets.join(ends, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
 
 
-def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix") -> tuple[DataFrame, DataFrame]:
-    """(one row per document, with size, source_size, target and times; the thresholds, one row per source)."""
-    sized = settle(docs.select("doc_id", key_of("source").alias("key"), F.size(words_of()).cast("long").alias("size"), unit_hash(seed, "doc_id").alias("h")), "sized")
+def _identity(others: list[str]) -> Column:
+    """What tells a row apart: doc_id, source, the text's hash and the other columns."""
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("source"), F.lit("")), F.md5(text_of().cast("binary"))]
+    return F.md5(F.concat_ws(":", *own, *([F.md5(F.to_json(F.struct(*others)).cast("binary"))] if others else [])).cast("binary"))
+
+
+def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1), seed: str = "mix", others: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(one row per document, with size, identity, copy, source_size, target and times; the thresholds, one row per source).
+
+    The hash of a row depends on its doc_id, source, text and others; rows that are equal in these are numbered (copy).
+    """
+    sized = settle(docs.select("doc_id", key_of("source").alias("key"), F.size(words_of()).cast("long").alias("size"), _identity(list(others)).alias("identity")), "sized")
+    sized = settle(numbered(sized, ["identity"], "copy").withColumn("h", unit_hash(seed, "identity", "copy")), "hashed")
     found = settle(thresholds(sized, settle(source_targets(sized, share, cap, weights), "targets")), "thresholds")
     times = F.col("whole") + (F.col("h") < F.col("cut")).cast("long")
     return sized.join(small_side(found), "key").withColumn("times", times), found
@@ -82,22 +92,31 @@ def plan(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[i
 def allotment(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, size (words), source_size, target (its source's) and taken (words, repeats counted).
 
-    A null text has size 0, a null source is a source of its own. Rows with equal doc_id are taken alike. Sources
-    without words have target 0. An empty table gives no rows. Other columns of docs are not read.
+    A null text has size 0, a null source is a source of its own. Rows with equal or null doc_id are decided one by one;
+    of rows that are equal in doc_id, source and text reruns take equally many. Sources without words have target 0. An
+    empty table gives no rows. Other columns of docs are not read.
     """
     found, _ = plan(docs, **options)
     return found.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mixed(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The mixture itself: every column of docs, each row as often as the mix takes it (0 to cap times)."""
-    _, found = plan(docs, seed=seed, **options)
+    """The mixture itself: every column of docs, each row as often as the mix takes it (0 to cap times).
+
+    Nulls, repeats and empty tables as in allotment, but rows are told apart by all columns. Columns of any name keep
+    their values. Texts are not shuffled unless rows repeat in all columns; only these are numbered.
+    """
     names = docs.columns
-    ends = found.select(F.col("key").alias("_mix_key"), F.col("whole").alias("_mix_whole"), F.col("cut").alias("_mix_cut"))
-    times = F.col("_mix_whole") + (unit_hash(seed, "doc_id") < F.col("_mix_cut")).cast("long")
-    return (
-        docs.withColumn("_mix_key", key_of("source"))
-        .join(small_side(ends), "_mix_key")
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
-        .select(*[F.col(f"`{n}`") for n in names])
-    )
+    identity, copy, key, whole, cut, one = (fresh(docs, k) for k in ("identity", "copy", "key", "whole", "cut", "one"))
+    others = tuple(n for n in names if n.lower() not in ("doc_id", "source", "text"))
+    sized, found = plan(docs, seed=seed, others=others, **options)
+    rows = docs.withColumns({identity: _identity(list(others)), key: key_of("source")})
+    again = settle(sized.where("copy = 2").select(F.col("identity").alias(identity)), "again")
+    if again.limit(1).count():
+        twice = settle(rows.join(small_side(again), identity), "twice")
+        rows = rows.join(small_side(again), identity, "left_anti").withColumn(copy, F.lit(1)).unionByName(numbered(twice, [identity], copy))
+    else:
+        rows = rows.withColumn(copy, F.lit(1))
+    ends = found.select(F.col("key").alias(key), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    times = F.col(whole) + (unit_hash(seed, identity, copy) < F.col(cut)).cast("long")
+    return rows.join(small_side(ends), key).withColumn(one, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"`{n}`") for n in names])

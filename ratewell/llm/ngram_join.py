@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import fresh, key_of, settle, small_side, text_of
+from ratewell.llm.common import fresh, key_of, settle, text_of
 from ratewell.llm.components import components
 from ratewell.llm.wordhash import mix, shingle_set
 
@@ -34,7 +33,7 @@ BLOCK_ROWS, BLOCK_GRAMS, BLOCK_COLUMNS = 2048, 1 << 21, 4096
 #: A column with this many rows of a product block or more is multiplied as a dense one.
 DENSE_ROWS = 128
 #: N-grams that a task gathers before it passes them on, about those of a column block, and the rows of one chunk that make a column hot.
-CHUNK_GRAMS, COLUMN_BLOCK_GRAMS, HOT_ROWS = 1 << 19, 1 << 22, 8
+CHUNK_GRAMS, COLUMN_BLOCK_GRAMS, HOT_ROWS = 1 << 19, 1 << 21, 8
 #: Keys of sets that a task remembers, so that copies are passed on once.
 SEEN = 1 << 18
 #: The class of hot columns, the last in the order.
@@ -443,11 +442,11 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = settle(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     stays = (F.col("doc_key") == F.col("first.doc_key")) & (F.col("text_hash") == F.col("first.text_hash"))
     fates = settle(placed.join(first.hint("merge"), "root").groupBy(*keys).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"), "fates")
-    key, text = fresh(docs, "key"), fresh(docs, "text")
-    on, place = [key, text], fresh(docs, "place")
-    named = fates.select(F.col("doc_key").alias(key), F.col("text_hash").alias(text), F.col("stays").alias(place))
-    keyed = docs.withColumns({key: key_of("doc_id"), text: F.xxhash64(text_of())})
-    repeated = keyed.join(small_side(named.where(F.col(place)).select(*on)), on)
-    others = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
-    once = repeated.withColumn(place, F.row_number().over(W.partitionBy(*on).orderBy(others))).where(F.col(place) == 1)
-    return keyed.join(named.select(*on), on, "left_anti").select(*docs.columns).union(once.select(*docs.columns))
+    on, place = [fresh(docs, "key"), fresh(docs, "hash")], fresh(docs, "stays")
+    named = fates.select(F.col("doc_key").alias(on[0]), F.col("text_hash").alias(on[1]), F.col("stays").alias(place))
+    # a merge join at every size: the table of fates grows with docs
+    fated = docs.withColumns({on[0]: key_of("doc_id"), on[1]: F.xxhash64(text_of())}).join(named.hint("merge"), on, "left")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")], F.lit(0)))
+    once = fated.where(F.col(place)).groupBy(*on).agg(F.min_by(F.struct(*every), others).alias("first")).select("first.*")
+    return fated.where(F.col(place).isNull()).select(*every).union(once)

@@ -18,6 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratewell.llm.common import settle, text_of
@@ -28,6 +29,10 @@ ROWS = WORDS + FORMS + MARKS
 PAD = ROWS
 _PART = 512
 _BLOCK = 1024
+#: Partial sums that one task adds, and how often: FAN ** (LEVELS + 1) tasks may read the corpus.
+FAN, LEVELS = 64, 2
+#: Hash buckets of which as many are learned from as the sample needs.
+BUCKETS = 1 << 16
 
 
 class _Forms(dict):
@@ -99,16 +104,18 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _added(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table["sums"].combine_chunks())
-    return pa.table({"block": table["block"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"block": table["block"].slice(0, 1), "salt": table["salt"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors, of unit length: ROWS by WIDTH, whatever the size of docs."""
     texts = docs.select(text_of().alias("text"))
-    # pairs of a block's partial sums are added first, so that no task receives those of all tasks
-    partial = texts.mapInArrow(_contexts, "block int, sums binary").withColumn("salt", F.pmod(F.hash(F.spark_partition_id()), F.lit(16)))
-    some = partial.groupBy("block", "salt").applyInArrow(_added, "block int, sums binary")
-    sums = settle(some.groupBy("block").applyInArrow(_added, "block int, sums binary"), "vectors")
+    # a block's partial sums are added in levels, so that no task receives more than FAN of them
+    form = "block int, salt int, sums binary"
+    sums = texts.mapInArrow(_contexts, "block int, sums binary").select("block", F.spark_partition_id().alias("salt"), "sums")
+    for _ in range(LEVELS):
+        sums = sums.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("block", "salt").applyInArrow(_added, form)
+    sums = settle(sums, "vectors").groupBy("block").applyInArrow(_added, form)
     out = np.zeros((ROWS + 1, WIDTH), np.float32)
     for r in sums.collect():  # ROWS / _BLOCK rows
         part = np.frombuffer(r["sums"], np.int64).reshape(-1, WIDTH)
@@ -204,8 +211,8 @@ def held_out() -> F.Column:
 def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, cut: float = 0.3) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (probability of quality 1) and predicted (score >= cut).
 
-    labels: doc_id, quality. The network learns from the first `sample` labelled rows in hash order that are not held
-    out; null labels and ids are left out, and of repeated labels the least counts. Only texts are inputs: a null text
+    labels: doc_id, quality. The network learns from the first `sample` labelled rows in order of hash buckets that are
+    not held out; null labels and ids are left out, and of repeated labels the least counts. Only texts are inputs: a null text
     is empty and has the score of no words. Repeated rows are scored alike. An empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -213,7 +220,13 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, cut: float =
     vectors = spark.sparkContext.broadcast(word_vectors(docs))  # a table of fixed size: 4 MB
     pooled = settle(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pooling(vectors), "doc_id long, pooled binary"), "pooled")
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = pooled.join(known, "doc_id").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("pooled", "quality").toPandas()
+    usable = known.where(~held_out()).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)))
+    # buckets in order until they hold the sample: only their rows are read and sent on
+    counts = usable.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.orderBy("bucket")) - F.col("n")
+    last = counts.select("bucket", before.alias("before")).where(F.col("before") < sample).agg(F.max("bucket")).first()[0]
+    chosen = pooled.join(usable.where(F.col("bucket") <= (-1 if last is None else last)), "doc_id")
+    rows = chosen.orderBy("bucket", "doc_id").limit(sample).select("pooled", "quality").toPandas()
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["pooled"]]).astype(float) if len(rows) else np.zeros((0, 3 * WIDTH + 1))
     network = train(x, rows["quality"].to_numpy(float) if len(rows) else pd.Series(dtype=float).to_numpy())
     scored = pooled.mapInArrow(_scoring(network), "doc_id long, score double")

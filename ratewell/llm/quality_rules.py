@@ -20,6 +20,10 @@ from ratewell.llm.common import settle, text_of, words_of
 STATISTICS = ("n_words", "mean_word", "symbol_part", "dup_line_part", "repeat_part", "capital_part", "mark_part", "digit_part")
 
 
+#: Words of a text up to which its windows are sorted as single numbers.
+LONG = 4096
+
+
 @dataclass(frozen=True)
 class Condition:
     name: str
@@ -52,7 +56,8 @@ def repeated_words(words: Column) -> Column:
     """How many words stand in windows of three words that the text has twice or more.
 
     A window is 64 bits: the upper ones of its hash over as many lower ones as its position needs. Sorted, equal
-    windows are neighbours; the positions of those, sorted again, give the length of the union of their windows.
+    windows are neighbours; the positions of those, sorted again, give the length of the union of their windows. In
+    texts of over LONG words, where too few bits of the hash would be left, whole hashes and positions are sorted.
     """
 
     def count(w: Column) -> Column:
@@ -71,7 +76,13 @@ def repeated_words(words: Column) -> Column:
             windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: window(i, mask)))
             return _bind(windows, lambda s: _bind(neighbours(s, mask), covered))
 
-        return F.when(F.size(w) >= 3, _bind(low, with_mask)).otherwise(F.lit(0).cast("long"))
+        def whole(n: Column) -> Column:
+            windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.cast("long").alias("at"))))
+            same = lambda s, x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
+            again = lambda s: F.filter(s, lambda x, i: ((i > 0) & same(s, x, F.greatest(i - 1, F.lit(0)))) | same(s, x, i + 1))
+            return _bind(windows, lambda s: _bind(F.sort_array(F.transform(again(s), lambda x: x["at"])), covered))
+
+        return F.when(F.size(w) > LONG, _bind(F.size(w), whole)).when(F.size(w) >= 3, _bind(low, with_mask)).otherwise(F.lit(0).cast("long"))
 
     return _bind(words, count)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_files
+from ratewell.llm import decontamination, line_dedup, mixing, ngram_join, oracles, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)

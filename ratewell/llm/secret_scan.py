@@ -92,7 +92,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
 
 
 def _linked(scanned: DataFrame, scope: int) -> DataFrame:
-    """row and the weak spans that stand with complementary parts: linked."""
+    """row and the weak spans that stand with complementary parts and overlap no base span: linked."""
     weak = [k for k in KINDS if k not in BASE]
     roles = lambda names: F.size(F.concat(*[F.col(k) for k in names])) > 0
     with_role = {r: [k for k, x in KINDS.items() if x == r] for r in NEEDS}
@@ -116,6 +116,11 @@ def _linked(scanned: DataFrame, scope: int) -> DataFrame:
             near = near | ((F.col("role") == role) & within)
     asks = parts.where(F.col("kind").isin(weak)).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
     found = asks.join(ends, ["row", "cell"]).where(near).select("row", "start", "place", "stop", "kind").distinct()
+    # of these, the ones that overlap a base span: both meet in the cells that they cover
+    cells = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))).alias("cell")
+    base = parts.where(F.col("kind").isin(*BASE)).select("row", F.col("start").alias("from"), F.col("stop").alias("to"), cells)
+    over = found.select("row", "start", "place", "stop", cells).join(base, ["row", "cell"]).where((F.col("from") < F.col("stop")) & (F.col("start") < F.col("to")))
+    found = found.join(over.select("row", "start", "place").distinct(), ["row", "start", "place"], "left_anti")
     return found.groupBy("row").agg(F.collect_list(F.struct("start", "place", "stop", "kind")).alias("linked"))
 
 
@@ -127,10 +132,8 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     An empty table gives no rows. Other columns of docs are not read.
     """
     scanned = settle(_scanned(docs), "spans")
-    base = F.concat(*[F.col(k) for k in BASE])
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     out = scanned.join(_linked(scanned, scope), "row", "left").withColumn("linked", F.coalesce("linked", F.array().cast("array<struct<start:bigint,place:int,stop:bigint,kind:string>>")))
-    return out.select("doc_id", *BASE, F.filter("linked", apart).alias("linked"))
+    return out.select("doc_id", *BASE, "linked")
 
 
 def listed(spans: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, text_of, unit_hash
+from ratewell.llm.common import key_of, numbered, settle, small_side, text_of, unit_hash
 
 HASH_BITS = 60
 
@@ -28,28 +28,32 @@ def _placed(rows: DataFrame, group: list[str], cell: str, order: list[str], name
     return rows.withColumn("_inner", inner).join(cells.withColumn("_before", before).drop("_rows"), [*group, cell]).withColumn(name, F.col("_before") + F.col("_inner")).drop("_before", "_inner")
 
 
-def interleave(docs: DataFrame, shards: int = 16, seed: str = "shards", cells: int = 4096) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 16, seed: str = "shards", cells: int = 4096, cell_rows: int = 100_000) -> DataFrame:
     """Per row of docs: doc_id, source, size (UTF-8 bytes + 1), text_crc32, place (from 0), shard and slot.
 
     Shards differ by one row at most; slots run from 0 without gaps. A null text has size 1 and crc 0, a null source is a
-    source of its own, rows that are equal in all columns are interchangeable. cells bounds the rows of a histogram;
-    a cell has about 1/cells of a source's rows. An empty table gives no rows. Other columns of docs are not read.
+    source of its own, rows that are equal in doc_id, source and text are interchangeable; equal or null doc_ids are no
+    matter, as texts and the numbers of equal rows count in the seeded order too. cells, more where a cell would have
+    over cell_rows rows, bounds a histogram. An empty table gives no rows. Other columns of docs are not read.
     """
     rows = settle(
         docs.select(
             "doc_id", "source", key_of("source").alias("key"), (F.octet_length(text_of()) + 1).cast("long").alias("size"),
-            F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"), unit_hash(seed, "doc_id").alias("h"),
+            F.crc32(F.encode(text_of(), "UTF-8")).alias("text_crc32"), F.md5(F.concat_ws(":", key_of("doc_id"), key_of("source"), F.md5(text_of().cast("binary"))).cast("binary")).alias("identity"),
         ),
         "rows",
     )
+    rows = settle(numbered(rows, ["identity"], "copy").withColumn("h", unit_hash(seed, "identity", "copy")).drop("identity"), "numbered")
     whole = rows.count()
+    cells = max(cells, 1 << (whole // cell_rows).bit_length())
     bits = HASH_BITS - (cells - 1).bit_length()
-    ranked = _placed(rows.withColumn("bucket", F.shiftright("h", bits)), ["key"], "bucket", ["h", "doc_id", "size", "text_crc32"], "rank")
+    order = ["h", "doc_id", "text_crc32", "size", "copy"]
+    ranked = _placed(rows.withColumn("bucket", F.shiftright("h", bits)), ["key"], "bucket", order, "rank")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     part = ((F.col("rank") - 0.5) / F.col("n")).alias("part")
-    spread = settle(ranked.join(sizes, "key").select("doc_id", "source", "key", "size", "text_crc32", "h", part), "spread")
+    spread = settle(ranked.join(small_side(settle(sizes, "sizes")), "key").select("doc_id", "source", "key", "size", "text_crc32", "copy", "h", part), "spread")
     spread = spread.withColumn("cell", F.floor(F.col("part") * cells)).withColumn("all", F.lit(0))
-    placed = _placed(spread, ["all"], "cell", ["part", "key", "h", "doc_id", "size", "text_crc32"], "at").withColumn("place", F.col("at") - 1)
+    placed = _placed(spread, ["all"], "cell", ["part", "key", *order], "at").withColumn("place", F.col("at") - 1)
     shard = F.expr(f"place * {shards} div {max(whole, 1)}")
     start = F.expr(f"(shard * {whole} + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard.cast("int")).withColumn("slot", F.col("place") - start).select("doc_id", "source", "size", "text_crc32", "place", "shard", "slot")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import key_of, settle, text_of
+from ratewell.llm.common import fresh, key_of, settle, text_of
 from ratewell.llm.wordhash import mix, runs, word_hashes
 
 #: Words of a minimiser; positions it is the least of; words of a repeated passage; words that follow each minimiser in one.
@@ -27,6 +27,8 @@ SURE = LEAST - WINDOW + 1
 #: Words of context on each side, beyond which the next minimiser's context begins.
 AROUND = 25
 FLUSH = 1 << 19
+#: Suffixes of one range, which a task may hold at once where they share a key.
+RANGE = 1 << 18
 
 
 def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,12 +302,13 @@ def _found(texts: DataFrame, blocks: int) -> DataFrame:
     ids = first.where("row IS NOT NULL").select("row", "doc_id", "doc_key", "text_hash")
     again = settle(first.where("block IS NOT NULL").select("block", *_BLOBS).groupBy("block").applyInArrow(_repeating, "row long, place int, key long"), "repeating")
     per_row = again.groupBy("row").agg(F.collect_list(F.struct("place", "key")).alias("anchors")).join(ids.select("row", "doc_key", "text_hash"), "row")
-    # a merge join at every size: neither side has a bound that would allow a broadcast
-    with_text = texts.select("doc_key", "text_hash", "text").join(per_row.hint("merge"), ["doc_key", "text_hash"]).select("row", "text", "anchors")
+    # one text for rows that are equal in id and text; a merge join at every size: neither side has a bound that would allow a broadcast
+    with_text = texts.groupBy("doc_key", "text_hash").agg(F.first("text").alias("text")).join(per_row.hint("merge"), ["doc_key", "text_hash"]).select("row", "text", "anchors")
     suffixes = settle(with_text.mapInArrow(_suffixes, _SUFFIX), "suffixes")
-    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    goes = suffixes.where("after IS NOT NULL").select("row", "place", "key", "after", "before")
+    parts = max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), goes.count() // RANGE)
     order = ["key", "after", "before", "row", "place"]
-    sorted_ = suffixes.where("after IS NOT NULL").select("row", "place", "key", "after", "before").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    sorted_ = goes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     matched = settle(sorted_.mapInArrow(_neighbours, _MATCH), "matches")
     edges = matched.where("window IS NOT NULL")
     across = edges.groupBy("window").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least <> most")
@@ -348,10 +351,13 @@ def _with_ids(inner):
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """docs with the words of the spans (doc_id, start_word, end_word) taken out of their texts; other columns stay.
 
-    Texts with a span are left with single spaces between words; all others are as they were. Null ids have no spans.
+    Texts with a span are left with single spaces between words; all others are as they were. Null ids and null texts
+    have no spans; rows with equal doc_id lose the same words. Columns of any name keep their values.
     """
-    per_doc = spans.groupBy(F.col("doc_id").alias("_span_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+    key, found = fresh(docs, "span_id"), fresh(docs, "spans")
+    per_doc = spans.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(found))
     words = F.array_remove(F.split(text_of(), r"[\x20\x09-\x0D]+"), "")
-    kept = F.filter(words, lambda _, i: ~F.exists("_spans", lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
-    joined = docs.join(per_doc, docs["doc_id"] == per_doc["_span_id"], "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, " "))).select(*docs.columns)
+    kept = F.filter(words, lambda _, i: ~F.exists(found, lambda s: (i >= s["start_word"]) & (i < s["end_word"])))
+    joined = docs.join(per_doc, docs["doc_id"] == F.col(key), "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.array_join(kept, " "))
+    return joined.select(*[text.alias(n) if n.lower() == "text" else F.col(f"`{n}`") for n in docs.columns])

@@ -33,15 +33,18 @@ from ratewell.llm.common import fresh_path, settle, text_of
 #: Fixed values of the seekable format: skippable frames, the table's end, its flag for checksums.
 SKIPPED_IDS, SKIPPED_TABLE, TABLE_END, WITH_CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
-#: Where a space is next to one of these, words can't be encoded one by one: white space and what may count as such.
-_NEAR = r"\s\x00-\x20\x7f-\xa0 ᠎ -‏ -  -⁤　﻿"
-_APART = re.compile(f"[{_NEAR}] | [{_NEAR}]|^ | $")
+#: Words with one of these at an end can't be encoded one by one: white space and what may count as such.
+_NEAR = frozenset("\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000\ufeff") | {chr(c) for c in [*range(33), *range(127, 161), *range(0x2000, 0x2010), *range(0x2060, 0x2065)]}
 #: Fixed values of byte-level tokenizers: the pattern of their tokens' bounds, and the bytes that stand for themselves.
 _BOUNDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = {b: b for b in _OWN} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in _OWN)}
 #: Characters from here on are left to the library's own bounds: which of them are letters depends on its version.
-_PLAIN = "ɐ"
+_PLAIN = "\u0250"
+#: Control characters that are white space to some libraries only.
+_DOUBTFUL = re.compile("[\x1c-\x1f\x85]")
+#: Marks that are a token of their own after a word's letters.
+_MARKS = frozenset(".,;:!?#*$%&|<>()")
 _KEPT = 700_000
 
 
@@ -49,8 +52,9 @@ class Encoder:
     """Encodes texts with a file of the tokenizers library; ids as bytes, little-endian.
 
     A byte-level tokenizer whose pattern ends a token before each single space encodes the words of a text, with the
-    space before them, independently; so does its model the tokens of a word. Their ids are kept. Any other text or
-    tokenizer is encoded whole.
+    space before them, independently; so does its model the tokens of a word. The ids of both are kept.
+    Texts with added tokens of the tokenizer, with spaces that do not stand alone, and all texts of other tokenizers are
+    encoded whole. The library's defaults hold for added tokens.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,38 +66,46 @@ class Encoder:
 
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         before = self.tokenizer.pre_tokenizer
         self.by_word = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
-        self.model = self.tokenizer.model
-        #: A word's ids with the space before it; a text's first word, which has none, is kept with one before it.
-        self.words: dict[str, bytes] = {}
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A word's ids with the space before it, None for one that can't be encoded alone; a text's first word, which
+        #: has no space, is kept with one before it.
+        self.words: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
 
     def _whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            tokens = self.model.tokenize(part.encode().decode("latin-1").translate(_SIGNS))
-            found = self.parts[part] = array(self.kind, [x.id for x in tokens]).tobytes()
+        """The ids of a token before merging, by the tokenizer's model; kept as well."""
+        signs = "\u0120" + part[1:] if part[0] == " " and part.isascii() else part.encode().decode("latin-1").translate(_SIGNS)
+        found = self.parts[part] = array(self.kind, [x.id for x in self.model.tokenize(signs)]).tobytes()
         return found
 
-    def _learn(self, new: list[str]) -> None:
-        for kept in (self.words, self.parts):
-            if len(kept) > _KEPT:
-                kept.clear()
+    def _learn(self, new: set[str]) -> None:
+        if len(self.parts) > _KEPT:
+            self.parts.clear()
+        parts, known = self.parts, self.parts.get
         for word in new:
             text = word[1:] if word[:1] == " " else " " + word
-            plain = text.isascii() or max(text) < _PLAIN
-            self.words[word] = b"".join([self._part(x) for x in _BOUNDS.findall(text)]) if plain else self._whole(text)
+            if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+                self.words[word] = known(text) or self._part(text)
+            elif not text.strip(" ") or word[-1] in _NEAR or text[text[0] == " "] in _NEAR:
+                self.words[word] = None
+            elif not (text.isascii() or max(text) < _PLAIN) or _DOUBTFUL.search(text):
+                self.words[word] = self._whole(text)
+            elif word[:-1].isalpha() and word[-1] in _MARKS:
+                self.words[word] = (known(text[:-1]) or self._part(text[:-1])) + (known(word[-1]) or self._part(word[-1]))
+            else:
+                self.words[word] = b"".join([parts.get(x) or self._part(x) for x in _BOUNDS.findall(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if self.by_word and t and not _APART.search(t) else None for t in texts]
+        split = [t.split(" ") if self.by_word and t and not any(x in t for x in self.added) else None for t in texts]
         for words in split:
             if words:
                 words[0] = " " + words[0]
@@ -102,9 +114,15 @@ class Encoder:
         if len(self.words) + len(new) > _KEPT:
             self.words.clear()
             new = every
-        self._learn(sorted(new))
+        self._learn(new)
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) if words else self._whole(text) for words, text in zip(split, texts, strict=True)]
+        out = []
+        for words, text in zip(split, texts, strict=True):
+            try:
+                out.append(b"".join(map(get, words)) if words else self._whole(text))
+            except TypeError:  # a word that can't be encoded alone
+                out.append(self._whole(text))
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -164,7 +182,7 @@ def _writer(folder: str, width: int):
         sink.write(_skipped(SKIPPED_TABLE, b"".join(entries) + struct.pack("<IBI", len(entries), WITH_CHECKSUMS, TABLE_END)))
         sink.close()
         store.move(attempt, path)
-        told = {"file": [number], "path": [path if store.type_name == "local" else folder.split("://")[0] + "://" + path], "first_id": [ids[0]], "last_id": [ids[-1]], "n_docs": [len(ids)], "n_tokens": [tokens], "width": [width]}
+        told = {"file": [number], "path": [path if store.type_name == "local" else folder.split("://")[0] + "://" + path], "first_id": [next((x for x in ids if x is not None), None)], "last_id": [ids[-1]], "n_docs": [len(ids)], "n_tokens": [tokens], "width": [width]}
         yield pa.RecordBatch.from_pydict(told, pa.schema([("file", pa.int32()), ("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32())]))
 
     return run
@@ -173,7 +191,7 @@ def _writer(folder: str, width: int):
 def write(docs: DataFrame, folder: str | None = None, tokenizer: str = "byte_bpe_50k.json", end: int = 0, docs_per_file: int = 8192, level: int = 3) -> DataFrame:
     """Writes the ids of every text, each ended by `end`, and returns one row per file.
 
-    file, path, first_id, last_id, n_docs, n_tokens, width (bytes of an id) and start (ids in all files before it).
+    file, path, first_id and last_id (of those that are not null), n_docs, n_tokens, width (bytes of an id) and start (ids in all files before it).
     A null text is empty: its ids are the end alone. Rows with equal doc_id are all written, in any order; null comes
     first. An empty table writes no files. Other columns of docs are not read. folder must be one that all executors
     share; unset, it is a new one in the shared folder.
@@ -184,7 +202,9 @@ def write(docs: DataFrame, folder: str | None = None, tokenizer: str = "byte_bpe
     frames = settle(rows.mapInArrow(_frames(tokenizer, end, level), _FRAMES), "frames")
     files = max(1, -(-frames.count() // docs_per_file))
     width = array(Encoder(tokenizer).kind).itemsize
-    dealt = frames.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, or of none, may fill many files: their places in the table part them
+    order = ["doc_id", "row"]
+    dealt = frames.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, *order).sortWithinPartitions(*order)
     written = settle(dealt.mapInArrow(_writer(folder, width), _FILES), "files")
     before = F.sum("n_tokens").over(W.orderBy("file")) - F.col("n_tokens")
     return written.withColumn("start", before)
@@ -237,7 +257,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_digests(files: DataFrame) -> DataFrame:
-    """Every document of written files, read back: doc_id, start, n_tokens and the crc32 of its ids in 32 bits."""
+    """Every document of written files, read back: doc_id, start, n_tokens and the crc32 of its ids in 32 bits.
+
+    Repeated and null doc_ids have a row each; no files give no rows; a damaged file raises.
+    """
     parts = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return files.select("file", "path", "start").repartition(parts, "file").select("path", "start").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -251,7 +274,10 @@ def _lookup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the documents whose doc_id is in wanted: only their frames are decompressed."""
+    """doc_id and ids of the documents whose doc_id is in wanted: only their frames are decompressed.
+
+    Repeated ids give all their documents once, however often they are asked for; null and unknown ids give none.
+    """
     ask = wanted.select("doc_id").where("doc_id IS NOT NULL").distinct()
     both = files.join(ask, (F.col("doc_id") >= F.col("first_id")) & (F.col("doc_id") <= F.col("last_id")))
-    return both.groupBy("path").agg(F.collect_list("doc_id").alias("wanted")).mapInArrow(_lookup, "doc_id long, ids array<bigint>")
+    return both.groupBy("path").agg(F.collect_set("doc_id").alias("wanted")).mapInArrow(_lookup, "doc_id long, ids array<bigint>")

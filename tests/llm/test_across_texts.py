@@ -202,46 +202,62 @@ def test_patience():
         assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
 
 
+BLANK = " \t\n\x0b\x0c\r"
+
+
 def brute_lines(rows, rare):
-    """Deleted places per row, by the rules of the docstring, for rows that differ in id or text."""
+    """Deleted places with words per row, for rows that differ in id or text, from all pairs that share a rare line, and
+    the earliest document of every line and of every common line with its neighbours."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
     lines = [(t or "").split("\n") for _, t in rows]
-    n, first, trio = collections.Counter(), {}, {}
-    for k in order:
-        for i, x in enumerate(lines[k]):
-            if x.strip(" \t\n\x0b\x0c\r"):
-                n[x] += 1
-                first.setdefault(x, k)
-    held = {x: {k for k in order if x in lines[k]} for x in n}
+    n, held, trio = collections.Counter(), collections.defaultdict(list), {}
     around = lambda k, i: (lines[k][i - 1] if i else None, lines[k][i], lines[k][i + 1] if i + 1 < len(lines[k]) else None)
     for k in order:
         for i, x in enumerate(lines[k]):
-            if n[x] > rare and len(held[x]) > 1:
+            if x.strip(BLANK):
+                n[x] += 1
                 trio.setdefault(around(k, i), k)
-    out = []
+                if not held[x] or held[x][-1] != k:
+                    held[x].append(k)
+    out = {}
     for k in order:
         partners = set()
         for i, x in enumerate(lines[k]):
-            if n[x] and len(held[x]) > 1:
-                partners.add(first[x] if n[x] <= rare else trio[around(k, i)])
+            if x.strip(BLANK):
+                partners |= set(held[x][: held[x].index(k)]) if n[x] <= rare else {held[x][0], trio[around(k, i)]}
         gone = set()
         for p in partners - {k}:
             block, last = [], (-2, -2)
             for i, j in [*line_dedup.patience([hash(x) for x in lines[p]], [hash(x) for x in lines[k]]), (-9, -9)]:
                 if (i, j) != (last[0] + 1, last[1] + 1):
-                    gone |= {b for b in block} if any(lines[k][b].strip(" \t\n\x0b\x0c\r") for b in block) else set()
+                    gone |= {b for b in block if lines[k][b].strip(BLANK)}
                     block = []
                 block.append(j)
                 last = (i, j)
-        out.append((rows[k][0], tuple(sorted(gone)), "\n".join(x for i, x in enumerate(lines[k]) if i not in gone) if gone else rows[k][1]))
-    return collections.Counter(out)
+        out[rows[k][0]] = gone
+    return out
+
+
+def check_lines(df, rows, **options):
+    texts = dict(rows)
+    got = {r["doc_id"]: r for r in line_dedup.deduplicate(df, **options).collect()}
+    words = {i: {p for p in r["deleted"] if (texts[i] or "").split("\n")[p].strip(BLANK)} for i, r in got.items()}
+    assert words == brute_lines(rows, options.get("rare", line_dedup.COMMON))
+    for i, r in got.items():
+        assert r["text"] == (texts[i] if not r["deleted"] else "\n".join(x for p, x in enumerate(texts[i].split("\n")) if p not in set(r["deleted"])))
 
 
 @pytest.mark.parametrize("rare", [2, 100])
 def test_lines_of_documents(documents, rare):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    got = line_dedup.deduplicate(documents, rare=rare).collect()
-    assert collections.Counter((r["doc_id"], tuple(r["deleted"]), r["text"]) for r in got) == brute_lines(rows, rare)
+    check_lines(documents, [(r["doc_id"], r["text"]) for r in documents.collect()], rare=rare)
+
+
+def test_lines_in_other_orders(spark):
+    """Lines that the earliest documents have in orders that do not align are deleted through later partners."""
+    draw = random.Random(8)
+    rows = [(k, "\n".join(draw.sample([f"line {i}" for i in range(9)], draw.randrange(2, 8)))) for k in range(60)]
+    for rare in (10, 100):
+        check_lines(spark.createDataFrame(rows, "doc_id long, text string"), rows, rare=rare)
 
 
 def test_lines_of_awkward_rows(docs, rows, empty):
@@ -255,18 +271,10 @@ def test_lines_of_awkward_rows(docs, rows, empty):
 def test_common_lines_between_other_neighbours(spark, monkeypatch):
     # one line in 150 places, each time between other lines, and one in 40: all but the first of each go
     rows = [(k, f"a{k}\nAll rights reserved.\nb{k}" + (f"\nMIT\nc{k}" if k % 4 == 1 else "")) for k in range(150)]
-    monkeypatch.setattr(line_dedup, "DEAL", 20, raising=False)
-    got = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert collections.Counter((r["doc_id"], tuple(r["deleted"]), r["text"]) for r in got) == brute_lines(rows, 10**9)
-    assert {r["doc_id"] for r in got if 1 in r["deleted"]} == set(range(1, 150))
-
-
-def test_neighbours_only_add_to_lines_of_documents(documents, monkeypatch):
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
-    monkeypatch.setattr(line_dedup, "COMMON", 2)
-    got = {r["doc_id"]: set(r["deleted"]) for r in line_dedup.deduplicate(documents).collect()}
-    for rare in (10**9, 2):
-        assert all(set(places) <= got[doc_id] for doc_id, places, _ in brute_lines(rows, rare))
+    monkeypatch.setattr(line_dedup, "DEAL", 20)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_lines(df, rows)
+    assert {r["doc_id"] for r in line_dedup.deduplicate(df).collect() if 1 in r["deleted"]} == set(range(1, 150))
 
 
 def test_pipeline_stages_against_brute_force(spark, small, monkeypatch):
@@ -292,3 +300,35 @@ def test_pipeline_stages_against_brute_force(spark, small, monkeypatch):
     assert mixed.columns == documents.columns
     out = stages["token-ID output"](spark, mixed, small)
     assert collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter(r["doc_id"] for r in mixed.collect())
+
+
+def test_repeats_of_equal_rows(spark):
+    """Rows equal in id and text are told apart, and their number costs no square."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(None, passage, k % 3) for k in range(2000)] + [(1, "x " + passage, 0), (2, "y z", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _spans int").repartition(4)
+    got = collections.Counter((r["doc_id"], r["start_word"], r["end_word"]) for r in suffix_dedup.repeats(df).collect())
+    assert got == {(None, 0, 60): 2000, (1, 1, 61): 1}
+    left = suffix_dedup.without(df, spark.createDataFrame([(1, 1, 61)], "doc_id long, start_word long, end_word long"))
+    assert left.columns == df.columns and {r["text"] for r in left.where("doc_id = 1").collect()} == {"x"} and left.where("_spans = 2").count() == 666
+
+
+def test_clean_keeps_columns_of_any_name(spark, docs):
+    odd = docs.withColumns({n: F.lit(n) for n in ("_found_key", "_found_hash", "band", "hash", "doc_key", "item_key")})
+    clean = decontamination.clean(odd, spark.createDataFrame([(1, "not there at all in any of them")], "item_id long, text string"))
+    assert clean.columns == odd.columns and clean.count() == odd.count() and {r["_found_key"] for r in clean.collect()} == {"_found_key"}
+
+
+def test_leaks_of_items_of_all_sizes(spark):
+    """Items of one shingle up to hundreds, in texts that hold them whole, in part, or are too short for them."""
+    draw = random.Random(12)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate((1, 3, 5, 6, 7, 9, 14, 20, 40, 90, 250))]
+    rows = []
+    for k, text in items:
+        w = text.split()
+        for _ in range(6):
+            cut = draw.randrange(len(w) + 1)
+            rows.append((len(rows), " ".join(["n"] * draw.randrange(9) + w[cut // 4 :][: draw.randrange(len(w) + 2)] + ["m"] * draw.randrange(9))))
+        rows.append((len(rows), text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_leaks(decontamination.search(df, spark.createDataFrame(items, "item_id long, text string")), rows, items)

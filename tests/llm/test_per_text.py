@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import collections
-import hashlib
+import random
 import re
 import zlib
 
@@ -147,7 +147,9 @@ def test_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
+    more = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>", "a \x1c b", "d .\x1c\n1b e", "it's  they'll 'tis", "one\ttwo \n three", "né. 中文 b", " lead", "trail "]
+    rows = [*rows, *((100 + k, t) for k, t in enumerate(more))]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([r[:2] for r in rows[-len(more) :]], "doc_id long, text string"))
     ids = lambda t: [*plain.encode(t or "", add_special_tokens=False).ids, 0]
     files = token_files.write(docs, docs_per_file=16)
     got = token_files.read_digests(files).collect()
@@ -176,3 +178,90 @@ def test_a_damaged_frame_is_noticed(docs):
     open(path, "wb").write(raw)
     with pytest.raises((ValueError, zstandard.ZstdError)):
         token_files.Reader(path).ids(0)
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows that share an id, or have none, are told apart: files, shards and the mix share them out."""
+    n = 3000
+    texts = [None if k % 3 else 7 for k in range(n)]
+    df = spark.createDataFrame([(i, f"w{k % 5} " * 10, "s") for k, i in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    files = token_files.write(df, docs_per_file=500)
+    assert files.agg(F.max("n_docs")).first()[0] < 1500 and token_files.read_digests(files).count() == n
+    assert token_files.lookup(files, spark.createDataFrame([(7,)], "doc_id long")).count() == n // 3
+    taken = mixing.allotment(df, share=0.5).toPandas()
+    assert abs(taken["taken"].sum() - taken["target"].iloc[0]) <= 10 and taken["target"].iloc[0] == n * 5
+    shards = sharding.interleave(df, shards=4).groupBy("shard").count().collect()
+    assert {r["count"] for r in shards} == {n // 4}
+
+
+def test_columns_of_any_name(spark, docs):
+    """Names that the operators use within are a user's own columns too."""
+    names = ["_mix_key", "key", "identity", "copy", "cut", "whole", "one", "_one", "_key", "_identity", "_copy", "h", "row", "cell"]
+    odd = docs.select("doc_id", "text", "source", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in names])
+    mixed = mixing.mixed(odd)
+    assert mixed.columns == odd.columns and mixed.count() > 0
+    assert all(r[n] == f"{n}{'-' if r['doc_id'] is None else r['doc_id']}" for r in mixed.collect() for n in names)
+
+
+def brute_links(text, scope=200):
+    """Weak spans that stand within scope of a complementary part and overlap no base span, pair by pair."""
+    spans = []
+    for kind, pattern in (("assign", secret_scan.ASSIGN), ("access", secret_scan.ACCESS), ("hex", secret_scan.HEX), ("identifier", secret_scan.IDENTIFIER), ("random", secret_scan.RANDOM), ("endpoint", secret_scan.ENDPOINT)):
+        for m in re.finditer(pattern, text, re.ASCII):
+            if kind == "assign" and len(m[2]) < secret_scan.ASSIGN_LEAST:
+                continue
+            if kind == "random" and not (re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[0-9]", m[0])):
+                continue
+            spans.append((m.start(), m.end(), kind))
+    role = secret_scan.KINDS
+    base = [x for x in spans if x[2] in secret_scan.BASE]
+    near = lambda x: any(role[y[2]] in secret_scan.NEEDS[role[x[2]]] and abs(x[0] - y[0]) <= scope for y in spans)
+    return {x for x in spans if x[2] not in secret_scan.BASE and near(x) and not any(b[0] < x[1] and x[0] < b[1] for b in base)}
+
+
+def test_links_against_all_pairs(spark):
+    draw = random.Random(21)
+    pieces = ["user=bob7", "client_id: abc123", "Xy9" + "aB3" * 9, "https://db.example.org/x?u=1", "password=abcdefghijkl", "AKIA" + "B2" * 8, "0f" * 12, "token: short", "s3://bucket/key", "login = Ab0" + "Cd1" * 8]
+    rows = [(k, "".join(draw.choice(pieces) + draw.choice([" ", "\n", " é" * draw.randrange(90), ";" + "x " * draw.randrange(120)]) for _ in range(draw.randrange(14)))) for k in range(120)]
+    rows += [(200, "user=bob7 " + "Xy9" + "aB3" * 100 + " password=" + "q" * 900 + " https://a.b/c"), (201, " ".join(f"user=u{i}aB3" + "aB3" * 7 for i in range(4000)))]
+    got = {r["doc_id"]: {(s["start"], s["stop"], s["kind"]) for s in r["linked"]} for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows[:-1]:
+        assert got[doc_id] == brute_links(text), text
+    assert any(got.values()) and not all(got.values())
+
+
+def test_repeated_words_of_long_texts(spark, monkeypatch):
+    """The way for long texts gives what the way for short ones gives, and both what the contract says."""
+    draw = random.Random(6)
+    rows = [(k, " ".join(f"w{draw.randrange(1 + 9 * k)}" for _ in range(draw.randrange(0, 300)))) for k in range(60)] + [(99, " ".join(f"w{draw.randrange(300)}" for _ in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {k: statistics(t) for k, t in rows}
+    for long_ in (10, quality_rules.LONG):
+        monkeypatch.setattr(quality_rules, "LONG", long_)
+        assert {r[0]: tuple(r)[1:] for r in quality_rules.statistics(df).select("doc_id", *NAMES).collect()} == want
+
+
+def test_pooling_against_a_plain_sum(spark):
+    """Word vectors are the sums of index vectors around all occurrences, whatever tasks and levels add them."""
+    draw = random.Random(4)
+    rows = [(k, " ".join(draw.choice(["aa", "Bb.", "cc!", "DD", "7"]) for _ in range(draw.randrange(40)))) for k in range(90)] + [(None, None), (91, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(70)
+    index, total = quality_classifier.index_vectors().astype(int), np.zeros((quality_classifier.ROWS, quality_classifier.WIDTH))
+    for _, text in rows:
+        word, form, mark, _ = (x.astype(int) for x in quality_classifier._rows([text]))
+        for i in range(1, len(word) - 1):
+            near = index[word[i - 1]] + index[form[i - 1]] + index[mark[i - 1]] + index[word[i + 1]] + index[form[i + 1]] + index[mark[i + 1]] + index[form[i]] + index[mark[i]]
+            for row in (word[i], form[i], mark[i]):
+                total[row] += near
+    got = quality_classifier.word_vectors(df)[: quality_classifier.ROWS]
+    assert np.allclose(got, total / np.maximum(1, np.sqrt((total**2).sum(1, keepdims=True))), atol=1e-5)
+
+
+def test_learned_list_against_counts(spark, small):
+    """On the given tables each learned rule reaches its precision and support among the rows that earlier ones leave."""
+    documents, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    got = quality_rules.judge(documents, labels).toPandas()
+    both = got[~got["base_failed"]].merge(labels.toPandas(), on="doc_id")
+    assert (got["kept"] == (~got["base_failed"] & got["rule"].isna())).all()
+    for _, part in both[both["rule"].notna()].groupby("rule"):
+        assert len(part) >= 10 and (part["quality"] == 0).mean() >= 0.85
