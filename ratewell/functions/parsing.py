@@ -76,8 +76,13 @@ def names_of(text: Column, known: list[str], most: int = 3) -> Column:
 
 
 def hypotheses_of(text: Column) -> Column:
-    """Hypotheses from an object with a list of them, or from one that is itself a hypothesis; null if it is neither."""
+    """Hypotheses from an object with a list of them, or from one that is itself a hypothesis; null if it is neither.
+
+    All need a hypothesis and evidence; those of a list a category too, which one by itself has not.
+    """
     item = "struct<category:string,evidence:string,hypothesis:string>"
     many = F.from_json(text, f"hypotheses array<{item}>")["hypotheses"]
-    one = F.from_json(text, "category string, evidence string, hypothesis string")
-    return F.coalesce(many, F.when(one["hypothesis"].isNotNull(), F.array(one)))
+    one = F.from_json(text, "evidence string, hypothesis string")
+    whole = F.forall(many, lambda h: F.coalesce((F.length(h["category"]) > 0) & h["evidence"].isNotNull() & h["hypothesis"].isNotNull(), F.lit(False)))
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("category"), one["evidence"].alias("evidence"), one["hypothesis"].alias("hypothesis")))
+    return F.when(many.isNotNull(), F.when(whole, many)).when(one["hypothesis"].isNotNull() & one["evidence"].isNotNull(), alone)

@@ -45,5 +45,10 @@ def recall_of(text: Column) -> Column:
     return F.when(text.rlike(whole) & (total > 0), F.struct(F.greatest(F.lit(0), F.least(hits, total)).alias("hits"), total.alias("total")))
 
 
+def recall_mismatch(recall: Column, expected: Column) -> Column:
+    """Whether a recall counts other hypotheses than the reference has; its own number holds all the same."""
+    return F.coalesce(recall["total"] != expected, F.lit(False))
+
+
 def recall_ratio(recall: Column) -> Column:
     return F.when(recall["total"] > 0, recall["hits"] / recall["total"]).when(recall.isNotNull(), 0.0)

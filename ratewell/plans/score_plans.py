@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, recall_of
+from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, recall_mismatch, recall_of
 from ratewell.operators import arena, reports, score
 from ratewell.operators.rankstats import correlations
 from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL
@@ -78,10 +78,11 @@ def parse_score_verdicts(spark, sf_dir):
     return found.select("case_id", "model", "valid", "k_mismatch", text.alias("pairs"), *[c("set_scores")[x].alias(x) for x in SET_KEYS])
 
 
-@query("SELECT r.case_id, r.model, r.recall_text, x.hits AS hits, x.total AS total FROM records r JOIN recalls x ON r.case_id = x.case_id AND r.model = x.model", "records", "recalls")
+@query("SELECT r.case_id, r.model, r.recall_text, x.hits AS hits, x.total AS total, coalesce(x.total <> 3 + r.o % 3, false) AS mismatch FROM records r JOIN recalls x ON r.case_id = x.case_id AND r.model = x.model", "records", "recalls")
 def parse_recall(spark, sf_dir):
-    """hits/total texts to numbers; anything else to null."""
-    return records(spark, sf_dir).select("case_id", "model", "recall_text", F.col("recall.hits").cast("long").alias("hits"), F.col("recall.total").alias("total"))
+    """hits/total texts to numbers, anything else to null; whether the total is another than the reference's 3 to 5 hypotheses."""
+    o = F.substring_index("case_id", ":", -1).cast("long")
+    return records(spark, sf_dir).select("case_id", "model", "recall_text", F.col("recall.hits").cast("long").alias("hits"), F.col("recall.total").alias("total"), recall_mismatch(F.col("recall"), 3 + o % 3).alias("mismatch"))
 
 
 LONG = """, long AS (SELECT domain, judge, model, 'grounding' AS dimension, grounding AS v FROM pairs UNION ALL SELECT domain, judge, model, 'insight', insight FROM pairs

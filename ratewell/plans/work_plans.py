@@ -123,19 +123,26 @@ def pending_construction(spark, sf_dir):
 
 
 @query(
-    """, p AS (SELECT a.domain, 'arena' AS stage FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE a.o % 3 <> 0 UNION ALL SELECT domain, 'score' FROM sub WHERE o % 4 <> 1 UNION ALL SELECT domain, 'construction' FROM cases WHERE o % 5 = 2)
-    SELECT stage, domain, count(*) AS n FROM p GROUP BY stage, domain""",
-    "sub", "cases",
+    """, j AS (SELECT 'j0' AS judge UNION ALL SELECT 'j1'), p AS (SELECT 'arena' AS stage, j.judge, a.domain FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label CROSS JOIN j WHERE j.judge = 'j1' OR a.o % 3 <> 0
+    UNION ALL SELECT 'score', j.judge, domain FROM sub CROSS JOIN j WHERE j.judge = 'j1' OR o % 4 <> 1
+    UNION ALL SELECT 'generation', NULL, c.domain FROM cases c CROSS JOIN labels_seen l WHERE c.context_passed AND c.hypothesis_passed AND NOT EXISTS (SELECT 1 FROM sub s WHERE s.case_id = c.case_id AND s.label = l.label)
+    UNION ALL SELECT 'construction', NULL, domain FROM cases WHERE o % 5 = 2)
+    SELECT stage, judge, domain, count(*) AS n FROM p GROUP BY stage, judge, domain""",
+    "sub", "cases", "labels_seen",
 )
 def pending_report(spark, sf_dir):
-    """What is left to do per stage and domain."""
+    """What is left to do per stage, judge and domain; the second judge has done nothing yet."""
     domain = F.substring_index("case_id", ":", 1).alias("domain")
-    parts = {"arena": pending_matches, "score": pending_scores, "construction": pending_construction}
+    sub = table(spark, sf_dir, "sub").select("case_id", "label")
+    parts = [
+        ("arena", "j0", pending_matches(spark, sf_dir)), ("arena", "j1", worklist.pairs(sub)), ("score", "j0", pending_scores(spark, sf_dir)), ("score", "j1", sub),
+        ("generation", None, pending_generation(spark, sf_dir)), ("construction", None, pending_construction(spark, sf_dir)),
+    ]
     rows = None
-    for stage, f in parts.items():
-        part = f(spark, sf_dir).select(F.lit(stage).alias("stage"), domain)
+    for stage, judge, todo in parts:
+        part = todo.select(F.lit(stage).alias("stage"), F.lit(judge).cast("string").alias("judge"), domain)
         rows = part if rows is None else rows.union(part)
-    return rows.groupBy("stage", "domain").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("stage", "judge", "domain").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _blocks(spark, sf_dir) -> DataFrame:
@@ -240,11 +247,12 @@ def normalize_skills(spark, sf_dir):
     return table(spark, sf_dir, "answers").select("event_id", F.array_join(names_of(text, [f"s{i}" for i in range(12)]), ",").alias("skills"))
 
 
-@query("SELECT event_id, CASE kind % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE NULL END AS n, CASE WHEN kind % 3 < 2 THEN concat('h', CAST(k AS STRING)) END AS first FROM answers", "answers")
+@query("SELECT event_id, CASE WHEN kind % 3 = 0 THEN 1 WHEN kind % 3 = 1 AND k % 5 <> 0 THEN 2 END AS n, CASE WHEN kind % 3 = 0 OR (kind % 3 = 1 AND k % 5 <> 0) THEN concat('h', CAST(k AS STRING)) END AS first, CASE WHEN kind % 3 = 1 AND k % 5 <> 0 THEN 'c' END AS category FROM answers", "answers")
 def normalize_candidates(spark, sf_dir):
-    """One hypothesis or a list of them, as a list."""
+    """One hypothesis or a list of them, as a list; a list in which one has an empty category is none."""
     k = F.col("k").cast("string")
-    one = F.concat(F.lit('{"hypothesis": "h'), k, F.lit('", "evidence": "e"}'))
-    text = F.when(F.col("kind") % 3 == 0, one).when(F.col("kind") % 3 == 1, F.concat(F.lit('{"hypotheses": ['), one, F.lit(", "), one, F.lit("]}"))).otherwise('{"other": 1}')
+    one = lambda category: F.concat(F.lit('{"hypothesis": "h'), k, F.lit('", "evidence": "e"'), category, F.lit("}"))
+    named, other = F.lit(', "category": "c"'), F.when(F.col("k") % 5 == 0, ', "category": ""').otherwise(', "category": "d"')
+    text = F.when(F.col("kind") % 3 == 0, one(F.lit(""))).when(F.col("kind") % 3 == 1, F.concat(F.lit('{"hypotheses": ['), one(named), F.lit(", "), one(other), F.lit("]}"))).otherwise('{"other": 1}')
     found = table(spark, sf_dir, "answers").select("event_id", hypotheses_of(text).alias("h"))
-    return found.select("event_id", F.when(F.col("h").isNotNull(), F.size("h")).alias("n"), F.col("h")[0]["hypothesis"].alias("first"))
+    return found.select("event_id", F.when(F.col("h").isNotNull(), F.size("h")).alias("n"), F.get("h", F.lit(0))["hypothesis"].alias("first"), F.get("h", F.lit(0))["category"].alias("category"))
