@@ -74,7 +74,10 @@ def restricted_matches(spark, sf_dir):
     return arena.restricted(table(spark, sf_dir, "matches"), _restrict(spark)).select("judge", "case_id", "model_a", "model_b", "forward", "reverse")
 
 
-@query("SELECT DISTINCT label, CASE WHEN label = 'reference' THEN 'reference' ELSE split_part(label, ':', 1) END AS mode, CASE WHEN label = 'reference' THEN label ELSE split_part(label, ':', 2) END AS profile, CASE WHEN label = 'reference' THEN 'Reference' ELSE concat(split_part(label, ':', 2), '-v') END AS shown FROM sub", "sub")
+@query(
+    "SELECT DISTINCT label, CASE WHEN label = 'reference' THEN 'reference' ELSE split_part(label, ':', 1) END AS mode, CASE WHEN label = 'reference' THEN label "
+    "ELSE split_part(label, ':', 2) END AS profile, CASE WHEN label = 'reference' THEN 'Reference' ELSE concat(split_part(label, ':', 2), '-v') END AS shown "
+    "FROM sub", "sub")
 def split_labels(spark, sf_dir):
     """Mode, profile and the displayed name of each label."""
     profile = profile_of(F.col("label"))
@@ -94,7 +97,9 @@ def win_loss_tie(spark, sf_dir):
 BASELINE = "(SELECT judge, CASE side WHEN 1 THEN model_a ELSE model_b END AS model, CASE side WHEN 1 THEN score ELSE 1 - score END AS own FROM scored CROSS JOIN (SELECT 1 AS side UNION ALL SELECT 2) x WHERE (model_a = 'reference' OR starts_with(model_a, 'baseline:')) AND (model_b = 'reference' OR starts_with(model_b, 'baseline:')))"
 
 
-@query(f"SELECT judge, model, count(*) AS n_observations, round((sum(CASE WHEN own > 0.5 THEN 1 ELSE 0 END) + sum(CASE WHEN own = 0.5 THEN 1 ELSE 0 END) / 2.0) / count(*), 6) AS half_tie_rate FROM {BASELINE} b GROUP BY judge, model", "scored")
+@query(
+    f"SELECT judge, model, count(*) AS n_observations, round((sum(CASE WHEN own > 0.5 THEN 1 ELSE 0 END) + sum(CASE WHEN own = 0.5 THEN 1 ELSE 0 END) / 2.0) "
+    f"/ count(*), 6) AS half_tie_rate FROM {BASELINE} b GROUP BY judge, model", "scored")
 def cross_domain_winrate(spark, sf_dir):
     """Share of wins over all domains among baselines and the reference, a tie counted half."""
     return arena.half_tie_rate(arena.by_pool(scored(spark, sf_dir), ["baseline"]), ["judge"]).withColumn("half_tie_rate", F.round("half_tie_rate", 6))
@@ -122,7 +127,9 @@ def arena_leaderboard(spark, sf_dir):
     return arena.leaderboard(scored(spark, sf_dir), pools=POOLS).withColumn("rating", F.round("rating", 4)).withColumn("win_rate", F.round("win_rate", 6)).withColumn("position_consistency", F.round("position_consistency", 6))
 
 
-@query(f"SELECT domain, judge, pool, round(avg(CASE WHEN consistent THEN 1.0 ELSE 0.0 END), 6) AS position_consistency, count(*) AS n FROM scored CROSS JOIN {POOLS_SQL} WHERE {IN_POOL.format('model_a')} AND {IN_POOL.format('model_b')} GROUP BY ALL", "scored")
+@query(
+    f"SELECT domain, judge, pool, round(avg(CASE WHEN consistent THEN 1.0 ELSE 0.0 END), 6) AS position_consistency, count(*) AS n FROM scored CROSS JOIN {POOLS_SQL} "
+    f"WHERE {IN_POOL.format('model_a')} AND {IN_POOL.format('model_b')} GROUP BY ALL", "scored")
 def position_consistency(spark, sf_dir):
     """Share of matches in which both directions agree, per leaderboard."""
     return arena.by_pool(scored(spark, sf_dir)).groupBy("domain", "judge", "pool").agg(F.round(F.avg(F.col("consistent").cast("double")), 6).alias("position_consistency"), F.count(F.lit(1)).alias("n"))
@@ -160,7 +167,9 @@ def bucket_cases(spark, sf_dir):
     return reports.with_bucket(table(spark, sf_dir, "cases")).groupBy("domain", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT r.judge, c.bucket, count(*) AS n, round(median(r.ref_score), 6) AS median_score, round(median(r.ref_win), 6) AS median_win FROM ({REF}) r JOIN (SELECT case_id, {BUCKET} AS bucket FROM cases) c ON r.case_id = c.case_id WHERE c.bucket IS NOT NULL GROUP BY r.judge, c.bucket", "scored", "cases")
+@query(
+    f"SELECT r.judge, c.bucket, count(*) AS n, round(median(r.ref_score), 6) AS median_score, round(median(r.ref_win), 6) AS median_win FROM ({REF}) r JOIN "
+    f"(SELECT case_id, {BUCKET} AS bucket FROM cases) c ON r.case_id = c.case_id WHERE c.bucket IS NOT NULL GROUP BY r.judge, c.bucket", "scored", "cases")
 def bucket_summary(spark, sf_dir):
     """Exact medians of the reference's case scores by bucket."""
     buckets = reports.with_bucket(table(spark, sf_dir, "cases")).where("bucket IS NOT NULL").select("case_id", "bucket")

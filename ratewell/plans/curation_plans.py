@@ -81,7 +81,9 @@ def remap_coverage(spark, sf_dir):
     return curation.remap_coverage(tail, remap, may)
 
 
-@query(ALLOWED + " SELECT h.case_id, h.n, h.p, coalesce(CASE WHEN a.category IS NOT NULL THEN r.canonical END, h.category) AS category FROM hypotheses h LEFT JOIN remap r ON h.domain = r.domain AND h.category = r.category LEFT JOIN allowed a ON a.domain = r.domain AND a.category = r.canonical", "hypotheses")
+@query(ALLOWED +
+    " SELECT h.case_id, h.n, h.p, coalesce(CASE WHEN a.category IS NOT NULL THEN r.canonical END, h.category) AS category FROM hypotheses h LEFT JOIN remap "
+    "r ON h.domain = r.domain AND h.category = r.category LEFT JOIN allowed a ON a.domain = r.domain AND a.category = r.canonical", "hypotheses")
 def apply_remap(spark, sf_dir):
     """Hypotheses with mapped categories."""
     may, _, remap = _remap(spark, sf_dir)
@@ -89,7 +91,10 @@ def apply_remap(spark, sf_dir):
     return done.select("case_id", F.explode("hypotheses").alias("h")).select("case_id", "h.n", "h.p", "h.category")
 
 
-@query(ALLOWED + " SELECT h.domain, CAST(sum(CASE WHEN a.category IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(DISTINCT CASE WHEN a.category IS NOT NULL THEN h.case_id END) AS cases FROM hypotheses h LEFT JOIN remap r ON h.domain = r.domain AND h.category = r.category LEFT JOIN allowed a ON a.domain = r.domain AND a.category = r.canonical GROUP BY h.domain", "hypotheses")
+@query(ALLOWED +
+    " SELECT h.domain, CAST(sum(CASE WHEN a.category IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS changed, count(DISTINCT CASE WHEN a.category IS NOT NULL "
+    "THEN h.case_id END) AS cases FROM hypotheses h LEFT JOIN remap r ON h.domain = r.domain AND h.category = r.category LEFT JOIN allowed a ON a.domain = "
+    "r.domain AND a.category = r.canonical GROUP BY h.domain", "hypotheses")
 def remap_counts(spark, sf_dir):
     """Hypotheses that a mapping changes, and their cases."""
     may, _, remap = _remap(spark, sf_dir)
@@ -116,7 +121,9 @@ def resolve_fingerprints(spark, sf_dir):
     return curation.resolve_fingerprints(_fingerprints(spark, sf_dir), nested(spark, sf_dir))
 
 
-@query(FOUND + " SELECT f.fp, count(DISTINCT x.case_id) AS hits, CASE count(DISTINCT x.case_id) WHEN 1 THEN 'ok' WHEN 0 THEN 'missed' ELSE 'ambiguous' END AS state FROM (SELECT DISTINCT fp FROM fp) f LEFT JOIN found x ON f.fp = x.fp GROUP BY f.fp", "cases", "hypotheses")
+@query(FOUND +
+    " SELECT f.fp, count(DISTINCT x.case_id) AS hits, CASE count(DISTINCT x.case_id) WHEN 1 THEN 'ok' WHEN 0 THEN 'missed' ELSE 'ambiguous' END AS state FROM "
+    "(SELECT DISTINCT fp FROM fp) f LEFT JOIN found x ON f.fp = x.fp GROUP BY f.fp", "cases", "hypotheses")
 def fingerprint_audit(spark, sf_dir):
     """Whether each fingerprint names one case."""
     fps = _fingerprints(spark, sf_dir)
@@ -195,19 +202,27 @@ def skill_profile_matrix(spark, sf_dir):
     return wide.select("skill", *[F.coalesce(F.col(f"`{p}`"), F.lit(0.0)).alias(p.replace("agent:", "")) for p in PROFILES])
 
 
-@query(KNOWN + ", d AS (SELECT DISTINCT case_id, label, skill FROM k) SELECT a.skill AS first, b.skill AS second, count(*) AS n FROM d a JOIN d b ON a.case_id = b.case_id AND a.label = b.label AND a.skill < b.skill GROUP BY 1, 2 ORDER BY n DESC, first, second LIMIT 20", "skills")
+@query(KNOWN +
+    ", d AS (SELECT DISTINCT case_id, label, skill FROM k) SELECT a.skill AS first, b.skill AS second, count(*) AS n FROM d a JOIN d b ON a.case_id = b.case_id "
+    "AND a.label = b.label AND a.skill < b.skill GROUP BY 1, 2 ORDER BY n DESC, first, second LIMIT 20", "skills")
 def skill_pairs(spark, sf_dir):
     """The most frequent pairs of skills."""
     return skills.top(skills.together(used(spark, sf_dir), 2), 20)
 
 
-@query(KNOWN + ", d AS (SELECT DISTINCT case_id, label, skill FROM k) SELECT a.skill AS first, b.skill AS second, c.skill AS third, count(*) AS n FROM d a JOIN d b ON a.case_id = b.case_id AND a.label = b.label AND a.skill < b.skill JOIN d c ON a.case_id = c.case_id AND a.label = c.label AND b.skill < c.skill GROUP BY 1, 2, 3 ORDER BY n DESC, first, second, third LIMIT 20", "skills")
+@query(KNOWN +
+    ", d AS (SELECT DISTINCT case_id, label, skill FROM k) SELECT a.skill AS first, b.skill AS second, c.skill AS third, count(*) AS n FROM d a JOIN d b ON "
+    "a.case_id = b.case_id AND a.label = b.label AND a.skill < b.skill JOIN d c ON a.case_id = c.case_id AND a.label = c.label AND b.skill < c.skill GROUP "
+    "BY 1, 2, 3 ORDER BY n DESC, first, second, third LIMIT 20", "skills")
 def skill_triples(spark, sf_dir):
     """The most frequent triples of skills."""
     return skills.top(skills.together(used(spark, sf_dir), 3), 20)
 
 
-@query("SELECT domain, CASE WHEN label = 'reference' THEN 'reference' ELSE split_part(label, ':', 1) END AS mode, CAST(sum(n) AS BIGINT) AS cached_tokens, CAST(sum(q) AS BIGINT) AS input_tokens, CAST(sum(p) AS BIGINT) AS output_tokens, CAST(sum(d) AS BIGINT) AS reasoning_tokens, count(*) AS requests, CAST(sum(q) + sum(p) AS BIGINT) AS total_tokens FROM sub GROUP BY 1, 2", "sub")
+@query(
+    "SELECT domain, CASE WHEN label = 'reference' THEN 'reference' ELSE split_part(label, ':', 1) END AS mode, CAST(sum(n) AS BIGINT) AS cached_tokens, CAST(sum(q) "
+    "AS BIGINT) AS input_tokens, CAST(sum(p) AS BIGINT) AS output_tokens, CAST(sum(d) AS BIGINT) AS reasoning_tokens, count(*) AS requests, CAST(sum(q) + sum(p) "
+    "AS BIGINT) AS total_tokens FROM sub GROUP BY 1, 2", "sub")
 def token_totals(spark, sf_dir):
     """Tokens spent per domain and mode."""
     tokens = F.struct(F.col("n").alias("cached_tokens"), F.col("q").alias("input_tokens"), F.col("p").alias("output_tokens"), F.col("d").alias("reasoning_tokens"), F.lit(1).cast("long").alias("requests"))

@@ -49,7 +49,9 @@ def read_tolerant(spark, sf_dir):
     return good.agg(F.count(F.lit(1)).alias("good")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))  # one row each
 
 
-@query("SELECT 'cases' AS name, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM cases UNION ALL SELECT 'submissions', count(*), count(DISTINCT case_id) FROM sub UNION ALL SELECT 'scores', count(*), count(DISTINCT case_id) FROM records", "cases", "sub", "records")
+@query(
+    "SELECT 'cases' AS name, count(*) AS n, count(DISTINCT case_id) AS n_cases FROM cases UNION ALL SELECT 'submissions', count(*), count(DISTINCT case_id) "
+    "FROM sub UNION ALL SELECT 'scores', count(*), count(DISTINCT case_id) FROM records", "cases", "sub", "records")
 def load_tables(spark, sf_dir):
     """Typed logs of several kinds, all domains in one read each."""
     out = None
@@ -62,7 +64,9 @@ def load_tables(spark, sf_dir):
     return out
 
 
-@query("SELECT label, 'c1' AS config, CASE WHEN label = 'reference' THEN 'reference' ELSE split_part(label, ':', 1) END AS mode, count(*) AS n FROM sub WHERE label <> 'reference' GROUP BY label", "sub")
+@query(
+    "SELECT label, 'c1' AS config, CASE WHEN label = 'reference' THEN 'reference' ELSE split_part(label, ':', 1) END AS mode, count(*) AS n FROM sub WHERE "
+    "label <> 'reference' GROUP BY label", "sub")
 def submission_labels(spark, sf_dir):
     """Labels from the names of the files that hold the submissions."""
     path = logs.scratch(spark, "submissions")
@@ -103,7 +107,9 @@ def leaderboard_document(spark, sf_dir):
     return spark.read.schema(made.schema).json(path).select(*KEYS, "n_models", "n_observations", F.to_json("rankings").alias("rankings"))
 
 
-@query(", w AS (SELECT domain, judge, model, " + WLT + " FROM sides GROUP BY domain, judge, model) SELECT domain, judge, model, CASE WHEN model = 'reference' THEN 'reference' ELSE split_part(model, ':', 1) END AS mode, win, loss, tie FROM w", "sides")
+@query(", w AS (SELECT domain, judge, model, " + WLT +
+    " FROM sides GROUP BY domain, judge, model) SELECT domain, judge, model, CASE WHEN model = 'reference' THEN 'reference' ELSE split_part(model, ':', 1) "
+    "END AS mode, win, loss, tie FROM w", "sides")
 def leaderboard_rows(spark, sf_dir):
     """Documents back to rows, with the mode of each model."""
     made = logs.document(board(spark, sf_dir), KEYS, ["win", "loss", "tie"])
@@ -143,7 +149,10 @@ def stream_score_leaderboard(spark, sf_dir):
     return live.latest(spark, f"{path}-out", "board").withColumn("rating", F.round("rating", 6))
 
 
-@query("SELECT domain, judge, model_a AS model_lo, model_b AS model_hi, sum(CASE WHEN score > 0.5 THEN (score - 0.5) * 2 ELSE 0 END) AS win_lo, sum(CASE WHEN score < 0.5 THEN (0.5 - score) * 2 ELSE 0 END) AS win_hi, sum(1 - abs(score - 0.5) * 2) AS ties, count(*) AS n FROM scored GROUP BY domain, judge, model_a, model_b", "scored")
+@query(
+    "SELECT domain, judge, model_a AS model_lo, model_b AS model_hi, sum(CASE WHEN score > 0.5 THEN (score - 0.5) * 2 ELSE 0 END) AS win_lo, sum(CASE WHEN "
+    "score < 0.5 THEN (0.5 - score) * 2 ELSE 0 END) AS win_hi, sum(1 - abs(score - 0.5) * 2) AS ties, count(*) AS n FROM scored GROUP BY domain, judge, model_a, "
+    "model_b", "scored")
 def stream_pair_matrix(spark, sf_dir):
     """The pair matrix that a stream adds up."""
     path, stream = _stream(spark, sf_dir)

@@ -78,7 +78,9 @@ def parse_score_verdicts(spark, sf_dir):
     return found.select("case_id", "model", "valid", "k_mismatch", text.alias("pairs"), *[c("set_scores")[x].alias(x) for x in SET_KEYS])
 
 
-@query("SELECT r.case_id, r.model, r.recall_text, x.hits AS hits, x.total AS total, coalesce(x.total <> 3 + r.o % 3, false) AS mismatch FROM records r JOIN recalls x ON r.case_id = x.case_id AND r.model = x.model", "records", "recalls")
+@query(
+    "SELECT r.case_id, r.model, r.recall_text, x.hits AS hits, x.total AS total, coalesce(x.total <> 3 + r.o % 3, false) AS mismatch FROM records r JOIN recalls "
+    "x ON r.case_id = x.case_id AND r.model = x.model", "records", "recalls")
 def parse_recall(spark, sf_dir):
     """hits/total texts to numbers, anything else to null; whether the total is another than the reference's 3 to 5 hypotheses."""
     o = F.substring_index("case_id", ":", -1).cast("long")

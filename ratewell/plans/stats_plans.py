@@ -34,7 +34,9 @@ MEANS = ", m AS (SELECT domain, model, round(avg(q_pair), 6) AS x, round(avg(s_s
 RANKS = ", r AS (SELECT domain, model, x, y, rank() OVER (PARTITION BY domain ORDER BY x) + (count(*) OVER (PARTITION BY domain, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY domain ORDER BY y) + (count(*) OVER (PARTITION BY domain, y) - 1) / 2.0 AS ry FROM m)"
 
 
-@query("SELECT case_id, model, rank() OVER (PARTITION BY domain ORDER BY s_score) + (count(*) OVER (PARTITION BY domain, s_score) - 1) / 2.0 AS midrank FROM (SELECT case_id, model, domain, round(s_score, 6) AS s_score FROM summaries) x", "summaries")
+@query(
+    "SELECT case_id, model, rank() OVER (PARTITION BY domain ORDER BY s_score) + (count(*) OVER (PARTITION BY domain, s_score) - 1) / 2.0 AS midrank FROM (SELECT "
+    "case_id, model, domain, round(s_score, 6) AS s_score FROM summaries) x", "summaries")
 def midranks(spark, sf_dir):
     """Mean ranks of all records' scores in their domain."""
     rows = scored(spark, sf_dir).select("case_id", "model", "domain", F.round("s_score", 6).alias("s"))

@@ -93,7 +93,9 @@ def sample_pairs(spark, sf_dir):
     return worklist.sample_pairs(both, 2, draw, draw % 2 == 1).select("case_id", "model_a", "model_b")
 
 
-@query("SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.case_id = a.case_id AND d.model_a = b.label AND d.model_b = a.label)", "sub", "done")
+@query(
+    "SELECT a.case_id, a.label AS model_a, b.label AS model_b FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label WHERE NOT EXISTS (SELECT "
+    "1 FROM done d WHERE d.case_id = a.case_id AND d.model_a = b.label AND d.model_b = a.label)", "sub", "done")
 def pending_matches(spark, sf_dir):
     """Pairs not compared yet in either order; the log has them the other way round."""
     return worklist.pending_pairs(worklist.pairs(table(spark, sf_dir, "sub")), table(spark, sf_dir, "done"))
@@ -106,7 +108,9 @@ def pending_scores(spark, sf_dir):
     return worklist.pending(sub.select("case_id", "label"), sub.where("o % 4 = 1"), ["case_id", "label"])
 
 
-@query("SELECT c.case_id, l.label FROM cases c CROSS JOIN labels_seen l WHERE c.context_passed AND c.hypothesis_passed AND NOT EXISTS (SELECT 1 FROM sub s WHERE s.case_id = c.case_id AND s.label = l.label)", "cases", "labels_seen", "sub")
+@query(
+    "SELECT c.case_id, l.label FROM cases c CROSS JOIN labels_seen l WHERE c.context_passed AND c.hypothesis_passed AND NOT EXISTS (SELECT 1 FROM sub s WHERE "
+    "s.case_id = c.case_id AND s.label = l.label)", "cases", "labels_seen", "sub")
 def pending_generation(spark, sf_dir):
     """Passed cases that a label has not answered."""
     wanted = worklist.every(passed(spark, sf_dir).select("case_id"), table(spark, sf_dir, "labels_seen"))
@@ -237,7 +241,9 @@ def parse_arena_verdicts(spark, sf_dir):
     return found.select("event_id", F.when(good, F.col("v.verdict")).alias("verdict"), F.when(good, score_of(F.col("v.verdict"))).alias("score"), good.alias("valid"))
 
 
-@query("SELECT event_id, CASE WHEN k % 14 < 12 OR (k + 3) % 14 < 12 THEN concat_ws(',', CASE WHEN k % 14 < 12 THEN concat('s', CAST(k % 14 AS STRING)) END, CASE WHEN (k + 3) % 14 < 12 THEN concat('s', CAST((k + 3) % 14 AS STRING)) END) END AS skills FROM answers", "answers")
+@query(
+    "SELECT event_id, CASE WHEN k % 14 < 12 OR (k + 3) % 14 < 12 THEN concat_ws(',', CASE WHEN k % 14 < 12 THEN concat('s', CAST(k % 14 AS STRING)) END, CASE "
+    "WHEN (k + 3) % 14 < 12 THEN concat('s', CAST((k + 3) % 14 AS STRING)) END) END AS skills FROM answers", "answers")
 def normalize_skills(spark, sf_dir):
     """Known skills from bare lists and from objects, trimmed, without repeats; null where none is known."""
     name = lambda c: F.concat(F.lit("s"), (c % 14).cast("string"))
@@ -247,7 +253,9 @@ def normalize_skills(spark, sf_dir):
     return table(spark, sf_dir, "answers").select("event_id", F.array_join(names_of(text, [f"s{i}" for i in range(12)]), ",").alias("skills"))
 
 
-@query("SELECT event_id, CASE WHEN kind % 3 = 0 THEN 1 WHEN kind % 3 = 1 AND k % 5 <> 0 THEN 2 END AS n, CASE WHEN kind % 3 = 0 OR (kind % 3 = 1 AND k % 5 <> 0) THEN concat('h', CAST(k AS STRING)) END AS first, CASE WHEN kind % 3 = 1 AND k % 5 <> 0 THEN 'c' END AS category FROM answers", "answers")
+@query(
+    "SELECT event_id, CASE WHEN kind % 3 = 0 THEN 1 WHEN kind % 3 = 1 AND k % 5 <> 0 THEN 2 END AS n, CASE WHEN kind % 3 = 0 OR (kind % 3 = 1 AND k % 5 <> "
+    "0) THEN concat('h', CAST(k AS STRING)) END AS first, CASE WHEN kind % 3 = 1 AND k % 5 <> 0 THEN 'c' END AS category FROM answers", "answers")
 def normalize_candidates(spark, sf_dir):
     """One hypothesis or a list of them, as a list; a list in which one has an empty category is none."""
     k = F.col("k").cast("string")
