@@ -1,4 +1,7 @@
-"""A corpus pipeline over documents: each stage's rows are written as Parquet and read again by the next."""
+"""A corpus pipeline over documents: each stage's rows are written as Parquet and read again by the next.
+
+Every stage takes an empty table and returns one. All but the last return the columns of docs, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,46 @@ from ratewell.llm.common import settle
 
 
 def reject_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned decision list reject."""
+    """Documents that neither the base rules nor the learned decision list reject.
+
+    Null and empty texts have no words and go. Rows with a null or repeated doc_id are judged by their own texts, and
+    repeated rows alike. Documents without a label are judged like the others; without labels only the base rules count.
+    """
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 over five-word shingles hold together, the one with the least doc_id."""
+    """Of documents that links of 0.8 over five-word shingles hold together, the one with the least doc_id.
+
+    A null doc_id comes last; ties go by text hash and then by the other columns, so repeated rows leave one. Texts
+    without words are linked with nothing and stay.
+    """
     return ngram_join.keep_first(docs, words=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item: four fifths or more of its five-word shingles.
+
+    Rows are decided one by one, whatever ids they share or lack; repeated rows stay or go together. Null texts contain
+    nothing; items without words are in nothing.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture takes them."""
+    """The documents as often as the mixture takes them, none to twice.
+
+    A null source is a source of its own, a null text has no words. Rows that are equal in all columns are decided one by
+    one, and reruns take equally many.
+    """
     return mixing.mixed(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token-ID files and returns what is read back from them."""
+    """Writes the token-ID files and returns what is read back from them, a row per row of docs.
+
+    A null text is its end alone; null ids come first; rows with equal ids are all written.
+    """
     return token_files.read_digests(token_files.write(docs))
 
 
