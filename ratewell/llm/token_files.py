@@ -45,7 +45,8 @@ _PLAIN = "\u0250"
 _DOUBTFUL = re.compile("[\x1c-\x1f\x85]")
 #: Marks that are a token of their own after a word's letters.
 _MARKS = frozenset(".,;:!?#*$%&|<>()")
-_KEPT = 700_000
+#: Words kept, and as many from before.
+_KEPT = 400_000
 
 
 class Encoder:
@@ -75,6 +76,7 @@ class Encoder:
         #: A word's ids with the space before it, None for one that can't be encoded alone; a text's first word, which
         #: has no space, is kept with one before it.
         self.words: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
         self.parts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
 
@@ -88,7 +90,7 @@ class Encoder:
         return found
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.parts) > _KEPT:
+        if len(self.parts) > _KEPT * 3 // 2:
             self.parts.clear()
         parts, known = self.parts, self.parts.get
         for word in new:
@@ -109,12 +111,14 @@ class Encoder:
         for words in split:
             if words:
                 words[0] = " " + words[0]
-        every = set().union(*(words for words in split if words))
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > _KEPT:
-            self.words.clear()
-            new = every
-        self._learn(new)
+        new = set().union(*(words for words in split if words)).difference(self.words)
+        if len(self.words) > _KEPT:
+            # words met again stay, those met no more go
+            self.before, self.words = self.words, {}
+            new = set().union(*(words for words in split if words))
+        again = new.intersection(self.before)
+        self.words.update(zip(again, map(self.before.__getitem__, again), strict=True))
+        self._learn(new.difference(again))
         get = self.words.__getitem__
         out = []
         for words, text in zip(split, texts, strict=True):
