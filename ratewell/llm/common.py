@@ -38,7 +38,15 @@ def settle(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(settled: DataFrame) -> None:
+    """Drops a settled table that nothing will read again."""
+    spark, at = settled.sparkSession, settled.sparkSession._jvm.org.apache.hadoop.fs.Path(settled._settled)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_of(column: str = "text") -> Column:

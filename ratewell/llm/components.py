@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import settle
+from ratewell.llm.common import discard, settle
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
     stars = settle(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     seen = None
     while True:
-        stars = settle(_small(_large(stars)), "stars")
+        before, stars = stars, settle(_small(_large(stars)), "stars")
+        discard(before)
         mark = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if mark == seen or not mark[0]:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -442,11 +442,15 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = settle(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *keys)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first")
     stays = (F.col("doc_key") == F.col("first.doc_key")) & (F.col("text_hash") == F.col("first.text_hash"))
     fates = settle(placed.join(first.hint("merge"), "root").groupBy(*keys).agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1"), "fates")
-    on, place = [fresh(docs, "key"), fresh(docs, "hash")], fresh(docs, "stays")
-    named = fates.select(F.col("doc_key").alias(on[0]), F.col("text_hash").alias(on[1]), F.col("stays").alias(place))
+    on = [fresh(docs, "key"), fresh(docs, "hash")]
+    named = lambda rows: rows.select(F.col("doc_key").alias(on[0]), F.col("text_hash").alias(on[1])).hint("merge")
     # a merge join at every size: the table of fates grows with docs
-    fated = docs.withColumns({on[0]: key_of("doc_id"), on[1]: F.xxhash64(text_of())}).join(named.hint("merge"), on, "left")
+    keyed = docs.withColumns({on[0]: key_of("doc_id"), on[1]: F.xxhash64(text_of())})
     every = [F.col(f"`{c}`") for c in docs.columns]
+    rest = keyed.join(named(fates), on, "left_anti").select(*every)
+    if not fates.where("stays").limit(1).count():
+        return rest
+    # rows that are equal in id and text, of which the first by the other columns stays
     others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("doc_id", "text")], F.lit(0)))
-    once = fated.where(F.col(place)).groupBy(*on).agg(F.min_by(F.struct(*every), others).alias("first")).select("first.*")
-    return fated.where(F.col(place).isNull()).select(*every).union(once)
+    once = keyed.join(named(fates.where("stays")), on).groupBy(*on).agg(F.min_by(F.struct(*every), others).alias("first"))
+    return rest.union(once.select("first.*"))
