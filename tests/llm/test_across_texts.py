@@ -332,3 +332,31 @@ def test_leaks_of_items_of_all_sizes(spark):
         rows.append((len(rows), text))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     check_leaks(decontamination.search(df, spark.createDataFrame(items, "item_id long, text string")), rows, items)
+
+
+def test_pipeline_stages_with_awkward_rows(spark, small, docs, rows, empty):
+    """Nulls, empty and very long texts, repeated rows and ids, columns of clashing names, and an empty table."""
+    import corpus_pipeline
+
+    texts = collections.Counter(r[1] for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        got, none = stage(spark, docs, small), stage(spark, empty, small)
+        assert none.count() == 0
+        kept = [r.asDict() for r in got.collect()]
+        if name == "token-ID output":
+            assert collections.Counter(r["doc_id"] for r in kept) == collections.Counter(r[0] for r in rows)
+            continue
+        assert got.columns == docs.columns == none.columns
+        assert all((r["key"], r["size"], r["row"], r["_spans"]) == ("k", 1, 2, "w") for r in kept)
+        now = collections.Counter(r["text"] for r in kept)
+        if name == "mixing sources":
+            assert all(now[t] <= 2 * texts[t] for t in now)
+        else:
+            assert all(now[t] <= texts[t] for t in now)
+        if name == "benchmark decontamination":
+            assert now == texts
+        if name == "n-gram Jaccard join":
+            long = [t for t in texts if t and len(t.split()) > 1000]
+            assert now[None] == texts[None] and now[""] == texts[""] and all(now[t] == 1 for t in long)
+        if name == "quality rules":
+            assert not now[None] and not now[""]
