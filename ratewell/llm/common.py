@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -98,3 +99,17 @@ def numbered(rows: DataFrame, group: list[str], name: str, cells: int = 256) ->
     sums = sums.withColumn(before, F.sum(held).over(W.partitionBy(*group).orderBy(cell)) - F.col(held)).drop(held)
     inner = F.row_number().over(W.partitionBy(*group, cell).orderBy(F.lit(0)))
     return dealt.withColumn(name, inner).join(sums, [*group, cell]).withColumn(name, F.col(name) + F.col(before)).select(*rows.columns, name)
+
+
+def gathered(parts: DataFrame, merge: Callable, ddl: str, fan: int = 16) -> DataFrame:
+    """Merges a settled table of partial results, one per task with the task's number in `part`, to one row.
+
+    Only fan of them meet in a task, and what they give is as large as one; so nothing grows with the number of tasks.
+    Every task must have given a row, so that the numbers have no gaps.
+    """
+    left = parts.count()
+    while left > 1:
+        groups = -(-left // fan)
+        parts = settle(parts.withColumn("part", F.pmod("part", F.lit(groups)).cast("int")).groupBy("part").applyInArrow(merge, ddl), "merged")
+        left = parts.count()
+    return parts

@@ -66,4 +66,50 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, total AS source_size, target,
     CAST(size * (whole + CASE WHEN before + size <= rest OR (before <= rest AND (rest - before) * 2 >= size) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM upto
 """
 
-SQL = {"op4_ngram_join": JOIN, "op6_suffix_dedup": REPEATS, "op7_decontamination": LEAKS, "op10_mixing": MIX}
+
+
+def _field(value: str) -> str:
+    return f"coalesce(concat(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR), ':', CAST({value} AS VARCHAR)), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256(concat({', '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))}))"
+
+
+#: crc32 of a whole number's digits, bit by bit: a digit is mixed in, and eight steps (-1) follow it.
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """name: k, level, pos, n and h of all nodes of binary trees over leaves (k, pos, n, h)."""
+    return f"""{name} AS (
+    SELECT k, 0 AS level, pos, n, h FROM {leaves}
+    UNION ALL SELECT k, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY k, level, n, pos // 2)"""
+
+
+#: Every row walks up its two trees; a step has the sibling on its left or right, if there is one.
+MANIFEST = f"""
+WITH RECURSIVE hashed AS MATERIALIZED (SELECT doc_id, coalesce(concat('1', lang), '0') AS k, {_leaf('n_chars')} AS h,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('(CAST(n_chars AS HUGEINT) + 1)')} ELSE {_leaf('n_chars')} END AS seen FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM hashed),
+{_tree('nodes', 'leaves')},
+subroots AS MATERIALIZED (SELECT '' AS k, k AS lang, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n, h FROM nodes WHERE n = 1),
+{_tree('upper', 'subroots')},
+stored AS MATERIALIZED (SELECT * FROM nodes), stored_upper AS MATERIALIZED (SELECT * FROM upper),
+walk AS (
+    SELECT doc_id, l.k, l.pos AS place, 0 AS level, l.pos, n, h AS leaf, seen AS folded, '' AS siblings FROM leaves l
+    UNION ALL SELECT w.doc_id, w.k, w.place, w.level + 1, w.pos // 2, (w.n + 1) // 2, w.leaf,
+        sha256(CASE WHEN w.pos % 2 = 1 THEN concat(s.h, w.folded) ELSE concat(w.folded, coalesce(s.h, '')) END), concat(w.siblings, coalesce(s.h, ''))
+    FROM walk w LEFT JOIN stored s ON s.k = w.k AND s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1),
+below AS MATERIALIZED (SELECT w.doc_id, w.place, w.leaf, r.h AS subroot, r.pos, r.n, w.folded, w.siblings FROM walk w JOIN subroots r ON r.lang = w.k WHERE w.n = 1),
+on_top AS (
+    SELECT *, 0 AS level FROM below
+    UNION ALL SELECT w.doc_id, w.place, w.leaf, w.subroot, w.pos // 2, (w.n + 1) // 2,
+        sha256(CASE WHEN w.pos % 2 = 1 THEN concat(s.h, w.folded) ELSE concat(w.folded, coalesce(s.h, '')) END), concat(w.siblings, coalesce(s.h, '')), w.level + 1
+    FROM on_top w LEFT JOIN stored_upper s ON s.level = w.level AND s.pos = xor(w.pos, 1) WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT h FROM stored_upper WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, folded AS folded_root,
+    folded = (SELECT h FROM stored_upper WHERE n = 1) AS verified, CAST(place AS BIGINT) AS place FROM on_top WHERE n = 1
+"""
+
+SQL = {"op4_ngram_join": JOIN, "op6_suffix_dedup": REPEATS, "op7_decontamination": LEAKS, "op10_mixing": MIX, "op11_merkle_manifest": MANIFEST}

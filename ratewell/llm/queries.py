@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import decontamination, line_dedup, mixing, ngram_join, oracles, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_files
+from ratewell.llm import (
+    decontamination, embedding_whitening, line_dedup, merkle_manifest, mixing, ngram_join, oracles, quality_classifier, quality_rules, secret_scan, sharding, suffix_dedup, token_counts, token_files,
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +69,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allotment(documents(spark, sf_dir), share=1.5, cap=2.0, weights=(5, 2, 1))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(documents(spark, sf_dir), fanout=2, tampered=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(documents(spark, sf_dir), tokenizer="word_bpe_49k.json", limit=2048)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+QUERIES = (
+    op1_secret_scan, op2_token_files, op3_line_dedup, op4_ngram_join, op5_sharding, op6_suffix_dedup, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing,
+    op11_merkle_manifest, op12_token_counts, op13_embedding_whitening,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_token_files, op3_line_dedup, op4_ngram_join, op5_sharding, op6_suffix_dedup, op7_decontamination, op8_quality_classifier, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
