@@ -1,9 +1,10 @@
 """Secret scans: single patterns, and weak parts of credentials that count only together.
 
 Assignments, access keys and long hexadecimal runs are reported wherever they stand. Identifiers, random-looking runs
-and endpoints are weak: they are reported only when complementary parts stand within the same scope, which an interval
-join over cells of that width finds. A cell keeps the first and last start of each role, so that the join has a row per
-cell and never one per pair.
+and endpoints are weak: they are reported only when complementary parts stand within the same scope and apart from each
+other, which an interval join over cells of that width finds: a part asks for ends of others before its start and for
+starts after its end. A cell keeps the first and last place of each role, so that the join has a row per cell and never
+one per pair.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ ASSIGN_LEAST = 12
 IDENTIFIER = r"""(?i:client_?id|account_?id|key_?id|user_?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 RANDOM = r"[A-Za-z0-9+/_-]{20,}"
 ENDPOINT = r"""(?:https?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+"""
+#: Runs and endpoints are matched in one scan, so that what is inside an endpoint is no run.
+RUNS = f"{ENDPOINT}|{RANDOM}"
 
 #: Kinds in the order in which spans with equal starts are listed, with the role of each as a part of a credential.
 KINDS = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "random": "secret", "endpoint": "endpoint"}
@@ -82,10 +85,10 @@ def _scanned(docs: DataFrame) -> DataFrame:
     text = text_of()
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
     long_ = lambda spans: _bind(values, lambda v: F.filter(spans, lambda s, i: F.length(F.get(v, i)) >= ASSIGN_LEAST))
-    # a run that looks random has capitals, small letters and digits
-    mixed = lambda s: F.substring(text, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")).rlike(r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
+    # a run that looks random has capitals, small letters and digits, and no colon as an endpoint has
+    mixed = lambda s: F.substring(text, s["start"].cast("int") + 1, (s["stop"] - s["start"]).cast("int")).rlike(r"^(?=[^:]*[a-z])(?=[^:]*[A-Z])(?=[^:]*[0-9])[^:]*$")
     base = [long_(_found(text, "assign", ASSIGN)), _found(text, "access", ACCESS), _found(text, "hex", HEX)]
-    weak = [_found(text, "identifier", IDENTIFIER), _found(text, "random", RANDOM, mixed), _found(text, "endpoint", ENDPOINT)]
+    weak = [_found(text, "identifier", IDENTIFIER), _found(text, "random", RUNS, mixed), _found(text, "endpoint", ENDPOINT)]
     return docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", *[x.alias(k) for k, x in zip(KINDS, base + weak, strict=True)]
     )
@@ -104,18 +107,21 @@ def _linked(scanned: DataFrame, scope: int) -> DataFrame:
         scanned.where(some)
         .select("row", F.explode(F.concat(*[F.col(k) for k in KINDS])).alias("span"))
         .select("row", "span.*", F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])[F.col("span.kind")].alias("role"))
-        .withColumn("cell", F.floor(F.col("start") / scope))
     )
-    ends = parts.groupBy("row", "cell").agg(*[f(F.when(F.col("role") == r, F.col("start"))).alias(f"{n}_{r}") for r in NEEDS for n, f in (("first", F.min), ("last", F.max))])
+    cell = lambda at: F.floor(at / scope).cast("long")
+    both = F.explode(F.array(*[F.struct(F.lit(k).alias("end"), F.col(k).alias("at")) for k in ("start", "stop")])).alias("to")
+    ends = parts.select("row", "role", both).select("row", "role", "to.end", "to.at", cell(F.col("to.at")).alias("cell"))
+    ends = ends.groupBy("row", "end", "cell").agg(*[f(F.when(F.col("role") == r, F.col("at"))).alias(f"{n}_{r}") for r in NEEDS for n, f in (("first", F.min), ("last", F.max))])
+    # the stop of a part before lies in (start - scope, start), the start of one after in (stop, stop + scope): two cells each,
+    # of which one has the nearest as its first and the other as its last
+    ask = lambda end, low, high: [F.struct(F.lit(end).alias("end"), c.alias("cell"), low.alias("low"), high.alias("high")) for c in (cell(low), cell(high))]
+    start, stop = F.col("start"), F.col("stop")
+    asks = parts.where(F.col("kind").isin(weak)).withColumn("ask", F.explode(F.array(*ask("stop", start - scope, start), *ask("start", stop, stop + scope)))).select("row", "role", "kind", "start", "place", "stop", "ask.*")
     near = F.lit(False)
     for role, needs in NEEDS.items():
-        for other in needs:
-            within = F.lit(False)
-            for end in ("first", "last"):  # in the next cell the first start is the nearest, in the one before the last
-                within = within | F.coalesce(F.abs(F.col(f"{end}_{other}") - F.col("start")) <= scope, F.lit(False))
-            near = near | ((F.col("role") == role) & within)
-    asks = parts.where(F.col("kind").isin(weak)).withColumn("cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)))
-    found = asks.join(ends, ["row", "cell"]).where(near).select("row", "start", "place", "stop", "kind").distinct()
+        within = [F.coalesce(F.col(f"{n}_{other}").between(F.col("low"), F.col("high")), F.lit(False)) for other in needs for n in ("first", "last")]
+        near = near | ((F.col("role") == role) & F.array_contains(F.array(*within), True))
+    found = asks.join(ends, ["row", "end", "cell"]).where(near).select("row", "start", "place", "stop", "kind").distinct()
     # of these, the ones that overlap a base span: both meet in the cells that they cover
     cells = F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope))).alias("cell")
     base = parts.where(F.col("kind").isin(*BASE)).select("row", F.col("start").alias("from"), F.col("stop").alias("to"), cells)
@@ -127,7 +133,7 @@ def _linked(scanned: DataFrame, scope: int) -> DataFrame:
 def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     """Per row of docs: doc_id, the spans of each base kind, and linked, the weak spans that are reported.
 
-    scope: how many code points two parts of one credential may lie apart. A weak span that overlaps a base span is not
+    scope: how many code points may stand between two parts of one credential, which do not overlap. A weak span that overlaps a base span is not
     reported beside it. A null text is empty and has no spans. Rows with equal or null doc_id stay rows of their own.
     An empty table gives no rows. Other columns of docs are not read.
     """
