@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ratewell.operators.selection import running
 from ratewell.operators.worklist import mixed_hash
 
 
@@ -32,46 +32,10 @@ def midranks(rows: DataFrame, keys: Sequence[str], value: str, name: str, times:
     return rows.join(ranked, [*keys, value])
 
 
-def _inversions(y: np.ndarray) -> int:
-    """Pairs i < j with y[i] > y[j], by merging."""
-    total, width, n = 0, 1, len(y)
-    y = y.copy()
-    while width < n:
-        for start in range(0, n, 2 * width):
-            left, right = y[start : start + width], y[start + width : start + 2 * width]
-            total += int((len(left) - np.searchsorted(left, right, "right")).sum())
-            y[start : start + 2 * width] = np.sort(y[start : start + 2 * width], kind="stable")
-        width *= 2
-    return total
-
-
-def kendall(x: np.ndarray, y: np.ndarray) -> float | None:
-    """Tau-b in which pairs tied in both stay in the total and in neither count of ties; null without variance."""
-    n = len(x)
-    if n < 2:
-        return None
-    pairs = lambda values: int(sum(c * (c - 1) // 2 for c in np.unique(values, axis=0, return_counts=True)[1]))
-    both = pairs(np.stack([x, y], 1))
-    tied_x, tied_y = pairs(x) - both, pairs(y) - both
-    total = n * (n - 1) // 2
-    order = np.lexsort((y, x))
-    against = _inversions(y[order])
-    agree = total - tied_x - tied_y - both - against
-    under = math.sqrt((total - tied_x) * (total - tied_y))
-    return (agree - against) / under if under else None
-
-
 def correlations(rows: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Per keys: n, Spearman's rho (null without variance) and Kendall's tau."""
+    """Per keys: n and Spearman's rho, null without variance."""
     ranked = midranks(midranks(rows, keys, x, "_rx"), keys, y, "_ry")
-    rho = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.nanvl(F.corr("_rx", "_ry"), F.lit(None).cast("double")), 6).alias("rho"))
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-
-    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = kendall(pdf[x].to_numpy(float), pdf[y].to_numpy(float))
-        return pd.DataFrame({k: [pdf[k].iloc[0]] for k in keys} | {"tau": [None if found is None else round(found, 6)]})
-
-    return rho.join(rows.select(*keys, x, y).groupBy(*keys).applyInPandas(tau, ", ".join([*(f"{k} {types[k]}" for k in keys), "tau double"])), list(keys))
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(F.nanvl(F.corr("_rx", "_ry"), F.lit(None).cast("double")), 6).alias("rho"))
 
 
 def _normal_tail(z: F.Column) -> F.Column:
@@ -85,16 +49,19 @@ def _normal_tail(z: F.Column) -> F.Column:
 
 
 def mann_whitney(rows: DataFrame, keys: Sequence[str], group: str, first: str, second: str, value: str) -> DataFrame:
-    """Per keys: U of the first group and p of the two-sided, greater and less tests, with tie and continuity correction."""
+    """Per keys: U of the first group and p of the two-sided, greater and less tests, with tie and continuity correction.
+
+    U adds for each value of the first group how many of the second are smaller, half of those that are equal.
+    """
     two = rows.where(F.col(group).isin(first, second))
     counts = two.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("t"), F.sum((F.col(group) == first).cast("long")).alias("tx"))
-    up_to = F.sum("t").over(W.partitionBy(*keys).orderBy(value))
-    ranked = counts.withColumn("rank", up_to - (F.col("t") - 1) / 2)
-    cubes = F.sum((F.col("t") * F.col("t") * F.col("t") - F.col("t")).cast("double"))
-    sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("tx")).alias("rank_sum"), F.sum("tx").cast("double").alias("nx"), F.sum("t").cast("double").alias("n"), cubes.alias("ties"))
+    ranked = running(counts.withColumn("ty", F.col("t") - F.col("tx")), keys, value, {"less": "ty"})
+    t = F.col("t").cast("double")
+    over = F.sum(F.col("tx") * (F.col("less") + F.col("ty") / 2))
+    sums = ranked.groupBy(*keys).agg(over.alias("u"), F.sum("tx").cast("double").alias("nx"), F.sum("t").cast("double").alias("n"), F.sum(t * t * t - t).alias("ties"))
     nx, n = F.col("nx"), F.col("n")
     ny = n - nx
-    out = sums.withColumn("u", F.col("rank_sum") - nx * (nx + 1) / 2).withColumn("mu", nx * ny / 2)
+    out = sums.withColumn("mu", nx * ny / 2)
     out = out.withColumn("var", nx * ny * ((n * n * n - n) - F.col("ties")) / (n * 12 * (n - 1)))
     sd = F.when(F.col("var") > 0, F.sqrt("var"))
     bound = lambda p: F.when(F.col("var") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)))
@@ -110,13 +77,11 @@ def jonckheere(rows: DataFrame, keys: Sequence[str], group: str, value: str) ->
     """
     cells = rows.groupBy(*keys, group, value).agg(F.count(F.lit(1)).alias("c"))
     # per value, how many of each earlier group are smaller or equal: the groups are few, so they are a map
-    upto = W.partitionBy(*keys).orderBy(value)
     wide = cells.groupBy(*keys, value).agg(F.map_from_entries(F.collect_list(F.struct(group, "c"))).alias("here"))
     groups = cells.groupBy(*keys).agg(F.array_sort(F.collect_set(group)).alias("groups"))
     filled = wide.join(groups, list(keys))
     below = filled.select(*keys, value, F.posexplode("groups").alias("g", "id"), F.size("groups").alias("k"), F.coalesce(F.col("here")[F.col("groups")[F.col("g")]], F.lit(0)).alias("c"))
-    running = F.sum("c").over(W.partitionBy(*keys, "id").orderBy(value)) - F.col("c")
-    counted = below.withColumn("less", running)
+    counted = running(below, [*keys, "id"], value, {"less": "c"})
     before = W.partitionBy(*keys, value).orderBy("g").rowsBetween(W.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum(F.col("less") + F.col("c") / 2).over(before), F.lit(0.0))
     j = counted.withColumn("pairs", F.col("c") * earlier).groupBy(*keys).agg(F.sum("pairs").alias("j"))

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratewell.functions.labels import REFERENCE, mode_of, profile_of
-from ratewell.operators.rankstats import correlations
+from ratewell.operators.rankstats import bootstrap_draws, correlations, drawn_midranks, percentile_interval, weighted_correlation
+from ratewell.operators.selection import kendall, settled
 
 #: Venues of each bucket, and the lower bounds of tiers of baseline ratings.
 ACCEPTED, REJECTED = ("oral", "poster"), ("rejected", "withdrawn")
@@ -109,7 +110,25 @@ def judge_correlation(board: DataFrame, first: str, second: str, least: int = 3)
     """Per domain, and for all as domain 'all', where the judges share enough models."""
     both = _paired(board, first, second)
     rows = both.union(both.withColumn("domain", F.lit("all")))
-    return correlations(rows, ["domain"], "x", "y").where(F.col("n") >= least)
+    rows = settled(rows, "paired")
+    tau = kendall(rows, ["domain"], "x", "y").select("domain", "tau")
+    return correlations(rows, ["domain"], "x", "y").join(tau, "domain").where(F.col("n") >= least)
+
+
+def pooled_correlation(board: DataFrame, first: str, second: str, replicates: int, least: int = 3) -> DataFrame:
+    """rho and tau over all cells (domain, model) that two judges share, and rho's percentile interval.
+
+    Cells are as many as domains times models. Each replicate draws as many of them with replacement, kept as multiplicities;
+    with fewer than `least` cells there is no row, and the bounds are null where too few replicates have a rho.
+    """
+    keys = ["all", "replicate"]
+    cells = settled(_paired(board, first, second).select(F.lit("all").alias("all"), "domain", "model", "x", "y"), "cells")
+    placed = cells.withColumn("place", F.row_number().over(W.partitionBy("all").orderBy("domain", "model")) - 1)
+    drawn = bootstrap_draws(cells, ["all"], replicates).join(placed, ["all", "place"])
+    ranked = drawn_midranks(drawn_midranks(drawn, keys, "x", "rx"), keys, "y", "ry")
+    bounds = percentile_interval(weighted_correlation(ranked, keys, "rx", "ry", "times"), ["all"], "v")
+    both = correlations(cells, ["all"], "x", "y").join(kendall(cells, ["all"], "x", "y").select("all", "tau"), "all").where(F.col("n") >= least)
+    return both.join(bounds, "all", "left").select(F.col("n").alias("n_cells"), "rho", "tau", "low", "high")
 
 
 def top_overlap(board: DataFrame, first: str, second: str, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratewell.functions.labels import POOLS, display_name, in_pool, mode_of, profile_of
 from ratewell.functions.verdicts import SCORES, consistent, debiased, score_of, winner_of
 from ratewell.operators import arena, reports
+from ratewell.operators.selection import medians, settled
 from ratewell.plans.tables import DOMAINS, ELIGIBLE, SHOWN, table, with_sql
 
 Q = {}
@@ -173,7 +174,10 @@ def bucket_cases(spark, sf_dir):
 def bucket_summary(spark, sf_dir):
     """Exact medians of the reference's case scores by bucket."""
     buckets = reports.with_bucket(table(spark, sf_dir, "cases")).where("bucket IS NOT NULL").select("case_id", "bucket")
-    return _per_case(spark, sf_dir).join(buckets, "case_id").groupBy("judge", "bucket").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("ref_score"), 6).alias("median_score"), F.round(F.median("ref_win"), 6).alias("median_win"))
+    rows = settled(_per_case(spark, sf_dir).join(buckets, "case_id").select("judge", "bucket", "ref_score", "ref_win"), "bucketed")
+    found = medians(rows, ["judge", "bucket"], ["ref_score", "ref_win"])
+    sizes = rows.groupBy("judge", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(found, ["judge", "bucket"]).select("judge", "bucket", "n", F.round("ref_score", 6).alias("median_score"), F.round("ref_win", 6).alias("median_win"))
 
 
 @query()
@@ -238,6 +242,12 @@ def judge_rank_corr(spark, sf_dir):
     return reports.judge_correlation(eligible_board(spark, sf_dir), "j0", "j1")
 
 
+@query()
+def judge_pooled_corr(spark, sf_dir):
+    """The correlations over all cells (domain and model) that two judges share, with a bootstrap interval of rho."""
+    return reports.pooled_correlation(eligible_board(spark, sf_dir), "j0", "j1", replicates=2000)
+
+
 @query()
 def topk_overlap(spark, sf_dir):
     """How many of the first five eligible models two judges share, per domain."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ratewell.operators import rankstats, reports
+from ratewell.operators import rankstats, reports, selection
 from ratewell.plans.arena_plans import BUCKET, REF, _per_case
 from ratewell.plans.score_plans import scored
 from ratewell.plans.tables import table, with_sql
@@ -49,15 +49,27 @@ def spearman(spark, sf_dir):
     return rankstats.correlations(means(spark, sf_dir), ["domain"], "x", "y").select("domain", "n", "rho")
 
 
-@query(
-    MEANS + """, p AS (SELECT a.domain, sign(a.x - b.x) AS dx, sign(a.y - b.y) AS dy FROM m a JOIN m b ON a.domain = b.domain AND a.model < b.model),
-    c AS (SELECT domain, count(*) AS n, sum(CASE WHEN dx * dy > 0 THEN 1 ELSE 0 END) AS good, sum(CASE WHEN dx * dy < 0 THEN 1 ELSE 0 END) AS bad, sum(CASE WHEN dx = 0 AND dy <> 0 THEN 1 ELSE 0 END) AS tx, sum(CASE WHEN dy = 0 AND dx <> 0 THEN 1 ELSE 0 END) AS ty FROM p GROUP BY domain)
-    SELECT domain, round((good - bad) / sqrt((n - tx) * (n - ty)), 6) AS tau FROM c""",
-    "summaries",
-)
+TAU = """, c AS (SELECT domain, x, y, count(*) AS w FROM {points} GROUP BY domain, x, y),
+    p AS (SELECT a.domain, sum(a.w * b.w * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s, (sum(CASE WHEN a.x = b.x THEN a.w * b.w ELSE 0 END) - sum(CASE WHEN a.x = b.x AND a.y = b.y THEN a.w * b.w ELSE 0 END)) / 2 AS tx,
+        (sum(CASE WHEN a.y = b.y THEN a.w * b.w ELSE 0 END) - sum(CASE WHEN a.x = b.x AND a.y = b.y THEN a.w * b.w ELSE 0 END)) / 2 AS ty FROM c a JOIN c b ON a.domain = b.domain GROUP BY a.domain),
+    t AS (SELECT domain, sum(w) AS n FROM c GROUP BY domain)
+    SELECT p.domain, {n}round(s / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM p JOIN t ON p.domain = t.domain"""
+
+
+@query(MEANS + TAU.format(points="m", n=""), "summaries")
 def kendall(spark, sf_dir):
     """Kendall's tau of the same scores."""
-    return rankstats.correlations(means(spark, sf_dir), ["domain"], "x", "y").select("domain", "tau")
+    return selection.kendall(means(spark, sf_dir), ["domain"], "x", "y").select("domain", "tau")
+
+
+RECORDS = ", v AS (SELECT domain, round(q_pair, 6) AS x, round(s_score, 6) AS y FROM summaries)"
+
+
+@query(RECORDS + TAU.format(points="v", n="CAST(n AS BIGINT) AS n, "), "summaries")
+def record_kendall(spark, sf_dir):
+    """Kendall's tau of the pair score and S over all records of a domain."""
+    rows = scored(spark, sf_dir).select("domain", F.round("q_pair", 6).alias("x"), F.round("s_score", 6).alias("y"))
+    return selection.kendall(rows, ["domain"], "x", "y")
 
 
 def _bucketed(spark, sf_dir) -> DataFrame:
@@ -138,3 +150,35 @@ def bootstrap_spearman(spark, sf_dir):
     ranked = rankstats.drawn_midranks(rankstats.drawn_midranks(_drawn(spark, sf_dir), keys, "x", "rx"), keys, "y", "ry")
     estimates = rankstats.weighted_correlation(ranked, keys, "rx", "ry", "times").withColumn("v", F.round("v", 9))
     return rankstats.percentile_interval(estimates, ["domain"], "v")
+
+
+UNIT = "(CAST(concat('0x', substr(h, {at}, 13)) AS BIGINT) + 0.5) / 4503599627370496.0::DOUBLE"
+#: Draws of distinct values: the quantile of a Poisson distribution at a hash, over 30 a rounded normal draw.
+TIMES = f"""CASE WHEN c <= 30 THEN len(list_filter(cdf, lambda x: x < {UNIT.format(at=1)}))
+    ELSE greatest(0, CAST(floor(c + sqrt(c) * (sqrt(ln({UNIT.format(at=1)}) * -2) * cos({UNIT.format(at=14)} * 6.283185307179586::DOUBLE)) + 0.5) AS BIGINT)) END"""
+
+
+@query(
+    CASES + f""", counts AS MATERIALIZED (SELECT judge, bucket, v, count(*) AS c FROM v GROUP BY judge, bucket, v),
+    terms AS (SELECT c, k, exp(k * ln(c) - c - sum(CASE WHEN k > 0 THEN ln(greatest(k, 1)) ELSE 0 END) OVER (PARTITION BY c ORDER BY k)) AS p FROM range(1, 31) a(c), range(0, 91) b(k)),
+    cdfs AS MATERIALIZED (SELECT c, list(s ORDER BY k) AS cdf FROM (SELECT c, k, sum(p) OVER (PARTITION BY c ORDER BY k) AS s FROM terms) x GROUP BY c),
+    hashed AS (SELECT o.judge, o.bucket, b, o.v, o.c, cdf, md5(concat_ws(':', '42', o.judge, o.bucket, CAST(b AS VARCHAR), CAST(CAST(round(o.v * 1000000) AS BIGINT) AS VARCHAR))) AS h
+        FROM counts o LEFT JOIN cdfs f ON o.c = f.c, range({REPLICATES}) x(b)),
+    drawn AS (SELECT judge, bucket, b, v, {TIMES} AS w FROM hashed),
+    placed AS (SELECT judge, bucket, b, v, sum(w) OVER (PARTITION BY judge, bucket, b ORDER BY v) AS upto, sum(w) OVER (PARTITION BY judge, bucket, b) AS n FROM drawn WHERE w > 0),
+    s AS (SELECT judge, bucket, b, (min(v) FILTER (WHERE upto > (n - 1) // 2) + min(v) FILTER (WHERE upto > n // 2)) / 2 AS v FROM placed GROUP BY judge, bucket, b),
+    e AS (SELECT judge, bucket, list(v ORDER BY v) AS e FROM s GROUP BY judge, bucket),
+    m AS (SELECT judge, bucket, count(*) AS n, round(median(v), 6) AS median FROM v GROUP BY judge, bucket)
+    SELECT m.judge, m.bucket, m.n, m.median, round(e[CAST(floor(len(e) * 0.025) AS INTEGER) + 1], 6) AS low, round(e[CAST(floor(len(e) * 0.975) AS INTEGER) + 1], 6) AS high
+    FROM m JOIN e ON m.judge = e.judge AND m.bucket = e.bucket""",
+    "scored", "cases",
+)
+def bootstrap_bucket_medians(spark, sf_dir):
+    """Median of the reference's case scores by judge and bucket, with its bootstrap interval over cases."""
+    keys = ["judge", "bucket"]
+    rows = selection.settled(_bucketed(spark, sf_dir), "bucketed")
+    middle = selection.medians(rows, keys, ["v"]).select(*keys, F.round("v", 6).alias("median"))
+    drawn = selection.resampled(rows, keys, "v", REPLICATES)
+    estimates = selection.medians(drawn, [*keys, "replicate"], ["v"], "times")
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(middle, keys).join(rankstats.percentile_interval(estimates, keys, "v").drop("n_estimates"), keys, "left")

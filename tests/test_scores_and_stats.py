@@ -3,13 +3,14 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from ratewell.functions.parsing import repair, with_json
 from ratewell.functions.rubric import pair_mean, recall_of, recall_ratio, set_mean, summary
-from ratewell.operators import curation, rankstats, skills, worklist
+from ratewell.operators import curation, rankstats, selection, skills, worklist
 
 
 def test_rubric_vectors(spark):
@@ -59,15 +60,62 @@ def naive_tau(x, y):
     return agree / under if under else None
 
 
-def test_kendall():
-    import numpy as np
-
-    assert rankstats.kendall(np.array([1, 2, 3]), np.array([2, 1, 3])) == pytest.approx(1 / 3)
+@pytest.mark.parametrize(("strip", "axis"), [(1 << 16, 256), (8, 4)])
+def test_kendall(spark, monkeypatch, strip, axis):
+    """Whole groups in a task, and groups cut into cells and strips again and again."""
+    monkeypatch.setattr(selection, "STRIP", strip)
+    monkeypatch.setattr(selection, "AXIS", axis)
     draw = random.Random(5)
-    for n in (2, 3, 10, 57):
-        x, y = [draw.randrange(6) for _ in range(n)], [draw.randrange(6) for _ in range(n)]
-        want, got = naive_tau(x, y), rankstats.kendall(np.array(x, float), np.array(y, float))
-        assert (want is None and got is None) or got == pytest.approx(want)
+    groups = {"a": [(1, 2), (2, 1), (3, 3)], "one": [(1, 1)], "tied": [(1, k) for k in range(9)], "same": [(2, 2)] * 5}
+    groups |= {f"small{n}": [(draw.randrange(6), draw.randrange(6)) for _ in range(n)] for n in (2, 10, 57)}
+    groups["wide"] = [(draw.random(), draw.random()) for _ in range(150)]
+    groups["hot"] = [(0.5, draw.random()) for _ in range(60)] + [(draw.random(), draw.choice([0.1, draw.random()])) for _ in range(80)]
+    rows = [(k, float(x), float(y)) for k, points in groups.items() for x, y in points] + [("a", None, 1.0), ("a", 2.0, None)]
+    got = {r["k"]: (r["n"], r["tau"]) for r in selection.kendall(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y").collect()}
+    assert set(got) == set(groups)
+    for k, points in groups.items():
+        want = naive_tau(*zip(*points, strict=True))
+        assert got[k][0] == len(points) and (got[k][1] is None if want is None else got[k][1] == pytest.approx(want, abs=1e-6)), k
+
+
+@pytest.mark.parametrize("few", [1 << 14, 3])
+def test_medians(spark, monkeypatch, few):
+    """Groups sorted in a task, and groups searched by histograms, equal the median."""
+    monkeypatch.setattr(selection, "FEW", few)
+    monkeypatch.setattr(selection, "CELLS", 8)
+    draw = random.Random(3)
+    inf = float("inf")
+    groups = {"odd": [3.0, 1.0, 2.0], "even": [4.0, 1.0, 2.0, 9.0], "one": [7.5], "same": [1.5] * 6, "far": [0.1, 0.2, 0.3, 0.4, 1e300, -1e300], "steps": [2.0**-k for k in range(60)], "inf": [-inf, 1.0, 2.0, inf, inf], "many": [draw.gauss(0, 1) for _ in range(501)]}
+    rows = [(k, v, -v) for k, values in groups.items() for v in values] + [("odd", None, None), ("even", float("nan"), 5.0), ("none", None, None)]
+    got = {r["k"]: r for r in selection.medians(spark.createDataFrame(rows, "k string, v double, u double"), ["k"], ["v", "u"]).collect()}
+    assert set(got) == set(groups)
+    for k, values in groups.items():
+        assert got[k]["v"] == statistics.median(values)
+        assert got[k]["u"] == statistics.median([-v for v in values] + [5.0] * (k == "even"))
+
+
+def test_weighted_places(spark):
+    rows = [("k", float(v), w) for v, w in ((5, 1), (1, 3), (2, 0), (9, 2))]
+    df = spark.createDataFrame(rows, "k string, v double, w long")
+    found = selection.selected(df, ["k"], "v", {"first": "0", "third": "3", "last": "n - 1", "beyond": "n"}, "w").first()
+    assert tuple(found) == ("k", 6, 1.0, 5.0, 9.0, None)
+
+
+def test_running_sums(spark):
+    rows = [(k, v, (v * 7) % 5) for k in "ab" for v in range(200 if k == "a" else 3)]
+    got = selection.running(spark.createDataFrame(rows, "k string, v int, c int").repartition(5), ["k"], "v", {"before": "c"}).collect()
+    assert len(got) == len(rows) and all(r["before"] == sum(c for k, v, c in rows if k == r["k"] and v < r["v"]) for r in got)
+
+
+def test_draws_of_distinct_values(spark):
+    """As many draws as values on average, spread as a Poisson distribution is, for counts on both sides of the bound."""
+    df = spark.createDataFrame([("k", 1.0)] * 3 + [("k", 2.0)] * 25 + [("k", 3.0)] * 400 + [("k", None), ("k", float("nan"))], "k string, v double")
+    drawn = selection.resampled(df, ["k"], "v", 2000).toPandas()
+    for value, count in ((1.0, 3), (2.0, 25), (3.0, 400)):
+        times = drawn[drawn["v"] == value]["times"]
+        mean, square = times.sum() / 2000, (times**2).sum() / 2000
+        assert abs(mean - count) < 5 * math.sqrt(count / 2000) and abs((square - mean * mean) / count - 1) < 0.15
+    assert abs(drawn.pivot(index="replicate", columns="v", values="times").fillna(0).corr().to_numpy()[[0, 0, 1], [1, 2, 2]]).max() < 0.1
 
 
 def test_tests_of_two_and_more_groups(spark):
