@@ -85,7 +85,8 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """The ids of a token before merging, by the tokenizer's model; kept as well."""
-        signs = part.encode().decode("latin-1").translate(_SIGNS)
+        plain = part.isascii() and part.isprintable()
+        signs = part.replace(" ", "\u0120") if plain else part.encode().decode("latin-1").translate(_SIGNS)
         found = self.parts[part] = array(self.kind, [x.id for x in self.model.tokenize(signs)]).tobytes()
         return found
 
