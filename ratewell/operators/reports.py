@@ -57,12 +57,21 @@ def bucket_gap(board: DataFrame) -> DataFrame:
     return own.select("judge", "bucket", F.round("rating", 4).alias("reference_rating"), F.round(at("Accepted") - at("Rejected"), 4).alias("gap"))
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    rank = lambda c: F.row_number().over(W.partitionBy("judge").orderBy(F.desc(c), "model"))
+    return rows.select("*", rank("ratio").alias("recall_rank"), rank("rating").alias("arena_rank")).withColumn("delta", F.col("arena_rank") - F.col("recall_rank"))
+
+
 def recall_against_arena(recalls: DataFrame, board: DataFrame) -> DataFrame:
     """recalls (judge, model, ratio) with the mean rating of board's domains and both ranks; delta: the rank by rating less that by recall."""
-    rating = board.groupBy("judge", "model").agg(F.avg("rating").alias("rating"))
-    rank = lambda c: F.row_number().over(W.partitionBy("judge").orderBy(F.desc(c), "model"))
-    both = recalls.join(rating, ["judge", "model"])
-    return both.select("*", rank("ratio").alias("recall_rank"), rank("rating").alias("arena_rank")).withColumn("delta", F.col("arena_rank") - F.col("recall_rank"))
+    return _ranked(recalls.join(board.groupBy("judge", "model").agg(F.avg("rating").alias("rating")), ["judge", "model"]))
+
+
+def under_every_judge(rows: DataFrame) -> DataFrame:
+    """rows of recall_against_arena of labels that all of its judges have, ranked anew, so that judges show the same labels."""
+    judges = rows.select("judge").distinct().agg(F.count(F.lit(1)).alias("_all"))
+    shared = rows.groupBy("model").agg(F.countDistinct("judge").alias("_judges")).crossJoin(judges).where("_judges = _all")  # judges is one row
+    return _ranked(rows.drop("recall_rank", "arena_rank", "delta").join(shared.select("model"), "model", "left_semi"))
 
 
 def anchors(rows: DataFrame) -> DataFrame:

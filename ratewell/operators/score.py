@@ -31,15 +31,16 @@ def by_pool(records: DataFrame, pools: Sequence[str] = POOLS) -> DataFrame:
 
 def dimension_means(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, dimension and mean: pair dimensions over all pairs, set dimensions over records, recall over records that
-    have one, and S over records. Each record is reduced to a sum and a count per dimension before the shuffle."""
-    pooled = lambda k: F.filter(F.transform("pair_scores", lambda p: p[k]), lambda x: x.isNotNull())
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    cell = lambda name, s, n: F.struct(F.lit(name).alias("dimension"), s.cast("double").alias("sum"), n.cast("long").alias("n"))
-    single = lambda name, value: cell(name, F.coalesce(value, F.lit(0.0)), value.isNotNull())
-    cells = [cell(k, total(pooled(k)), F.size(pooled(k))) for k in PAIR_KEYS]
-    cells += [single(k, F.when(F.col("multi"), F.col("set_scores")[k])) for k in SET_KEYS]
-    cells += [single("recall", recall_ratio(F.col("recall"))), single("S", F.col("s_score"))]
-    rows = scored.select(*keys, F.explode(F.array(*cells)).alias("c")).where("c.n > 0")
+    have one, and S over records. Whatever keys a record has are dimensions; what a task has of one is summed before the
+    shuffle."""
+    cell = lambda name, value: F.struct(name.alias("dimension"), value.cast("double").alias("sum"), value.isNotNull().cast("long").alias("n"))
+    none = F.array().cast("array<struct<dimension:string,sum:double,n:bigint>>")
+    each = lambda m: F.coalesce(F.transform(F.map_entries(m), lambda e: cell(e["key"], e["value"])), none)
+    cells = F.concat(
+        F.coalesce(F.flatten(F.transform("pair_scores", each)), none), F.when(F.col("multi"), each(F.col("set_scores"))).otherwise(none),
+        F.array(cell(F.lit("recall"), recall_ratio(F.col("recall"))), cell(F.lit("S"), F.col("s_score"))),
+    )
+    rows = scored.select(*keys, F.explode(cells).alias("c")).where("c.n > 0")
     return rows.groupBy(*keys, "c.dimension").agg((F.sum("c.sum") / F.sum("c.n")).alias("mean"), F.sum("c.n").alias("n"))
 
 

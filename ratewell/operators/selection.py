@@ -219,6 +219,6 @@ def resampled(rows: DataFrame, keys: Sequence[str], value: str, replicates: int,
     hashed = drawn.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("replicate").cast("string"), whole).cast("binary")))
     unit = lambda at: (F.conv(F.substring("_h", at, 13), 16, 10).cast("long") + F.lit(0.5)) / 2.0**52
     normal = F.sqrt(F.ln(unit(1)) * -2) * F.cos(unit(14) * 6.283185307179586)
-    few = F.size(F.filter("_cdf", lambda x: x < unit(1)))
+    few = F.transform(F.array(unit(1)), lambda u: F.size(F.filter("_cdf", lambda x: x < u)))[0]
     times = F.when(F.col("_c") <= EXACT, few).otherwise(F.greatest(F.lit(0), F.floor(F.col("_c") + F.sqrt("_c") * normal + 0.5))).cast("long")
     return hashed.select(*keys, "replicate", value, times.alias("times")).where("times > 0")

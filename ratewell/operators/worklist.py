@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ratewell.operators.selection import running
+
+#: Labels of a case that meet in one task.
+HOT_LABELS = 1024
 #: What stands for a submission without hypotheses.
 NO_HYPOTHESES = "(no hypotheses)"
 
@@ -27,10 +31,47 @@ def gather(cases: DataFrame, submissions: DataFrame, order: Sequence[str], label
 
 
 def pairs(gathered: DataFrame) -> DataFrame:
-    """Unordered pairs of labels of each case, each once: model_a < model_b. Both sides share one partitioning."""
-    left = gathered.select("case_id", F.col("label").alias("model_a"))
-    right = gathered.select("case_id", F.col("label").alias("model_b"))
-    return left.join(right, "case_id").where("model_a < model_b")
+    """Unordered pairs of labels of each case, each once: model_a < model_b. Both sides share one partitioning.
+
+    The labels of a case with more than HOT_LABELS are dealt to blocks by their hash, and each pair of blocks is a key of
+    its own, so no task has more than that many labels squared.
+    """
+    hot = gathered.groupBy("case_id").agg(F.ceil(F.count(F.lit(1)) / HOT_LABELS).cast("int").alias("_blocks")).where("_blocks > 1")
+    cut = gathered.select("case_id", "label").join(hot, "case_id", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("label"), F.col("_blocks")).cast("int"), F.sequence(F.lit(0), F.col("_blocks") - 1)
+    left = cut.select("case_id", F.col("label").alias("model_a"), own.alias("_a"), F.explode(every).alias("_b"))
+    right = cut.select("case_id", F.col("label").alias("model_b"), F.explode(every).alias("_a"), own.alias("_b"))
+    return left.join(right, ["case_id", "_a", "_b"]).where("model_a < model_b").select("case_id", "model_a", "model_b")
+
+
+def shuffled_place(place: str, size: str, seed: str, rounds: int = 12) -> str:
+    """SQL: where a seeded shuffle of the whole numbers below size puts one of them; others go elsewhere.
+
+    In each round a number and its mirror image about a drawn point are swapped if a bit that the larger one draws says so.
+    """
+    drawn = f"CAST(conv(substring(md5(concat_ws(':', {seed}, r)), 1, 13), 16, 10) AS BIGINT) % {size}"
+    mirror = f"pmod({drawn} - x, {size})"
+    bit = f"ascii(md5(concat_ws(':', {seed}, r, greatest(x, {mirror})))) % 2 = 1"
+    return f"aggregate(sequence(1, {rounds}), {place}, (x, r) -> CASE WHEN {bit} THEN {mirror} ELSE x END)"
+
+
+def drawn_pairs(gathered: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most so many different pairs of each case's labels, and flipped, whether the later label is shown first.
+
+    A case of L labels has L (L - 1) / 2 pairs, numbered row by row of a triangle. A seeded shuffle of the numbers gives
+    the first `most` places, which are decoded to two places among the sorted labels and joined to these: work of labels
+    plus drawn pairs, however many pairs there are.
+    """
+    placed = running(gathered.select("case_id", "label").distinct().withColumn("_one", F.lit(1)), ["case_id"], "label", {"_place": "_one"})
+    sizes = placed.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").selectExpr("case_id", "_n * (_n - 1) div 2 AS _size")
+    numbers = sizes.selectExpr("case_id", "_size", f"explode(sequence(0L, least(_size, {most}L) - 1)) AS _k")
+    numbers = numbers.selectExpr("case_id", "_k", shuffled_place("_k", "_size", f"'{seed}', case_id") + " AS _t")
+    # row j of the triangle begins at j (j - 1) / 2; the root is put right by one where it is rounded
+    row = numbers.selectExpr("case_id", "_k", "_t", "CAST(floor((1 + sqrt(1 + 8.0D * _t)) / 2) AS BIGINT) AS _j")
+    row = row.selectExpr("case_id", "_k", "_t", "_j + CASE WHEN _j * (_j - 1) div 2 > _t THEN -1 WHEN _j * (_j + 1) div 2 <= _t THEN 1 ELSE 0 END AS _j")
+    ends = row.selectExpr("case_id", "_t - _j * (_j - 1) div 2 AS _i", "_j", f"ascii(md5(concat_ws(':', '{seed}', case_id, 'side', _k))) % 2 = 1 AS flipped")
+    at = lambda name, place: placed.select("case_id", F.col("_place").alias(place), F.col("label").alias(name))
+    return ends.join(at("model_a", "_i"), ["case_id", "_i"]).join(at("model_b", "_j"), ["case_id", "_j"]).select("case_id", "model_a", "model_b", "flipped")
 
 
 def mixed_hash(seed: int, *columns: Column) -> Column:
@@ -41,12 +82,10 @@ def mixed_hash(seed: int, *columns: Column) -> Column:
     return found
 
 
-def sample_pairs(found: DataFrame, most: int, draw: Column, flip: Column) -> DataFrame:
-    """At most so many pairs of a case, by a draw, each shown in the order or the other as flip says."""
-    place = F.row_number().over(W.partitionBy("case_id").orderBy("_draw", "model_a", "model_b"))
-    kept = found.withColumn("_draw", draw).withColumn("_flip", flip).withColumn("_place", place).where(F.col("_place") <= most)
-    turned = lambda a, b: F.when(F.col("_flip"), F.col(b)).otherwise(F.col(a))
-    return kept.withColumns({"model_a": turned("model_a", "model_b"), "model_b": turned("model_b", "model_a")}).drop("_draw", "_flip", "_place")
+def sample_pairs(gathered: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """drawn_pairs with the two labels in the order in which they are shown."""
+    turned = lambda a, b: F.when(F.col("flipped"), F.col(b)).otherwise(F.col(a))
+    return drawn_pairs(gathered, most, seed).select("case_id", turned("model_a", "model_b").alias("model_a"), turned("model_b", "model_a").alias("model_b"))
 
 
 def pending_pairs(found: DataFrame, done: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:

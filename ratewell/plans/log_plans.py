@@ -177,9 +177,6 @@ def stream_dedup(spark, sf_dir):
     return _dedup(spark, table(spark, sf_dir, "matches"))
 
 
-Q["stream_dedup_all"], SQL["stream_dedup_all"] = stream_dedup, SQL["stream_dedup"]
-
-
 def _pending(spark, sub):
     path = logs.scratch(spark, "log")
     sub = sub.select("case_id", "label")
@@ -192,6 +189,3 @@ def _pending(spark, sub):
 def stream_pending(spark, sf_dir):
     """Pairs as submissions arrive, file by file."""
     return _pending(spark, table(spark, sf_dir, "sub"))
-
-
-Q["stream_pending_all"], SQL["stream_pending_all"] = stream_pending, SQL["stream_pending"]

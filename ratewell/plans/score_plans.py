@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, recall_mismatch, recall_of
 from ratewell.operators import arena, reports, score
 from ratewell.operators.rankstats import correlations
+from ratewell.operators.selection import settled
 from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL
 from ratewell.plans.arena_plans import board as arena_board
 from ratewell.plans.tables import DOMAINS, ELIGIBLE, MULTI, SHOWN, table, with_sql
@@ -197,13 +198,16 @@ def paired_models(spark, sf_dir):
 
 @query()
 def spread_ratio(spark, sf_dir):
-    """How far ratings of shown baselines spread in the arena and in the rubric, per judge and domain, with and without the reference."""
+    """How far ratings of shown baselines spread in the arena and in the rubric, per judge and domain, with and without the reference.
+
+    ratio_others leaves the reference out, as the published figure does.
+    """
     spread = lambda b, name, on: b.where(on & F.col("model").isin(*ELIGIBLE)).groupBy("judge", "domain").agg((F.max("rating") - F.min("rating")).alias(name))
     a, s = arena_board(spark, sf_dir, "baseline"), score.leaderboard(score.by_pool(scored(spark, sf_dir), ["baseline"]))
     every, others, on = F.lit(True), F.col("model") != "reference", ["judge", "domain"]
     out = spread(a, "arena", every).join(spread(a, "arena_others", others), on)
     out = out.join(spread(s, "rubric", every), on, "left").join(spread(s, "rubric_others", others), on, "left")
-    return out.select(*on, *[F.round(c, 4).alias(c) for c in ("arena", "rubric", "arena_others", "rubric_others")], F.round(F.try_divide("arena", "rubric"), 4).alias("ratio"))
+    return out.select(*on, *[F.round(c, 4).alias(c) for c in ("arena", "rubric", "arena_others", "rubric_others")], F.round(F.try_divide("arena", "rubric"), 4).alias("ratio"), F.round(F.try_divide("arena_others", "rubric_others"), 4).alias("ratio_others"))
 
 
 #: The domains over which ratings are averaged.
@@ -224,8 +228,8 @@ def _recall_against_arena(spark, sf_dir, domains: str = "all") -> DataFrame:
 
 @query()
 def recall_rank_delta(spark, sf_dir):
-    """Rank by recall, rank by rating, their difference, and the judge's rank correlation."""
-    rows = _recall_against_arena(spark, sf_dir)
+    """Rank by recall, rank by rating, their difference, and the judge's rank correlation, of labels with a row under every judge."""
+    rows = settled(reports.under_every_judge(settled(_recall_against_arena(spark, sf_dir), "recalls")), "recalls")
     rho = correlations(rows, ["judge"], "ratio", "rating").select("judge", "rho")
     return rows.join(rho, "judge").select("judge", "model", F.round("ratio", 6).alias("ratio"), F.round("rating", 4).alias("rating"), "recall_rank", "arena_rank", "delta", "rho")
 

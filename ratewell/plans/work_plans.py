@@ -26,11 +26,11 @@ TABLES.setdefault("done", "SELECT judge, case_id, o, model_b AS model_a, model_a
 TABLES.setdefault("labels_seen", "SELECT DISTINCT label FROM sub WHERE label <> 'reference'")
 
 
-def query(sql: str | None = None, *uses: str):
+def query(sql: str | None = None, *uses: str, recursive: bool = False):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_sql(*uses) + sql
+            SQL[f.__name__] = ("WITH RECURSIVE" + with_sql(*uses).removeprefix("WITH") if recursive else with_sql(*uses)) + sql
         return f
 
     return add
@@ -78,19 +78,23 @@ def enumerate_pairs(spark, sf_dir):
     return worklist.pairs(table(spark, sf_dir, "sub"))
 
 
+#: A round of the seeded shuffle: a number and its mirror image about a drawn point change places if the larger one's bit says so.
+_ROUND = """UNION ALL SELECT case_id, size, k, r + 1, CASE WHEN ascii(md5(concat_ws(':', '42', case_id, CAST(r + 1 AS VARCHAR), CAST(greatest(x, m) AS VARCHAR)))) % 2 = 1 THEN m ELSE x END
+    FROM (SELECT case_id, size, k, r, x, ((CAST(concat('0x', substr(md5(concat_ws(':', '42', case_id, CAST(r + 1 AS VARCHAR))), 1, 13)) AS BIGINT) % size - x) % size + size) % size AS m FROM shuffled WHERE r < 12) y"""
+
+
 @query(
-    """, p AS (SELECT a.case_id, a.label AS model_a, b.label AS model_b, a.o, a.k AS ka, b.k AS kb, (((42 * 1103515 + a.o * 12345 + 97) % 1000003 * 1103515 + a.k * 12345 + 97) % 1000003 * 1103515 + b.k * 12345 + 97) % 1000003 AS draw
-    FROM sub a JOIN sub b ON a.case_id = b.case_id AND a.label < b.label), r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY draw, model_a, model_b) AS rn FROM p)
-    SELECT case_id, CASE WHEN draw % 2 = 1 THEN model_b ELSE model_a END AS model_a, CASE WHEN draw % 2 = 1 THEN model_a ELSE model_b END AS model_b FROM r WHERE rn <= 2""",
-    "sub",
-)
+    f""", placed AS (SELECT case_id, label, row_number() OVER (PARTITION BY case_id ORDER BY label) - 1 AS place, count(*) OVER (PARTITION BY case_id) AS n FROM sub),
+    sizes AS (SELECT DISTINCT case_id, n * (n - 1) // 2 AS size FROM placed WHERE n > 1),
+    shuffled AS (SELECT case_id, size, k, 0 AS r, k AS x FROM sizes, range(2) z(k) WHERE k < size {_ROUND}),
+    pairs AS (SELECT a.case_id, a.label AS lo, b.label AS hi, b.place * (b.place - 1) // 2 + a.place AS t FROM placed a JOIN placed b ON a.case_id = b.case_id AND a.place < b.place),
+    drawn AS (SELECT p.case_id, lo, hi, ascii(md5(concat_ws(':', '42', p.case_id, 'side', CAST(k AS VARCHAR)))) % 2 = 1 AS flipped FROM pairs p JOIN shuffled s ON s.case_id = p.case_id AND s.x = p.t WHERE s.r = 12)
+    SELECT case_id, CASE WHEN flipped THEN hi ELSE lo END AS model_a, CASE WHEN flipped THEN lo ELSE hi END AS model_b FROM drawn""",
+    "sub", recursive=True,
+)
 def sample_pairs(spark, sf_dir):
-    """Two pairs of each case at most, by a seeded draw, sides flipped by its parity."""
-    sub = table(spark, sf_dir, "sub").select("case_id", "label", "o", "k")
-    side = lambda s: sub.select("case_id", F.col("label").alias(f"model_{s}"), F.col("o"), F.col("k").alias(f"k{s}"))
-    both = side("a").join(side("b").drop("o"), "case_id").where("model_a < model_b")
-    draw = worklist.mixed_hash(42, F.col("o"), F.col("ka"), F.col("kb"))
-    return worklist.sample_pairs(both, 2, draw, draw % 2 == 1).select("case_id", "model_a", "model_b")
+    """Two different pairs of each case at most, by a seeded shuffle of the pairs' numbers, sides flipped by a drawn bit."""
+    return worklist.sample_pairs(table(spark, sf_dir, "sub"), 2)
 
 
 @query(
@@ -191,9 +195,6 @@ def arena_requests(spark, sf_dir):
     return _digest(worklist.arena_requests(pending_matches(spark, sf_dir), _contexts(spark, sf_dir), _blocks(spark, sf_dir)))
 
 
-Q["arena_requests_all"], SQL["arena_requests_all"] = arena_requests, SQL["arena_requests"]
-
-
 @query(
     f"""SELECT case_id, label, {DIGEST} FROM (SELECT a.case_id, a.label, concat({CONTEXT}, chr(10), chr(10), 'Submission:', chr(10), {BLOCK.format('a')},
     CASE WHEN a.o % 6 >= 3 AND a.label <> 'reference' AND r.case_id IS NOT NULL AND r.p % 29 <> 0 THEN concat(chr(10), chr(10), 'Reference:', chr(10), {BLOCK.format('r')}) ELSE '' END) AS prompt

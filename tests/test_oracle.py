@@ -51,7 +51,7 @@ def test_has_rows(spark, small, name):
     assert registry.queries()[name](spark, small).count() > 0
 
 
-@pytest.mark.parametrize(("name", "source"), [("stream_dedup_all", "matches"), ("stream_pending_all", "sub")])
+@pytest.mark.parametrize(("name", "source"), [("stream_dedup", "matches"), ("stream_pending", "sub")])
 def test_streams_read_all_cases(spark, small, name, source):
     from ratewell.plans.tables import table
 
@@ -61,7 +61,7 @@ def test_streams_read_all_cases(spark, small, name, source):
 
 
 def test_requests_for_all_pending_pairs(spark, small):
-    made = registry.queries()["arena_requests_all"](spark, small).groupBy("case_id", "model_a", "model_b").count().collect()
+    made = registry.queries()["arena_requests"](spark, small).groupBy("case_id", "model_a", "model_b").count().collect()
     pending = {(r["case_id"], r["model_a"], r["model_b"]) for r in registry.queries()["pending_matches"](spark, small).collect()}
     assert {r["count"] for r in made} == {2} and {tuple(r)[:3] for r in made} == pending
 

@@ -147,6 +147,46 @@ def test_pending_pairs_in_either_order(spark):
     assert [tuple(r) for r in worklist.pending_pairs(found, done).collect()] == [("c", "a", "d")]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 153])
+def test_a_shuffle_puts_numbers_at_different_places(spark, size):
+    got = [r[0] for r in spark.range(size).selectExpr("id", f"{size}L AS n").selectExpr(worklist.shuffled_place("id", "n", "'x'")).collect()]
+    assert sorted(got) == list(range(size)) and (size < 100 or got != sorted(got))
+
+
+def test_drawn_pairs_of_a_hot_case(spark):
+    """100,000 labels of one case: as many pairs as asked for, all different, all over the triangle; a small case gives all it has."""
+    labels = spark.range(100_000).selectExpr("'hot' AS case_id", "lpad(CAST(id AS STRING), 6, '0') AS label").union(spark.createDataFrame([("two", "a"), ("two", "b"), ("one", "a"), ("two", "a")], "case_id string, label string"))
+    got = worklist.drawn_pairs(labels, 500).collect()
+    hot = [(r["model_a"], r["model_b"]) for r in got if r["case_id"] == "hot"]
+    assert len(set(hot)) == 500 and all(a < b for a, b in hot) and [tuple(r)[:3] for r in got if r["case_id"] != "hot"] == [("two", "a", "b")]
+    assert abs(sum(int(b) for _, b in hot) / 500 - 66_667) < 6000 and 150 < sum(r["flipped"] for r in got) < 350
+    assert len({r["model_a"] for r in got}) > 400
+
+
+def test_pairs_of_cases_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(worklist, "HOT_LABELS", 5)
+    rows = [("hot", f"m{k:02}") for k in range(23)] + [("small", "x"), ("small", "y"), ("one", "z")]
+    got = sorted(map(tuple, worklist.pairs(spark.createDataFrame(rows, "case_id string, label string")).collect()))
+    assert got == sorted((c, a, b) for c, a in rows for d, b in rows if c == d and a < b)
+
+
+def test_labels_under_every_judge(spark):
+    from ratewell.operators import reports
+
+    rows = spark.createDataFrame([("j0", "a", 0.5, 1.0), ("j0", "b", 0.9, 3.0), ("j0", "c", 0.1, 2.0), ("j1", "a", 0.2, 9.0), ("j1", "c", 0.3, 8.0)], "judge string, model string, ratio double, rating double")
+    found = reports.under_every_judge(reports._ranked(rows)).collect()
+    assert {(r["judge"], r["model"]): (r["recall_rank"], r["arena_rank"], r["delta"]) for r in found} == {("j0", "a"): (1, 2, 1), ("j0", "c"): (2, 1, -1), ("j1", "a"): (2, 1, -1), ("j1", "c"): (1, 2, 1)}
+
+
+def test_every_key_is_a_dimension(spark):
+    from ratewell.operators import score
+
+    rows = [("d", "j", "m", [{"grounding": 2.0, "extra": 5.0}, {"grounding": 4.0}], {"breadth": 1.0, "odd": 3.0}, None, True), ("d", "j", "m", [{"extra": 1.0, "none": None}], {"odd": 9.0}, (1, 2), False)]
+    ddl = "domain string, judge string, model string, pair_scores array<map<string,double>>, set_scores map<string,double>, recall struct<hits:int,total:int>, multi boolean"
+    found = score.dimension_means(score.rubric_scores(spark.createDataFrame(rows, ddl)), ["model"]).collect()
+    assert {r["dimension"]: (r["mean"], r["n"]) for r in found if r["dimension"] != "S"} == {"grounding": (3.0, 2), "extra": (3.0, 2), "breadth": (1.0, 1), "odd": (3.0, 1), "recall": (0.5, 1)}
+
+
 def test_record_keys(spark):
     df = spark.createDataFrame([("x", "y"), ("", "y"), (None, "y"), (None, None), ("", "")], "id string, case_id string")
     assert [r[0] for r in df.select(worklist.record_key(F.col("id"), F.col("case_id"))).collect()] == ["x", "y", "y", None, None]
