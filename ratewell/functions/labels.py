@@ -27,3 +27,8 @@ def profile_of(label: Column) -> Column:
 
 def display_name(profile: Column) -> Column:
     return F.when(profile == REFERENCE, "Reference").otherwise(F.regexp_replace(profile, f"-({'|'.join(ENDINGS)})$", ""))
+
+
+def label_in_pool(label: str, pool: str) -> bool:
+    """in_pool for a plain label."""
+    return label == REFERENCE or pool == "full" or label.startswith(f"{pool}:")

@@ -51,15 +51,19 @@ def pair_counts(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A score s above a half is (s - 0.5) * 2 of a win and the rest of a tie. All that a leaderboard needs is a sum of these.
     """
+    return pair_rows(scored, keys).groupBy(*keys, "model_lo", "model_hi").agg(*[F.sum(c).alias(c) for c in ("win_lo", "win_hi", "ties", "n", "n_lo", "n_hi", "n_consistent")])
+
+
+def pair_rows(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What each match adds to pair_counts."""
     low = F.col("model_a") < F.col("model_b")
     own = F.when(low, F.col("score")).otherwise(1 - F.col("score"))
     turned = scored.select(*keys, F.least("model_a", "model_b").alias("model_lo"), F.greatest("model_a", "model_b").alias("model_hi"), own.alias("s"), "consistent")
-    win = lambda s: F.greatest(s - 0.5, F.lit(0.0)) * 2
-    count = lambda on: F.sum(on.cast("long"))
-    s = F.col("s")
-    return turned.groupBy(*keys, "model_lo", "model_hi").agg(
-        F.sum(win(s)).alias("win_lo"), F.sum(win(1 - s)).alias("win_hi"), F.sum(1 - F.abs(s - 0.5) * 2).alias("ties"), F.count(F.lit(1)).alias("n"),
-        count(s > 0.5).alias("n_lo"), count(s < 0.5).alias("n_hi"), count(F.col("consistent")).alias("n_consistent"),
+    win, s = lambda s: F.greatest(s - 0.5, F.lit(0.0)) * 2, F.col("s")
+    count = lambda on: on.cast("long")
+    return turned.select(
+        *keys, "model_lo", "model_hi", win(s).alias("win_lo"), win(1 - s).alias("win_hi"), (1 - F.abs(s - 0.5) * 2).alias("ties"), F.lit(1).cast("long").alias("n"),
+        count(s > 0.5).alias("n_lo"), count(s < 0.5).alias("n_hi"), F.coalesce(count(F.col("consistent")), F.lit(0)).alias("n_consistent"),
     )
 
 
@@ -134,6 +138,27 @@ def ratings(matrix: DataFrame, keys: Sequence[str], most: int = 1000, tolerance:
     return _by_group(matrix, keys, rate, "model string, rating double, iterations int, converged boolean")
 
 
+#: What a leaderboard has of each model, besides its keys.
+BOARD = "model string, rating double, converged boolean, win long, loss long, tie long, n_observations long, win_rate double, position_consistency double, rank int"
+
+
+def board_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The leaderboard of one group, from its rows of pair_counts. Equal ratings rank by label."""
+    models, lo, hi, win, tie = _matrices(pdf)
+    found, _, done = fit(win, tie)
+    won, lost, met = (np.zeros(len(models), np.int64) for _ in range(3))
+    for at, own, other in ((lo, pdf.n_lo, pdf.n_hi), (hi, pdf.n_hi, pdf.n_lo)):
+        np.add.at(won, at, own.to_numpy())
+        np.add.at(lost, at, other.to_numpy())
+        np.add.at(met, at, pdf.n.to_numpy())
+    rank = np.empty(len(models), np.int32)
+    rank[np.lexsort((models, -found))] = np.arange(1, len(models) + 1)
+    return pd.DataFrame({
+        "model": models, "rating": found, "converged": done, "win": won, "loss": lost, "tie": met - won - lost, "n_observations": met,
+        "win_rate": won / met, "position_consistency": pdf.n_consistent.sum() / pdf.n.sum(), "rank": rank,
+    })
+
+
 def leaderboard(scored: DataFrame, keys: Sequence[str] = ("domain", "judge"), pools: Sequence[str] | None = None) -> DataFrame:
     """Rating, rank, wins, losses, ties and the group's share of consistent matches, per keys and model.
 
@@ -144,22 +169,7 @@ def leaderboard(scored: DataFrame, keys: Sequence[str] = ("domain", "judge"), po
     if pools:
         keys, pairs = [*keys, "pool"], by_pool(pairs, pools, ("model_lo", "model_hi"))
 
-    def rate(pdf: pd.DataFrame) -> pd.DataFrame:
-        models, lo, hi, win, tie = _matrices(pdf)
-        found, _, done = fit(win, tie)
-        won, lost, met = (np.zeros(len(models), np.int64) for _ in range(3))
-        for at, own, other in ((lo, pdf.n_lo, pdf.n_hi), (hi, pdf.n_hi, pdf.n_lo)):
-            np.add.at(won, at, own.to_numpy())
-            np.add.at(lost, at, other.to_numpy())
-            np.add.at(met, at, pdf.n.to_numpy())
-        rank = np.empty(len(models), np.int32)
-        rank[np.lexsort((models, -found))] = np.arange(1, len(models) + 1)
-        return pd.DataFrame({
-            "model": models, "rating": found, "converged": done, "win": won, "loss": lost, "tie": met - won - lost, "n_observations": met,
-            "win_rate": won / met, "position_consistency": pdf.n_consistent.sum() / pdf.n.sum(), "rank": rank,
-        })
-
-    return _by_group(pairs, keys, rate, "model string, rating double, converged boolean, win long, loss long, tie long, n_observations long, win_rate double, position_consistency double, rank int")
+    return _by_group(pairs, keys, board_of, BOARD)
 
 
 def half_tie_rate(scored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ratewell.functions.labels import mode_of, profile_of
-from ratewell.plans.arena_plans import WLT, board
+from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL, WLT, board
 from ratewell.plans.score_plans import scored as rubric_scored
 from ratewell.plans.tables import table, with_sql
 from ratewell.sources import logs
@@ -160,6 +161,28 @@ def stream_pair_matrix(spark, sf_dir):
     return live.latest(spark, f"{path}-out", "total")
 
 
+@query(
+    "SELECT domain, judge, pool, model, " + WLT + f", count(*) AS n_observations FROM (SELECT s.domain, s.judge, z.pool, s.model, s.own FROM (SELECT domain, judge, model_a AS model, model_b AS other, score AS own FROM scored "
+    f"UNION ALL SELECT domain, judge, model_b, model_a, 1 - score FROM scored) s CROSS JOIN {POOLS_SQL} z WHERE {IN_POOL.format('s.model')} AND {IN_POOL.format('s.other')}) y GROUP BY domain, judge, pool, model",
+    "scored",
+)
+def stream_pool_standings(spark, sf_dir):
+    """Wins, losses and ties on the boards of all pools that a stream's keyed state keeps."""
+    return _boards(spark, sf_dir).select(*KEYS, "pool", "model", "win", "loss", "tie", "n_observations")
+
+
+@query()
+def stream_boards(spark, sf_dir):
+    """Ratings and ranks on the same boards."""
+    return _boards(spark, sf_dir).select(*KEYS, "pool", "model", F.round("rating", 4).alias("rating"), "rank", F.round("position_consistency", 6).alias("position_consistency"))
+
+
+def _boards(spark, sf_dir) -> DataFrame:
+    path, stream = _stream(spark, sf_dir)
+    live.follow_boards(stream, KEYS, f"{path}-out", f"{path}-checkpoint")
+    return live.boards(spark, f"{path}-out", KEYS)
+
+
 def _dedup(spark, m):
     """Each comparison of m once, from a log that has every one in both orders."""
     path = logs.scratch(spark, "log")
