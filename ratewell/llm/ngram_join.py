@@ -10,8 +10,9 @@ cannot lift them over the bound that their sizes give.
 
 No pairs are emitted: a column gives a star around one of its rows. A column that many rows of one chunk have is hot: it
 is told to its block once a chunk, counts as one of many rows everywhere, and its entries go straight to their rows.
-Clusters larger than a product block are cut into row blocks: first each block against itself and one other, and then
-only rows that share a column with a row that they are still apart from.
+Clusters larger than a product block are cut into row blocks: first each block against itself and one other. Rows that
+share a first column with a row that they are still apart from are then compared, column by column, by parity sketches,
+which lose no link; those that come close form new clusters.
 """
 
 from __future__ import annotations
@@ -394,7 +395,7 @@ def _placed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
     roots = components(links)
 
     cutting = blocked.where("cuts > 1")
-    if cutting.limit(1).count() and (rest := _rest(cutting, roots, first)).limit(1).count():
+    if cutting.limit(1).count() and (rest := _rest(cutting, roots, first, stored, percent)).limit(1).count():
         roots = components(links.union(_compared(stored, rest, percent)))
     return placed, roots.select(F.col("node").alias("set_id"), "root")
 
@@ -404,29 +405,138 @@ def _clusters(found: DataFrame) -> DataFrame:
     return found.union(found.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
 
 
-def _rest(cutting: DataFrame, roots: DataFrame, first: DataFrame) -> DataFrame:
-    """Tasks for the rows of large clusters that share a first column with a row from which the first round left them apart.
+#: Bits of a parity sketch at least and at most, twice a set's size between, and how many are multiplied at a time.
+SKETCH_LEAST, SKETCH_MOST, SKETCH_AT_ONCE = 256, 1 << 16, 4096
 
-    The largest part of a cluster need not be compared with itself: its blocks meet those of all other rows, which also
-    meet each other.
+
+def sketch(columns: np.ndarray) -> bytes:
+    """For each of a power of two of cells whether an odd number of the columns fall into it.
+
+    Two sketches differ in no more cells than their sets in columns, which bounds the overlap from above. One is halved
+    by taking its halves' differences.
+    """
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (2 * max(1, len(columns)) - 1).bit_length()))
+    odd = np.bincount((mix(columns) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _signed(sketches: list[bytes], bits: int) -> np.ndarray:
+    """Sketches of `bits` cells, or so many times 2, 4 and on, as rows of 1 and -1."""
+    out = np.empty((len(sketches), bits), np.float32)
+    for k, raw in enumerate(sketches):
+        odd = np.unpackbits(np.frombuffer(raw, np.uint8))
+        if len(odd) > bits:
+            odd = odd.reshape(-1, bits).sum(0) & 1
+        out[k] = 1 - 2.0 * odd
+    return out
+
+
+def candidate_groups(sketches: list[bytes], held: np.ndarray, size: np.ndarray, part: np.ndarray, percent: int) -> np.ndarray:
+    """For each row the place of the first row that candidates lead to: of different parts, and close enough by their sketches."""
+    m = len(sketches)
+    least = -(-percent * (size[:, None] + size[None, :]) // (100 + percent))
+    close = np.zeros((m, m), bool)
+    bits = np.array([len(s) * 8 for s in sketches])
+    for b in np.unique(bits):
+        # the larger of two linked sets has at most 100 / percent times the columns, and a sketch under twice that
+        own, near = np.flatnonzero(bits == b), np.flatnonzero((bits >= b) & ((bits == b) | (bits * percent < 200 * b)))
+        x, y = _signed([sketches[k] for k in own], b), _signed([sketches[k] for k in near], b)
+        same = sum(x[:, at : at + SKETCH_AT_ONCE] @ y[:, at : at + SKETCH_AT_ONCE].T for at in range(0, b, SKETCH_AT_ONCE))
+        apart = (b - same) / 2
+        most = (held[own][:, None] + held[near][None, :] - apart) / 2
+        close[np.ix_(own, near)] = most >= least[np.ix_(own, near)]
+    close |= close.T
+    close &= part[:, None] != part[None, :]
+    group = np.full(m, -1)
+    for i in range(m):
+        if group[i] < 0:
+            group[i], front = i, [i]
+            while front:
+                reached = close[front].any(0) & (group < 0)
+                group[reached] = i
+                front = np.flatnonzero(reached).tolist()
+    return group
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch["columns"]]
+        yield pa.RecordBatch.from_pydict({"row": batch["row"], "part": batch["part"], "size": batch["size"], "held": np.array([len(c) for c in columns], np.int64), "sketch": pa.array([sketch(c) for c in columns], pa.binary())})
+
+
+def _candidate_edges(percent: int):
+    """Rows with sketches sorted by task in, for each task the pairs (row, first row of its candidates) out."""
+
+    def close(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.array([r[0] for r in rows], np.int64)
+        if len(rows) < 2:
+            return row[:0], row[:0]
+        part, size, held = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        root = row[candidate_groups([r[4] for r in rows], held, size, part, percent)]
+        return row[root != row], root[root != row]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+        for batch in batches:
+            out = []
+            for now, *own in zip(*(batch[c].to_pylist() for c in ("task", "row", "part", "size", "held", "sketch")), strict=True):
+                if now != task:
+                    out.append(close(rows))
+                    task, rows = now, []
+                if not rows or rows[-1][0] != own[0]:
+                    rows.append(tuple(own))
+            yield pa.RecordBatch.from_pydict({k: np.concatenate([np.zeros(0, np.int64), *(x[i] for x in out)]) for i, k in enumerate(("a", "b"))})
+        x, y = close(rows)
+        yield pa.RecordBatch.from_pydict({"a": x, "b": y})
+
+    return run
+
+
+def _candidates(parted: DataFrame, of_column: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that hold together rows of different parts that share a column and may be linked by their sketches.
+
+    A task is a column; of columns with the same rows one is taken, and one of many rows is cut into pairs of blocks. Only
+    sketches travel, to each column of a row.
+    """
+    mark = F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "row"), 20)).alias("s")).alias("mark")
+    marks = of_column.groupBy("column").agg(mark).groupBy("mark").agg(F.min("column").alias("column"))
+    marks = settle(marks.select("column", F.ceil(F.col("mark.n") / BLOCK_ROWS).cast("int").alias("blocks")), "columns")
+    sketches = settle(parted.join(stored.hint("merge"), "row").select("row", "part", "size", "columns").mapInArrow(_sketched, "row long, part long, size long, held long, sketch binary"), "sketches")
+    own = F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.concat_ws(":", "column", F.least(own, j), F.greatest(own, j)))
+    each = of_column.join(marks.hint("merge"), "column").select("row", F.explode(tasks).alias("task")).join(sketches.hint("merge"), "row")
+    parts = max(1, int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = each.repartition(parts, "task").sortWithinPartitions("task", "row")
+    return settle(dealt.mapInArrow(_candidate_edges(percent), "a long, b long").distinct(), "candidates")
+
+
+def _rest(cutting: DataFrame, roots: DataFrame, first: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
+    """Tasks for the rows of large clusters that may be linked with a row from which the first round left them apart.
+
+    Rows that share a first column, are in different parts and are close by their sketches form new clusters. Of such a
+    cluster the largest part need not be compared with itself: its blocks meet those of all other rows, which also meet
+    each other.
     """
     part = roots.select(F.col("node").alias("row"), F.col("root").alias("part"))
-    placed = settle(cutting.join(part.hint("merge"), "row", "left").withColumn("part", F.coalesce("part", "row")), "parts")
-    of_column = first.select("row", "column").join(placed.select("row", "part").hint("merge"), "row")
+    placed = settle(cutting.select("row").join(part.hint("merge"), "row", "left").withColumn("part", F.coalesce("part", "row")), "parts")
+    of_column = settle(first.select("row", "column").join(placed.hint("merge"), "row"), "of_column")
     mixed = of_column.groupBy("column").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("column")
-    placed = settle(placed.join(of_column.join(mixed.hint("merge"), "column").select("row").distinct(), "row", "left_semi"), "mixed")
-    parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("all")).where(F.col("all") > F.col("top.n"))
-    half = BLOCK_ROWS // 2
-    shape = largest.select("cluster", F.col("top.part").alias("top"), F.ceil(F.col("top.n") / half).cast("int").alias("tops"), F.ceil((F.col("all") - F.col("top.n")) / half).cast("int").alias("others"))
-    # blocks of long documents stay as small as in the first round
-    shape = shape.join(cutting.groupBy("cluster").agg(F.max("cuts").alias("cuts")), "cluster").withColumn("tops", F.greatest("tops", "cuts")).withColumn("others", F.greatest("others", F.least("cuts", F.col("others") * half)))
-    side = placed.join(shape.drop("cuts"), "cluster").withColumn("is_top", F.col("part") == F.col("top"))
+    of_column = settle(of_column.join(mixed.hint("merge"), "column").select("row", "column"), "mixed")
+    candidates = _candidates(placed.join(of_column.select("row").distinct().hint("merge"), "row"), of_column, stored, percent)
+    clusters = _clusters(components(candidates.select("a", "b")))
+    placed = settle(placed.join(clusters.hint("merge"), "row").join(stored.select("row", "size").hint("merge"), "row"), "close")
+    parts = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    # both kinds of blocks hold half of what a product block may
+    blocks = lambda n, grams: F.greatest(F.lit(1), F.ceil(n * 2 / BLOCK_ROWS), F.ceil(grams * 2 / BLOCK_GRAMS)).cast("int")
+    shape = parts.groupBy("cluster").agg(F.max(F.struct("n", "part", "grams")).alias("top"), F.sum("n").alias("all"), F.sum("grams").alias("grams"))
+    top = F.col("top")
+    shape = shape.select("cluster", top["part"].alias("top"), blocks(top["n"], top["grams"]).alias("tops"), blocks(F.col("all") - top["n"], F.col("grams") - top["grams"]).alias("others"))
+    side = placed.join(shape, "cluster").withColumn("is_top", F.col("part") == F.col("top"))
     own = F.pmod(F.xxhash64("row", F.lit(7)), F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))).cast("int")
     name = lambda kind, i, j: F.concat_ws(":", "cluster", F.lit(kind), i, j)
     each = lambda n, body: F.transform(F.sequence(F.lit(0), F.col(n) - 1), body)
     with_tops = F.when(F.col("is_top"), each("others", lambda j: name("t", F.col("own"), j))).otherwise(each("tops", lambda i: name("t", i, F.col("own"))))
-    among = F.when(F.col("is_top"), F.array().cast("array<string>")).otherwise(each("others", lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
+    among = F.when(F.col("is_top") | (F.col("others") * F.col("tops") == 1), F.array().cast("array<string>")).otherwise(each("others", lambda j: name("o", F.least(j, F.col("own")), F.greatest(j, F.col("own")))))
     return settle(side.withColumn("own", own).select("row", F.concat(with_tops, among).alias("tasks")), "rest")
 
 

@@ -53,6 +53,52 @@ def test_join_of_one_large_group(spark, monkeypatch):
     check_join(spark.createDataFrame(rows, "doc_id long, text string"), rows, 4, 85)
 
 
+def passage_mixes(n, seed=3):
+    """Documents of passages that many share: no two of them link, yet each shares whole passages with hundreds of others."""
+    draw = random.Random(seed)
+    passages = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    return [(k, " ".join(draw.sample(passages, 6))) for k in range(n)]
+
+
+def test_documents_of_shared_passages(spark, monkeypatch):
+    """With small blocks all of them fall into one large cluster: sketches take it apart, and near copies in it are still found."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 60)
+    rows = passage_mixes(300)
+    rows += [(1000 + k, t + " and a few words more") for k, t in rows[:60]] + [(2000 + k, f"x{k} " + rows[70][1]) for k in range(90)]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 4, 85)
+
+
+def test_copies_of_rows_grow_with_the_rows(spark, monkeypatch):
+    """What the product's second round gets of passage mixes: no blobs at all, as no two come close."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 256)
+    sent = []
+    real = ngram_join._compared
+    monkeypatch.setattr(ngram_join, "_compared", lambda rows, tasks, percent: (sent.append(tasks.agg({"tasks": "count"}).first()[0] and tasks.selectExpr("sum(size(tasks))").first()[0]), real(rows, tasks, percent))[1])
+    for n in (1500, 3000):
+        sent.clear()
+        got = ngram_join.join(spark.createDataFrame(passage_mixes(n), "doc_id long, text string").repartition(4), words=4, percent=85)
+        assert got.where("component_id <> doc_id").count() == 0
+        assert sum(x or 0 for x in sent) <= 2 * n
+
+
+def test_sketches_lose_no_link():
+    draw = np.random.default_rng(6)
+    sets = []
+    for n in (1, 3, 40, 129, 400, 1500):
+        base = draw.integers(0, 1 << 60, n).astype(np.uint64)
+        for cut in (0, n // 20, n // 8, n // 3):
+            sets.append(np.unique(np.concatenate([base[cut:], draw.integers(0, 1 << 60, cut // 3).astype(np.uint64)])))
+    size = np.array([len(s) for s in sets])
+    for percent in (40, 80, 85):
+        group = ngram_join.candidate_groups([ngram_join.sketch(s) for s in sets], size, size, np.arange(len(sets)), percent)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])):
+                assert group[i] == group[j]
+        assert percent == 40 or len(set(group)) > 4
+    assert (ngram_join.candidate_groups([ngram_join.sketch(s) for s in sets], size, size, np.zeros(len(sets)), 80) == np.arange(len(sets))).all()
+
+
 def test_product_blocks(monkeypatch):
     draw = np.random.default_rng(4)
     monkeypatch.setattr(ngram_join, "BLOCK_COLUMNS", 16)
