@@ -9,24 +9,44 @@ from ratewell.functions.labels import POOLS, display_name, in_pool, mode_of, pro
 from ratewell.functions.verdicts import SCORES, consistent, debiased, score_of, winner_of
 from ratewell.operators import arena, reports
 from ratewell.operators.selection import medians, settled
+from ratewell.plans.rating_sql import boards
 from ratewell.plans.tables import DOMAINS, ELIGIBLE, SHOWN, table, with_sql
 
 Q = {}
 SQL = {}
 
 
-def query(sql: str | None = None, *uses: str):
-    """Registers a query under its name, with the SQL that states its rows."""
+def query(sql: str | None = None, *uses: str, matches: str | None = None):
+    """Registers a query under its name, with the SQL that states its rows; matches: a SELECT of the matches that are fitted."""
 
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (with_sql(*uses) if uses else "") + sql
+            tables = with_sql(*uses) if uses else ""
+            SQL[f.__name__] = (tables if matches is None else boards(tables, matches)) + sql
         return f
 
     return add
 
 
+#: Matches of leaderboards by domain and judge, by pool as well, and of baselines only. A group is its keys, joined.
+GROUPS = "SELECT concat_ws('|', domain, judge) AS g, model_a, model_b, score, consistent FROM scored"
+POOL_GROUPS = f"""SELECT concat_ws('|', domain, judge, pool) AS g, model_a, model_b, score, consistent FROM scored CROSS JOIN (SELECT 'baseline' AS pool UNION ALL SELECT 'agent' UNION ALL SELECT 'full') z
+    WHERE {' AND '.join(f"({m} = 'reference' OR pool = 'full' OR starts_with({m}, concat(pool, ':')))" for m in ('model_a', 'model_b'))}"""
+BASELINE_GROUPS = f"{GROUPS} WHERE (model_a = 'reference' OR starts_with(model_a, 'baseline:')) AND (model_b = 'reference' OR starts_with(model_b, 'baseline:'))"
+KEY = "split_part(g, '|', 1) AS domain, split_part(g, '|', 2) AS judge"
+#: The board as b, with domain and judge, and the models that reports show of it as e.
+BOARD_SQL = f", b AS (SELECT {KEY}, * FROM fit_board), e AS (SELECT * FROM b WHERE model IN {ELIGIBLE})"
+PAIRED_SQL = BOARD_SQL + ", m AS (SELECT x.domain, x.model, x.rating AS x, y.rating AS y FROM e x JOIN e y ON x.domain = y.domain AND x.model = y.model WHERE x.judge = 'j0' AND y.judge = 'j1')"
+MODES_SQL = BOARD_SQL + ", r AS (SELECT *, CASE WHEN model = 'reference' THEN model ELSE split_part(model, ':', 1) END AS mode, CASE WHEN model = 'reference' THEN model ELSE split_part(model, ':', 2) END AS profile FROM b)"
+UPLIFT_SQL = MODES_SQL + """, u AS (SELECT x.judge, x.profile, avg(x.rating) AS baseline, avg(y.rating) AS agent, count(*) AS n_domains FROM r x JOIN r y ON x.judge = y.judge AND x.domain = y.domain AND x.profile = y.profile
+    WHERE x.mode = 'baseline' AND y.mode = 'agent' GROUP BY x.judge, x.profile)"""
+TOP_SQL = """, o AS (SELECT *, row_number() OVER (PARTITION BY domain, judge ORDER BY rating DESC, model) AS place FROM e),
+    t AS (SELECT x.domain, count(y.model) / 5.0::DOUBLE AS overlap FROM o x LEFT JOIN o y ON x.domain = y.domain AND x.model = y.model AND y.judge = 'j1' AND y.place <= 5 WHERE x.judge = 'j0' AND x.place <= 5 GROUP BY x.domain)"""
+SHIFT_SQL = """, k AS (SELECT domain, abs(row_number() OVER (PARTITION BY domain ORDER BY x DESC, model) - row_number() OVER (PARTITION BY domain ORDER BY y DESC, model)) AS shift FROM m),
+    h AS (SELECT domain, count(*) AS n, round(avg(shift), 6) AS mean_shift FROM k GROUP BY domain)"""
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arena.with_scores(table(spark, sf_dir, "matches"))
 
@@ -116,13 +136,16 @@ def pair_matrix(spark, sf_dir):
     return arena.pair_matrix(scored(spark, sf_dir), ["domain", "judge"])
 
 
-@query()
+@query(f" SELECT {KEY}, model, round(rating, 4) AS rating, CAST(turns AS INTEGER) AS iterations, done AS converged FROM fit_board", "scored", matches=GROUPS)
 def btd_ratings(spark, sf_dir):
     """Ratings per domain and judge, with the rounds of the fixed point."""
     return arena.ratings(arena.pair_matrix(scored(spark, sf_dir), ["domain", "judge"]), ["domain", "judge"]).withColumn("rating", F.round("rating", 4))
 
 
-@query()
+@query(
+    f" SELECT {KEY}, split_part(g, '|', 3) AS pool, model, round(rating, 4) AS rating, done AS converged, win, loss, tie, n_observations, round(win_rate, 6) AS win_rate, "
+    "round(position_consistency, 6) AS position_consistency, rank FROM fit_board", "scored", matches=POOL_GROUPS,
+)
 def arena_leaderboard(spark, sf_dir):
     """Leaderboards of all domains, judges and pools in one pass."""
     return arena.leaderboard(scored(spark, sf_dir), pools=POOLS).withColumn("rating", F.round("rating", 4)).withColumn("win_rate", F.round("win_rate", 6)).withColumn("position_consistency", F.round("position_consistency", 6))
@@ -136,7 +159,10 @@ def position_consistency(spark, sf_dir):
     return arena.by_pool(scored(spark, sf_dir)).groupBy("domain", "judge", "pool").agg(F.round(F.avg(F.col("consistent").cast("double")), 6).alias("position_consistency"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f" SELECT {KEY}, model, round(rating, 4) AS rating, done AS converged, win, loss, tie, n_observations, win_rate, position_consistency, rank FROM fit_board", "scored",
+    matches=f"{GROUPS} WHERE model_a IN {LISTED} AND model_b IN {LISTED}",
+)
 def restricted_leaderboard(spark, sf_dir):
     """Leaderboards refitted on matches between listed models."""
     return arena.leaderboard(arena.restricted(scored(spark, sf_dir), _restrict(spark)), ["domain", "judge"]).withColumn("rating", F.round("rating", 4))
@@ -180,7 +206,12 @@ def bucket_summary(spark, sf_dir):
     return sizes.join(found, ["judge", "bucket"]).select("judge", "bucket", "n", F.round("ref_score", 6).alias("median_score"), F.round("ref_win", 6).alias("median_win"))
 
 
-@query()
+@query(
+    """ SELECT split_part(g, '|', 1) AS judge, split_part(g, '|', 2) AS bucket, round(rating, 4) AS reference_rating,
+    round(max(rating) FILTER (split_part(g, '|', 2) = 'Accepted') OVER (PARTITION BY split_part(g, '|', 1)) - max(rating) FILTER (split_part(g, '|', 2) = 'Rejected') OVER (PARTITION BY split_part(g, '|', 1)), 4) AS gap
+    FROM fit_board WHERE model = 'reference'""", "scored", "cases",
+    matches=f"SELECT concat_ws('|', judge, bucket) AS g, model_a, model_b, score, consistent FROM scored s JOIN (SELECT case_id, {BUCKET} AS bucket FROM cases) c ON c.case_id = s.case_id WHERE bucket IS NOT NULL",
+)
 def bucket_btd(spark, sf_dir):
     """The reference's rating on each bucket's matches, and how far accepted cases lead rejected ones (null without both)."""
     buckets = reports.with_bucket(table(spark, sf_dir, "cases")).where("bucket IS NOT NULL").select("case_id", "bucket")
@@ -218,25 +249,37 @@ def cross_domain_arena(spark, sf_dir):
     return reports.shown_across(board(spark, sf_dir, "baseline"), DOMAINS, SHOWN)
 
 
-@query()
+@query(UPLIFT_SQL + " SELECT judge, profile, n_domains, round(baseline, 4) AS baseline, round(agent, 4) AS agent, round(agent - baseline, 4) AS uplift FROM u", "scored", matches=GROUPS)
 def mode_uplift(spark, sf_dir):
     """Agent mean less baseline mean over the domains that a profile has in both modes."""
     return reports.uplift(board(spark, sf_dir), "rating")
 
 
-@query()
+@query(
+    UPLIFT_SQL + " SELECT judge, CASE WHEN round(baseline, 4) >= 1560 THEN 'top' WHEN round(baseline, 4) >= 1470 THEN 'mid' ELSE 'low' END AS tier, count(*) AS n, round(avg(round(agent - baseline, 4)), 4) AS mean_uplift FROM u GROUP BY ALL",
+    "scored", matches=GROUPS,
+)
 def uplift_tiers(spark, sf_dir):
     """Profiles by tier of their baseline mean, with the mean uplift of each tier."""
     return reports.tiers(reports.uplift(board(spark, sf_dir), "rating"))
 
 
-@query()
+@query(
+    MODES_SQL + " SELECT * FROM (SELECT judge, profile, " + ", ".join(f"round(avg(rating) FILTER (mode = '{m}'), 4) AS {m}" for m in ("baseline", "agent", "reference"))
+    + " FROM r GROUP BY judge, profile) x WHERE (baseline IS NOT NULL AND agent IS NOT NULL) OR reference IS NOT NULL", "scored", matches=GROUPS,
+)
 def mode_means(spark, sf_dir):
     """Mean rating of each mode over its own domains, for profiles that have both, and the reference's."""
     return reports.mode_means(board(spark, sf_dir), "rating")
 
 
-@query()
+@query(
+    PAIRED_SQL + """, a AS (SELECT domain, model, x, y FROM m UNION ALL SELECT 'all', concat(domain, model), x, y FROM m),
+    k AS (SELECT domain, rank() OVER (PARTITION BY domain ORDER BY x) + (count(*) OVER (PARTITION BY domain, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY domain ORDER BY y) + (count(*) OVER (PARTITION BY domain, y) - 1) / 2.0 AS ry FROM a),
+    rho AS (SELECT domain, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM k GROUP BY domain),
+    p AS (SELECT v.domain, sum(sign(v.x - w.x) * sign(v.y - w.y)) AS s, count(*) FILTER (v.x = w.x AND v.y <> w.y) AS tx, count(*) FILTER (v.y = w.y AND v.x <> w.x) AS ty, count(*) AS pairs FROM a v JOIN a w ON v.domain = w.domain AND v.model < w.model GROUP BY v.domain)
+    SELECT rho.domain, n, rho, round(s / sqrt((pairs - tx) * (pairs - ty)), 6) AS tau FROM rho JOIN p ON p.domain = rho.domain WHERE n >= 3""", "scored", matches=BASELINE_GROUPS,
+)
 def judge_rank_corr(spark, sf_dir):
     """Spearman's and Kendall's correlation of two judges' ratings, per domain and over all."""
     return reports.judge_correlation(eligible_board(spark, sf_dir), "j0", "j1")
@@ -248,19 +291,24 @@ def judge_pooled_corr(spark, sf_dir):
     return reports.pooled_correlation(eligible_board(spark, sf_dir), "j0", "j1", replicates=2000)
 
 
-@query()
+@query(BOARD_SQL + TOP_SQL + " SELECT domain, overlap FROM t", "scored", matches=BASELINE_GROUPS)
 def topk_overlap(spark, sf_dir):
     """How many of the first five eligible models two judges share, per domain."""
     return reports.top_overlap(eligible_board(spark, sf_dir), "j0", "j1", 5)
 
 
-@query()
+@query(PAIRED_SQL + SHIFT_SQL + " SELECT domain, n, mean_shift FROM h", "scored", matches=BASELINE_GROUPS)
 def rank_shift(spark, sf_dir):
     """Mean absolute difference of ranks among eligible models that two judges share."""
     return reports.rank_shift(eligible_board(spark, sf_dir), "j0", "j1")
 
 
-@query()
+@query(
+    PAIRED_SQL + TOP_SQL + SHIFT_SQL + f""", g AS (SELECT a.domain, count(*) AS n_matches, avg(CASE WHEN {WINNER.format('a.forward')} = {WINNER.format('b.forward')} THEN 1.0 ELSE 0.0 END) AS agreement FROM matches a
+    JOIN matches b ON a.domain = b.domain AND a.case_id = b.case_id AND a.model_a = b.model_a AND a.model_b = b.model_b WHERE a.judge = 'j0' AND b.judge = 'j1' AND a.model_a IN {ELIGIBLE} AND a.model_b IN {ELIGIBLE} GROUP BY a.domain)
+    SELECT CAST(sum(n_matches) AS BIGINT) AS n_matches, sum(agreement * n_matches) / sum(n_matches) AS agreement, (SELECT avg(overlap) FROM t) AS mean_overlap, (SELECT avg(mean_shift) FROM h) AS mean_shift FROM g""",
+    "scored", matches=BASELINE_GROUPS,
+)
 def judge_summary(spark, sf_dir):
     """Match-weighted agreement, mean overlap and mean rank shift of two judges."""
     b = eligible_board(spark, sf_dir)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ratewell.functions.labels import mode_of, profile_of
-from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL, WLT, board
+from ratewell.plans.arena_plans import GROUPS, IN_POOL, KEY, POOL_GROUPS, POOLS_SQL, WLT, board
+from ratewell.plans.rating_sql import boards
 from ratewell.plans.score_plans import scored as rubric_scored
 from ratewell.plans.tables import table, with_sql
 from ratewell.sources import logs
@@ -18,11 +19,11 @@ SQL = {}
 MATCH = StructType([StructField(n, DoubleType() if n in ("forward", "reverse") else StringType()) for n in ("case_id", "model_a", "model_b", "forward", "reverse", "domain", "judge")])
 
 
-def query(sql: str | None = None, *uses: str):
+def query(sql: str | None = None, *uses: str, matches: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_sql(*uses) + sql
+            SQL[f.__name__] = (with_sql(*uses) if matches is None else boards(with_sql(*uses), matches)) + sql
         return f
 
     return add
@@ -132,7 +133,7 @@ def stream_wlt(spark, sf_dir):
     return live.latest(spark, f"{path}-out", "state")
 
 
-@query()
+@query(f" SELECT {KEY}, model, round(rating, 4) AS rating, done AS converged FROM fit_board", "scored", matches=GROUPS)
 def stream_leaderboard(spark, sf_dir):
     """Ratings that follow a stream of matches; a batch rates the groups anew that it touches."""
     path, stream = _stream(spark, sf_dir)
@@ -171,7 +172,9 @@ def stream_pool_standings(spark, sf_dir):
     return _boards(spark, sf_dir).select(*KEYS, "pool", "model", "win", "loss", "tie", "n_observations")
 
 
-@query()
+@query(
+    f" SELECT {KEY}, split_part(g, '|', 3) AS pool, model, round(rating, 4) AS rating, rank, round(position_consistency, 6) AS position_consistency FROM fit_board", "scored", matches=POOL_GROUPS,
+)
 def stream_boards(spark, sf_dir):
     """Ratings and ranks on the same boards."""
     return _boards(spark, sf_dir).select(*KEYS, "pool", "model", F.round("rating", 4).alias("rating"), "rank", F.round("position_consistency", 6).alias("position_consistency"))

@@ -10,19 +10,20 @@ from ratewell.functions.rubric import PAIR_KEYS, SET_KEYS, recall_mismatch, reca
 from ratewell.operators import arena, reports, score
 from ratewell.operators.rankstats import correlations
 from ratewell.operators.selection import settled
-from ratewell.plans.arena_plans import IN_POOL, POOLS_SQL
+from ratewell.plans.arena_plans import BASELINE_GROUPS, BOARD_SQL, GROUPS, IN_POOL, POOLS_SQL
 from ratewell.plans.arena_plans import board as arena_board
+from ratewell.plans.rating_sql import boards
 from ratewell.plans.tables import DOMAINS, ELIGIBLE, MULTI, SHOWN, table, with_sql
 
 Q = {}
 SQL = {}
 
 
-def query(sql: str | None = None, *uses: str):
+def query(sql: str | None = None, *uses: str, matches: str | None = None):
     def add(f):
         Q[f.__name__] = f
         if sql:
-            SQL[f.__name__] = with_sql(*uses) + sql
+            SQL[f.__name__] = (with_sql(*uses) if matches is None else boards(with_sql(*uses), matches)) + sql
         return f
 
     return add
@@ -196,7 +197,17 @@ def paired_models(spark, sf_dir):
     return rows.groupBy("profile").agg(F.countDistinct("mode").alias("modes")).where("modes = 2").select("profile")
 
 
-@query()
+def _spread(rows: str, name: str) -> str:
+    """Per judge and domain the spread of ratings of shown baselines and the reference, and without the reference."""
+    return f"{name} AS (SELECT judge, domain, max(rating) - min(rating) AS spread, max(rating) FILTER (model <> 'reference') - min(rating) FILTER (model <> 'reference') AS others FROM {rows} WHERE model IN {ELIGIBLE} GROUP BY judge, domain)"
+
+
+@query(
+    BOARD_SQL + f", rated AS (SELECT judge, domain, model, avg(s_score) AS rating FROM summaries GROUP BY judge, domain, model), {_spread('b', 'sa')}, {_spread('rated', 'ss')}"
+    " SELECT sa.judge, sa.domain, round(sa.spread, 4) AS arena, round(ss.spread, 4) AS rubric, round(sa.others, 4) AS arena_others, round(ss.others, 4) AS rubric_others,"
+    " CASE WHEN ss.spread <> 0 THEN round(sa.spread / ss.spread, 4) END AS ratio, CASE WHEN ss.others <> 0 THEN round(sa.others / ss.others, 4) END AS ratio_others FROM sa LEFT JOIN ss ON sa.judge = ss.judge AND sa.domain = ss.domain",
+    "scored", "summaries", matches=BASELINE_GROUPS,
+)
 def spread_ratio(spark, sf_dir):
     """How far ratings of shown baselines spread in the arena and in the rubric, per judge and domain, with and without the reference.
 
@@ -226,7 +237,19 @@ def _recall_against_arena(spark, sf_dir, domains: str = "all") -> DataFrame:
     return reports.recall_against_arena(score.recall_table(judged_recalls(spark, sf_dir), MULTI, 5, SHOWN), board_)
 
 
-@query()
+#: Recall of labels against their mean rating, both ranked.
+SHARED = BOARD_SQL + f""", rc AS (SELECT judge, model, avg(hits * 1.0 / total) AS ratio FROM judged_recalls WHERE total IS NOT NULL AND total > 0 AND model <> 'reference' AND domain IN {MULTI} AND split_part(model, ':', 2) IN {SHOWN} GROUP BY judge, model HAVING count(*) >= 5),
+    rt AS (SELECT judge, model, avg(rating) AS rating FROM b GROUP BY judge, model), rb AS (SELECT rc.judge, rc.model, ratio, rating FROM rc JOIN rt ON rc.judge = rt.judge AND rc.model = rt.model),
+    sh AS (SELECT * FROM rb WHERE model IN (SELECT model FROM rb GROUP BY model HAVING count(*) = (SELECT count(DISTINCT judge) FROM rb)))"""
+
+
+@query(
+    SHARED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY judge ORDER BY ratio DESC, model) AS recall_rank, row_number() OVER (PARTITION BY judge ORDER BY rating DESC, model) AS arena_rank,
+    rank() OVER (PARTITION BY judge ORDER BY ratio) + (count(*) OVER (PARTITION BY judge, ratio) - 1) / 2.0 AS x, rank() OVER (PARTITION BY judge ORDER BY rating) + (count(*) OVER (PARTITION BY judge, rating) - 1) / 2.0 AS y FROM sh),
+    rho AS (SELECT judge, round(corr(x, y), 6) AS rho FROM rk GROUP BY judge)
+    SELECT rk.judge, model, round(ratio, 6) AS ratio, round(rating, 4) AS rating, CAST(recall_rank AS INTEGER) AS recall_rank, CAST(arena_rank AS INTEGER) AS arena_rank, CAST(arena_rank - recall_rank AS INTEGER) AS delta, rho FROM rk JOIN rho ON rho.judge = rk.judge""",
+    "scored", "judged_recalls", matches=GROUPS,
+)
 def recall_rank_delta(spark, sf_dir):
     """Rank by recall, rank by rating, their difference, and the judge's rank correlation, of labels with a row under every judge."""
     rows = settled(reports.under_every_judge(settled(_recall_against_arena(spark, sf_dir), "recalls")), "recalls")
