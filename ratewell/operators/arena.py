@@ -192,7 +192,7 @@ def agreement(matches: DataFrame, first: str, second: str, keys: Sequence[str] =
     """How often two judges name one winner in the forward direction, over cases they compared in the same orientation.
 
     labels: both models must be on this list. order: the column in which the last of repeated matches is the greatest;
-    without one they may not repeat. canonical: also compares opposite orientations, by turning each match to the order
+    without one a repeated match raises. canonical: also compares opposite orientations, by turning each match to the order
     of its labels. Both judges are read in one aggregate.
     """
     rows = matches.where((F.col("model_a") != F.col("model_b")) & F.col("judge").isin(first, second))
@@ -202,7 +202,9 @@ def agreement(matches: DataFrame, first: str, second: str, keys: Sequence[str] =
     if canonical:
         low = F.col("model_a") < F.col("model_b")
         rows = rows.withColumn("forward", F.when(low, F.col("forward")).otherwise(1 - F.col("forward"))).withColumns({"model_a": F.least("model_a", "model_b"), "model_b": F.greatest("model_a", "model_b")})
-    last = lambda judge: F.max(F.when(F.col("judge") == judge, F.struct("_order", "forward")))["forward"]
+    found = lambda judge: F.max(F.when(F.col("judge") == judge, F.struct("_order", "forward")))["forward"]
+    again = lambda judge: F.count(F.when(F.col("judge") == judge, F.lit(1))) > 1
+    last = lambda judge: found(judge) if order else F.when(again(judge), F.raise_error("repeated matches need an order")).otherwise(found(judge))
     both = rows.groupBy(*keys, "case_id", "model_a", "model_b").agg(last(first).alias("x"), last(second).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     same = (winner_of(F.col("x")) == winner_of(F.col("y"))).cast("double")
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_matches"), F.avg(same).alias("agreement"))

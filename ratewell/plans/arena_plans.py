@@ -233,6 +233,20 @@ def judge_agreement(spark, sf_dir):
     return arena.agreement(table(spark, sf_dir, "matches"), "j0", "j1", labels=ELIGIBLE).withColumn("agreement", F.round("agreement", 6))
 
 
+@query(
+    f""", again AS (SELECT domain, judge, case_id, model_a, model_b, forward, 1 AS created FROM matches UNION ALL SELECT domain, judge, case_id, model_a, model_b, 1 - forward, 2 FROM matches WHERE o % 5 = 0 AND judge = 'j0'),
+    lasts AS (SELECT domain, judge, case_id, model_a, model_b, arg_max(forward, created) AS forward FROM again GROUP BY ALL)
+    SELECT a.domain AS domain, count(*) AS n_matches, round(avg(CASE WHEN {WINNER.format('a.forward')} = {WINNER.format('b.forward')} THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM lasts a
+    JOIN lasts b ON a.domain = b.domain AND a.case_id = b.case_id AND a.model_a = b.model_a AND a.model_b = b.model_b WHERE a.judge = 'j0' AND b.judge = 'j1' GROUP BY a.domain""",
+    "matches",
+)
+def judge_agreement_last(spark, sf_dir):
+    """The same over all models where a judge has compared some pairs twice: the later match counts."""
+    rows = table(spark, sf_dir, "matches").withColumn("created", F.lit(1))
+    again = rows.where("o % 5 = 0 AND judge = 'j0'").withColumns({"forward": 1 - F.col("forward"), "created": F.lit(2)})
+    return arena.agreement(rows.unionByName(again), "j0", "j1", order="created").withColumn("agreement", F.round("agreement", 6))
+
+
 def board(spark, sf_dir, pool: str = "full") -> DataFrame:
     return arena.leaderboard(scored(spark, sf_dir), pools=[pool])
 

@@ -40,3 +40,19 @@ def test_an_unfinished_version_is_not_read(spark, small):
     whole = board_rows(live.boards(spark, f"{base}/out", KEYS))
     live.boards(spark, f"{base}/out", KEYS).withColumn("rating", F.lit(0.0)).write.parquet(f"{base}/out/boards/v7")  # no mark
     assert board_rows(live.boards(spark, f"{base}/out", KEYS)) == whole
+
+
+def test_what_is_remembered_falls(spark):
+    """Old comparisons leave the state; repeats inside the delay, and long after it, are kept once."""
+    base = tempfile.mkdtemp(prefix="spark-tests-")
+    day = 86_400
+    for k in range(5):
+        rows = [("j", f"c{k}-{i}", "a", "b", k * 3 * day + i) for i in range(40)] + [("j", f"c{k}-{i}", "b", "a", k * 3 * day + 50) for i in range(40)]
+        rows += [("j", f"c0-{i}", "b", "a", k * 3 * day + 60) for i in range(5)]
+        df = spark.createDataFrame(rows, "judge string, case_id string, model_a string, model_b string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+        df.coalesce(1).write.mode("append").parquet(f"{base}/log")
+    job = live.once_within(live.read_log(spark, f"{base}/log", df.schema), ["judge", "case_id"], "created_at", "1 day", f"{base}/out", f"{base}/checkpoint")
+    got = [r["case_id"] for r in live.kept(spark, f"{base}/out").collect()]
+    assert sorted(got) == sorted(f"c{k}-{i}" for k in range(5) for i in range(40))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
+    assert max(held) < 120 and held[-1] <= 45
