@@ -73,10 +73,7 @@ class Encoder:
         before = self.tokenizer.pre_tokenizer
         self.by_word = self.tokenizer.normalizer is None and isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        #: A word's ids with the space before it, None for one that can't be encoded alone; a text's first word, which
-        #: has no space, is kept with one before it.
-        self.words: dict[str, bytes | None] = {}
-        self.before: dict[str, bytes | None] = {}
+        self.words = Words(self._word)
         self.parts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
 
@@ -85,51 +82,60 @@ class Encoder:
 
     def _part(self, part: str) -> bytes:
         """The ids of a token before merging, by the tokenizer's model; kept as well."""
+        if len(self.parts) > _KEPT * 3 // 2:
+            self.parts.clear()
         plain = part.isascii() and part.isprintable()
         signs = part.replace(" ", "\u0120") if plain else part.encode().decode("latin-1").translate(_SIGNS)
         found = self.parts[part] = array(self.kind, [x.id for x in self.model.tokenize(signs)]).tobytes()
         return found
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.parts) > _KEPT * 3 // 2:
-            self.parts.clear()
-        parts, known = self.parts, self.parts.get
-        for word in new:
-            text = word[1:] if word[:1] == " " else " " + word
-            if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
-                self.words[word] = known(text) or self._part(text)
-            elif not text.strip(" ") or word[-1] in _NEAR or text[text[0] == " "] in _NEAR:
-                self.words[word] = None
-            elif not (text.isascii() or max(text) < _PLAIN) or _DOUBTFUL.search(text):
-                self.words[word] = self._whole(text)
-            elif word[:-1].isalpha() and word[-1] in _MARKS:
-                self.words[word] = (known(text[:-1]) or self._part(text[:-1])) + (known(word[-1]) or self._part(word[-1]))
-            else:
-                self.words[word] = b"".join([parts.get(x) or self._part(x) for x in _BOUNDS.findall(text)])
+    def _word(self, word: str) -> bytes | None:
+        known = self.parts.get
+        text = word[1:] if word[:1] == " " else " " + word
+        if word.isalpha() and (word.isascii() or max(word) < _PLAIN):
+            return known(text) or self._part(text)
+        if not text.strip(" ") or word[-1] in _NEAR or text[text[0] == " "] in _NEAR:
+            return None
+        if not (text.isascii() or max(text) < _PLAIN) or _DOUBTFUL.search(text):
+            return self._whole(text)
+        if word[:-1].isalpha() and word[-1] in _MARKS:
+            return (known(text[:-1]) or self._part(text[:-1])) + (known(word[-1]) or self._part(word[-1]))
+        return b"".join([known(x) or self._part(x) for x in _BOUNDS.findall(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if self.by_word and t and not any(x in t for x in self.added) else None for t in texts]
-        for words in split:
-            if words:
-                words[0] = " " + words[0]
-        new = set().union(*(words for words in split if words)).difference(self.words)
-        if len(self.words) > _KEPT:
-            # words met again stay, those met no more go
-            self.before, self.words = self.words, {}
-            new = set().union(*(words for words in split if words))
-        again = new.intersection(self.before)
-        self.words.update(zip(again, map(self.before.__getitem__, again), strict=True))
-        self._learn(new.difference(again))
         get = self.words.__getitem__
         out = []
-        for words, text in zip(split, texts, strict=True):
+        for text in texts:
+            if not self.by_word or not text or any(x in text for x in self.added):
+                out.append(self._whole(text))
+                continue
+            words = text.split(" ")
+            words[0] = " " + words[0]
             try:
-                out.append(b"".join(map(get, words)) if words else self._whole(text))
+                out.append(b"".join(map(get, words)))
             except TypeError:  # a word that can't be encoded alone
                 out.append(self._whole(text))
         return out
 
 
+class Words(dict):
+    """A word's ids with the space before it, None for one that can't be encoded alone; a text's first word, which has no
+    space, is kept with one before it. When it is full, words that are met again stay and the others go."""
+
+    def __init__(self, encode) -> None:
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        found = self.before.get(word, self)
+        if found is self:
+            found = self.encode(word)
+        if len(self) > _KEPT:
+            self.before = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 _encoders: dict[str, Encoder] = {}
 
 _FRAMES = "doc_id long, n_tokens long, raw_size long, checksum long, frame binary"
