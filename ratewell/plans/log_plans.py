@@ -118,6 +118,27 @@ def leaderboard_rows(spark, sf_dir):
     return logs.rows_of(made, KEYS).select(*KEYS, "model", mode_of(F.col("model")).alias("mode"), "win", "loss", "tie")
 
 
+@query(
+    """, w AS (SELECT domain, judge, 1 AS version, model, own FROM sides UNION ALL SELECT domain, judge, 2, model, 1 - own FROM sides WHERE judge = 'j0')
+    SELECT domain, judge, version, model, """ + WLT + """, count(*) AS n_observations FROM w WHERE version = CASE judge WHEN 'j0' THEN 2 ELSE 1 END GROUP BY domain, judge, version, model""",
+    "sides",
+)
+def leaderboard_store(spark, sf_dir):
+    """Leaderboards written as documents in two versions, the second of one judge only and with all results turned, read back from disk.
+
+    What a failed writer left behind, documents without a manifest, is not read.
+    """
+    store = logs.scratch(spark, "store")
+    sides_ = table(spark, sf_dir, "sides")
+    for rows in (sides_, sides_.where("judge = 'j0'").withColumn("own", 1 - F.col("own"))):
+        counts = rows.groupBy(*KEYS, "model").agg(*[F.sum(on.cast("long")).alias(n) for n, on in (("win", F.col("own") > 0.5), ("loss", F.col("own") < 0.5), ("tie", F.col("own") == 0.5))], F.count(F.lit(1)).alias("n_observations"))
+        made = logs.document(counts.withColumns({"rank": F.lit(None).cast("int"), "rating": F.lit(None).cast("double")}), KEYS, ["win", "loss", "tie"])
+        logs.put_documents(made, store, KEYS)
+    made.write.partitionBy(*KEYS).json(f"{store}/documents/v3-unfinished")
+    found = logs.read_documents(spark, store, made.schema, KEYS)
+    return logs.rows_of(found, [*KEYS, "version"]).select(*KEYS, "version", "model", "win", "loss", "tie", "n_observations")
+
+
 def _stream(spark, sf_dir, files: int = 4):
     """The matches as a log of Parquet files, and the stream of them."""
     path = logs.scratch(spark, "log")

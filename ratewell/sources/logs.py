@@ -97,3 +97,39 @@ def document(board: DataFrame, keys: Sequence[str], breakdown: Sequence[str]) ->
 def rows_of(documents: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Documents back to a row per entry."""
     return documents.select(*keys, F.explode("rankings").alias("e")).select(*keys, "e.rank", "e.model", "e.rating", "e.n_observations", "e.breakdown.*")
+
+
+#: What a manifest says of a version: its number and the folder of its documents.
+_MANIFEST = "version long, folder string"
+
+
+def _committed(spark: SparkSession, store: str) -> DataFrame:
+    if not _exists(spark, f"{store}/manifest"):
+        return spark.createDataFrame([], _MANIFEST)
+    return spark.read.schema(_MANIFEST).parquet(f"{store}/manifest")
+
+
+def put_documents(documents: DataFrame, store: str, keys: Sequence[str]) -> int:
+    """Writes one JSON document per row under a new version, and commits it by a manifest; returns the version.
+
+    A version may have some keys only: of the others the documents of earlier versions stay. Its folder has a name of its
+    own and counts for nothing until the manifest names it, so a writer that fails, at whatever point, leaves what was
+    there readable; of two writers of one version the second raises.
+    """
+    spark = documents.sparkSession
+    version = int(_committed(spark, store).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]) + 1
+    folder = f"{store}/documents/v{version}-{uuid.uuid4().hex}"
+    documents.write.partitionBy(*keys).json(folder)
+    spark.createDataFrame([(version, folder)], _MANIFEST).coalesce(1).write.parquet(f"{store}/manifest/number={version}")
+    return version
+
+
+def read_documents(spark: SparkSession, store: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest committed document of every key, nested as written, with its version; no store is no rows."""
+    versions = sorted((r["version"], r["folder"]) for r in _committed(spark, store).collect())  # a row a version
+    out = spark.createDataFrame([], StructType([*schema.fields])).withColumn("version", F.lit(0).cast("long"))
+    for version, folder in versions:
+        new = spark.read.schema(schema).json(folder).select(*schema.names).withColumn("version", F.lit(version).cast("long"))
+        out = out.unionByName(new)
+    newest = out.groupBy(*keys).agg(F.max("version").alias("version"))
+    return out.join(newest, [*keys, "version"]).select(*schema.names, "version")

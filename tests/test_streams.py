@@ -56,3 +56,25 @@ def test_what_is_remembered_falls(spark):
     assert sorted(got) == sorted(f"c{k}-{i}" for k in range(5) for i in range(40))
     held = [p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress if p["stateOperators"]]
     assert max(held) < 120 and held[-1] <= 45
+
+
+def test_a_killed_writer_leaves_the_old_documents(spark):
+    """Documents without a manifest count for nothing; keys that a version lacks keep their earlier documents."""
+    import pytest
+
+    from ratewell.sources import logs
+
+    store = tempfile.mkdtemp(prefix="spark-tests-") + "/store"
+    made = lambda rows: spark.createDataFrame(rows, "domain string, judge string, rankings array<struct<model:string,rating:double>>")
+    first = made([("d", "j", [("a", 1.0), ("b", None)]), ("d", "k", [])])
+    assert logs.read_documents(spark, store, first.schema, KEYS).count() == 0
+    assert logs.put_documents(first, store, KEYS) == 1
+    read = lambda: sorted(map(tuple, logs.read_documents(spark, store, first.schema, KEYS).collect()))
+    old = read()
+    assert old == [("d", "j", [("a", 1.0), ("b", None)], 1), ("d", "k", [], 1)]
+    with pytest.raises(Exception, match="killed"):  # while documents are written
+        logs.put_documents(made([("d", "j", [("z", 9.0)])]).withColumn("x", F.raise_error("killed")), store, KEYS)
+    made([("d", "j", [("z", 9.0)])]).write.partitionBy(*KEYS).json(f"{store}/documents/v2-unfinished")  # after them, before the manifest
+    assert read() == old
+    assert logs.put_documents(made([("d", "j", [("c", 2.0)])]), store, KEYS) == 2
+    assert read() == [("d", "j", [("c", 2.0)], 2), ("d", "k", [], 1)]
