@@ -2,10 +2,11 @@
 
 Documents that share a rare line are aligned by patience diff over line hashes, and the lines of aligned blocks are
 deleted from the later one. No group of documents meets in pairs: every line first leads to the earliest document that
-has it, a common line to the earliest with the same neighbours as well. Only what stands after that goes on: a rare line
-that stands is tried with all earlier documents that have it, and a document in which a common line stands with all that
-share a rare line with it. So the deleted lines are those that all pairs with shared rare lines would give. Only hashes
-are shuffled until texts are rewritten.
+has it, a common line to the earliest with the same neighbours as well. Only what stands after that goes on, with the
+earliest of each class of documents that have it. A class has the same shared lines in the same order and with lines
+that no other document has at the same places between them, so all of it aligns alike with any other document. The
+deleted lines with words are those that all pairs of documents would give. Only hashes are shuffled until texts are
+rewritten.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.common import key_of, settle, small_side, text_of
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
-#: A line in more places is common.
+#: A line in more places is common: it is tried with one document more at first, which changes the work and not the result.
 COMMON = 100
 #: Documents of one partner that are aligned in one task.
 DEAL = 1000
@@ -132,17 +135,35 @@ def first_pairs(shared: DataFrame, rare: int = COMMON) -> DataFrame:
     return pairs.where("at <> first").select("at.row", F.col("first.row").alias("first")).distinct()
 
 
-def further_pairs(shared: DataFrame, tried: DataFrame, gone: DataFrame, rare: int = COMMON) -> DataFrame:
-    """Pairs (row, first) that were not tried, for lines that stand: gone has the deleted places of each row.
+def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A name for each document's lines, in which every stretch of lines that no other document has is one mark."""
+    for batch in batches:
+        names = []
+        for lines, blank, places in zip(*(batch[c].to_pylist() for c in ("lines", "blank", "places")), strict=True):
+            seen = np.zeros(len(lines), bool)
+            seen[places] = seen[blank] = True
+            kept = np.where(seen, np.array(lines, np.int64), 0)
+            first = np.append(True, seen[1:] | seen[:-1])
+            names.append(xxhash.xxh3_64_intdigest(np.stack([kept[first], seen[first].astype(np.int64)]).tobytes()) - (1 << 63))
+        yield pa.RecordBatch.from_pydict({"row": batch["row"], "class": pa.array(names, pa.int64())})
 
-    A rare line has at most `rare` places, so a line that stands asks for less than that many.
-    """
+
+def classes(found: DataFrame, places: DataFrame) -> DataFrame:
+    """row and class of the documents of places (row, place: where their shared lines stand)."""
+    held = places.groupBy("row").agg(F.collect_list("place").alias("places"))
+    return found.select("row", "lines", "blank").join(held.hint("merge"), "row").mapInArrow(_classed, "row long, class long")
+
+
+def further_pairs(found: DataFrame, shared: DataFrame, tried: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pairs (row, first) that were not tried, for lines that stand: gone has the deleted places of each row."""
     deleted = gone.select(F.col("row").alias("_row"), "deleted")
-    stands = settle(shared.where("at <> first").join(deleted.hint("merge"), F.col("at.row") == F.col("_row"), "left").where(~F.coalesce(F.array_contains("deleted", F.col("place")), F.lit(False))).select("at", "line", "n"), "stands")
-    few = shared.where(F.col("n") <= rare).select("at", "line")
-    whole = few.join(stands.where(F.col("n") > rare).select("at").distinct(), "at", "left_semi")
-    asks = stands.where(F.col("n") <= rare).select("at", "line").union(whole).distinct()
-    met = asks.join(few.select("line", F.col("at").alias("first")).distinct(), "line").where("first < at")
+    stands = shared.where("at <> first").join(deleted.hint("merge"), F.col("at.row") == F.col("_row"), "left")
+    stands = settle(stands.where(~F.coalesce(F.array_contains("deleted", F.col("place")), F.lit(False))).select("at", "line").distinct(), "stands")
+    holders = settle(shared.join(stands.select("line").distinct().hint("merge"), "line", "left_semi").select("at", "line").distinct(), "holders")
+    whole = shared.select("at.row", "place").join(holders.select("at.row").distinct().hint("merge"), "row", "left_semi")
+    named = settle(classes(found, whole), "classes")
+    firsts = holders.join(named.hint("merge"), F.col("at.row") == F.col("row")).groupBy("line", "class").agg(F.min("at").alias("first"))
+    met = stands.join(firsts, "line").where("first < at")
     return met.select("at.row", F.col("first.row").alias("first")).distinct().join(tried, ["row", "first"], "left_anti")
 
 
@@ -162,7 +183,8 @@ def _compared(found: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
 def deduplicate(docs: DataFrame, rare: int = COMMON, least: int = 1) -> DataFrame:
     """Per row of docs: doc_id, text without deleted lines, n_lines, n_deleted and deleted (places of lines, from 0).
 
-    rare: in how many places a line may stand to be rare. least: lines with words in a block that is deleted. Texts are
+    rare: in how many places a line may stand to be rare; common lines make one pair more at first, and the result is the
+    same for any rare. Lines without words go where a block of a pair that was tried holds them. least: lines with words in a block that is deleted. Texts are
     split at \\n; a line is compared as written, white space included. Of two documents that with the greater doc_id is
     the later one, null last; rows with equal doc_id count in an order that is fixed within a run, and rows equal in
     doc_id and text are one document, treated alike. A null text is empty: one blank line, never deleted. An empty table
@@ -173,7 +195,7 @@ def deduplicate(docs: DataFrame, rare: int = COMMON, least: int = 1) -> DataFram
     tried = settle(first_pairs(shared, rare), "pairs")
     united = lambda rows: rows.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("deleted"))
     gone = settle(united(_compared(found, tried, least)), "deleted")
-    more = settle(further_pairs(shared, tried, gone, rare), "further_pairs")
+    more = settle(further_pairs(found, shared, tried, gone), "further_pairs")
     gone = united(gone.select("row", F.col("deleted").alias("places")).union(_compared(found, more, least)))
     gone = settle(gone.join(found.select("row", "doc_key", "text_hash"), "row").select("doc_key", "text_hash", "deleted"), "gone")
     texts = docs.select("doc_id", "text", key_of("doc_id").alias("doc_key"), F.xxhash64(text_of()).alias("text_hash"))
