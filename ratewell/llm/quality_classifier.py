@@ -226,7 +226,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 20_000, cut: float =
     before = F.sum("n").over(W.orderBy("bucket")) - F.col("n")
     last = counts.select("bucket", before.alias("before")).where(F.col("before") < sample).agg(F.max("bucket")).first()[0]
     chosen = pooled.join(usable.where(F.col("bucket") <= (-1 if last is None else last)), "doc_id")
-    rows = chosen.orderBy("bucket", "doc_id").limit(sample).select("pooled", "quality").toPandas()
+    rows = chosen.orderBy("bucket", "doc_id", "pooled").limit(sample).select("pooled", "quality").toPandas()
     x = np.stack([np.frombuffer(b, np.float32) for b in rows["pooled"]]).astype(float) if len(rows) else np.zeros((0, 3 * WIDTH + 1))
     network = train(x, rows["quality"].to_numpy(float) if len(rows) else pd.Series(dtype=float).to_numpy())
     scored = pooled.mapInArrow(_scoring(network), "doc_id long, score double")
