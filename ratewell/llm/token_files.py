@@ -76,6 +76,7 @@ class Encoder:
         self.words = Words(self._word)
         self.parts: dict[str, bytes] = {}
         self.model = self.tokenizer.model
+        self.raw = [k.to_bytes(array(self.kind).itemsize, "little") for k in range(self.tokenizer.get_vocab_size())]
 
     def _whole(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -86,7 +87,8 @@ class Encoder:
             self.parts.clear()
         plain = part.isascii() and part.isprintable()
         signs = part.replace(" ", "\u0120") if plain else part.encode().decode("latin-1").translate(_SIGNS)
-        found = self.parts[part] = array(self.kind, [x.id for x in self.model.tokenize(signs)]).tobytes()
+        raw = self.raw
+        found = self.parts[part] = b"".join([raw[x.id] for x in self.model.tokenize(signs)])
         return found
 
     def _word(self, word: str) -> bytes | None:
@@ -98,6 +100,11 @@ class Encoder:
             return None
         if not (text.isascii() or max(text) < _PLAIN) or _DOUBTFUL.search(text):
             return self._whole(text)
+        left, line, right = word.partition("\n")
+        if left.strip(" ") and right and "\n" not in right and left[-1] not in _NEAR and right[0] not in _NEAR:
+            # a line's end is a token of its own, and no space stands before what follows
+            before, after = self.words[left], self.words[" " + right]
+            return None if before is None or after is None else before + (known(line) or self._part(line)) + after
         if word[:-1].isalpha() and word[-1] in _MARKS:
             return (known(text[:-1]) or self._part(text[:-1])) + (known(word[-1]) or self._part(word[-1]))
         return b"".join([known(x) or self._part(x) for x in _BOUNDS.findall(text)])
