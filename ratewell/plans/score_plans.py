@@ -225,7 +225,11 @@ def spread_ratio(spark, sf_dir):
 DOMAIN_SETS = {"all": DOMAINS, "real_world": MULTI, "research": DOMAINS[:3]}
 
 
-@query()
+@query(
+    BOARD_SQL + " SELECT judge, z.domains, model, round(avg(rating), 4) AS rating, count(*) AS n_domains FROM b JOIN (VALUES "
+    + ", ".join(f"('{name}', '{d}')" for name, held in DOMAIN_SETS.items() for d in held) + ") z(domains, domain) ON z.domain = b.domain GROUP BY judge, z.domains, model",
+    "scored", matches=GROUPS,
+)
 def mean_ratings(spark, sf_dir):
     """Mean rating of every label over each set of domains."""
     rows = arena_board(spark, sf_dir).withColumn("domains", F.explode(F.filter(F.array(*map(F.lit, DOMAIN_SETS)), lambda d: F.array_contains(F.create_map(*[x for k, v in DOMAIN_SETS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[d], F.col("domain")))))
