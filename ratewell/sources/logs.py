@@ -84,8 +84,8 @@ def discover_runs(names: DataFrame, configs: DataFrame, suffix: str) -> DataFram
 
 
 def append(rows: DataFrame, path: str, by: Sequence[str] = ("domain", "judge")) -> None:
-    """Adds rows to a log, in folders by key; a job that fails leaves nothing behind."""
-    rows.write.mode("append").partitionBy(*by).json(path)
+    """Adds rows to a log, in folders by key, as gzip files that readers of the log open by their names; a job that fails leaves nothing behind."""
+    rows.write.mode("append").partitionBy(*by).option("compression", "gzip").json(path)
 
 
 def document(board: DataFrame, keys: Sequence[str], breakdown: Sequence[str]) -> DataFrame:
