@@ -61,15 +61,29 @@ SQL = {
     "skills": """SELECT DISTINCT domain, case_id, label, n, p % 14 AS skill FROM raw_sub WHERE k > 8 AND n <= 3""",
 }
 
+#: Lines that a task of the window and the join takes in, where they are more than the usual tasks share.
+TASK_LINES = 1 << 19
+#: The same rows as Spark makes them: lines are dealt out once by their order, which serves the window and the join, names
+#: are made after that, and both judges and both sides come from one join.
+PLANS = {
+    "sub": f"""SELECT o, p, s, n, q, c, d, t, k, {_domain('o')} AS domain, {_case('o')} AS case_id,
+        CASE WHEN k = 0 THEN 'reference' WHEN k <= 8 THEN concat('baseline:m', CAST(k AS STRING)) ELSE concat('agent:m', CAST(k - 8 AS STRING)) END AS label FROM
+        (SELECT *, row_number() OVER (PARTITION BY o, k ORDER BY n, p, s, q, c, d, t) AS rn FROM (SELECT /*+ REPARTITION({{dealt}}o) */ * FROM li) w) x WHERE rn = 1""",
+    "diffs": """SELECT judge, domain, case_id, o, model_a, model_b, fd, fb, rd, rb FROM (SELECT a.domain AS domain, a.case_id AS case_id, a.o AS o, a.label AS model_a, b.label AS model_b,
+        inline(array(struct('j0' AS judge, a.q - b.q AS fd, 25 AS fb, b.c - a.c AS rd, 4000000 AS rb), struct('j1' AS judge, a.d - b.d AS fd, 5 AS fb, b.t - a.t AS rd, 4 AS rb)))
+        FROM sub a JOIN sub b ON a.o = b.o AND a.label < b.label) x""",
+    "sides": """SELECT judge, domain, case_id, inline(array(struct(model_a AS model, score AS own), struct(model_b AS model, 1 - score AS own))) FROM scored""",
+}
+
 
-def _needed(name: str) -> list[str]:
+def _needed(name: str, sql: dict[str, str] = SQL) -> list[str]:
     """The table and those it reads, in order."""
     import re
 
-    own = [t for t in SQL if t != name and re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", SQL[name])]
+    own = [t for t in sql if t != name and re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", sql[name])]
     found: list[str] = []
     for t in own:
-        found += [x for x in _needed(t) if x not in found]
+        found += [x for x in _needed(t, sql) if x not in found]
     return [*found, name]
 
 
@@ -82,4 +96,8 @@ def with_sql(*names: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files = {f: f"parquet.`{sf_dir}/{f}.parquet`" for f in ("lineitem", "orders", "part", "documents", "events", "customer", "supplier")}
-    return spark.sql("WITH " + ",\n".join(f"{t} AS ({SQL[t].format(**files)})" for t in _needed(name)) + f"\nSELECT * FROM {name}")
+    sql = SQL | PLANS
+    if "sub" in _needed(name, sql):
+        parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // TASK_LINES)  # from the files' footers
+        files["dealt"] = f"{parts}, " if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else ""
+    return spark.sql("WITH " + ",\n".join(f"{t} AS ({sql[t].format(**files)})" for t in _needed(name, sql)) + f"\nSELECT * FROM {name}")

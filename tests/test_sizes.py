@@ -20,3 +20,44 @@ def test_logs_are_compressed(spark):
     files = glob.glob(f"{path}/*/*/part-*")
     assert files and all(f.endswith(".json.gz") for f in files) and sum(map(os.path.getsize, files)) < 100_000
     assert logs.read_strict(spark, path, StructType.fromDDL("case_id string, domain string, judge string")).count() == 10_000
+
+
+def test_matches_come_from_one_shuffle_of_lines(spark, small):
+    from ratewell.plans.tables import table
+
+    plan = table(spark, small, "sides")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2  # both sides of one join, which are one exchange
+    assert "Union" not in plan
+
+
+def test_a_log_has_files_and_few_batches(spark, small):
+    from ratewell.plans import log_plans
+    from ratewell.streaming import live
+
+    path, stream = log_plans._stream(spark, small)
+    assert len(spark.read.parquet(path).inputFiles()) > 4  # files are cut by rows, however few tasks make them
+    numbers = []
+    live.run(stream, f"{path}-checkpoint", lambda df, n: numbers.append(n))
+    assert numbers == [0, 1, 2, 3]
+
+
+def test_rows_of_a_task_reach_the_state_as_sums(spark):
+    from ratewell.streaming import live
+
+    pair = ["'d' AS domain", "concat('a', id % 3) AS model_lo", "'z' AS model_hi"]
+    rows = spark.range(0, 30_000, 1, 2).selectExpr(*pair, *[f"CAST(id % 2 AS {t}) AS {c}" for c, t in [x.rsplit(" ", 1) for x in live._SUMS_DDL.split(", ")]])
+    by = ["domain", "model_lo", "model_hi"]
+    found = live._summed_in_tasks(rows, by)
+    assert found.schema.names == [*by, *live._SUMS] and found.count() == 6
+    want = rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in live._SUMS])
+    assert sorted(map(tuple, found.groupBy(*by).agg(*[F.sum(c).alias(c) for c in live._SUMS]).collect())) == sorted(map(tuple, want.collect()))
+    assert live._summed_in_tasks(rows, by, 1).groupBy().sum("n").first()[0] == 15_000
+
+
+def test_a_mean_makes_its_values_once(spark):
+    from ratewell.functions import rubric
+
+    plan = spark.range(1).select(rubric._mean(F.transform(F.array(F.col("id").cast("double")), lambda x: x + 12345.5)).alias("m"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("12345.5") == 1
+    kept = spark.createDataFrame([([1.0, 2.0],), ([],), (None,)], "v array<double>").select(rubric._mean(F.col("v")).alias("m"))
+    assert [r["m"] for r in kept.collect()] == [1.5, None, None]
