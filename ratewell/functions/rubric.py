@@ -11,8 +11,9 @@ SET_KEYS = ("breadth", "distinctness", "utility")
 
 
 def _mean(values: Column) -> Column:
-    """Null for an empty array."""
-    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))
+    """Null for an empty array. The array is made once, for its sum and its size."""
+    held = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    return F.aggregate(values, held, lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["sum"] / a["n"]))
 
 
 def _of(scores: Column, keys: tuple[str, ...]) -> Column:

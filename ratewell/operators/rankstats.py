@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ratewell.operators.selection import running
+from ratewell.operators.selection import running, settled
 from ratewell.operators.worklist import mixed_hash
 
 
@@ -19,8 +19,9 @@ def midranks(rows: DataFrame, keys: Sequence[str], value: str, name: str, times:
     """Adds the mean of the ranks that equal values share; times: how often each row counts.
 
     Distinct values are dealt to cells by the upper bits of their order; the sum over a group's cells sees a row per
-    cell and the one inside a cell the values there, so no task sorts a large group.
+    cell and the one inside a cell the values there, so no task sorts a large group. What rows costs is paid once.
     """
+    rows = settled(rows, "ranked")
     counts = rows.groupBy(*keys, value).agg((F.count(F.lit(1)) if times is None else F.sum(times)).alias("_n"))
     ends = counts.groupBy(*keys).agg(F.min(value).cast("double").alias("_low"), F.max(value).cast("double").alias("_high"))
     width = F.when(F.col("_high") > F.col("_low"), (F.col(value).cast("double") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
