@@ -15,11 +15,11 @@ _STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _ESCAPE = re.compile(r'\\(["\\/bfnrtu])|\\')
 
 
-def candidate(text: Column) -> Column:
-    """The body of a code fence if there is one, from the first brace to the last."""
-    inside = F.when(text.rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(text)
-    cut = F.regexp_extract(inside, r"(?s)\{.*\}", 0)
-    return F.when(cut != "", cut).otherwise(F.trim(inside))
+def with_candidate(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the body of a code fence if there is one, from the first brace to the last. Each step is a column, made once."""
+    found = rows.withColumn("_inside", F.when(F.col(text).rlike(_FENCE), F.regexp_extract(text, _FENCE, 1)).otherwise(F.col(text)))
+    found = found.withColumn("_braces", F.regexp_extract("_inside", r"(?s)\{.*\}", 0))
+    return found.withColumn(name, F.when(F.col("_braces") != "", F.col("_braces")).otherwise(F.trim("_inside"))).drop("_inside", "_braces")
 
 
 def _escapes(t: str) -> str:
@@ -62,7 +62,7 @@ def with_json(rows: DataFrame, text: str, name: str = "json") -> DataFrame:
 
     The helper gets null for texts that parse as they are, so it works on the others only.
     """
-    found = rows.withColumn("_cut", candidate(F.col(text)))
+    found = with_candidate(rows, text, "_cut")
     found = found.withColumn("_clean", F.try_parse_json("_cut").isNotNull())
     mended = _repaired(F.when(~F.col("_clean"), F.col("_cut")))
     return found.withColumn("_mended", mended).withColumn(name, F.when(F.col("_clean"), F.col("_cut")).otherwise(F.col("_mended"))).drop("_cut", "_clean", "_mended")

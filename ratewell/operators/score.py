@@ -90,6 +90,7 @@ def parsed_verdicts(answers: DataFrame, text: str) -> DataFrame:
     valid = F.coalesce(all_there & F.col("v.rationale").isNotNull() & good_pairs & (no_sets | good_sets), F.lit(False))
     kept = F.map_filter(known(sets, SET_KEYS), lambda key, _: (key != "distinctness") | (F.col("k") > 1))
     set_scores = F.when(F.col("multi") & sets.isNotNull(), kept).otherwise(F.create_map().cast("map<string,double>"))
+    found, valid = found.withColumn("_valid", valid), F.col("_valid")  # three columns ask for it
     return found.select(
         *answers.columns, valid.alias("valid"), F.when(valid, F.transform(pairs, lambda m: known(m, PAIR_KEYS))).alias("pair_scores"), F.when(valid, set_scores).alias("set_scores"),
         (valid & (F.col("k") > 0) & (F.size(pairs) != F.col("k"))).alias("k_mismatch"),
