@@ -44,15 +44,21 @@ def pairs(gathered: DataFrame) -> DataFrame:
     return left.join(right, ["case_id", "_a", "_b"]).where("model_a < model_b").select("case_id", "model_a", "model_b")
 
 
-def shuffled_place(place: str, size: str, seed: str, rounds: int = 12) -> str:
+def drawn_points(size: str, seed: str, rounds: int = 12) -> str:
+    """SQL: the points about which the rounds of a seeded shuffle of the whole numbers below size mirror them."""
+    return f"transform(sequence(1, {rounds}), r -> CAST(conv(substring(md5(concat_ws(':', {seed}, r)), 1, 13), 16, 10) AS BIGINT) % {size})"
+
+
+def shuffled_place(place: str, size: str, seed: str, rounds: int = 12, points: str | None = None) -> str:
     """SQL: where a seeded shuffle of the whole numbers below size puts one of them; others go elsewhere.
 
     In each round a number and its mirror image about a drawn point are swapped if a bit that the larger one draws says so.
+    points: a column of drawn_points, which all numbers of a shuffle share.
     """
-    drawn = f"CAST(conv(substring(md5(concat_ws(':', {seed}, r)), 1, 13), 16, 10) AS BIGINT) % {size}"
-    mirror = f"pmod({drawn} - x, {size})"
-    bit = f"ascii(md5(concat_ws(':', {seed}, r, greatest(x, {mirror})))) % 2 = 1"
-    return f"aggregate(sequence(1, {rounds}), {place}, (x, r) -> CASE WHEN {bit} THEN {mirror} ELSE x END)"
+    mirror = f"pmod(z.p - x, {size})"
+    bit = f"ascii(md5(concat_ws(':', {seed}, z.r, greatest(x, {mirror})))) % 2 = 1"
+    turns = f"transform({points or drawn_points(size, seed, rounds)}, (p, i) -> struct(p, i + 1 AS r))"
+    return f"aggregate({turns}, {place}, (x, z) -> CASE WHEN {bit} THEN {mirror} ELSE x END)"
 
 
 def drawn_pairs(gathered: DataFrame, most: int, seed: int = 42) -> DataFrame:
@@ -64,8 +70,9 @@ def drawn_pairs(gathered: DataFrame, most: int, seed: int = 42) -> DataFrame:
     """
     placed = running(gathered.select("case_id", "label").distinct().withColumn("_one", F.lit(1)), ["case_id"], "label", {"_place": "_one"})
     sizes = placed.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").selectExpr("case_id", "_n * (_n - 1) div 2 AS _size")
-    numbers = sizes.selectExpr("case_id", "_size", f"explode(sequence(0L, least(_size, {most}L) - 1)) AS _k")
-    numbers = numbers.selectExpr("case_id", "_k", shuffled_place("_k", "_size", f"'{seed}', case_id") + " AS _t")
+    numbers = sizes.selectExpr("case_id", "_size", drawn_points("_size", f"'{seed}', case_id") + " AS _points")
+    numbers = numbers.selectExpr("case_id", "_size", "_points", f"explode(sequence(0L, least(_size, {most}L) - 1)) AS _k")
+    numbers = numbers.selectExpr("case_id", "_k", shuffled_place("_k", "_size", f"'{seed}', case_id", points="_points") + " AS _t")
     # row j of the triangle begins at j (j - 1) / 2; the root is put right by one where it is rounded
     row = numbers.selectExpr("case_id", "_k", "_t", "CAST(floor((1 + sqrt(1 + 8.0D * _t)) / 2) AS BIGINT) AS _j")
     row = row.selectExpr("case_id", "_k", "_t", "_j + CASE WHEN _j * (_j - 1) div 2 > _t THEN -1 WHEN _j * (_j + 1) div 2 <= _t THEN 1 ELSE 0 END AS _j")
