@@ -48,3 +48,22 @@ def test_a_mean_makes_its_values_once(spark):
     assert plan._jdf.queryExecution().analyzed().toString().count("12345.5") == 1
     kept = spark.createDataFrame([([1.0, 2.0],), ([],), (None,)], "v array<double>").select(rubric._mean(F.col("v")).alias("m"))
     assert [r["m"] for r in kept.collect()] == [1.5, None, None]
+
+
+def _log_of(spark, run) -> str:
+    """The folder of the log that a query makes."""
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    run()
+    (found,) = [d for d in set(os.listdir(base)) - before if d.startswith("ratewell-log-") and d.count("-") == 2]
+    return f"{base}/{found}"
+
+
+def test_a_dated_log_is_made_by_many_tasks_and_its_state_lies_on_disk(spark, small):
+    from ratewell.plans import registry
+
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.unset(kind)
+    path = _log_of(spark, lambda: registry.queries()["stream_dedup_within"](spark, small))
+    assert len(glob.glob(f"{path}/part-*")) > 4  # before: a file of one task for each of four parts
+    assert "RocksDB" in spark.conf.get(kind)
