@@ -67,3 +67,19 @@ def test_a_dated_log_is_made_by_many_tasks_and_its_state_lies_on_disk(spark, sma
     path = _log_of(spark, lambda: registry.queries()["stream_dedup_within"](spark, small))
     assert len(glob.glob(f"{path}/part-*")) > 4  # before: a file of one task for each of four parts
     assert "RocksDB" in spark.conf.get(kind)
+
+
+def test_pairs_of_a_large_batch_are_dealt_to_more_tasks(spark, monkeypatch):
+    """Tasks take in a bounded number of rows, and repeats inside and across batches give no pair twice."""
+    from ratewell.streaming import live
+
+    monkeypatch.setattr(live, "TASK_ROWS", 16)
+    base = tempfile.mkdtemp(prefix="spark-tests-")
+    rows = [[(f"c{i}", label) for i in range(120) for label in labels] for labels in ("aabc", "adeb")]
+    for part in rows:
+        df = spark.createDataFrame(part, "case_id string, label string")
+        df.coalesce(1).write.mode("append").parquet(f"{base}/log")
+        live.new_pairs(live.read_log(spark, f"{base}/log", df.schema), f"{base}/seen", f"{base}/out", f"{base}/checkpoint")
+    got = sorted(map(tuple, spark.read.parquet(f"{base}/out").select("case_id", "model_a", "model_b").collect()))
+    assert got == sorted((f"c{i}", a, b) for i in range(120) for a in "abcde" for b in "abcde" if a < b)
+    assert len(glob.glob(f"{base}/out/batch=1/part-*")) > 8  # the session's shuffle partitions
