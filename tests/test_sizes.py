@@ -83,3 +83,20 @@ def test_pairs_of_a_large_batch_are_dealt_to_more_tasks(spark, monkeypatch):
     got = sorted(map(tuple, spark.read.parquet(f"{base}/out").select("case_id", "model_a", "model_b").collect()))
     assert got == sorted((f"c{i}", a, b) for i in range(120) for a in "abcde" for b in "abcde" if a < b)
     assert len(glob.glob(f"{base}/out/batch=1/part-*")) > 8  # the session's shuffle partitions
+
+
+def test_a_task_sums_its_matches_before_they_are_shuffled(spark, small):
+    """Boards get a row per pair of models and task, however many Arrow batches a task reads."""
+    from ratewell.operators import arena
+    from ratewell.plans.tables import table
+    from ratewell.streaming import live
+
+    keys, size = ["domain", "judge"], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = arena.pair_rows(arena.with_scores(table(spark, small, "matches")), keys).select(*keys, "model_lo", "model_hi", *live._SUMS).coalesce(1)
+    spark.conf.set(size, 100)
+    try:
+        got = sorted(map(tuple, rows.mapInArrow(live._pair_sums(keys), rows.schema).collect()))
+    finally:
+        spark.conf.unset(size)
+    want = sorted(map(tuple, rows.groupBy(*keys, "model_lo", "model_hi").agg(*[F.sum(c) for c in live._SUMS]).collect()))
+    assert got == want and len(got) < rows.count() / 4
