@@ -121,6 +121,21 @@ def every(rows: DataFrame, registry: DataFrame, most: int = 10_000) -> DataFrame
     return dealt.join(registry.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "_part").drop("_part")
 
 
+def missing(rows: DataFrame, registry: DataFrame, done: DataFrame, most: int = 10_000) -> DataFrame:
+    """Each row (case_id and others) with each label of a registry that its case has no row of in done.
+
+    Labels met are gathered by case, at most as many as the registry has, so pairs of cases and labels are not shuffled;
+    a registry of more than `most` entries meets the cases by joins.
+    """
+    if registry.limit(most + 1).count() > most:
+        return pending(every(rows, registry, most), done, ["case_id", "label"])
+    met = done.select("case_id", "label").join(F.broadcast(registry.select("label").distinct()), "label", "left_semi")
+    have = met.groupBy("case_id").agg(F.collect_set("label").alias("_have"))
+    wanted = rows.join(have, "case_id", "left").crossJoin(F.broadcast(registry.agg(F.collect_set("label").alias("_labels"))))
+    left = F.array_except("_labels", F.coalesce("_have", F.array().cast("array<string>")))
+    return wanted.withColumn("label", F.explode(left)).drop("_have", "_labels")
+
+
 def block(hypotheses: Column) -> Column:
     """Numbered hypotheses (category, hypothesis, evidence) as one text, the category where there is one."""
 
@@ -155,9 +170,14 @@ def score_requests(found: DataFrame, contexts: DataFrame, blocks: DataFrame, sho
     return rows.select("case_id", "label", F.concat(_context(), F.lit("\n\nSubmission:\n"), "block", tail).alias("prompt"))
 
 
+def generation_prompts(contexts: DataFrame) -> DataFrame:
+    """The request for each context, with the other columns: it is the same for all labels, so it is made once."""
+    return contexts.withColumn("prompt", F.concat(F.lit("Write hypotheses with evidence for the context.\n\n"), _context())).drop("context")
+
+
 def generation_requests(found: DataFrame, contexts: DataFrame) -> DataFrame:
     """A request per case and label that has no submission."""
-    return found.join(contexts, "case_id").select("case_id", "label", F.concat(F.lit("Write hypotheses with evidence for the context.\n\n"), _context()).alias("prompt"))
+    return found.join(generation_prompts(contexts), "case_id").select("case_id", "label", "prompt")
 
 
 def assemble(directions: DataFrame) -> DataFrame:

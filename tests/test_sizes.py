@@ -100,3 +100,15 @@ def test_a_task_sums_its_matches_before_they_are_shuffled(spark, small):
         spark.conf.unset(size)
     want = sorted(map(tuple, rows.groupBy(*keys, "model_lo", "model_hi").agg(*[F.sum(c) for c in live._SUMS]).collect()))
     assert got == want and len(got) < rows.count() / 4
+
+
+def test_missing_labels_come_without_a_join_of_cases_and_labels(spark):
+    from ratewell.operators import worklist
+
+    cases = spark.createDataFrame([(f"c{i}", i) for i in range(20)], "case_id string, x int")
+    registry = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    done = spark.createDataFrame([(f"c{i}", "abz"[k]) for i in range(15) for k in range(1 + i % 3)] * 2 + [(None, "a"), ("c1", None)], "case_id string, label string")
+    held = {(r["case_id"], r["label"]) for r in done.collect()}
+    want = sorted((f"c{i}", i, x) for i in range(20) for x in "abc" if (f"c{i}", x) not in held)
+    for most in (10, 2):  # the second takes the registry as large
+        assert sorted(map(tuple, worklist.missing(cases, registry, done, most).select("case_id", "x", "label").collect())) == want
