@@ -83,7 +83,7 @@ def apply_remap(cases: DataFrame, remap: DataFrame, allowed: DataFrame) -> DataF
     """
     valid = remap.where("canonical <> category").join(allowed.select("domain", F.col("category").alias("canonical")), ["domain", "canonical"], "left_semi")
     maps = valid.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("category", "canonical"))).alias("_map"))
-    out = cases.join(maps, "domain", "left")
+    out = cases.join(F.broadcast(maps), "domain", "left")  # few domains: cases would all go to as many tasks
     new = lambda h: F.coalesce(F.col("_map")[h["category"]], h["category"])
     changed = F.size(F.filter("hypotheses", lambda h: F.coalesce(F.col("_map")[h["category"]].isNotNull(), F.lit(False))))
     return out.withColumn("n_changed", F.when(F.col("_map").isNull(), 0).otherwise(changed)).withColumn("hypotheses", F.transform("hypotheses", lambda h: h.withField("category", new(h)))).drop("_map")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratewell.functions.labels import mode_of
 from ratewell.operators import curation, skills
-from ratewell.plans.tables import DOMAINS, MULTI, table, with_sql
+from ratewell.plans.tables import DOMAINS, MULTI, table, tasks_of, with_sql
 
 Q = {}
 SQL = {}
@@ -30,6 +30,8 @@ TRACK = "CASE WHEN domain IN " + str(MULTI) + " THEN 'real' ELSE 'research' END"
 def nested(spark, sf_dir) -> DataFrame:
     """Cases with their hypotheses and metadata."""
     h = table(spark, sf_dir, "hypotheses")
+    if parts := tasks_of(spark, sf_dir):
+        h = h.repartition(parts, "o")  # serves the aggregate as well
     item = F.struct("n", "p", F.col("category"), F.concat(F.lit("part "), F.col("p").cast("string")).alias("hypothesis"), F.lit("line").alias("evidence"))
     grouped = h.groupBy("case_id", "domain", "o").agg(F.array_sort(F.collect_list(item)).alias("hypotheses"))
     meta = F.create_map(F.lit("report_id"), (F.col("o") % 50).cast("string"), F.lit("agency"), F.concat(F.lit("a"), (F.col("o") % 3).cast("string")))

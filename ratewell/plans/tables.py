@@ -72,6 +72,9 @@ PLANS = {
     "diffs": """SELECT judge, domain, case_id, o, model_a, model_b, fd, fb, rd, rb FROM (SELECT a.domain AS domain, a.case_id AS case_id, a.o AS o, a.label AS model_a, b.label AS model_b,
         inline(array(struct('j0' AS judge, a.q - b.q AS fd, 25 AS fb, b.c - a.c AS rd, 4000000 AS rb), struct('j1' AS judge, a.d - b.d AS fd, 5 AS fb, b.t - a.t AS rd, 4 AS rb)))
         FROM sub a JOIN sub b ON a.o = b.o AND a.label < b.label) x""",
+    "hypotheses": f"""SELECT {_domain('l_orderkey')} AS domain, {_case('l_orderkey')} AS case_id, l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, l_partkey AS p,
+        CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE p_type END AS category FROM (SELECT {{dealt_lines}}l_orderkey, l_linenumber, l_partkey FROM {{lineitem}}) l
+        JOIN (SELECT {{dealt_parts}}p_partkey, p_type FROM {{part}}) p ON l_partkey = p_partkey""",
     "sides": """SELECT judge, domain, case_id, inline(array(struct(model_a AS model, score AS own), struct(model_b AS model, 1 - score AS own))) FROM scored""",
 }
 
@@ -94,10 +97,18 @@ def with_sql(*names: str) -> str:
     return "WITH " + ",\n".join(f"{t} AS ({SQL[t].format(**files)})" for t in order) + "\n"
 
 
+def tasks_of(spark: SparkSession, sf_dir: str) -> int:
+    """So many tasks that none takes in more than TASK_LINES lines, or 0 where the usual number does."""
+    parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // TASK_LINES)  # from the files' footers
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files = {f: f"parquet.`{sf_dir}/{f}.parquet`" for f in ("lineitem", "orders", "part", "documents", "events", "customer", "supplier")}
     sql = SQL | PLANS
-    if "sub" in _needed(name, sql):
-        parts = -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // TASK_LINES)  # from the files' footers
-        files["dealt"] = f"{parts}, " if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else ""
-    return spark.sql("WITH " + ",\n".join(f"{t} AS ({sql[t].format(**files)})" for t in _needed(name, sql)) + f"\nSELECT * FROM {name}")
+    needed = _needed(name, sql)
+    if {"sub", "hypotheses"} & {*needed}:
+        parts = tasks_of(spark, sf_dir)
+        files["dealt"] = f"{parts}, " if parts else ""
+        files |= {f"dealt_{k}": f"/*+ REPARTITION({parts}, {key}) */ " if parts else "" for k, key in (("lines", "l_partkey"), ("parts", "p_partkey"))}
+    return spark.sql("WITH " + ",\n".join(f"{t} AS ({sql[t].format(**files)})" for t in needed) + f"\nSELECT * FROM {name}")

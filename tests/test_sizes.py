@@ -112,3 +112,15 @@ def test_missing_labels_come_without_a_join_of_cases_and_labels(spark):
     want = sorted((f"c{i}", i, x) for i in range(20) for x in "abc" if (f"c{i}", x) not in held)
     for most in (10, 2):  # the second takes the registry as large
         assert sorted(map(tuple, worklist.missing(cases, registry, done, most).select("case_id", "x", "label").collect())) == want
+
+
+def test_remapped_cases_are_dealt_by_case_in_bounded_tasks(spark, small, monkeypatch):
+    from ratewell.plans import registry, tables
+
+    run = registry.queries()["apply_remap"]
+    want = sorted(map(str, run(spark, small).collect()))
+    monkeypatch.setattr(tables, "TASK_LINES", 500)  # 12 tasks of 6,000 lines, more than the session's 8
+    made = run(spark, small)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [o") == 1 and "rightHint=(strategy=broadcast)" in plan
+    assert sorted(map(str, made.collect())) == want
