@@ -102,6 +102,14 @@ def pending_pairs(found: DataFrame, done: DataFrame, keys: Sequence[str] = ("cas
     return ends(found).join(ends(done).select(*on), on, "left_anti").drop("_lo", "_hi")
 
 
+def compared_pairs(gathered: DataFrame, done: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Pairs of a case's labels that have been compared, each once: keys, lo, hi. What is pending can be counted from these without making all pairs."""
+    ends = done.select(*keys, F.least("model_a", "model_b").alias("lo"), F.greatest("model_a", "model_b").alias("hi")).where("lo < hi").distinct()
+    for end in ("lo", "hi"):
+        ends = ends.join(gathered.select(*keys, F.col("label").alias(end)), [*keys, end], "left_semi")
+    return ends.select(*keys, "lo", "hi")
+
+
 def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wanted.join(done.select(*keys), list(keys), "left_anti")
 
@@ -121,21 +129,29 @@ def every(rows: DataFrame, registry: DataFrame, most: int = 10_000) -> DataFrame
     return dealt.join(registry.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), "_part").drop("_part")
 
 
-def missing(rows: DataFrame, registry: DataFrame, done: DataFrame, most: int = 10_000) -> DataFrame:
-    """Each row (case_id and others) with each label of a registry that its case has no row of in done.
+def missing(rows: DataFrame, registry: DataFrame, done: DataFrame, most: int = 10_000, key: str = "case_id") -> DataFrame:
+    """Each row (the key of a case and others) with each label of a registry that its case has no row of in done.
 
     Labels met are gathered by case, at most as many as the registry has, so pairs of cases and labels are not shuffled;
     a registry of more than `most` entries meets the cases by joins.
     """
     if registry.limit(most + 1).count() > most:
-        return pending(every(rows, registry, most), done, ["case_id", "label"])
-    met = done.select("case_id", "label").join(F.broadcast(registry.select("label").distinct()), "label", "left_semi")
-    have = met.groupBy("case_id").agg(F.collect_set("label").alias("_have"))
-    wanted = rows.join(have, "case_id", "left").crossJoin(F.broadcast(registry.agg(F.collect_set("label").alias("_labels"))))
+        return pending(every(rows, registry, most), done, [key, "label"])
+    met = done.select(key, "label").join(F.broadcast(registry.select("label").distinct()), "label", "left_semi")
+    have = met.groupBy(key).agg(F.collect_set("label").alias("_have"))
+    wanted = rows.join(have, key, "left").crossJoin(F.broadcast(registry.agg(F.collect_set("label").alias("_labels"))))
     left = F.array_except("_labels", F.coalesce("_have", F.array().cast("array<string>")))
     return wanted.withColumn("label", F.explode(left)).drop("_have", "_labels")
 
 
+def missing_counts(rows: DataFrame, registry: DataFrame, done: DataFrame, key: str = "case_id") -> DataFrame:
+    """How many rows missing gives for each row, as n, where there are any."""
+    names = registry.select("label").distinct()
+    met = done.select(key, "label").distinct().join(names, "label", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("_met"))
+    wanted = rows.join(met, key, "left").crossJoin(F.broadcast(names.agg(F.count("label").alias("_all"))))  # one row
+    return wanted.withColumn("n", F.col("_all") - F.coalesce("_met", F.lit(0))).where("n > 0").drop("_met", "_all")
+
+
 def block(hypotheses: Column) -> Column:
     """Numbered hypotheses (category, hypothesis, evidence) as one text, the category where there is one."""
 

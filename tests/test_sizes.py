@@ -124,3 +124,21 @@ def test_remapped_cases_are_dealt_by_case_in_bounded_tasks(spark, small, monkeyp
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression [o") == 1 and "rightHint=(strategy=broadcast)" in plan
     assert sorted(map(str, made.collect())) == want
+
+
+def test_pending_report_counts_without_making_pairs(spark, small):
+    from ratewell.plans import registry
+
+    plan = registry.queries()["pending_report"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftAnti") == 2 and plan.count("Join LeftSemi") == 3  # scores and cases; both labels of compared pairs, labels met
+    assert "row_number" not in plan  # submissions by name, without their values
+
+
+def test_missing_counts_are_those_of_missing(spark):
+    from ratewell.operators import worklist
+
+    cases = spark.createDataFrame([(f"c{i}",) for i in range(20)], "case_id string")
+    registry = spark.createDataFrame([("a",), ("b",), ("c",)], "label string")
+    done = spark.createDataFrame([(f"c{i}", "abcz"[k]) for i in range(15) for k in range(1 + i % 4)] * 2 + [(None, "a"), ("c1", None)], "case_id string, label string")
+    want = {r["case_id"]: r["count"] for r in worklist.missing(cases, registry, done).groupBy("case_id").count().collect()}
+    assert {r["case_id"]: r["n"] for r in worklist.missing_counts(cases, registry, done).collect()} == want
