@@ -12,6 +12,8 @@ from ratewell.operators.selection import running
 
 #: Labels of a case that meet in one task.
 HOT_LABELS = 1024
+#: Labels of a case that meet in one row.
+ROW_LABELS = 64
 #: What stands for a submission without hypotheses.
 NO_HYPOTHESES = "(no hypotheses)"
 
@@ -110,6 +112,36 @@ def compared_pairs(gathered: DataFrame, done: DataFrame, keys: Sequence[str] = (
     return ends.select(*keys, "lo", "hi")
 
 
+def meetings(gathered: DataFrame, done: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """A row per case that has its labels, with all other columns, and its compared pairs: keys, _a, _b, labels, met.
+
+    Rows take the place of pairs in shuffles, and labels and compared pairs are dealt to cases together. The labels of a
+    case with more than ROW_LABELS go to blocks by their hash, and each pair of blocks is a row of its own, so no row has
+    more than twice that many labels, or pairs than their square.
+    """
+    more = [c for c in gathered.columns if c not in keys]
+    label = gathered.select(*keys, F.struct(*more).alias("m"), F.lit(None).cast("struct<lo:string,hi:string>").alias("d"))
+    pair = done.select(*keys, F.lit(None).cast(label.schema["m"].dataType).alias("m"), F.struct(F.least("model_a", "model_b").alias("lo"), F.greatest("model_a", "model_b").alias("hi")).alias("d"))
+    rows = label.unionByName(pair).dropna(subset=list(keys))
+    rows = rows.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.count("m").over(W.partitionBy(*keys)) / ROW_LABELS)).cast("int"))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks")).cast("int")
+    others = F.when(F.col("d").isNull(), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(own("d.hi")))
+    rows = rows.select(*keys, "m", "d", F.when(F.col("d").isNull(), own("m.label")).otherwise(own("d.lo")).alias("_own"), F.explode(others).alias("_other"))
+    rows = rows.select(*keys, "m", "d", "_own", F.least("_own", "_other").alias("_a"), F.greatest("_own", "_other").alias("_b"))
+    # as windows over rows that lie in this order: aggregates would sort them twice, and write each list between
+    each = W.partitionBy(*keys, "_a", "_b").orderBy(keys[0])
+    whole = each.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    found = [F.collect_list(F.when(F.col("d").isNull(), F.struct("_own", "m.*"))).over(whole).alias("labels"), F.collect_set("d").over(whole).alias("met"), F.row_number().over(each).alias("_place")]
+    return rows.select(*keys, "_a", "_b", *found).where("_place = 1").where(F.size("labels") > 1).drop("_place").repartition(*keys, "_a", "_b")
+
+
+def opened(meetings: DataFrame) -> DataFrame:
+    """The pairs of the rows' labels, each once, as columns a and b with a.label < b.label; compared: in either order. The rows' other columns stay."""
+    both = meetings.withColumn("a", F.explode("labels")).withColumn("b", F.explode("labels"))
+    both = both.where(F.expr("a.label < b.label AND (_a = _b OR a._own <> b._own)"))
+    return both.withColumn("compared", F.array_contains("met", F.struct(F.col("a.label").alias("lo"), F.col("b.label").alias("hi")))).drop("labels", "met", "_a", "_b")
+
+
 def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wanted.join(done.select(*keys), list(keys), "left_anti")
 
@@ -159,31 +191,51 @@ def block(hypotheses: Column) -> Column:
         category = F.when(F.coalesce(h["category"], F.lit("")) != "", F.concat(F.lit("["), h["category"], F.lit("] "))).otherwise("")
         return F.concat((i + 1).cast("string"), F.lit(". "), category, h["hypothesis"], F.lit("\nEvidence: "), h["evidence"])
 
-    return F.when(F.size(hypotheses) > 0, F.array_join(F.transform(hypotheses, one), "\n")).otherwise(NO_HYPOTHESES)
+    # one or two, as most have, without a lambda, which is slow
+    few = [F.concat_ws("\n", *[one(F.get(hypotheses, F.lit(i)), F.lit(i)) for i in range(n)]) for n in (1, 2)]
+    n = F.size(hypotheses)
+    return F.when(n == 1, few[0]).when(n == 2, few[1]).when(n > 2, F.array_join(F.transform(hypotheses, one), "\n")).otherwise(NO_HYPOTHESES)
 
 
 def _context() -> Column:
     return F.concat(F.lit("Context:\n"), "context")
 
 
-def arena_requests(found: DataFrame, contexts: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Two requests per pair, one for each order, with context and both blocks.
+def _chars(*parts: Column | str) -> Column:
+    """How long the text of these parts is, from lengths that were counted where the parts were made once."""
+    return sum((F.lit(len(x)) if isinstance(x, str) else x for x in parts), F.lit(len("Context:\n")) + F.col("context_chars")).cast("long")
+
+
+def with_chars(texts: DataFrame, name: str) -> DataFrame:
+    """Counts the characters of a text, which takes longer than to copy it, before it is joined to rows that share it."""
+    return texts.withColumn(f"{name}_chars", F.length(name))
+
+
+def with_context(rows: DataFrame, texts: DataFrame, on: str) -> DataFrame:
+    """Rows with the context that they name, empty where there is none, and its characters."""
+    return rows.join(with_chars(texts, "context"), on, "left").na.fill({"context": "", "context_chars": 0})
+
+
+def arena_requests(meetings: DataFrame, keys: Sequence[str] = ("case_id",)) -> DataFrame:
+    """Two requests per pair that has not been compared, one for each order, with context and both blocks, and their characters.
 
-    Blocks are made once per case and label; texts are joined last, to the pairs that are still to be judged.
+    Rows of meetings have a context, and their labels a block, both with_chars. Pairs are made where texts have been joined,
+    so that neither pairs nor texts of cases are shuffled.
     """
-    side = lambda s: blocks.select("case_id", F.col("label").alias(f"model_{s}"), F.col("block").alias(f"block_{s}"))
-    both = found.join(side("a"), ["case_id", "model_a"]).join(side("b"), ["case_id", "model_b"]).join(contexts, "case_id")
-    text = lambda a, b: F.concat(_context(), F.lit("\n\nA:\n"), a, F.lit("\n\nB:\n"), b)
-    ways = F.array(F.struct(F.lit("forward").alias("direction"), text("block_a", "block_b").alias("prompt")), F.struct(F.lit("reverse").alias("direction"), text("block_b", "block_a").alias("prompt")))
-    return both.select("case_id", "model_a", "model_b", F.explode(ways).alias("w")).select("case_id", "model_a", "model_b", "w.*")
-
-
-def score_requests(found: DataFrame, contexts: DataFrame, blocks: DataFrame, shown: Column, reference: str = "reference") -> DataFrame:
-    """A request per submission; where shown holds, with the reference's block, unless that has no hypotheses."""
-    own = blocks.where(F.col("label") == reference).where(F.col("block") != NO_HYPOTHESES).select("case_id", F.col("block").alias("reference_block"))
-    rows = found.join(blocks, ["case_id", "label"]).join(own, "case_id", "left").join(contexts, "case_id")
-    tail = F.when(shown & F.col("reference_block").isNotNull(), F.concat(F.lit("\n\nReference:\n"), "reference_block")).otherwise("")
-    return rows.select("case_id", "label", F.concat(_context(), F.lit("\n\nSubmission:\n"), "block", tail).alias("prompt"))
+    first, second = "\n\nA:\n", "\n\nB:\n"
+    text = lambda a, b: F.concat(_context(), F.lit(first), F.col(f"{a}.block"), F.lit(second), F.col(f"{b}.block")).alias("prompt")
+    ways = F.array(*[F.struct(F.lit(way).alias("direction"), text(a, b)) for way, a, b in (("forward", "a", "b"), ("reverse", "b", "a"))])
+    names = [*keys, F.col("a.label").alias("model_a"), F.col("b.label").alias("model_b"), _chars(first, F.col("a.block_chars"), second, F.col("b.block_chars")).alias("n_chars")]
+    return opened(meetings).where("NOT compared").select(*names, F.explode(ways).alias("w")).select(*keys, "model_a", "model_b", "w.*", "n_chars")
+
+
+def score_requests(found: DataFrame, texts: DataFrame, blocks: DataFrame, shown: Column, reference: str = "reference", key: str = "case_id", on: str = "case_id") -> DataFrame:
+    """A request per submission (key, label, on), and its characters; where shown holds, with the reference's block, unless that has no hypotheses. Blocks are with_chars."""
+    own = blocks.where(F.col("label") == reference).where(F.col("block") != NO_HYPOTHESES).select(key, F.col("block").alias("reference_block"), F.col("block_chars").alias("reference_chars"))
+    rows = with_context(found.join(blocks, [key, "label"]).join(own, key, "left"), texts, on)
+    first, second, last = "\n\nSubmission:\n", "\n\nReference:\n", shown & F.col("reference_block").isNotNull()
+    prompt = F.concat(_context(), F.lit(first), "block", F.when(last, F.concat(F.lit(second), "reference_block")).otherwise(""))
+    return rows.select(key, "label", prompt.alias("prompt"), _chars(first, F.col("block_chars"), F.when(last, F.col("reference_chars") + len(second)).otherwise(0)).alias("n_chars"))
 
 
 def generation_prompts(contexts: DataFrame) -> DataFrame:

@@ -66,13 +66,17 @@ SQL = {
 #: Lines that a task of the window and the join takes in, where they are more than the usual tasks share.
 TASK_LINES = 1 << 19
 #: The same rows as Spark makes them: lines are dealt out once by their order, which serves the window and the join, names
-#: are made after that, and both judges and both sides come from one join. names has what names sub's rows.
+#: are made after that, and both judges and both sides come from one join. names has what names sub's rows, held their part
+#: and supplier as well, which the line with the least n, p and s gives alone.
 PLANS = {
     "sub": f"""SELECT o, p, s, n, q, c, d, t, k, {_domain('o')} AS domain, {_case('o')} AS case_id,
         CASE WHEN k = 0 THEN 'reference' WHEN k <= 8 THEN concat('baseline:m', CAST(k AS STRING)) ELSE concat('agent:m', CAST(k - 8 AS STRING)) END AS label FROM
         (SELECT *, row_number() OVER (PARTITION BY o, k ORDER BY n, p, s, q, c, d, t) AS rn FROM (SELECT /*+ REPARTITION({{dealt}}o) */ * FROM li) w) x WHERE rn = 1""",
     "names": f"""SELECT o, CASE WHEN k = 0 THEN 'reference' WHEN k <= 8 THEN concat('baseline:m', CAST(k AS STRING)) ELSE concat('agent:m', CAST(k - 8 AS STRING)) END AS label
         FROM (SELECT DISTINCT o, k FROM (SELECT /*+ REPARTITION({{dealt}}o) */ o, k FROM li) w) x""",
+    "held": f"""SELECT o, {_case('o')} AS case_id, p, s,
+        CASE WHEN k = 0 THEN 'reference' WHEN k <= 8 THEN concat('baseline:m', CAST(k AS STRING)) ELSE concat('agent:m', CAST(k - 8 AS STRING)) END AS label FROM
+        (SELECT *, row_number() OVER (PARTITION BY o, k ORDER BY n, p, s) AS rn FROM (SELECT /*+ REPARTITION({{dealt}}o) */ o, k, n, p, s FROM li) w) x WHERE rn = 1""",
     "diffs": """SELECT judge, domain, case_id, o, model_a, model_b, fd, fb, rd, rb FROM (SELECT a.domain AS domain, a.case_id AS case_id, a.o AS o, a.label AS model_a, b.label AS model_b,
         inline(array(struct('j0' AS judge, a.q - b.q AS fd, 25 AS fb, b.c - a.c AS rd, 4000000 AS rb), struct('j1' AS judge, a.d - b.d AS fd, 5 AS fb, b.t - a.t AS rd, 4 AS rb)))
         FROM sub a JOIN sub b ON a.o = b.o AND a.label < b.label) x""",
@@ -111,7 +115,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     files = {f: f"parquet.`{sf_dir}/{f}.parquet`" for f in ("lineitem", "orders", "part", "documents", "events", "customer", "supplier")}
     sql = SQL | PLANS
     needed = _needed(name, sql)
-    if {"sub", "names", "hypotheses"} & {*needed}:
+    if {"sub", "names", "held", "hypotheses"} & {*needed}:
         parts = tasks_of(spark, sf_dir)
         files["dealt"] = f"{parts}, " if parts else ""
         files |= {f"dealt_{k}": f"/*+ REPARTITION({parts}, {key}) */ " if parts else "" for k, key in (("lines", "l_partkey"), ("parts", "p_partkey"))}

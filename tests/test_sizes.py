@@ -126,6 +126,34 @@ def test_remapped_cases_are_dealt_by_case_in_bounded_tasks(spark, small, monkeyp
     assert sorted(map(str, made.collect())) == want
 
 
+def test_requests_shuffle_cases_and_no_pairs_or_texts(spark, small):
+    from ratewell.plans import registry
+
+    plan = registry.queries()["arena_requests"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert " Join Inner" not in plan  # pairs are made inside rows of cases
+    assert plan.split("Join LeftOuter")[0].count("RepartitionByExpression") == 0  # nothing is shuffled once texts are there
+    assert "length(prompt" not in plan and plan.count("length(") == 2  # of contexts and blocks
+
+
+def test_meetings_give_all_pairs_of_hot_cases_and_mark_those_compared(spark, monkeypatch):
+    """Cases with more labels than a row takes, log entries in either order, twice, of other labels and cases, and nulls."""
+    from ratewell.operators import worklist
+
+    monkeypatch.setattr(worklist, "ROW_LABELS", 4)
+    labels = {"hot": [f"m{i:02}" for i in range(23)], "edge": list("abcd"), "one": ["a"], "two": ["b", "a"]}
+    gathered = spark.createDataFrame([(c, x, f"{c}-{x}") for c, xs in labels.items() for x in xs] + [(None, "a", "x"), (None, "b", "x")], "case_id string, label string, block string")
+    log = [("hot", "m03", "m01"), ("hot", "m01", "m03"), ("hot", "m20", "m22"), ("hot", "m00", "zz"), ("edge", "a", "b"), ("gone", "a", "b"), ("two", "a", "c"), ("two", None, "a"), (None, "a", "b")]
+    done = spark.createDataFrame(log, "case_id string, model_a string, model_b string")
+    known = {(c, *sorted(x)) for c, *x in log if None not in x}
+    want = sorted((c, a, b, f"{c}-{a}", f"{c}-{b}", (c, a, b) in known) for c, xs in labels.items() for a in xs for b in xs if a < b)
+    rows = worklist.meetings(gathered, done)
+    assert rows.selectExpr("max(size(labels))").first()[0] < 23
+    got = worklist.opened(rows).selectExpr("case_id", "a.label", "b.label", "a.block", "b.block", "compared").collect()
+    assert sorted(map(tuple, got)) == want
+    left = worklist.compared_pairs(gathered, done).collect()
+    assert sorted(map(tuple, left)) == sorted(r[:3] for r in want if r[5])
+
+
 def test_pending_report_counts_without_making_pairs(spark, small):
     from ratewell.plans import registry
 
@@ -142,3 +170,13 @@ def test_missing_counts_are_those_of_missing(spark):
     done = spark.createDataFrame([(f"c{i}", "abcz"[k]) for i in range(15) for k in range(1 + i % 4)] * 2 + [(None, "a"), ("c1", None)], "case_id string, label string")
     want = {r["case_id"]: r["count"] for r in worklist.missing(cases, registry, done).groupBy("case_id").count().collect()}
     assert {r["case_id"]: r["n"] for r in worklist.missing_counts(cases, registry, done).collect()} == want
+
+
+def test_blocks_of_any_number_of_hypotheses_have_one_form(spark):
+    from ratewell.operators import worklist
+
+    item = "struct<category:string,hypothesis:string,evidence:string>"
+    rows = spark.createDataFrame([(n, [(("x", "", None)[k % 3], f"h{k}", f"e{k}") for k in range(n)]) for n in range(5)] + [(9, None)], f"n int, h array<{item}>")
+    line = lambda k: f"{k + 1}. {('[x] ', '', '')[k % 3]}h{k}\nEvidence: e{k}"
+    got = {r["n"]: r["b"] for r in rows.select("n", worklist.block(F.col("h")).alias("b")).collect()}
+    assert got == {n: "\n".join(map(line, range(n))) or worklist.NO_HYPOTHESES for n in range(5)} | {9: worklist.NO_HYPOTHESES}
