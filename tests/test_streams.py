@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -78,3 +79,34 @@ def test_a_killed_writer_leaves_the_old_documents(spark):
     assert read() == old
     assert logs.put_documents(made([("d", "j", [("c", 2.0)])]), store, KEYS) == 2
     assert read() == [("d", "j", [("c", 2.0)], 2), ("d", "k", [], 1)]
+
+
+def test_repeats_are_found_in_what_was_written(spark, monkeypatch):
+    """Each comparison once, inside a batch and across batches and runs, with nulls; nothing is held as state, and rows come as they were."""
+    monkeypatch.setattr(live, "LOOKUP_ROWS", 50)  # several parts a batch
+    monkeypatch.setattr(live, "TASK_ROWS", 16)
+    base = tempfile.mkdtemp(prefix="spark-tests-")
+    pairs = [("j", f"c{i}", "a", "b") for i in range(60)] + [(None, "j", "a", "b"), ("j", None, "a", "b"), ("j", "n", None, "b"), ("j", "n", "a", None), ("j", "n", None, None), ("j", "n", "b", "b"), ("j", "n", "a", "a"), ("k", "c0", "a", "b")]
+    turned = [(j, c, b, a) for j, c, a, b in pairs]
+    want = {(j, c, *sorted(x or "" for x in (a or b, b or a))) for j, c, a, b in pairs}
+    for k, part in enumerate((pairs[:40] + turned[:50], turned + pairs, [*pairs, ("j", "new", "z", "a")])):
+        df = spark.createDataFrame([(*r, float(n), k) for n, r in enumerate(part)], "judge string, case_id string, model_a string, model_b string, forward double, part int")
+        df.coalesce(1).write.mode("append").parquet(f"{base}/log")
+        live.once(live.read_log(spark, f"{base}/log", df.schema), ["judge", "case_id"], f"{base}/out", f"{base}/checkpoint")
+    kept = live.kept(spark, f"{base}/out")
+    got = [tuple(r) for r in kept.collect()]
+    names = [(j, c, *sorted(x or "" for x in (a or b, b or a))) for j, c, a, b, *_ in got]
+    assert kept.columns == df.columns and len(names) == len(set(names)) and set(names) == want | {("j", "new", "a", "z")}
+    assert {r[5] for r in got if r[1] == "new"} == {2} and ("j", "new", "z", "a") in {r[:4] for r in got}
+    assert {r for r in got} <= {tuple(r) for r in spark.read.parquet(f"{base}/log").collect()}
+    assert not os.path.exists(f"{base}/checkpoint/state")  # before: every comparison, in the memory of the tasks
+
+
+def test_a_batch_that_did_not_end_is_made_again(spark, monkeypatch):
+    base = tempfile.mkdtemp(prefix="spark-tests-")
+    monkeypatch.setattr(live, "LOOKUP_ROWS", 50)
+    df = spark.createDataFrame([("j", f"c{i}", "a", "b") for i in range(200)], "judge string, case_id string, model_a string, model_b string")
+    df.coalesce(1).write.parquet(f"{base}/log")
+    df.where("case_id < 'c2'").withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{base}/out/kept/batch=0")
+    live.once(live.read_log(spark, f"{base}/log", df.schema), ["judge", "case_id"], f"{base}/out", f"{base}/checkpoint")
+    assert sorted(map(tuple, live.kept(spark, f"{base}/out").collect())) == sorted(map(tuple, df.collect()))
