@@ -180,3 +180,27 @@ def test_blocks_of_any_number_of_hypotheses_have_one_form(spark):
     line = lambda k: f"{k + 1}. {('[x] ', '', '')[k % 3]}h{k}\nEvidence: e{k}"
     got = {r["n"]: r["b"] for r in rows.select("n", worklist.block(F.col("h")).alias("b")).collect()}
     assert got == {n: "\n".join(map(line, range(n))) or worklist.NO_HYPOTHESES for n in range(5)} | {9: worklist.NO_HYPOTHESES}
+
+
+def test_shuffle_files_and_old_versions_of_state_go(spark):
+    """A stream's batches leave no shuffle files behind, and of what a restart reads the last versions stay; settings are put back."""
+    import time
+
+    from ratewell.streaming import live
+
+    base, how = tempfile.mkdtemp(prefix="spark-tests-"), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.streaming.minBatchesToRetain", "spark.sql.parquet.compression.codec")
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in local for f in glob.glob(f"{d}/*/shuffle_*")}
+    before, settings = shuffled(), [spark.conf.get(k, None) for k in how]
+    for k in range(3):
+        rows = [("j", f"c{i}", *("ab" if k % 2 else "ba"), k * 300_000) for i in range(k * 50 + 100)]
+        df = spark.createDataFrame(rows, "judge string, case_id string, model_a string, model_b string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+        df.coalesce(1).write.mode("append").parquet(f"{base}/log")
+        live.once_within(live.read_log(spark, f"{base}/log", df.schema), ["judge", "case_id"], "created_at", "1 day", f"{base}/out", f"{base}/checkpoint")
+    assert sorted(r["case_id"] for r in live.kept(spark, f"{base}/out").collect()) == sorted(f"c{i}" for i in range(200))
+    end = time.time() + 30  # files are taken away beside the work
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.5)
+    assert not shuffled() - before
+    assert len(glob.glob(f"{base}/checkpoint/offsets/[0-9]*")) <= live.KEPT + 1
+    assert [spark.conf.get(k, None) for k in how] == settings
